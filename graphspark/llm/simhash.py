@@ -124,8 +124,12 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     rows, found = classes.select(F.lit(0).alias("path"), "fp"), []
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     for level in (1, 2, 3):
-        masks = spark.createDataFrame(masks_of(level), "above int, path int, mask long")
-        keyed = rows.withColumnRenamed("path", "above").join(F.broadcast(masks), "above").select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        if level == 1:
+            masked = rows.select("fp", F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(mask).cast("long").alias("mask")) for _, path, mask in masks_of(1)])).alias("m")).select("fp", "m.*")
+        else:
+            masks = spark.createDataFrame(masks_of(level), "above int, path int, mask long")  # 225 or 3,375 rows
+            masked = rows.withColumnRenamed("path", "above").join(F.broadcast(masks), "above")
+        keyed = masked.select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = cut(keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
         found.append(sizes.where("n = 2").where(near).select("a", "b"))
         most = bucket if level < 3 else 1 << 60  # at most 128 by then
