@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 1_000_000, 2_000_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 150_000, 300_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -177,17 +177,20 @@ class Codec:
 
 
 class Words(dict):
-    """Packed ids of pre-tokens seen so far, bounded in number and length."""
+    """Packed ids of pre-tokens seen lately, bounded in number and length: when full they become the older half, whose words come back as they are met."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode().decode("latin-1")
-        packed = np.array(self.codec.encode_pretoken(raw), "<u4").tobytes()
-        if len(raw) <= CACHE_BYTES:
+        packed = self.older.get(word)
+        if packed is None:
+            raw = word.encode().decode("latin-1")
+            packed = np.array(self.codec.encode_pretoken(raw), "<u4").tobytes()
+        if len(word) <= CACHE_BYTES:
             if len(self) >= CACHE_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = packed
         return packed

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, fraction_of
 
-TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 1_000_000, 32 << 20
+TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 250_000, 8 << 20
 #: Bytes that divide words become spaces.
 _CLEAN = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
@@ -60,7 +60,7 @@ class Lattice:
 
         self.automaton = ahocorasick.Automaton()
         for i, piece in enumerate(pieces):
-            self.automaton.add_word(piece.decode("latin-1"), (i, len(piece)))
+            self.automaton.add_word(piece.decode("latin-1"), i << 8 | len(piece))
         self.automaton.make_automaton()
         self.pieces, self.reach = len(pieces), max(map(len, pieces))
 
@@ -70,8 +70,9 @@ class Lattice:
         base = np.concatenate([[0], np.cumsum(sizes + 1)])  # a word of n bytes, with its space, has n + 2 places
         # Joined by a character that no piece has: places of the text and of the lattice then run alike.
         text = "Ā".join((b" " + w).decode("latin-1") for w in words)
-        found = np.array([(end + 1, piece, size) for end, (piece, size) in self.automaton.iter(text)], np.int64).reshape(-1, 3)
-        end, piece, start = found[:, 0], found[:, 1], found[:, 0] - found[:, 2]
+        found = np.fromiter((end << 32 | value for end, value in self.automaton.iter(text)), np.int64)
+        end, piece = (found >> 32) + 1, found >> 8 & 0xFFFFFF
+        start = end - (found & 0xFF)
         local = end - base[np.searchsorted(base, end, "right") - 1]
         return base, sizes, start, end, piece, local
 
@@ -93,8 +94,8 @@ class Lattice:
     def log_likelihood(self, words: list[bytes], probability: np.ndarray) -> np.ndarray:
         out = np.empty((len(words), probability.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= WORD_BYTES]
-        for k in range(0, len(short), 20_000):
-            part = short[k : k + 20_000]
+        for k in range(0, len(short), 8_000):
+            part = short[k : k + 8_000]
             out[part] = self.forward([words[i] for i in part], probability)
         for i, w in enumerate(words):
             if len(w) > WORD_BYTES:
@@ -106,7 +107,8 @@ class Lattice:
         text = (b" " + word).decode("latin-1")
         scale, alpha = np.zeros(probability.shape[1]), np.zeros((len(text) + 1, probability.shape[1]))
         alpha[0] = 1
-        for end, (piece, size) in self.automaton.iter(text):
+        for end, value in self.automaton.iter(text):
+            piece, size = value >> 8, value & 0xFF
             if size == 1 and end and alpha[end].min() < 1e-100:  # the place before is complete; the byte's own piece comes last
                 near = slice(max(0, end - self.reach), end + 1)
                 top = alpha[end].copy()
@@ -176,13 +178,13 @@ class Scorer:
         self.held = 0  # bytes of the words in place
         self.table = np.zeros((0, len(languages)))
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """In parts of a few MB of text."""
+    def score(self, texts: pa.Array) -> tuple[list[str], list[float]]:
+        """In parts of about two MB of text."""
         names, scores, part, held = [], [], [], 0
-        for i, t in enumerate(texts):
-            part.append(t)
-            held += len(t or "")
-            if held > 4_000_000 or i == len(texts) - 1:
+        for i, text in enumerate(texts):
+            part.append(text.as_py())
+            held += len(part[-1] or "")
+            if held > 2_000_000 or i == len(texts) - 1:
                 for out, new in zip((names, scores), self.part(part)):
                     out.extend(new)
                 part, held = [], 0
@@ -215,7 +217,7 @@ _kept: dict[int, Scorer] = {}
 
 
 def predictor(spark: SparkSession, pieces: list[bytes], languages: list[str], probability: np.ndarray):
-    """A function that scores a list of texts in a Python worker, for a model that is broadcast (pieces x languages numbers)."""
+    """A function that scores an array of texts in a Python worker, for a model that is broadcast (pieces x languages numbers)."""
     shared = spark.sparkContext.broadcast((pieces, languages, probability))
     key = hash((tuple(languages), probability.tobytes()))
 
@@ -236,7 +238,7 @@ def predict(docs: DataFrame, labelled: DataFrame, keys: list[str | Column] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores = score(batch.column(batch.num_columns - 1).to_pylist())
+            names, scores = score(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "lang_pred", "score"])
 
     from pyspark.sql import types as T
@@ -252,6 +254,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` whose language is told with a score of ``least`` or more; columns stay as they are."""
-    all_columns = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")]
-    scored = predict(docs, docs.where(~held_out()), all_columns)
-    return scored.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    pieces = vocabulary_pieces()
+    score = predictor(docs.sparkSession, pieces, *train(docs.where(~held_out()), pieces))
+    identified = F.arrow_udf(lambda texts: pa.array(score(texts)[1], pa.float64()), "double")  # 0 for und; the other columns stay in the JVM
+    return docs.where(identified("text") >= least)
