@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 150_000, 300_000, 48
@@ -228,7 +230,7 @@ def _with_column(df: DataFrame, source: str, field: T.StructField, run) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(run(batch.column(source)), kind)], [*batch.schema.names, field.name])
 
-    return df.mapInArrow(each, schema)
+    return small_batches(df).mapInArrow(each, schema)
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", vocabulary=None) -> DataFrame:

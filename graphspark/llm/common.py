@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 #: A word of the corpus contracts: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have Spark hand texts to Python in batches of ``BATCH_BYTES``: the default of 64 MB is held several times over, in each task."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def map_batches(df: DataFrame, columns: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over the named columns alone, so that no other column leaves the JVM."""
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df).select(*columns).mapInArrow(run, schema)
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fraction_of
+from .common import crc_mod, fraction_of, small_batches
 
 TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 250_000, 8 << 20
 #: Bytes that divide words become spaces.
@@ -166,7 +166,7 @@ def train(labelled: DataFrame, pieces: list[bytes], per_language: int = TRAIN_RO
         p = Lattice(shared.value).fit(list(table["word"]), table["n"].to_numpy())
         return pd.DataFrame({"lang": [table["lang"].iloc[0]], "p": [p.astype("<f8").tobytes()]})
 
-    counted = drawn.select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = small_batches(drawn).select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     fitted = sorted(counted.groupBy("lang").applyInPandas(fit, "lang string, p binary").collect())
     return [r.lang for r in fitted], np.stack([np.frombuffer(r.p, "<f8") for r in fitted], 1) if fitted else np.zeros((len(pieces), 0))
 
@@ -244,7 +244,7 @@ def predict(docs: DataFrame, labelled: DataFrame, keys: list[str | Column] = ("d
     from pyspark.sql import types as T
 
     schema = T.StructType([*taken.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return taken.mapInArrow(run, schema)
+    return small_batches(taken).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -257,4 +257,4 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     pieces = vocabulary_pieces()
     score = predictor(docs.sparkSession, pieces, *train(docs.where(~held_out()), pieces))
     identified = F.arrow_udf(lambda texts: pa.array(score(texts)[1], pa.float64()), "double")  # 0 for und; the other columns stay in the JVM
-    return docs.where(identified("text") >= least)
+    return small_batches(docs).where(identified("text") >= least)
