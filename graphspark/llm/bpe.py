@@ -25,11 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import keep, small_batches
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 150_000, 300_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 80_000, 150_000, 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -198,16 +198,9 @@ class Words(dict):
         return packed
 
 
-_kept: dict[int, Codec] = {}
-
-
 def codec_of(vocabulary) -> Codec:
     """The worker's codec for a broadcast vocabulary."""
-    key = hash(vocabulary.value)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Codec(vocabulary.value)
-    return _kept[key]
+    return keep(("bpe", hash(vocabulary.value)), lambda: Codec(vocabulary.value))
 
 
 def share_vocabulary(spark: SparkSession, path: str | None = None):

@@ -56,3 +56,14 @@ def fraction_of(*columns: Column) -> Column:
 def small_enough(rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> bool:
     """Whether a counted table may be broadcast; callers join by shuffling where it may not."""
     return rows * row_bytes <= limit_bytes
+
+
+_kept: list = []
+
+
+def keep(key, make: Callable):
+    """The one model that a Python worker keeps between batches; another key replaces it."""
+    if not _kept or _kept[0] != key:
+        _kept.clear()
+        _kept[:] = [key, make()]
+    return _kept[1]

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fraction_of, small_batches
+from .common import crc_mod, fraction_of, keep, small_batches
 
-TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 250_000, 8 << 20
+TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 120_000, 4 << 20
 #: Bytes that divide words become spaces.
 _CLEAN = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
@@ -94,8 +94,8 @@ class Lattice:
     def log_likelihood(self, words: list[bytes], probability: np.ndarray) -> np.ndarray:
         out = np.empty((len(words), probability.shape[1]))
         short = [i for i, w in enumerate(words) if len(w) <= WORD_BYTES]
-        for k in range(0, len(short), 8_000):
-            part = short[k : k + 8_000]
+        for k in range(0, len(short), 4_000):
+            part = short[k : k + 4_000]
             out[part] = self.forward([words[i] for i in part], probability)
         for i, w in enumerate(words):
             if len(w) > WORD_BYTES:
@@ -179,12 +179,12 @@ class Scorer:
         self.table = np.zeros((0, len(languages)))
 
     def score(self, texts: pa.Array) -> tuple[list[str], list[float]]:
-        """In parts of about two MB of text."""
+        """In parts of about one MB of text."""
         names, scores, part, held = [], [], [], 0
         for i, text in enumerate(texts):
             part.append(text.as_py())
             held += len(part[-1] or "")
-            if held > 2_000_000 or i == len(texts) - 1:
+            if held > 1_000_000 or i == len(texts) - 1:
                 for out, new in zip((names, scores), self.part(part)):
                     out.extend(new)
                 part, held = [], 0
@@ -213,19 +213,13 @@ class Scorer:
         return names, scores
 
 
-_kept: dict[int, Scorer] = {}
-
-
 def predictor(spark: SparkSession, pieces: list[bytes], languages: list[str], probability: np.ndarray):
     """A function that scores an array of texts in a Python worker, for a model that is broadcast (pieces x languages numbers)."""
     shared = spark.sparkContext.broadcast((pieces, languages, probability))
     key = hash((tuple(languages), probability.tobytes()))
 
     def score(texts):
-        if key not in _kept:
-            _kept.clear()
-            _kept[key] = Scorer(*shared.value)
-        return _kept[key].score(texts)
+        return keep(("language_id", key), lambda: Scorer(*shared.value)).score(texts)
 
     return score
 

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import keep, map_batches
 
 #: Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -176,17 +176,13 @@ class Scanner:
         return spans
 
 
-_scanner: list[Scanner] = []
-
-
 def scan_texts(docs: DataFrame) -> DataFrame:
     """Per document: n_words, places and spans, with their labels and word ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not _scanner:
-            _scanner.append(Scanner())
+        scanner = keep("license_scan", Scanner)
         for batch in batches:
-            found = [_scanner[0].scan(t.as_py()) for t in batch.column(1)]
+            found = [scanner.scan(t.as_py()) for t in batch.column(1)]
             places = pa.array([[{"start": s, "label": x} for s, x in p] for _, p, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())])))
             spans = pa.array([[{"label": x, "first": a, "after": b, "coverage": c} for x, a, b, c in s] for _, _, s in found], pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("after", pa.int64()), ("coverage", pa.float64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _, _ in found], pa.int64()), places, spans], ["doc_id", "n_words", "places", "spans"])
