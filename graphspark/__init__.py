@@ -1,0 +1 @@
+"""Spark jobs for product-knowledge graphs kept as tables."""
