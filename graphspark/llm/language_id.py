@@ -176,7 +176,8 @@ class Scorer:
         self.lattice, self.languages, self.probability = Lattice(pieces), languages, probability
         self.place: dict[bytes, int] = {}
         self.held = 0  # bytes of the words in place
-        self.table = np.zeros((0, len(languages)))
+        self.older: dict[bytes, int] = {}
+        self.table = self.older_table = np.zeros((0, len(languages)))
 
     def score(self, texts: pa.Array) -> tuple[list[str], list[float]]:
         """In parts of about one MB of text."""
@@ -196,13 +197,22 @@ class Scorer:
         if not lettered:
             return names, scores
         split = [words_of(texts[i]) for i in lettered]
-        if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:
+        if len(self.place) > CACHE_WORDS or self.held > CACHE_BYTES:  # the older half's words come back as they are met
+            self.older, self.older_table = self.place, self.table
             self.place, self.table, self.held = {}, self.table[:0], 0
         new = list({w for words in split for w in words if w not in self.place})
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         if new:
             self.held += sum(map(len, new))
-            self.table = np.concatenate([self.table, self.lattice.log_likelihood(new, self.probability)])
+            rows, unseen = np.empty((len(new), len(self.languages))), []
+            for i, w in enumerate(new):
+                at = self.older.get(w)
+                if at is None:
+                    unseen.append(i)
+                else:
+                    rows[i] = self.older_table[at]
+            rows[unseen] = self.lattice.log_likelihood([new[i] for i in unseen], self.probability)
+            self.table = np.concatenate([self.table, rows])
         sizes = np.array([len(words) for words in split])
         at = np.fromiter((self.place[w] for words in split for w in words), np.int64, sizes.sum())
         sums = np.add.reduceat(self.table[at], np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0)
