@@ -68,12 +68,13 @@ def near_duplicate_names(nodes: DataFrame, threshold: float = 0.6) -> DataFrame:
     names = names.groupBy("label", "platform", "key").agg(F.min("plain").alias("plain"), F.min("wide").alias("wide"))
     pairs = None
     for which in ("plain", "wide"):
-        one = names.select("label", "platform", "key", F.size(which).alias("n"), F.explode(which).alias("token"))
+        other = F.col("plain") != F.col("wide")  # a pair of names without synonyms is met among the plain sets already
+        one = names.select("label", "platform", "key", F.size(which).alias("n"), (F.lit(which == "plain") | other).alias("new"), F.explode(which).alias("token"))
         often = one.groupBy("label", "platform", "token").agg(F.count("*").alias("f"))
         rank = F.row_number().over(Window.partitionBy("label", "platform", "key").orderBy("f", "token"))
         index = one.join(often, ["label", "platform", "token"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-        a, b = index.select("label", "platform", "token", F.col("key").alias("a"), F.col("n").alias("na")), index.select("label", "platform", "token", F.col("key").alias("b"), F.col("n").alias("nb"))
-        met = a.join(b, ["label", "platform", "token"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("label", "platform", "a", "b")
+        a, b = index.select("label", "platform", "token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("new").alias("new_a")), index.select("label", "platform", "token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("new").alias("new_b"))
+        met = a.join(b, ["label", "platform", "token"]).where((F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("label", "platform", "a", "b")
         pairs = met if pairs is None else pairs.union(met)
     side = lambda x: names.select("label", "platform", F.col("key").alias(x), F.col("plain").alias(f"{x}_plain"), F.col("wide").alias(f"{x}_wide"))
     both = pairs.distinct().join(side("a"), ["label", "platform", "a"]).join(side("b"), ["label", "platform", "b"])
