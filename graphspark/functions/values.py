@@ -25,7 +25,7 @@ SUPPORTED_EXTENSIONS = ".cs .vb .java .py .ts .tsx .js .jsx .mjs .cjs .html .htm
 DEFAULT_IGNORES = (
     ".git/ .svn/ .hg/ node_modules/ vendor/ bower_components/ jspm_packages/ package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.lockb "
     "__pycache__/ *.pyc *.pyo .venv/ venv/ .tox/ .mypy_cache/ .pytest_cache/ .ruff_cache/ *.egg-info/ dist/ build/ out/ target/ bin/ obj/ .next/ .nuxt/ "
-    ".svelte-kit/ *.min.js *.min.css .cache/ .parcel-cache/ .gradle/ .idea/ .vscode/ .env .env.* *.pem *.key id_rsa* *.log logs/ tmp/ temp/ .cog/ *.tfstate "
+    ".svelte-kit/ *.min.js *.min.css .cache/ .parcel-cache/ .gradle/ .idea/ .vscode/ .env .env.* *.pem *.key id_rsa* *.log logs/ tmp/ temp/ *.tfstate "
     "*.tfstate.backup .terraform.lock.hcl test/ tests/ __tests__/ *.test.* *.spec.* test_*.py *_test.py *_test.go"
 ).split()
 OUTBOUND_VERBS = ["call", "invoke", "publish", "send"]
