@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import crc_mod, fraction_of, keep, small_batches
 
 TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 120_000, 4 << 20
+#: Words whose lattices are held at once while a language is fitted.
+FIT_WORDS = 4_000
 #: Bytes that divide words become spaces.
 _CLEAN = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
@@ -124,8 +126,8 @@ class Lattice:
         p = np.full((self.pieces, 1), 1 / self.pieces)
         for _ in range(rounds):
             total = np.zeros(self.pieces)
-            for k in range(0, len(words), 20_000):
-                _, alpha, (base, sizes, start, end, piece, local) = self.forward(words[k : k + 20_000], p, keep=True)
+            for k in range(0, len(words), FIT_WORDS):
+                _, alpha, (base, sizes, start, end, piece, local) = self.forward(words[k : k + FIT_WORDS], p, keep=True)
                 owner = np.searchsorted(base, end, "right") - 1
                 left = sizes[owner] - (start - base[owner])  # bytes from an arc's start to the word's end
                 order = np.lexsort((start, left))
@@ -138,7 +140,7 @@ class Lattice:
                         first = np.flatnonzero(np.diff(s[i:j], prepend=-1))
                         beta[s[i:j][first]] = np.add.reduceat(beta[e[i:j]] * p[q[i:j], 0], first)
                 whole = alpha[base[:-1] + sizes, 0]
-                weight = counts[k : k + 20_000][owner] / whole[owner]
+                weight = counts[k : k + FIT_WORDS][owner] / whole[owner]
                 total += np.bincount(piece, weights=alpha[start, 0] * p[piece, 0] * beta[end] * weight, minlength=self.pieces)
             p = ((total + SMOOTHING) / (total.sum() + SMOOTHING * self.pieces))[:, None]
         return p[:, 0]
