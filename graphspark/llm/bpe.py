@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,8 @@ class Codec:
 
         spec = json.loads(vocabulary)
         alphabet = byte_alphabet()
-        # Bytes are held as Latin-1 strings, one character each, as the automaton takes strings.
-        as_bytes = lambda token: "".join(chr(alphabet[c]) for c in token)
+        # Bytes are held as Latin-1 strings, one character each, as the automaton takes strings; all tables share one string a token.
+        as_bytes = lambda token: sys.intern("".join(chr(alphabet[c]) for c in token))
         self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items()}
         self.rank = {}
         for n, merge in enumerate(spec["model"]["merges"]):
@@ -64,7 +65,7 @@ class Codec:
         self.automaton.make_automaton()
         self.made: dict[str, tuple] = {}  # token -> rank and halves of the merge that makes it
         for (left, right), n in self.rank.items():
-            self.made.setdefault(left + right, (n, left, right))
+            self.made.setdefault(sys.intern(left + right), (n, left, right))
         self.edges: tuple[dict, dict] = ({}, {})
         self.prefix: dict[str, str] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -88,12 +89,12 @@ class Codec:
         """What stands at the token's left (0) or right (1) edge while it is merged: parts, each with the rank of the merge that takes it up."""
         known = self.edges[side].get(token)
         if known is None:
-            known = [(token, math.inf)]
+            known = [(sys.intern(token), math.inf)]
             while (at := known[-1][0]) in self.made:
                 rank, *halves = self.made[at]
                 known.append((halves[side], rank))
             known.reverse()
-            self.edges[side][token] = known
+            self.edges[side][sys.intern(token)] = known
         return known
 
     def fits(self, left: str, right: str) -> bool:
@@ -118,7 +119,7 @@ class Codec:
                         i += 1
                     else:
                         j += 1
-            self.pairs[left, right] = known
+            self.pairs[sys.intern(left), sys.intern(right)] = known
         return known
 
     def encode_pretoken(self, text: str) -> list[int]:
@@ -155,7 +156,7 @@ class Codec:
         known = self.prefix.get(token)
         if known is None:
             known = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids), "")
-            self.prefix[token] = known
+            self.prefix[sys.intern(token)] = sys.intern(known)
         return known
 
     def encode(self, text: str | None) -> bytes:
