@@ -61,25 +61,32 @@ def near_duplicate_names(nodes: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Pairs of lower-case names of one label and platform whose token sets have a Jaccard score of ``threshold`` or more, plain or with synonyms.
 
     Distinct names first. Of a set with n tokens only the rarest n - ceil(threshold * n) + 1 are indexed, so that frequent tokens meet
-    in no bucket; both token sets are indexed apart.
+    in no bucket; both token sets are indexed apart. The sets travel with the index: a pair is scored where it meets, and counts only
+    at the first indexed token that the two share, so candidates are never shuffled.
     """
     tokens = name_tokens("name")
     names = nodes.where(F.trim("name") != "").select("label", platform_key("platform").alias("platform"), F.lower("name").alias("key"), F.array_sort(tokens).alias("plain"), F.array_sort(expanded(tokens)).alias("wide"))
     names = names.groupBy("label", "platform", "key").agg(F.min("plain").alias("plain"), F.min("wide").alias("wide"))
-    pairs = None
+    name, pairs = ["label", "platform", "key"], None
+
+    def jaccard(k: str):
+        shared = F.size(F.array_intersect(f"a.{k}", f"b.{k}"))
+        return F.coalesce(F.round(shared / F.nullif(F.size(f"a.{k}") + F.size(f"b.{k}") - shared, F.lit(0)), 4), F.lit(0.0))
+
     for which in ("plain", "wide"):
-        other = F.col("plain") != F.col("wide")  # a pair of names without synonyms is met among the plain sets already
-        one = names.select("label", "platform", "key", F.size(which).alias("n"), (F.lit(which == "plain") | other).alias("new"), F.explode(which).alias("token"))
+        one = names.select(*name, "plain", "wide", F.explode(which).alias("token"))
         often = one.groupBy("label", "platform", "token").agg(F.count("*").alias("f"))
-        rank = F.row_number().over(Window.partitionBy("label", "platform", "key").orderBy("f", "token"))
-        index = one.join(often, ["label", "platform", "token"]).withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-        a, b = index.select("label", "platform", "token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("new").alias("new_a")), index.select("label", "platform", "token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("new").alias("new_b"))
-        met = a.join(b, ["label", "platform", "token"]).where((F.col("a") < F.col("b")) & (F.col("new_a") | F.col("new_b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("label", "platform", "a", "b")
+        ranked = one.join(often, ["label", "platform", "token"]).groupBy(*name).agg(F.first("plain").alias("plain"), F.first("wide").alias("wide"), F.array_sort(F.collect_list(F.struct("f", "token"))).getField("token").alias("rare"))
+        index = ranked.withColumn("rare", F.slice("rare", 1, (F.size("rare") - F.ceil(threshold * F.size("rare")) + 1).cast("int"))).withColumn("token", F.explode("rare"))
+        small, large = F.least(F.size(f"a.{which}"), F.size(f"b.{which}")), F.greatest(F.size(f"a.{which}"), F.size(f"b.{which}"))
+        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("label", "platform", "token")]
+        met = index.alias("a").join(index.alias("b"), on).where((F.col("a.key") < F.col("b.key")) & (small >= threshold * large) & (jaccard(which) >= threshold))
+        if which == "wide":  # what the plain sets have met is out already; names without synonyms have nothing new
+            met = met.where(((F.col("a.plain") != F.col("a.wide")) | (F.col("b.plain") != F.col("b.wide"))) & (jaccard("plain") < threshold))
+        met = met.where(F.array_intersect("a.rare", "b.rare")[0] == F.col("a.token"))
+        met = met.select("a.label", "a.platform", F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.greatest(jaccard("plain"), jaccard("wide")).alias("score"))
         pairs = met if pairs is None else pairs.union(met)
-    side = lambda x: names.select("label", "platform", F.col("key").alias(x), F.col("plain").alias(f"{x}_plain"), F.col("wide").alias(f"{x}_wide"))
-    both = pairs.distinct().join(side("a"), ["label", "platform", "a"]).join(side("b"), ["label", "platform", "b"])
-    jaccard = lambda k: F.size(F.array_intersect(f"a_{k}", f"b_{k}")) / F.size(F.array_union(f"a_{k}", f"b_{k}"))
-    return both.select("label", "platform", "a", "b", F.round(F.greatest(jaccard("plain"), jaccard("wide")), 4).alias("score")).where(F.col("score") >= threshold)
+    return pairs
 
 
 def missing_scenario_id(journeys: DataFrame) -> DataFrame:
