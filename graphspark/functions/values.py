@@ -22,6 +22,7 @@ SYNONYMS = [
 PLACEHOLDER_DESCRIPTIONS = ["n/a", "na", "tbd", "todo", "-", ".", "none", "skip", "description", "desc", "placeholder"]
 IN_FLIGHT = ["started", "node_creation", "relationship_creation", "creating_embeddings", "metadata_addition"]
 SUPPORTED_EXTENSIONS = ".cs .vb .java .py .ts .tsx .js .jsx .mjs .cjs .html .htm .cshtml .razor .aspx .ascx .master .vue".split()
+SUPPORTED_LANGUAGES = ["C#", "Java", "Python", "TypeScript", "JavaScript", "VB"]
 DEFAULT_IGNORES = (
     ".git/ .svn/ .hg/ node_modules/ vendor/ bower_components/ jspm_packages/ package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.lockb "
     "__pycache__/ *.pyc *.pyo .venv/ venv/ .tox/ .mypy_cache/ .pytest_cache/ .ruff_cache/ *.egg-info/ dist/ build/ out/ target/ bin/ obj/ .next/ .nuxt/ "

@@ -7,7 +7,7 @@ shuffled; parents are joined by key and never gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_system, name_key, platform_key, valid_description
@@ -153,6 +153,12 @@ def scenario_paging(scenario, outcome, persona, page: int, limit: int) -> DataFr
     return picked.join(F.broadcast(total)).select("scenario_id", "scenario", (F.lit(page * limit) < F.col("total")).alias("has_more"))
 
 
+def ordered_steps(scenarios, step) -> DataFrame:
+    """Steps of a page of scenarios, numbered from 1 within each by id; the page is bounded by its limit and broadcast."""
+    mine = step.join(F.broadcast(scenarios.select("scenario_id")), "scenario_id", "left_semi")
+    return mine.select("scenario_id", "step_id", "step", F.row_number().over(Window.partitionBy("scenario_id").orderBy("step_id")).alias("order"))
+
+
 def description_gaps(nodes: DataFrame) -> DataFrame:
     """Per label: nodes, and those whose description is missing, too short or a placeholder."""
     bad = F.sum((~valid_description("description")).cast("int"))

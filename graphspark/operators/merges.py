@@ -95,6 +95,15 @@ def layer_inventory(nodes: DataFrame) -> DataFrame:
     return layers.join(nodes.groupBy("layer").agg(F.count("*").alias("n")), "layer", "left").select("layer", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().alias("empty"))
 
 
+def layer_boundaries(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (source, target) that cross a layer boundary: user experience straight to storage, or services back to user experience."""
+    side = lambda end, layers: nodes.where(F.col("layer").isin(layers)).select(F.col("id").alias(end), F.col("layer").alias(f"{end}_layer"))
+    rows = links.select("source", "target").distinct().join(side("source", ["UserExperience", "Services"]), "source").join(side("target", ["DataLake", "UserExperience"]), "target")
+    issue = F.when((F.col("source_layer") == "UserExperience") & (F.col("target_layer") == "DataLake"), "direct_storage_call")
+    issue = issue.when((F.col("source_layer") == "Services") & (F.col("target_layer") == "UserExperience"), "reverse_flow")
+    return rows.select("source", "target", issue.alias("issue")).where("issue IS NOT NULL")
+
+
 def derive_schema_fields(columns: DataFrame, constraints: DataFrame, indexes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """columns (table_id, name), constraints (table_id, kind, columns, ref_table), indexes (table_id, columns): table facts, column facts, and foreign-key edges, set-based."""
     keys = constraints.select("table_id", "kind", F.explode("columns").alias("name")).distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import gitignore_to_regex, norm_repo_url
-from ..functions.values import DEFAULT_IGNORES, IN_FLIGHT, SUPPORTED_EXTENSIONS
+from ..functions.values import DEFAULT_IGNORES, IN_FLIGHT, SUPPORTED_EXTENSIONS, SUPPORTED_LANGUAGES
 
 
 def display_names(repos: DataFrame) -> DataFrame:
@@ -14,9 +14,25 @@ def display_names(repos: DataFrame) -> DataFrame:
     return repos.join(n, "name").select("key", F.when(F.col("n") == 1, F.col("name")).otherwise(F.regexp_replace("key", "/", "__")).alias("display_name"))
 
 
-def triage(repos: DataFrame, as_of: str, months: int = 24) -> DataFrame:
+def suggestion(as_of: str, months: int = 24):
     stale = F.col("pushed_at") < F.add_months(F.lit(as_of).cast("date"), -months)
-    return repos.select("key", F.when(F.col("archived"), "archived").when(F.col("fork"), "fork").when(F.col("empty"), "empty").when(stale, "stale").otherwise("keep").alias("suggestion"))
+    return F.when(F.col("archived"), "archived").when(F.col("fork"), "fork").when(F.col("empty"), "empty").when(stale, "stale").otherwise("keep")
+
+
+def triage(repos: DataFrame, as_of: str, months: int = 24) -> DataFrame:
+    return repos.select("key", suggestion(as_of, months).alias("suggestion"))
+
+
+def unsupported(language: str = "language", supported: list[str] = SUPPORTED_LANGUAGES):
+    """Whether a main language gives no code nodes; a repository without one is not flagged."""
+    return F.coalesce(~F.col(language).isin(supported), F.lit(False))
+
+
+def triage_groups(repos: DataFrame, as_of: str, by: str = "language", months: int = 24) -> DataFrame:
+    """Repositories that triage keeps, by main language or by name prefix (before the first hyphen), with the number of unsupported ones."""
+    keys = {"language": F.col("language"), "prefix": F.nullif(F.regexp_extract("name", "^([^-]+)-", 1), F.lit(""))}
+    kept = repos.where(suggestion(as_of, months) == "keep")
+    return kept.groupBy(F.coalesce(keys[by], F.lit("(none)")).alias("group")).agg(F.count("*").alias("n"), F.sum(unsupported().cast("int")).alias("unsupported"))
 
 
 def adopt_existing(repos: DataFrame, projects: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions.values import PAGE_TYPES
+from ..functions.values import LAYOUT_TYPES, PAGE_TYPES
 from ..operators import design, functional, gates, intents, interfaces, merges, repos, search, spec
 from ..sources import exports
 from ..streaming import status as streams
@@ -80,6 +80,7 @@ query("scope_by_persona", "WITH j AS (SELECT id FROM b_journey WHERE id % 2 = 0)
     lambda t: _labelled(["flow", "page", "component"], functional.scope_by_parent([t.b_flow_parent, t.b_page_parent, t.b_component_parent], t.b_journey.where("id % 2 = 0").select("id")))
 )
 query("pending_scenarios", f"SELECT scenario_id, scenario, 100 < (SELECT count(*) FROM b_scenario) AS has_more FROM b_scenario WHERE NOT is_design_generated AND outcome_id NOT IN (SELECT outcome_id FROM b_outcome JOIN b_persona USING (persona_id) WHERE {SYS}) ORDER BY scenario_id LIMIT 50 OFFSET 50")(lambda t: functional.scenario_paging(t.b_scenario, t.b_outcome, t.b_persona, 2, 50))
+query("scenario_steps", f"SELECT scenario_id, step_id, step, row_number() OVER (PARTITION BY scenario_id ORDER BY step_id) AS \"order\" FROM b_step WHERE scenario_id IN (SELECT scenario_id FROM b_scenario WHERE NOT is_design_generated AND outcome_id NOT IN (SELECT outcome_id FROM b_outcome JOIN b_persona USING (persona_id) WHERE {SYS}) ORDER BY scenario_id LIMIT 50 OFFSET 50)")(lambda t: functional.ordered_steps(functional.scenario_paging(t.b_scenario, t.b_outcome, t.b_persona, 2, 50), t.b_step))
 
 
 def _labelled(labels, frames):
@@ -97,6 +98,9 @@ def _payload(t):
 
 
 _P = "(SELECT outcome_id AS payload_id, persona, action_id, action, a.description, has_api, l_suppkey FROM b_action a JOIN b_step USING (step_id) JOIN b_scenario USING (scenario_id) JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id))"
+query("check_schema", "SELECT c_custkey AS payload_id, 'schema' AS \"check\", 'personas' AS detail FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'schema', 'persona' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'schema', 'outcomes' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 = 0 UNION ALL SELECT c_custkey, 'schema', 'outcome' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 3 = 0")(
+    lambda t: gates.check_schema(t.customer.selectExpr("c_custkey AS payload_id", "filter(array(named_struct('persona', IF(c_custkey % 7 = 0, ' ', c_mktsegment), 'outcomes', filter(array(named_struct('outcome', c_name, 'scenarios', filter(array(c_mktsegment), x -> c_custkey % 3 <> 0))), x -> c_custkey % 11 <> 0))), x -> c_custkey % 5 <> 0) AS personas"))
+)
 query("check_rule_a", f"SELECT payload_id, 'rule_a' AS \"check\", action_id, lower(split_part(action, ' ', 1)) AS detail FROM {_P} WHERE NOT has_api AND ((NOT {SYS} AND lower(split_part(action, ' ', 1)) IN ('submit', 'persist')) OR ({SYS} AND lower(split_part(action, ' ', 1)) IN ('submit', 'receive', 'persist') AND NOT coalesce(contains(description, 'table'), false)))")(lambda t: gates.check_rule_a(_payload(t)))
 query("check_forbidden_words", f"SELECT payload_id, 'forbidden_words' AS \"check\", action_id, 'click,tab' AS detail FROM {_P} WHERE NOT {SYS} AND action = 'Click the tab'")(lambda t: gates.check_forbidden_words(_payload(t)))
 query("check_persona", f"SELECT outcome_id AS payload_id, 'persona' AS \"check\", 'kind' AS detail FROM b_outcome JOIN b_persona USING (persona_id) WHERE {SYS}")(lambda t: gates.check_persona(t.b_outcome.join(t.b_persona, "persona_id").select(F.col("outcome_id").alias("payload_id"), "persona"), "human"))
@@ -131,6 +135,8 @@ query("child_platform_mismatch", f"WITH fl AS (SELECT o_orderkey AS id, CASE WHE
     lambda t: design.child_platform_mismatch(t.orders.select(F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'portal' WHEN o_orderkey % 3 = 1 THEN 'admin' END").alias("platform")), t.b_flow_parent, t.b_journey)
 )
 query("invalid_enums", "SELECT id, page_type AS value, 'P1' AS severity FROM b_page WHERE page_type = 'form'")(lambda t: design.invalid_enums(t.b_page, "page_type", PAGE_TYPES))
+_LAYOUT = "CASE p_size % 6 WHEN 0 THEN 'GRID' WHEN 1 THEN 'FLEX' WHEN 2 THEN 'SIDEBAR' WHEN 3 THEN 'FULL' WHEN 4 THEN 'full' ELSE 'Masonry' END"
+query("invalid_layouts", f"SELECT p_partkey AS id, {_LAYOUT} AS value, CASE WHEN p_size % 6 = 4 THEN 'P1' ELSE 'P0' END AS severity FROM part WHERE p_size % 6 > 3")(lambda t: design.invalid_enums(t.part.selectExpr("p_partkey AS id", f"{_LAYOUT} AS layout_type"), "layout_type", LAYOUT_TYPES))
 query("template_compliance", "WITH x AS (SELECT parent AS id, count(*) AS n, min(c.name) AS tpl FROM (SELECT DISTINCT child, parent FROM b_component_parent) l JOIN b_component c ON c.id = l.child AND c.type = 'TEMPLATE' GROUP BY 1) SELECT p.id, coalesce(n, 0) AS templates, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'several' ELSE 'unexpected' END AS issue, CASE WHEN n IS NULL THEN 'P0' ELSE 'P2' END AS severity FROM b_page p LEFT JOIN x USING (id) WHERE n IS NULL OR n > 1 OR page_type <> 'form'")(lambda t: design.template_compliance(t.b_page, t.b_component, t.b_component_parent))
 
 
@@ -221,6 +227,9 @@ def _arch(t):
 
 query("merge_architecture_sources", "SELECT 'Services' AS layer, lower(p_brand) AS k, 'region' AS field, count(DISTINCT p_size) AS n FROM part GROUP BY 2 HAVING count(DISTINCT p_size) > 1")(lambda t: merges.merge_architecture(_arch(t))[1].where("field = 'region'"))
 query("layer_inventory", "SELECT layer, n, n = 0 AS empty FROM (SELECT 'Services' AS layer, (SELECT count(*) FROM part) AS n UNION ALL SELECT unnest(['UserExperience', 'ApiGateway', 'Agents', 'DataLake', 'EventQueue', 'ObservabilityMonitoring', 'Infrastructure']), 0)")(lambda t: merges.layer_inventory(_arch(t)))
+query("layer_boundaries", "SELECT DISTINCT l_partkey AS source, l_suppkey AS target, CASE WHEN l_partkey % 3 = 0 THEN 'direct_storage_call' ELSE 'reverse_flow' END AS issue FROM lineitem WHERE (l_partkey % 3 = 0 AND l_suppkey % 3 = 1) OR (l_partkey % 3 = 2 AND l_suppkey % 3 = 0)")(
+    lambda t: merges.layer_boundaries(t.part.selectExpr("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'UserExperience' WHEN 1 THEN 'DataLake' ELSE 'Services' END AS layer"), t.lineitem.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
+)
 query("classify_iac_resources", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'aws_s3_bucket' WHEN 1 THEN 'aws_sqs_queue' ELSE 'x_unknown' END AS rtype, CASE p_partkey % 3 WHEN 0 THEN 'DataLake' WHEN 1 THEN 'EventQueue' END AS layer, p_partkey % 3 = 2 AS flagged FROM part")(
     lambda t: merges.classify_resources(t.part.selectExpr("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'aws_s3_bucket' WHEN 1 THEN 'aws_sqs_queue' ELSE 'x_unknown' END AS rtype"), t.spark.createDataFrame([("aws_s3_bucket", "DataLake"), ("aws_s3", "UserExperience"), ("aws_sqs_queue", "EventQueue")], "prefix string, layer string"))
 )
@@ -258,6 +267,11 @@ query("extract_branches", r"WITH k AS (SELECT fn, pos, CASE WHEN regexp_matches(
 # Repositories and changes
 query("display_names", "SELECT CAST(s_suppkey AS STRING) || '/x' AS key, CASE WHEN count(*) OVER (PARTITION BY s_nationkey) = 1 THEN CAST(s_nationkey AS STRING) ELSE CAST(s_suppkey AS STRING) || '__x' END AS display_name FROM supplier")(lambda t: repos.display_names(t.supplier.selectExpr("concat(s_suppkey, '/x') AS key", "CAST(s_nationkey AS STRING) AS name")))
 query("triage_repos", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'archived' WHEN o_orderkey % 5 = 0 THEN 'fork' WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN CAST(o_orderdate AS DATE) < DATE '1996-01-01' THEN 'stale' ELSE 'keep' END AS suggestion FROM orders")(lambda t: repos.triage(t.orders.selectExpr("o_orderkey AS key", "CAST(o_orderdate AS DATE) AS pushed_at", "o_orderkey % 7 = 0 AS archived", "o_orderkey % 5 = 0 AS fork", "o_orderkey % 11 = 0 AS empty"), "1998-01-01"))
+_REPOS = ["o_orderkey AS key", "CASE WHEN o_orderkey % 3 = 0 THEN 'solo' ELSE o_orderstatus || '-' || CAST(o_orderkey AS STRING) END AS name", "CASE o_orderkey % 4 WHEN 0 THEN 'C#' WHEN 1 THEN 'Java' WHEN 2 THEN 'Go' END AS language", "CAST(o_orderdate AS DATE) AS pushed_at", "o_orderkey % 7 = 0 AS archived", "o_orderkey % 5 = 0 AS fork", "o_orderkey % 11 = 0 AS empty"]
+_KEPT = f"(SELECT * FROM (SELECT {', '.join(_REPOS)} FROM orders) WHERE NOT archived AND NOT fork AND NOT empty AND pushed_at >= DATE '1996-01-01')"
+query("triage_by_language", f"SELECT coalesce(language, '(none)') AS \"group\", count(*) AS n, CAST(sum(CASE WHEN language = 'Go' THEN 1 ELSE 0 END) AS BIGINT) AS unsupported FROM {_KEPT} GROUP BY 1")(lambda t: repos.triage_groups(t.orders.selectExpr(*_REPOS), "1998-01-01"))
+query("triage_by_prefix", f"SELECT CASE WHEN name = 'solo' THEN '(none)' ELSE split_part(name, '-', 1) END AS \"group\", count(*) AS n, CAST(sum(CASE WHEN language = 'Go' THEN 1 ELSE 0 END) AS BIGINT) AS unsupported FROM {_KEPT} GROUP BY 1")(lambda t: repos.triage_groups(t.orders.selectExpr(*_REPOS), "1998-01-01", "prefix"))
+query("unsupported_languages", f"SELECT key, language FROM (SELECT {', '.join(_REPOS)} FROM orders) WHERE language = 'Go'")(lambda t: t.orders.selectExpr(*_REPOS).where(repos.unsupported()).select("key", "language"))
 query("tree_stats", r"WITH c AS (SELECT repo, CASE WHEN regexp_extract(path, '(\.[^./]+)$', 1) = '' THEN '(none)' ELSE lower(regexp_extract(path, '(\.[^./]+)$', 1)) END AS value, count(*) AS n FROM b_file GROUP BY 1, 2) SELECT repo, value, n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, value) AS r FROM c) WHERE r <= 3")(lambda t: repos.tree_stats(t.b_file, "ext", 3))
 _PATTERNS = ["*.cs", "/src1/**", "never-there/"]
 query("preview_ignores", "SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 4) THEN 'unsupported' WHEN doc_id % 6 IN (0, 1) THEN 'built-in' WHEN doc_id % 5 = 3 THEN '*.cs' WHEN repo = 'src1' THEN '/src1/**' ELSE 'kept' END AS reason FROM b_file")(lambda t: repos.preview_ignores(t.b_file, _PATTERNS).select("doc_id", "reason"))
@@ -301,6 +315,7 @@ query("adopt_existing", "SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 AN
 )
 query("connect_candidates", "SELECT s_suppkey AS repo_id FROM supplier WHERE s_suppkey % 4 <> 0 ORDER BY 1 LIMIT (SELECT greatest(40 - count(*), 0) FROM supplier WHERE s_suppkey % 4 = 0)")(lambda t: repos.connect_candidates(t.supplier.selectExpr("s_suppkey AS repo_id", "CASE WHEN s_suppkey % 4 = 0 THEN 'ingesting' ELSE 'planned' END AS status"), 40))
 query("classify_stores", "SELECT s_suppkey AS store, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'blocking' WHEN s_suppkey % 3 = 0 THEN 'writable' ELSE 'confirmed' END AS tier FROM supplier WHERE s_suppkey % 5 >= 3")(lambda t: search.classify_stores(t.supplier.selectExpr("s_suppkey AS store", "s_suppkey % 2 = 0 AS read_only", "s_suppkey % 3 = 0 AS needs_ddl", "s_suppkey % 5 AS hits", "0.41 AS score_min", "0.44 AS score_max")))
+query("store_verdict", "SELECT CASE max(CASE WHEN s_suppkey % 6 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKING' WHEN 1 THEN 'WORK' ELSE 'NO DDL' END AS verdict FROM supplier WHERE s_suppkey % 5 >= 3")(lambda t: search.store_verdict(search.classify_stores(t.supplier.selectExpr("s_suppkey AS store", "s_suppkey % 2 = 0 AS read_only", "s_suppkey % 3 = 0 AS needs_ddl", "s_suppkey % 5 AS hits", "0.41 AS score_min", "0.44 AS score_max"))))
 query("focus_tables", "SELECT table_id, CAST(sum(h) AS BIGINT) AS hits FROM (SELECT p_partkey AS table_id, CAST(contains(lower(p_name), 'e') AS INT) + CAST(contains(lower(p_name), 's') AS INT) AS h FROM part UNION ALL SELECT p_partkey, CAST(contains(lower(p_type), 'e') AS INT) + CAST(contains(lower(p_type), 's') AS INT) FROM part) GROUP BY 1 HAVING sum(h) > 0")(lambda t: search.focus_tables(t.part.selectExpr("p_partkey AS table_id", "p_name AS name"), t.part.selectExpr("p_partkey AS table_id", "p_type AS name"), ["e", "s"]))
 query("schema_dependents", "SELECT 'foreign_key' AS kind, l_suppkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 UNION ALL SELECT 'view', doc_id FROM documents WHERE regexp_matches(text, '(?i)\\bapache\\b')")(lambda t: search.schema_dependents("apache", t.lineitem.where("l_linenumber = 1").selectExpr("l_suppkey AS table_id", "CASE WHEN l_returnflag = 'A' THEN 'apache' ELSE 'x' END AS ref_table"), t.documents.selectExpr("'view' AS kind", "doc_id AS id", "text AS body")))
 query("anchor_architecture", "SELECT p_partkey AS code_ontology_id, p_brand AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")(lambda t: search.anchor(t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("code_ontology_id")), t.part.selectExpr("p_partkey AS code_ontology_id", "p_brand AS name")))

@@ -146,3 +146,20 @@ def test_preview_takes_the_first_own_pattern(spark):
     seen = repos.preview_ignores(files, ["a/", "*.py"])
     assert {r.path: r.reason for r in seen.collect()} == {"a/x.py": "a/", "dist/x.py": "built-in", "a/x.md": "unsupported", "b/y.ts": "kept"}
     assert {r.pattern: r.n for r in repos.pattern_hits(seen, ["a/", "*.py"]).collect()} == {"a/": 1, "*.py": 0}
+
+
+def test_triage_groups_without_language_or_prefix(spark):
+    fields = "key long, name string, language string, pushed_at date, archived boolean, fork boolean, empty boolean"
+    rows = [(1, "hr-a", "Go", None, False, False, False), (2, "hr-b-c", None, None, False, False, False), (3, "solo", "VB", None, False, False, False), (4, None, "Java", None, True, False, False)]
+    df = spark.createDataFrame(rows, fields)
+    assert values(repos.triage_groups(df, "2024-01-01")) == [("(none)", 1, 0), ("Go", 1, 1), ("VB", 1, 0)]
+    assert values(repos.triage_groups(df, "2024-01-01", "prefix")) == [("(none)", 1, 0), ("hr", 2, 1)]
+    assert values(df.where(repos.unsupported()).select("key")) == [(1,)]
+    assert repos.triage_groups(df.limit(0), "2024-01-01").count() == 0
+
+
+def test_layer_boundaries(spark):
+    nodes = spark.createDataFrame([(1, "UserExperience"), (2, "DataLake"), (3, "Services"), (4, None)], "id long, layer string")
+    links = spark.createDataFrame([(1, 2), (1, 2), (3, 1), (3, 2), (1, 3), (4, 1), (1, None), (1, 9)], "source long, target long")
+    assert values(merges.layer_boundaries(nodes, links)) == [(1, 2, "direct_storage_call"), (3, 1, "reverse_flow")]
+    assert merges.layer_boundaries(nodes, links.limit(0)).count() == 0
