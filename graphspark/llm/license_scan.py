@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of the licence templates. A text is streamed through it word by word, which gives the matching
 statistics: at each word the longest run of template words that ends there. Long matches are chained, in the order of text and of
-template and with small gaps, into spans; a span that covers ``COVERAGE`` of a template gives its label. A phrase of the base list
-ends at a word exactly where the state, or a state that its suffix links lead to, is the phrase's.
+template and with small gaps; of all chains of a template those that cover most become spans, as far as they don't overlap, and a span
+that covers ``COVERAGE`` of a template gives its label. A phrase of the base list ends at a word exactly where the state, or a state
+that its suffix links lead to, is the phrase's.
 
 Words: A-Z lower-cased, then runs of ASCII letters and digits and of all characters beyond ASCII.
 
@@ -13,6 +14,7 @@ matches are counted at each place; repeated rows are rows of their own; an empty
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,31 +151,32 @@ class Scanner:
         return len(words), places, self.chain(matches)
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Matches in text order extend the open span of their template, or close it and begin another."""
-        spans, opened = [], {}
-
-        def close(t: int) -> None:
-            first, after, _, covered = opened.pop(t)
-            if covered >= COVERAGE * self.sizes[t]:
-                spans.append((TEMPLATES[t - len(BASE)][0], first, after, covered / self.sizes[t]))
-
+        """The best chain that ends with each match, in text order; spans are those that cover most and overlap no other of their template."""
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # of each template: words covered, first word, word after the last, end
+        whole: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in matches:
             for t, end in self.automaton.ends[state]:
                 if t < len(BASE):
                     continue
-                if t in opened:
-                    first, after, at, covered = opened[t]
-                    fresh = min(size, start + size - after, end - at)  # words that the span hasn't covered
-                    if start <= after + GAP and fresh > 0:
-                        opened[t] = (first, start + size, end, covered + fresh)
-                        continue
-                    if start < after and covered >= size:
-                        continue  # another place of words that the span has
-                    close(t)
-                opened[t] = (start, start + size, end, size)
-        for t in list(opened):
-            close(t)
-        return spans
+                near = [c for c in chains.get(t, ()) if start <= c[2] + GAP]  # matches come by start: others are too far from all later ones
+                best = (size, start)
+                for covered, first, after, at in near:
+                    fresh = min(size, start + size - after, end - at)  # words that the chain hasn't covered
+                    if fresh > 0:
+                        best = max(best, (covered + fresh, first))
+                near.append((*best, start + size, end))
+                chains[t] = near
+                if best[0] >= COVERAGE * self.sizes[t]:
+                    whole.setdefault(t, []).append((*best, start + size))
+        spans = []
+        for t, found in whole.items():
+            taken: list[tuple[int, int]] = []
+            for covered, first, after in sorted(found, key=lambda c: (-c[0], c[2] - c[1], c[1])):
+                k = bisect(taken, (first, after))
+                if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= after):
+                    insort(taken, (first, after))
+                    spans.append((TEMPLATES[t - len(BASE)][0], first, after, covered / self.sizes[t]))
+        return sorted(spans, key=lambda x: x[1:3])
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
