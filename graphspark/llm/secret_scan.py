@@ -1,13 +1,15 @@
 """Secret scans with a random forest that removes false positives (operator 1), with DataFrame functions and Spark ML alone.
 
-Candidates are words that hold a run of ``RUN`` or more letters, digits and key characters with a digit in it. Their features are
-length, transitions between character classes, shares of classes, repeated characters, coverage by a dictionary, path features of the
+Candidates are all runs of ``RUN`` or more letters, digits and key characters with a digit in it, and all values of ``VALUE`` or more
+characters right behind a key word (in the same word or the next two). A word may hold several: each has for context its own field,
+back to a comma, semicolon, ampersand or the candidate before, and the words beside it where it is the first or last. Features are length, transitions between character classes, shares of classes, repeated characters, coverage by a dictionary, path features of the
 word and of the document's path, and the words beside it. A random forest fitted on labelled findings gives each a score; findings
 under ``LEAST`` are dropped as false positives.
 
 Labelled findings are a table (the features and ``label``). The query has none, so ``weak_labels`` makes them from fixed formats of keys,
 numbers, addresses and links on a sample drawn by hash, ``TRAIN_ROWS`` findings at most in expectation (a documented bound); every
-candidate of every text is scored. Known formats are no features of the forest.
+candidate of every text is scored. Known formats are no features of the forest. A value without digits that a key word but no sign
+of assignment introduces is ordinary prose, and labelled so.
 
 Edge cases: null and empty texts have no candidate; a candidate is found once for each place; repeated rows are rows of their own; where
 labels hold one class alone, that class is the prediction; an empty table gives an empty result; other columns are ignored.
@@ -20,12 +22,17 @@ from pyspark.sql import functions as F
 
 from .common import cut, fraction_of
 
-RUN, TRAIN_ROWS, LEAST, TREES, DEPTH, SEED = 12, 20_000, 0.5, 24, 6, 7
+RUN, VALUE, TRAIN_ROWS, LEAST, TREES, DEPTH, SEED = 12, 8, 20_000, 0.5, 24, 6, 7
 _CANDIDATE = rf"(?=[A-Za-z0-9+/_=.@:\-]*[0-9])[A-Za-z0-9+/_=.@:\-]{{{RUN},}}"
 #: Word beginnings for dictionary coverage.
 DICTIONARY = "the and ing ion ent for with that this from have not you are was were will would there their what about which when make like time just know take people into year your good some could them see other than then now look only come over think also back after use two how our work first well way even new want because any these give day most www http https com org net html page index test example sample user name mail file data code number value".split()
 #: Words beside a value that speak of secrets.
 KEY_WORDS = "password passwd pwd secret token apikey api_key api-key access_key private_key credential credentials auth bearer key".split()
+_BETWEEN = r"[\x20-%'-+\--/:<-@\[-^`{-~]"  # ASCII signs and the space, without what parts fields
+_KEYED = rf"(?i:{'|'.join(KEY_WORDS)}){_BETWEEN}{{1,5}}"
+_VALUE = rf"(?![=:>])[^\x00-\x20\x7F\"'`,;&<>(){{}}\[\]\\]{{{VALUE},}}"
+#: A candidate within the last of the words that are joined by spaces.
+_FINDING = rf"(?:{_CANDIDATE}+|(?<={_KEYED}){_VALUE}+)(?=[^ ]*$)"
 #: Formats for weak labels. The first that fits decides.
 FORMATS = [
     (0, r"@[A-Za-z0-9\-]+\.[A-Za-z]"), (0, r"^\W*(https?:|www\.)"), (0, r"^\W*[0-9]{1,3}(\.[0-9]{1,3}){3}\W*$"), (0, r"^[\W0-9]*$"),
@@ -38,12 +45,22 @@ NUMERIC = ["length", "transitions", "digits", "uppers", "lowers", "others", "hex
 def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
     """doc_id, word_index, finding, word, the words beside it, and path; one row a place."""
     place = F.col(path).cast("string") if path and path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", place.alias("path"), "text").where(F.col("text").rlike(_CANDIDATE))
-    words = rows.select("doc_id", "path", F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ").alias("words"))
-    at = F.expr(f"filter(sequence(0, size(words) - 1), i -> length(words[i]) >= {RUN} AND rlike(words[i], r'{_CANDIDATE}'))")
-    near = lambda shift: F.expr(f"coalesce(get(words, i + {shift}), '')")
+    rows = docs.select("doc_id", place.alias("path"), "text", F.col("text").rlike(rf"(?i:{'|'.join(KEY_WORDS)})[\x09-\x2F:-@\[-^`{{-~]").alias("keyed")).where(F.col("keyed") | F.col("text").rlike(_CANDIDATE))
+    words = rows.select("doc_id", "path", "keyed", F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ").alias("words"))
+    word = lambda i: F.get("words", i)
+    joined = lambda i: F.concat_ws(" ", word(i - 2), word(i - 1), word(i))
+    at = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (F.length(word(i)) >= VALUE) & (((F.length(word(i)) >= RUN) & word(i).rlike(_CANDIDATE)) | (F.col("keyed") & joined(i).rlike(_FINDING))))
     each = words.select("doc_id", "path", "words", F.explode(at).alias("i"))
-    return each.select("doc_id", F.col("i").cast("long").alias("word_index"), "path", F.expr("words[i]").alias("word"), near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), F.regexp_extract(F.expr("words[i]"), f"({_CANDIDATE})", 1).alias("finding"))
+    # Each finding is put between two signs that are taken out of the words, where they are in no candidate.
+    marked = F.regexp_replace(F.translate(joined(F.col("i")), "\1\2", "\3\3"), _FINDING, "\1$0\2")
+    near = lambda shift: F.coalesce(word(F.col("i") + shift), F.lit(""))
+    parts = each.select("doc_id", F.col("i").cast("long").alias("word_index"), "path", near(-2).alias("before2"), near(-1).alias("before"), near(1).alias("after"), F.split(marked, "\1").alias("parts"))
+    found = parts.select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
+    finding, lead = F.substring_index(F.get("parts", F.col("k")), "\2", 1), F.substring_index(F.get("parts", F.col("k") - 1), "\2", -1)
+    found = found.withColumns({"finding": finding, "lead": F.regexp_extract(lead, "[^ ]*$", 0)})
+    first, last = (F.col("k") == 1) & ~F.col("lead").rlike("[,;&]"), F.col("k") == F.size("parts") - 1
+    beside = lambda name, near_it: F.when(near_it, F.col(name)).otherwise("").alias(name)
+    return found.select("doc_id", "word_index", "path", F.concat(F.regexp_extract("lead", "[^,;&]*$", 0), "finding").alias("word"), beside("before2", first), beside("before", first), beside("after", last), "finding")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -70,7 +87,8 @@ def weak_labels(found: DataFrame) -> Column:
     label = F.lit(None).cast("double")
     for value, pattern in reversed(FORMATS):
         label = F.when((F.col("word") if value == 0 else context).rlike(pattern), F.lit(float(value))).otherwise(label)
-    return label
+    prose = ~F.col("finding").rlike("[0-9]") & ~F.expr("left(word, length(word) - length(finding))").rlike("[=:>]") & ~(F.col("before").rlike("[=:>]$") & (F.length("word") - F.length("finding") <= 2))
+    return F.when(prose, 0.0).otherwise(label)
 
 
 def train(labelled: DataFrame, most: int = TRAIN_ROWS):

@@ -1,8 +1,9 @@
 """Cases where an operator once did less than its whole job."""
 
+import hashlib
 import random
 
-from graphspark.llm import license_scan
+from graphspark.llm import license_scan, secret_scan
 
 
 def _most_covered(words, templates):
@@ -46,3 +47,28 @@ def test_license_chains_equal_brute_force():
         want = max(n / len(t) for n, t in zip(_most_covered(words, lists), lists))
         got = max((x[3] for x in scanner.scan(b" ".join(words).decode())[2]), default=0)
         assert got == (want if want >= license_scan.COVERAGE else 0)
+
+
+def test_every_candidate_of_a_word(spark):
+    key = "ghp_" + "a1B2" * 9
+    texts = [
+        (f'{{"user":"svc-account-01","token":"{key}"}}', [(0, "svc-account-01"), (0, key)]),
+        ("a=1234567890ab;b=1234567890cd;b=1234567890cd", [(0, "a=1234567890ab"), (0, "b=1234567890cd"), (0, "b=1234567890cd")]),
+        ("x https://h.example/p?id=12345678901&token=abcdef123456 y", [(1, "id=12345678901"), (1, "token=abcdef123456")]),
+        ("password=hunterxy", [(0, "hunterxy")]), ("the password: Sh0rt!ab and", [(2, "Sh0rt!ab")]), ('PWD = "correct-horse"', [(2, "correct-horse")]), ('"abcdefgh","password":"abcdefgh"', [(0, "abcdefgh")]),
+        ("the \1\2 1234567890ab\1\2", [(2, "1234567890ab")]), ("password=short", []), ("secretariat authoritative keyboards", []), (None, []), ("", []),
+    ]
+    rows = secret_scan.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.doc_id, []).append((r.word_index, r.finding_sha256))
+    for i, (text, want) in enumerate(texts):
+        assert sorted(got.get(i, [])) == sorted((w, hashlib.sha256(f.encode()).hexdigest()) for w, f in want), text
+
+
+def test_labels_of_fields(spark):
+    key = "ghp_" + "a1B2" * 9
+    rows = [(1, f'{{"user":"svc-account-01","token":"{key}"}}'), (2, '{"token":"short","user":"svc-account-01"}'), (3, "the secret ingredient"), (4, "password=hunterxy"), (5, 'PWD = "correct-horse"')]
+    found = secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r.doc_id, r.finding): r.label for r in found.withColumn("label", secret_scan.weak_labels(found)).collect()}
+    assert got == {(1, "svc-account-01"): None, (1, key): 1.0, (2, "svc-account-01"): None, (3, "ingredient"): 0.0, (4, "hunterxy"): 1.0, (5, "correct-horse"): 1.0}
