@@ -1,7 +1,7 @@
 """Exact de-duplication against a history, through a minimal perfect hash (operator 4).
 
 The history's distinct digests (SHA-256 of the text with A-Z lower-cased) are dealt into buckets by their first bytes, about
-``BUCKET`` a bucket. Each bucket gets a minimal perfect hash of its own: levels of bit arrays, where a digest's bit stays set if no
+``BUCKET`` a bucket, or of the arrivals' where these are more. Each bucket gets a minimal perfect hash of its own: levels of bit arrays, where a digest's bit stays set if no
 other digest of the level falls on it, and the others go on to the next level; a digest's slot is the rank of its bit. A slot holds
 the full digest, the winner's locator (largest doc_id) and the number of copies. Arrivals are summed by digest with map-side
 sums, meet the bucket's table, and are members only where all 32 bytes of the slot's digest are theirs: members' copies join
@@ -159,9 +159,9 @@ def look_up(index: DataFrame, arrivals: DataFrame, buckets: int) -> DataFrame:
 
 def joint_groups(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     """From rows (doc_id, digest) of both: the groups of equal texts."""
-    past = cut(groups_of(history))
-    buckets = max(1, math.ceil(past.count() / BUCKET))
-    return look_up(build_index(past, buckets), groups_of(arrivals), buckets)
+    past, new = cut(groups_of(history)), cut(groups_of(arrivals))
+    buckets = max(1, math.ceil(max(past.count(), new.count()) / BUCKET))
+    return look_up(build_index(past, buckets), new, buckets)
 
 
 def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -3,7 +3,7 @@
 import hashlib
 import random
 
-from graphspark.llm import license_scan, secret_scan
+from graphspark.llm import exact_dedup, license_scan, secret_scan
 
 
 def _most_covered(words, templates):
@@ -72,3 +72,15 @@ def test_labels_of_fields(spark):
     found = secret_scan.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
     got = {(r.doc_id, r.finding): r.label for r in found.withColumn("label", secret_scan.weak_labels(found)).collect()}
     assert got == {(1, "svc-account-01"): None, (1, key): 1.0, (2, "svc-account-01"): None, (3, "ingredient"): 0.0, (4, "hunterxy"): 1.0, (5, "correct-horse"): 1.0}
+
+
+def test_buckets_follow_the_arrivals(spark, monkeypatch):
+    """One low id leaves a history of one row; the arrivals are dealt out all the same."""
+    asked = []
+    look_up = exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "BUCKET", 50)
+    monkeypatch.setattr(exact_dedup, "look_up", lambda index, arrivals, buckets: asked.append(buckets) or look_up(index, arrivals, buckets))
+    for ids in ([-(10**9)] + list(range(10**9, 10**9 + 400)), [None] * 401):
+        rows = exact_dedup.deduplicate_one(spark.createDataFrame([(i, f"text {n % 300}") for n, i in enumerate(ids)], "doc_id long, text string")).collect()
+        assert asked.pop() == 6 and len(rows) == 401 and sum(r.kept for r in rows) == 300
+        assert sorted(r.group_size for r in rows) == [1] * 199 + [2] * 202
