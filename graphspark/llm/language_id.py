@@ -5,18 +5,26 @@ that every text has a segmentation). A language gives each piece a probability.
 it into pieces, by the forward algorithm; a text's is the product over its words. Probabilities are fitted by expectation
 maximisation (forward and backward over the same lattices).
 
+Sums run over many words at once, with each piece's probability multiplied by ``PER_BYTE`` for each of its bytes, which cancels in
+the end and keeps usual words near 1. Words of over ``WORD_BYTES`` bytes, and words whose sums come near the ends of a double's range,
+take the same sums in logs (fitting) or with rescaled places (scoring): no word is left out for its length or its rarity.
+
 Learning: labelled rows are drawn by a hash of the id, about ``per_language`` a language (a documented bound: ``TRAIN_ROWS`` = 2,000
-by default; whole texts). Their word counts are summed by Spark and each language is fitted in a task of its own. The model has
-pieces x languages numbers and is sent to the tasks that score; every text is scored whole. Words are lower-cased runs of letters
-(ASCII punctuation, digits and white space divide them) and are scored once for each worker, in bounded caches.
+by default; whole texts, words of any length). Their word counts are summed by Spark and each language is fitted in a task of its own.
+The model has pieces x languages numbers (``MAX_LANGUAGES`` languages at most, checked) and is sent to the tasks that score; every text
+is scored whole. Words are lower-cased runs of letters (ASCII punctuation, digits and white space divide them) and are scored once for
+each worker, in bounded caches.
 
 Edge cases: null texts and texts without letters get ``und`` and score 0; so does every text where nothing was labelled; null
-languages are not learned; ties go to the first language by name; repeated rows are rows of their own; extra columns are ignored
-by ``predict`` and kept by ``keep_identified``.
+languages are not learned; ties go to the first language by name; a text without any white space is one word, summed as any other;
+repeated rows are rows of their own; an empty table gives an empty result; extra columns are ignored by ``predict`` and kept by
+``keep_identified``, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, fraction_of, keep, small_batches
+from .common import crc_mod, cut, fraction_of, keep, small_batches
 
-TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, CACHE_WORDS, CACHE_BYTES = 2_000, 4, 0.1, 40, 120_000, 4 << 20
+TRAIN_ROWS, ROUNDS, SMOOTHING, WORD_BYTES, PER_BYTE, CACHE_WORDS, CACHE_BYTES, MAX_LANGUAGES = 2_000, 4, 0.1, 160, 8.0, 120_000, 4 << 20, 500
+#: Sums outside this range are taken anew by the slower way.
+_LEAST, _MOST = 1e-250, 1e250
 #: Words whose lattices are held at once while a language is fitted.
 FIT_WORDS = 4_000
 #: Bytes that divide words become spaces.
@@ -65,6 +75,7 @@ class Lattice:
             self.automaton.add_word(piece.decode("latin-1"), i << 8 | len(piece))
         self.automaton.make_automaton()
         self.pieces, self.reach = len(pieces), max(map(len, pieces))
+        self.lift = PER_BYTE ** np.array([len(p) for p in pieces], float)[:, None]
 
     def arcs(self, words: list[bytes]):
         """Arcs of all words, in the order of their ends: start, end (places in one row of all words' places), piece, and end within the word."""
@@ -78,10 +89,10 @@ class Lattice:
         local = end - base[np.searchsorted(base, end, "right") - 1]
         return base, sizes, start, end, piece, local
 
-    def forward(self, words: list[bytes], probability: np.ndarray, keep: bool = False):
-        """Natural logs of the words' likelihoods, one column a language; words of up to ``WORD_BYTES`` bytes."""
+    def forward(self, words: list[bytes], lifted: np.ndarray):
+        """From lifted probabilities: the words' lifted likelihoods, one column a language, and what led to them."""
         base, sizes, start, end, piece, local = arcs = self.arcs(words)
-        alpha = np.zeros((base[-1], probability.shape[1]))
+        alpha = np.zeros((base[-1], lifted.shape[1]))
         alpha[base[:-1]] = 1
         order = np.lexsort((end, local))
         start, end, piece, local = start[order], end[order], piece[order], local[order]
@@ -89,19 +100,24 @@ class Lattice:
         for i, j in zip(edges, edges[1:]):
             if i < j:
                 first = np.flatnonzero(np.diff(end[i:j], prepend=-1))
-                alpha[end[i:j][first]] = np.add.reduceat(alpha[start[i:j]] * probability[piece[i:j]], first, axis=0)
-        out = np.log(alpha[base[:-1] + sizes])
-        return (out, alpha, arcs) if keep else out
+                alpha[end[i:j][first]] = np.add.reduceat(alpha[start[i:j]] * lifted[piece[i:j]], first, axis=0)
+        return alpha[base[:-1] + sizes], alpha, arcs
 
     def log_likelihood(self, words: list[bytes], probability: np.ndarray) -> np.ndarray:
-        out = np.empty((len(words), probability.shape[1]))
-        short = [i for i, w in enumerate(words) if len(w) <= WORD_BYTES]
+        """Natural logs of the words' likelihoods, one column a language."""
+        out, lifted = np.empty((len(words), probability.shape[1])), probability * self.lift
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        short = [i for i in order if len(words[i]) <= WORD_BYTES]
+        slow = order[len(short) :]
         for k in range(0, len(short), 4_000):
             part = short[k : k + 4_000]
-            out[part] = self.forward([words[i] for i in part], probability)
-        for i, w in enumerate(words):
-            if len(w) > WORD_BYTES:
-                out[i] = self.scaled(w, probability)
+            whole = self.forward([words[i] for i in part], lifted)[0]
+            fine = ((whole > _LEAST) & (whole < _MOST)).all(1)
+            slow.extend(i for i, ok in zip(part, fine) if not ok)
+            with np.errstate(divide="ignore"):
+                out[part] = np.log(whole) - math.log(PER_BYTE) * np.array([[len(words[i]) + 1] for i in part])
+        for i in slow:
+            out[i] = self.scaled(words[i], probability)
         return out
 
     def scaled(self, word: bytes, probability: np.ndarray) -> np.ndarray:
@@ -112,22 +128,46 @@ class Lattice:
         for end, value in self.automaton.iter(text):
             piece, size = value >> 8, value & 0xFF
             if size == 1 and end and alpha[end].min() < 1e-100:  # the place before is complete; the byte's own piece comes last
-                near = slice(max(0, end - self.reach), end + 1)
+                near = slice(max(0, end - self.reach), end + 2)  # with what longer pieces have given the next place already
                 top = alpha[end].copy()
                 alpha[near] /= top
                 scale += np.log(top)
             alpha[end + 1] += alpha[end + 1 - size] * probability[piece]
         return scale + np.log(alpha[-1])
 
+    def expected(self, word: bytes, log_p: list[float], times: float, total: np.ndarray) -> None:
+        """Adds to ``total`` how often each piece is expected in ``times`` copies of a word, by forward and backward sums in logs."""
+        text = (b" " + word).decode("latin-1")
+        arcs = array("q", (end << 32 | value for end, value in self.automaton.iter(text)))
+        alpha, beta = array("d", [-math.inf]) * (len(text) + 1), array("d", [-math.inf]) * (len(text) + 1)
+        alpha[0] = beta[len(text)] = 0.0
+        for arc in arcs:  # by their ends
+            end = (arc >> 32) + 1
+            new, held = alpha[end - (arc & 0xFF)] + log_p[arc >> 8 & 0xFFFFFF], alpha[end]
+            low, high = (new, held) if new < held else (held, new)
+            if high > -math.inf:
+                alpha[end] = high + math.log1p(math.exp(low - high))
+        whole = alpha[len(text)]
+        for arc in reversed(arcs):  # all arcs that begin at a place end after it, so its sum is complete before it is used
+            end, piece = (arc >> 32) + 1, arc >> 8 & 0xFFFFFF
+            start, after = end - (arc & 0xFF), beta[end] + log_p[piece]
+            total[piece] += times * math.exp(alpha[start] + after - whole)
+            low, high = (after, beta[start]) if after < beta[start] else (beta[start], after)
+            if high > -math.inf:
+                beta[start] = high + math.log1p(math.exp(low - high))
+
     def fit(self, words: list[bytes], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-        """Piece probabilities of one language from its words and their counts."""
-        kept = [i for i, w in enumerate(words) if len(w) <= WORD_BYTES]
-        words, counts = [words[i] for i in kept], np.asarray(counts, float)[kept]
+        """Piece probabilities of one language from its words, of any length, and their counts."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        words, counts = [words[i] for i in order], np.asarray(counts, float)[order]
+        n_short = sum(len(w) <= WORD_BYTES for w in words)
         p = np.full((self.pieces, 1), 1 / self.pieces)
         for _ in range(rounds):
-            total = np.zeros(self.pieces)
-            for k in range(0, len(words), FIT_WORDS):
-                _, alpha, (base, sizes, start, end, piece, local) = self.forward(words[k : k + FIT_WORDS], p, keep=True)
+            total, lifted, log_p, slow = np.zeros(self.pieces), p * self.lift, np.log(p[:, 0]).tolist(), list(range(n_short, len(words)))
+            for k in range(0, n_short, FIT_WORDS):
+                whole, alpha, (base, sizes, start, end, piece, local) = self.forward(words[k : min(k + FIT_WORDS, n_short)], lifted)
+                fine = (whole[:, 0] > _LEAST) & (whole[:, 0] < _MOST)
+                slow.extend(k + i for i in np.flatnonzero(~fine))
                 owner = np.searchsorted(base, end, "right") - 1
                 left = sizes[owner] - (start - base[owner])  # bytes from an arc's start to the word's end
                 order = np.lexsort((start, left))
@@ -138,10 +178,12 @@ class Lattice:
                 for i, j in zip(edges, edges[1:]):
                     if i < j:
                         first = np.flatnonzero(np.diff(s[i:j], prepend=-1))
-                        beta[s[i:j][first]] = np.add.reduceat(beta[e[i:j]] * p[q[i:j], 0], first)
-                whole = alpha[base[:-1] + sizes, 0]
-                weight = counts[k : k + FIT_WORDS][owner] / whole[owner]
-                total += np.bincount(piece, weights=alpha[start, 0] * p[piece, 0] * beta[end] * weight, minlength=self.pieces)
+                        beta[s[i:j][first]] = np.add.reduceat(beta[e[i:j]] * lifted[q[i:j], 0], first)
+                weight = np.where(fine, counts[k : k + len(sizes)] / np.where(fine, whole[:, 0], 1.0), 0.0)[owner]
+                held = fine[owner]
+                total += np.bincount(piece[held], weights=(alpha[start, 0] * lifted[piece, 0] * beta[end] * weight)[held], minlength=self.pieces)
+            for i in slow:
+                self.expected(words[i], log_p, counts[i], total)
             p = ((total + SMOOTHING) / (total.sum() + SMOOTHING * self.pieces))[:, None]
         return p[:, 0]
 
@@ -150,7 +192,9 @@ def train(labelled: DataFrame, pieces: list[bytes], per_language: int = TRAIN_RO
     """Fit on a bounded sample of rows (doc_id, text, lang): the languages by name and a matrix, pieces x languages."""
     spark = labelled.sparkSession
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count()
+    sizes = cut(rows.groupBy("lang").count())
+    if (languages := sizes.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{languages} languages are labelled; the model holds {MAX_LANGUAGES} at most")
     drawn = rows.join(F.broadcast(sizes), "lang").where(fraction_of(F.col("doc_id")) * F.col("count") < per_language)  # one row a language
     shared = spark.sparkContext.broadcast(pieces)
 

@@ -217,7 +217,7 @@ def test_forward_sums_all_segmentations():
 
     for word in (b"abcabcb", b"a", b"xyz"):
         want = [math.log(brute(b" " + word, k)) for k in (0, 1)]
-        assert lattice.forward([word], p)[0] == pytest.approx(want) and lattice.scaled(word, p) == pytest.approx(want)
+        assert lattice.log_likelihood([word], p)[0] == pytest.approx(want) and lattice.scaled(word, p) == pytest.approx(want)
 
 
 def test_language_held_out_accuracy(spark, docs):
