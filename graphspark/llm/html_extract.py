@@ -1,17 +1,22 @@
 """Main text of web pages by line-block distribution (operator 3).
 
-Markup is stripped so that each block element is a line of its own. Lines that belong to no article (menus, page headers, footers,
-side bars, notices, adverts, forms, comments) have length 0, and so have lines that are mostly links. Where the page marks its
-article or main part, lines outside it have length 0 as well. Lengths are summed over windows of ``WINDOW`` lines; text starts at a
-surge point, where the sum rises from 0 (over ``SURGE`` characters where no article is marked), and ends at the dive point, where it
-falls to 0. Kept is what stands between, without the lines of length 0. Where no article is marked the run with the most text is the
-main one, and runs of at least a third of it are kept too.
+Markup is stripped so that each block element is a line of its own, and each edge of a container (``div``, ``section``, lists, tables …)
+outside a marked article leaves an empty line. A line's length is the text it has outside links; the markup is an input to it:
+
+* lines of menus, page headers, footers, side bars, notices, adverts, forms and comments, by their elements or names, have length 0;
+* where the page marks an article or main part with as much text as any other place has, lines in it count ``SURGE`` characters at
+  least, and lines outside it 0;
+* text that stands in no paragraph, heading or other element of prose counts ``BARE`` of its length.
+
+Lengths are summed over windows of ``WINDOW`` lines. A stretch begins where the sum rises from 0 and ends at its dive point, where it
+falls to 0 again; it is text if it surges, that is if the sum reaches ``SURGE`` somewhere in it. Kept is what stands between its first
+and its last line of text, without lines off the article. If no stretch surges, the one with the most text is kept.
 
 Inside a block white space becomes one space; character references are decoded as HTML5 has it; blocks are joined by two line feeds.
 
 Edge cases: null and empty pages give an empty text; cut-off tags, comments and elements run to the end of the page; unclosed
-elements end with the element around them; repeated rows are rows of their own; an empty table gives an empty result; other columns
-are ignored.
+elements end with the element around them; pages of any length are read once, from front to back; ties between stretches go to the
+first; repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from __future__ import annotations
 import html as references
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-WINDOW, SURGE, LINKS = 3, 80, 0.6
+WINDOW, SURGE, BARE = 2, 80, 0.5
 #: Elements that are never text; elements that begin and end a line; elements without an end tag; elements off the article.
 NO_TEXT = "script style template noscript textarea select option svg math iframe object canvas audio video title head".split()
 BLOCKS = "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -34,22 +41,52 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 OFF = "nav header footer aside form button menu dialog fieldset".split()
 #: Words of class, id or role that name such parts.
 OFF_WORDS = "ad ads adv advert advertisement advertising adbox banner sponsor sponsored promo promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead cookie cookies consent notice gdpr popup modal overlay newsletter subscribe signup social share sharing related recommended comment comments reply replies disqus widget toolbar pagination pager contentinfo complementary search login".split()
-_NO_TEXT, _BLOCKS, _VOID, _OFF, _OFF_WORDS = map(frozenset, (NO_TEXT, BLOCKS, VOID, OFF, OFF_WORDS))
+#: Of these, words that also name the layout around an article; first and last words of names that don't name a part.
+LAYOUT_WORDS = "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer header masthead social toolbar search login".split()
+NOT_FIRST, NOT_LAST = "has with without no not layout page site".split(), "page layout body site template".split()
+#: Elements of prose; elements that inside others leave an empty line at their edges.
+PROSE = "p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt figcaption caption td th summary".split()
+CONTAINERS = "article aside center details dialog dir div dl fieldset figure footer form header hgroup hr main menu nav ol section table ul".split()
+_NO_TEXT, _BLOCKS, _VOID, _OFF, _OFF_WORDS, _LAYOUT, _NOT_FIRST, _NOT_LAST, _PROSE, _CONTAINERS = map(frozenset, (NO_TEXT, BLOCKS, VOID, OFF, OFF_WORDS, LAYOUT_WORDS, NOT_FIRST, NOT_LAST, PROSE, CONTAINERS))
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
-    """(text, characters in links, off the article, in a marked article) of each line; whether an article is marked."""
-    lines, buffer, linked, stack, at, marked = [], [], 0, [], 0, False
-    off = inside = anchors = 0
+@dataclass
+class Line:
+    text: str
+    linked: int  # characters in links
+    off: bool  # by the markup around it
+    inside: bool  # of a marked article
+    prose: bool
+    edges: int  # of containers, since the line before
+
+
+def off_words(names: str) -> set[str]:
+    """The words of class, id and role values that name a part off the article; ``has-sidebar`` or ``search-page`` name none."""
+    found = set()
+    for name in names.split():
+        words = _WORDS.findall(name)
+        if words and (name in _OFF_WORDS or words[0] not in _NOT_FIRST and words[-1] not in _NOT_LAST):
+            found |= _OFF_WORDS.intersection(words)
+    return found
+
+
+def lines_of(page: str) -> list[Line]:
+    lines: list[Line] = []
+    buffer: list[str] = []
+    stack: list[tuple] = []  # of open elements: name, and what held around them
+    linked = edges = at = 0
+    # Depths: elements off the article; off by a name; off by a name of the layout; marked articles; links; prose.
+    off = named_off = layout_off = inside = anchors = prose = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, edges
         text = " ".join("".join(buffer).split())
         if text:
-            lines.append((text, linked, off > 0, inside > 0))
+            lines.append(Line(text, linked, off + named_off + layout_off > 0, inside > 0, prose > 0, edges))
+            edges = 0
         buffer.clear()
         linked = 0
 
@@ -62,9 +99,8 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
                 linked += len(text.strip())
 
     def leave() -> None:
-        nonlocal off, inside, anchors
-        _, is_off, is_article, is_anchor = stack.pop()
-        off, inside, anchors = off - is_off, inside - is_article, anchors - is_anchor
+        nonlocal off, named_off, layout_off, inside, anchors, prose
+        off, named_off, layout_off, inside, anchors, prose = stack.pop()[1:]
 
     size = len(page)
     while at < size:
@@ -82,6 +118,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         if name in _BLOCKS:
             flush()
+            edges += name in _CONTAINERS and not inside
         if tag[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -93,7 +130,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         if name in _NO_TEXT:
             if not tag[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = _end_of(name).search(page, at)
                 at = end.end() if end else (at if name == "head" else size)
             buffer.append(" ")
             continue
@@ -101,39 +138,64 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             continue
         if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
             leave()
-        named = " ".join(a or b or c for a, b, c in _NAMES.findall(tag[3])).lower() if tag[3] else ""
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(tag[3])).lower() if tag[3] else ""
         is_article = name in ("article", "main")
-        is_off = name in _OFF or bool(named) and not is_article and name not in ("body", "html") and not _OFF_WORDS.isdisjoint(_WORDS.findall(named)) or "hidden" in tag[3].lower().split() or 'aria-hidden="true"' in tag[3]
-        comment = is_article and not {"comment", "comments", "reply"}.isdisjoint(_WORDS.findall(named))
-        is_off = is_off or comment
-        is_article = is_article and not comment
-        marked = marked or is_article
-        stack.append((name, int(is_off), int(is_article), int(name == "a")))
-        off, inside, anchors = off + is_off, inside + is_article, anchors + (name == "a")
+        words = off_words(names) if names and name not in ("body", "html") else set()
+        comment = is_article and not {"comment", "comments", "reply"}.isdisjoint(words)
+        is_off = name in _OFF or comment or "hidden" in tag[3].lower().split() or 'aria-hidden="true"' in tag[3]
+        stack.append((name, off, named_off, layout_off, inside, anchors, prose))
+        if is_article and not comment:  # an article is one whatever the layout around it is called, and so is a main part whatever the names
+            layout_off, inside = 0, inside + 1
+            named_off = 0 if name == "main" else named_off
+        elif words:
+            named_off, layout_off = named_off + bool(words - _LAYOUT), layout_off + (words <= _LAYOUT)
+        off, anchors, prose = off + is_off, anchors + (name == "a"), prose + (name in _PROSE)
     flush()
-    return lines, marked
+    return lines
+
+
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I)
+
+
+def lengths(lines: list[Line]) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Lengths of all lines in page order, with the empty ones between them; where the lines of text stand in that row; whether a marked article decides."""
+    plain = [0 if x.off else len(x.text) - min(x.linked, len(x.text)) for x in lines]
+    places = np.cumsum([min(x.edges, WINDOW) + 1 for x in lines]) - 1
+    row = np.zeros(places[-1] + 1)
+    row[places] = [n * (1 if x.prose else BARE) for n, x in zip(plain, lines)]
+    outside = row.copy()
+    outside[places[[x.inside for x in lines]]] = 0
+    marked = any(x.inside and not x.off for x in lines) and sum(n for n, x in zip(plain, lines) if x.inside) >= max((outside[a:b].sum() for a, b in stretches(outside)), default=0)
+    if marked:
+        row[:] = 0
+        row[places] = [max(SURGE, n) if x.inside and not x.off else 0 for n, x in zip(plain, lines)]
+    return row, places, marked
+
+
+def windows(row: np.ndarray) -> np.ndarray:
+    """sums[i]: of the window that ends at line i; the last windows go beyond the end."""
+    return np.convolve(row, np.ones(WINDOW))
+
+
+def stretches(row: np.ndarray) -> list[tuple[int, int]]:
+    """(first line, line after the last) of all places where the windows' sum is above 0."""
+    above = np.flatnonzero(np.diff(np.concatenate([[0], windows(row) > 0, [0]]).astype(np.int8)))
+    return [(int(a), min(int(b) - WINDOW + 1, len(row))) for a, b in zip(above[::2], above[1::2])]
 
 
 def main_text(page: str | None) -> str:
-    lines, marked = lines_of(page or "")
+    lines = lines_of(page or "")
     if not lines:
         return ""
-    length = np.array([0 if off or (marked and not inside) or (not marked and linked > LINKS * len(text)) else len(text) for text, linked, off, inside in lines])
-    sums = np.convolve(length, np.ones(WINDOW, int))  # sums[i]: the window that ends at line i
-    runs, start = [], None
-    for i, total in enumerate(sums):
-        if start is None and total > 0 and i < len(length) and length[i] > 0:
-            start = i  # surge
-        elif start is not None and total == 0:
-            runs.append((start, i))  # dive
-            start = None
-    if start is not None:
-        runs.append((start, len(length)))
-    weight = [int(length[a:b].sum()) for a, b in runs]
-    if not marked and runs:
-        most = max(weight)
-        runs = [r for r, w in zip(runs, weight) if w == most or w >= SURGE and 3 * w >= most]
-    return "\n\n".join(lines[i][0] for a, b in runs for i in range(a, min(b, len(lines))) if length[i] > 0)
+    row, places, marked = lengths(lines)
+    sums, found = windows(row), stretches(row)
+    kept = [(a, b) for a, b in found if sums[a : b + WINDOW - 1].max() >= SURGE]
+    if not kept and found:
+        kept = [max(found, key=lambda r: (row[r[0] : r[1]].sum(), -r[0]))]
+    which = np.searchsorted([a for a, _ in kept], places, "right") - 1
+    return "\n\n".join(x.text for x, p, k in zip(lines, places, which) if k >= 0 and p < kept[k][1] and not x.off and (x.inside or not marked))
 
 
 def extract(pages: DataFrame) -> DataFrame:
