@@ -1,21 +1,27 @@
 """Licence scans with a generalised suffix automaton (operator 8).
 
-The automaton holds every run of words of the licence templates. A text is streamed through it word by word, which gives the matching
-statistics: at each word the longest run of template words that ends there. Long matches are chained, in the order of text and of
-template and with small gaps; of all chains of a template those that cover most become spans, as far as they don't overlap, and a span
-that covers ``COVERAGE`` of a template gives its label. A phrase of the base list ends at a word exactly where the state, or a state
-that its suffix links lead to, is the phrase's.
-
-Words: A-Z lower-cased, then runs of ASCII letters and digits and of all characters beyond ASCII.
-
-Edge cases: null and empty texts have no words, no label and score 0; a phrase may stand over line breaks and punctuation; equal
-matches are counted at each place; repeated rows are rows of their own; an empty table gives an empty result; other columns are ignored.
+An automaton holds every run of words of licence templates. There are two, so that a whole text which quotes a notice doesn't stand
+before it: one of the whole texts of the files in ``licenses`` (one a licence, named by its label), one of the usual notices. A text is
+streamed through them word by word, which gives the matching statistics: at each word the longest run of template words that ends
+there. Long matches (``ANCHOR`` words for notices, ``FULL_ANCHOR`` for whole texts) are chained,
+in the order of text and of template and with small gaps; of all chains of a template those that cover most become spans, as far as they
+don't overlap, and a span that covers ``COVERAGE`` of a template gives its label. A phrase of the base list ends at a word exactly where
+the state, or a state that its suffix links lead to, is the phrase's.
+
+Words: A-Z lower-cased, then runs of ASCII letters and digits and of all characters beyond ASCII. The driver reads the files (0.2 MB,
+fixed) and sends them to the tasks.
+
+Edge cases: null and empty texts have no words, no label and score 0; texts of any length are read once, from front to back; a phrase may
+stand over line breaks and punctuation; equal matches are counted at each place; ties between chains go to the shorter and then the first
+one; repeated rows and null ids are rows of their own; an empty table gives an empty result; other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 from bisect import bisect, insort
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ from .common import keep, map_batches
 
 #: Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: Licence statements, in the words of the licences and of their usual notices.
+#: Usual notices, in the words of the licences.
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
@@ -45,7 +51,7 @@ TEMPLATES = [
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-ANCHOR, GAP, COVERAGE = 2, 6, 0.85
+ANCHOR, FULL_ANCHOR, GAP, COVERAGE = 2, 5, 6, 0.85
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -53,10 +59,15 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_CLEAN).split()
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """Label and text of each licence file."""
+    return sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in (resources.files(__package__) / "licenses").iterdir() if f.name.endswith(".txt"))
+
+
 class SuffixAutomaton:
-    """Of several sequences of numbers; ``ends[s]`` has (sequence, end) of all runs of state s."""
+    """Of several sequences of numbers; ``ends[s]`` has (sequence, end) of all runs of state s, if it has runs of ``anchor`` symbols or more."""
 
-    def __init__(self, sequences: list[list[int]]):
+    def __init__(self, sequences: list[list[int]], anchor: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.size, self.ends = [-1], [0], [[]]
         for n, sequence in enumerate(sequences):
@@ -65,7 +76,8 @@ class SuffixAutomaton:
                 last = self._extend(last, symbol)
                 self.ends[last].append((n, end))
         for state in sorted(range(1, len(self.size)), key=lambda s: -self.size[s]):
-            self.ends[self.link[state]].extend(self.ends[state])
+            if self.size[self.link[state]] >= anchor:
+                self.ends[self.link[state]].extend(self.ends[state])
 
     def _state(self, size: int, link: int, following: dict[int, int]) -> int:
         self.size.append(size)
@@ -105,50 +117,51 @@ class SuffixAutomaton:
         return (0, 0) if following is None else (following, size + 1)
 
 
-class Scanner:
-    def __init__(self):
+class Templates:
+    """Texts with labels, their automaton, and the chains of a text's matches. The first ``phrases`` of them are looked for as they are."""
+
+    def __init__(self, texts: list[tuple[str, str]], anchor: int, phrases: int = 0):
         self.number: dict[bytes, int] = {}
-        lists = [[self.number.setdefault(w, len(self.number)) for w in words_of(text)] for text, _ in BASE] + [[self.number.setdefault(w, len(self.number)) for w in words_of(text)] for _, text in TEMPLATES]
-        self.sizes, self.automaton = [len(x) for x in lists], SuffixAutomaton(lists)
-        a = self.automaton
+        lists = [[self.number.setdefault(w, len(self.number)) for w in words_of(text)] for _, text in texts]
+        self.labels, self.sizes, self.anchor, self.phrases = [label for label, _ in texts], [len(x) for x in lists], anchor, phrases
+        self.automaton = a = SuffixAutomaton(lists, anchor)
         own = {}
-        for phrase in range(len(BASE)):
+        for phrase in range(phrases):
             state = size = 0
             for symbol in lists[phrase]:
                 state, size = a.step(state, size, symbol)
             own[state] = phrase
-        self.phrases = []  # of each state: the base phrases that end every run of at least their length
+        self.ending: list[list[int]] = []  # of each state: the phrases that end every run of at least their length
         for state in range(len(a.size)):
             found, at = [], state
-            while at > 0:
+            while own and at > 0:
                 if at in own:
                     found.append(own[at])
                 at = a.link[at]
-            self.phrases.append(found)
+            self.ending.append(found)
 
-    def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float]]]:
-        """Number of words; (start, label) of each base phrase; (label, first word, word after the last, coverage) of each span."""
-        words = words_of(text)
-        number, step, phrases = self.number, self.automaton.step, self.phrases
-        places, matches = [], []  # matches: start, length, state of runs that can't be made longer to the right
+    def read(self, words: list[bytes]) -> tuple[list[tuple[int, str]], list[tuple[int, int, int]]]:
+        """(start, label) of each phrase; start, length and state of the runs that can't be made longer to the right."""
+        number, step, ending, anchor = self.number, self.automaton.step, self.ending, self.anchor
+        places, matches = [], []
         state = size = 0
         before = -2
         for i in [i for i, w in enumerate(words) if w in number]:
             if i != before + 1:
-                if size >= ANCHOR:
+                if size >= anchor:
                     matches.append((before + 1 - size, size, state))
                 state = size = 0
             after, grown = step(state, size, number[words[i]])
-            if grown <= size and size >= ANCHOR:
+            if grown <= size and size >= anchor:
                 matches.append((before + 1 - size, size, state))
             state, size, before = after, grown, i
-            if phrases[state]:
-                for p in phrases[state]:
+            if ending[state]:
+                for p in ending[state]:
                     if size >= self.sizes[p]:
-                        places.append((i + 1 - self.sizes[p], BASE[p][1]))
-        if size >= ANCHOR:
+                        places.append((i + 1 - self.sizes[p], self.labels[p]))
+        if size >= anchor:
             matches.append((before + 1 - size, size, state))
-        return len(words), places, self.chain(matches)
+        return places, matches
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """The best chain that ends with each match, in text order; spans are those that cover most and overlap no other of their template."""
@@ -156,7 +169,7 @@ class Scanner:
         whole: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in matches:
             for t, end in self.automaton.ends[state]:
-                if t < len(BASE):
+                if t < self.phrases:
                     continue
                 near = [c for c in chains.get(t, ()) if start <= c[2] + GAP]  # matches come by start: others are too far from all later ones
                 best = (size, start)
@@ -175,15 +188,29 @@ class Scanner:
                 k = bisect(taken, (first, after))
                 if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= after):
                     insort(taken, (first, after))
-                    spans.append((TEMPLATES[t - len(BASE)][0], first, after, covered / self.sizes[t]))
-        return sorted(spans, key=lambda x: x[1:3])
+                    spans.append((self.labels[t], first, after, covered / self.sizes[t]))
+        return spans
+
+
+class Scanner:
+    def __init__(self, full: list[tuple[str, str]] | None = None):
+        self.notices = Templates([(label, text) for text, label in BASE] + TEMPLATES, ANCHOR, len(BASE))
+        self.full = Templates(full_texts() if full is None else full, FULL_ANCHOR)
+
+    def scan(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[str, int, int, float]]]:
+        """Number of words; (start, label) of each base phrase; (label, first word, word after the last, coverage) of each span."""
+        words = words_of(text)
+        places, matches = self.notices.read(words)
+        spans = self.notices.chain(matches) + self.full.chain(self.full.read(words)[1])
+        return len(words), places, sorted(spans, key=lambda x: x[1:3])
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:
     """Per document: n_words, places and spans, with their labels and word ranges."""
+    shared = docs.sparkSession.sparkContext.broadcast(full_texts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = keep("license_scan", Scanner)
+        scanner = keep("license_scan", lambda: Scanner(shared.value))
         for batch in batches:
             found = [scanner.scan(t.as_py()) for t in batch.column(1)]
             places = pa.array([[{"start": s, "label": x} for s, x in p] for _, p, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())])))
