@@ -1,18 +1,19 @@
 """Exact de-duplication against a history, through a minimal perfect hash (operator 4).
 
-The history's distinct digests (SHA-256 of the text with A-Z lower-cased) are dealt into buckets by their first bytes, about
-``BUCKET`` a bucket, or of the arrivals' where these are more. Each bucket gets a minimal perfect hash of its own: levels of bit arrays, where a digest's bit stays set if no
+The history's distinct digests (SHA-256 of the text with A-Z lower-cased) are dealt into buckets by their first bytes, about ``BUCKET``
+a bucket of the history's or the arrivals' digests, whichever are more. Each bucket gets a minimal perfect hash of its own: levels of bit arrays, where a digest's bit stays set if no
 other digest of the level falls on it, and the others go on to the next level; a digest's slot is the rank of its bit. A slot holds
 the full digest, the winner's locator (largest doc_id) and the number of copies. Arrivals are summed by digest with map-side
 sums, meet the bucket's table, and are members only where all 32 bytes of the slot's digest are theirs: members' copies join
 the slot, nonmembers are groups of their own.
 
-``deduplicate(docs, history)`` works on any two tables. Over one table ``deduplicate_one`` takes the rows below the middle of the id
-range as history and the others as arrivals; every row is in one of the two.
+``deduplicate(docs, history)`` tells of the rows of one table what another and the table itself hold. Over one table ``deduplicate_one``
+takes about half of the rows, by a hash of the id, as history and the others as arrivals; every row is in one of the two.
 
 Edge cases: a null text counts as empty; a null doc_id loses to any other; rows that repeat both doc_id and text are one
-candidate, of which the first copy alone is kept; an empty table gives an empty result; other columns are ignored, and kept as
-they are by ``keep_one``.
+candidate, of which one copy alone is kept (the history's, where it has one); texts of any length are read once; ties can't occur, as
+the largest id stays; an empty table, or an empty history, gives an empty result or one over the other rows; other columns are
+ignored, whatever their names, and kept as they are by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, small_enough
+from .common import broadcast_if_small, cut, map_batches
 
-BUCKET, SPREAD, DIGEST = 32_768, 1.5, 32
-_SLOTS = "bucket int, levels binary, digests binary, winners array<long>, copies array<long>"
+BUCKET, SPREAD, DIGEST, _NONE = 32_768, 1.5, 32, -(1 << 63)
+#: Of each slot, packed: winner (64 bits), whether the winner has no id (a byte), copies (64 bits).
+_SLOTS = "bucket int, levels binary, digests binary, winners binary, nameless binary, copies binary"
 _GROUP = "digest binary, keep_id long, n long"
 
 
@@ -115,6 +117,12 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.conv(F.substring(F.hex("digest"), 1, 12), 16, 10).cast("long"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def _ids(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Ids with the smallest number for null, and where they are null."""
+    ids = column.astype("Int64")
+    return ids.fillna(_NONE).to_numpy(np.int64), ids.isna().to_numpy(bool)
+
+
 def build_index(groups: DataFrame, buckets: int) -> DataFrame:
     """One row a bucket: its hash, and its slots in order."""
 
@@ -122,7 +130,9 @@ def build_index(groups: DataFrame, buckets: int) -> DataFrame:
         table = _table(rows["digest"])
         levels, slots = build(table)
         order = np.argsort(slots)
-        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "levels": [_pack(levels)], "digests": [table[order].tobytes()], "winners": [rows["keep_id"].astype("Int64").iloc[order].tolist()], "copies": [rows["n"].iloc[order].tolist()]})
+        winners, nameless = _ids(rows["keep_id"])
+        packed = {"digests": table, "winners": winners, "nameless": nameless, "copies": rows["n"].to_numpy(np.int64)}
+        return pd.DataFrame({"bucket": rows["bucket"].iloc[:1], "levels": [_pack(levels)], **{k: [v[order].tobytes()] for k, v in packed.items()}})
 
     return groups.select(_bucket(buckets), "digest", "keep_id", "n").groupBy("bucket").applyInPandas(run, _SLOTS)
 
@@ -130,28 +140,20 @@ def build_index(groups: DataFrame, buckets: int) -> DataFrame:
 def look_up(index: DataFrame, arrivals: DataFrame, buckets: int) -> DataFrame:
     """Groups (digest, keep_id, n) of the history and the arrivals' groups together."""
 
-    def larger(a: int | None, b: int | None) -> int | None:
-        return b if a is None or a is pd.NA else a if b is None or b is pd.NA else max(a, b)
-
     def run(slots: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        held = slots.iloc[0] if len(slots) else None
-        table = _table([held["digests"]]) if held is not None else np.zeros((0, DIGEST), np.uint8)
-        winners = [None if w is None or w != w else int(w) for w in held["winners"]] if held is not None else []
-        copies = [int(c) for c in held["copies"]] if held is not None else []
-        out = []
-        if len(new):
-            asked = _table(new["digest"])
-            at = find(_unpack(held["levels"]) if held is not None else [], asked)
-            member = at >= 0
-            member[member] = (table[at[member]] == asked[member]).all(1)
-            for i, (digest, keep, n) in enumerate(zip(new["digest"], new["keep_id"].astype("Int64"), new["n"])):
-                keep = None if keep is pd.NA else int(keep)
-                if member[i]:
-                    winners[at[i]], copies[at[i]] = larger(winners[at[i]], keep), copies[at[i]] + n
-                else:
-                    out.append((digest, keep, n))
-        out.extend((table[i].tobytes(), winners[i], copies[i]) for i in range(len(table)))
-        return pd.DataFrame({"digest": [x[0] for x in out], "keep_id": pd.array([x[1] for x in out], "Int64"), "n": [x[2] for x in out]})
+        held = slots.iloc[0] if len(slots) else {k: b"" for k in ("levels", "digests", "winners", "nameless", "copies")}
+        table, asked = _table([held["digests"]]), _table(new["digest"])
+        winners, nameless, copies = (np.frombuffer(held[k], kind).copy() for k, kind in (("winners", np.int64), ("nameless", bool), ("copies", np.int64)))
+        (ids, none), n = _ids(new["keep_id"]), new["n"].to_numpy(np.int64)
+        at = find(_unpack(held["levels"]), asked)
+        member = at >= 0
+        member[member] = (table[at[member]] == asked[member]).all(1)  # all 32 bytes
+        slot, other = at[member], ~member
+        winners[slot], nameless[slot], copies[slot] = np.maximum(winners[slot], ids[member]), nameless[slot] & none[member], copies[slot] + n[member]
+        keep = pd.array(np.concatenate([winners, ids[other]]), "Int64")
+        keep[np.concatenate([nameless, none[other]])] = pd.NA
+        digests = np.concatenate([table, asked[other]]).view(f"V{DIGEST}").ravel().tolist()
+        return pd.DataFrame({"digest": digests, "keep_id": keep, "n": np.concatenate([copies, n[other]])})
 
     asked = arrivals.select(_bucket(buckets), "digest", "keep_id", "n")
     return index.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(run, _GROUP)
@@ -165,23 +167,34 @@ def joint_groups(history: DataFrame, arrivals: DataFrame) -> DataFrame:
 
 
 def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    old = F.coalesce(F.col("doc_id") < F.lit(((low or 0) + (high or 0) + 1) // 2), F.lit(False))
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
     return rows.where(old), rows.where(~old)
 
 
-def deduplicate_one(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
-    rows = cut(digests(docs))
-    groups = cut(joint_groups(*_halves(rows)).withColumnRenamed("digest", "text_digest"))
+def _told(rows: DataFrame, groups: DataFrame) -> DataFrame:
     joined = rows.join(groups, rows.digest == groups.text_digest)
-    # Rows that repeat doc_id and text: the first is kept. Only winners are numbered, so a group is one row unless rows repeat.
+    # Rows that repeat doc_id and text: one is kept. Only winners are numbered, so a group is one row unless rows repeat.
     first = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("doc_id")) == 1
     winners = joined.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", first)
     others = joined.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).withColumn("kept", F.lit(False))
     return winners.union(others).select("doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def deduplicate(docs: DataFrame, history: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row of ``docs``; groups are of the rows of both tables."""
+    new, old = cut(digests(docs)), cut(digests(history))
+    told = _told(new, cut(joint_groups(old, new).withColumnRenamed("digest", "text_digest")))
+    held = old.select(F.col("doc_id").alias("__id"), F.lower(F.hex("digest")).alias("__sha")).distinct().withColumn("__held", F.lit(True))
+    told = told.join(held, (F.col("text_sha256") == F.col("__sha")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    return told.select("doc_id", "keep_id", "group_size", (F.col("kept") & F.col("__held").isNull()).alias("kept"), "text_sha256")
+
+
+def deduplicate_one(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    rows = cut(digests(docs))
+    return _told(rows, cut(joint_groups(*_halves(rows)).withColumnRenamed("digest", "text_digest")))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that stay, one for each text; the columns stay as they are.
 
@@ -194,7 +207,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
         joined = rows.join(groups, rows.digest == groups.text_digest)
         gone = cut(joined.where("doc_id <> keep_id").select(F.col("doc_id").alias("__gone")))
-        gone = F.broadcast(gone) if small_enough(gone.count(), 16) else gone
+        gone = broadcast_if_small(gone)
         return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti").select(*names)
     # Ids that several rows share: rows are told apart by id and digest, and numbered among those that agree in both.
     marked = docs.select(F.struct(*names).alias("__row"), F.col("doc_id").cast("long").alias("__id"), F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary"), 256)).alias("__digest"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, small_enough
+from .common import broadcast_if_small, cut, map_batches
 
 SHINGLE, SEED, RADIUS, BUCKET, CHUNK = 3, 42, 3, 2_048, 1 << 20
 
@@ -189,5 +189,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays are not told apart here: exact de-duplication comes first.
     """
     gone = cut(components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    gone = F.broadcast(gone) if small_enough(gone.count(), 16) else gone
+    gone = broadcast_if_small(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
