@@ -1,6 +1,11 @@
 """The corpus pipeline: language ID, exact de-duplication, SimHash near-duplicates, mixing to target weights, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and is written as Parquet and read again.
+
+Edge cases: language ID drops null texts, texts without letters and those told with a score under 0.5; null ids and repeated rows
+go through as rows of their own until exact de-duplication, which keeps one row of each text (the one with the largest id); of near
+copies the smallest id stays, and rows without an id; texts of any length are read whole; a table without rows gives one without rows;
+columns beside those of documents are kept up to the mix, whatever their names, and dropped by the last stage.
 """
 
 from __future__ import annotations
@@ -8,6 +13,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphspark.llm import bpe, exact_dedup, language_id, mixing, simhash
 from graphspark.llm.common import read_table, shared_dir
@@ -26,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.take(docs)
+    """The blocks of the mix: a row for each document in a block, with its words there."""
+    return mixing.take(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
