@@ -1,17 +1,19 @@
 """Sharding in Hilbert-curve order (operator 9), with DataFrame functions alone.
 
-Metadata dimensions are quantised to ``BITS`` bits each (source and language by hash, size by half powers of two), a row gets the index
-of its cell on the Hilbert curve through that grid, and rows in the order of the curve are cut into runs of equal counts: the law is
-``rows``. Neighbours on the curve are close in every dimension, so a shard covers few values of each and filters on any of them prune
-whole files (``write_shards`` keeps rows in curve order; ``shard_ranges`` shows what a shard covers).
+Metadata dimensions are quantised to ``BITS`` bits each: source and language by the dense rank of their value in code-point order (two
+or more values share a number where there are over 2^BITS), size on a log scale between the smallest and the largest. A row gets the
+index of its cell on the Hilbert curve through that grid, and rows in the order of the curve are cut into runs of equal counts: the law is
+``rows``. Neighbours on the curve are close in every dimension, so a shard covers a short range of each and filters on any of them prune
+whole files by their smallest and largest values (``write_shards`` keeps rows in curve order; ``shard_ranges`` shows what a shard covers).
 
 The exact rank of a row comes from sums and not from a global sort: cells are counted (2^(3 x BITS) = 32,768 at most) and their counts
 summed along the curve; a cell with many rows is divided by bits of a hash of the id into bins of about ``BIN`` rows, whose counts are
 summed within the cell; rows are numbered within their bin. The order is total, so reruns agree whatever the partitions.
 
-Edge cases: a null text has size 16 and crc32 0; null source or language is a value of its own; rows that agree in every
-column that is read may swap their slots; shards are 0 to ``shards`` - 1 and some are empty where there are fewer rows; an empty table
-gives an empty result; other columns are ignored.
+Edge cases: a null text has size 16 and crc32 0; null source or language is a value of its own, the first; rows that agree in every
+column that is read may swap their slots; null ids and repeated rows are rows of their own, here and in ``write_shards``; texts of any
+length count whole; shards are 0 to ``shards`` - 1 and some are empty where there are fewer rows; an empty table gives an empty
+result; other columns are ignored, whatever their names, and written by ``write_shards`` as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, running, small_enough
 
 BITS, SHARDS, BIN, OVERHEAD = 5, 40, 2_000, 16
 DIMENSIONS = ("source", "lang", "size")
@@ -55,19 +57,26 @@ def hilbert_index(df: DataFrame, dimensions: list[str], bits: int, out: str) ->
 def quantised(rows: DataFrame) -> DataFrame:
     """source, lang and size as numbers below 2^BITS."""
     top = (1 << BITS) - 1
-    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(top + 1))
-    return rows.withColumns({"q_source": code("source"), "q_lang": code("lang"), "q_size": F.least(F.floor(F.log2("size") * 2) - 8, F.lit(top)).cast("long")})
-
-
-def metadata(docs: DataFrame) -> DataFrame:
+    for name in ("source", "lang"):
+        values = rows.groupBy(F.col(name).alias("__name")).agg(F.lit(1).alias("__one"))
+        values = cut(running(values, [F.col("__name").asc_nulls_first()], F.lit(1), "__at").select("__name", "__at"))
+        n = values.count()
+        code = F.expr(f"__at * {top + 1} div {max(n, top + 1)}").alias(f"q_{name}")
+        rows = rows.join((F.broadcast if small_enough(n) else lambda v: v)(values.select("__name", code)), F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
+    low, high = rows.agg(F.min(F.log2("size")), F.max(F.log2("size"))).first()
+    size = F.floor((F.log2("size") - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1e-9)) * (top + 1))
+    return rows.withColumn("q_size", F.least(size, F.lit(top)).cast("long"))
+
+
+def metadata(docs: DataFrame, *others: str) -> DataFrame:
     """What sharding reads of a row; the text is read once, for its size and its crc32."""
     raw = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), *others)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
     """``rows`` (with source, lang, size, doc_id, text_crc32) with ``cell``, the exact ``rank`` from 0 along the curve, and ``total``."""
-    placed = hilbert_index(quantised(rows), ["q_source", "q_lang", "q_size"], BITS, "cell").drop("q_source", "q_lang", "q_size")
+    placed = hilbert_index(quantised(cut(rows)), ["q_source", "q_lang", "q_size"], BITS, "cell").drop("q_source", "q_lang", "q_size")
     placed = cut(placed)
     along = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over 32,768 rows at most
     counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
@@ -85,24 +94,28 @@ def _shard(rank: Column, total: Column, shards: int) -> Column:
     return F.floor(rank * shards / total).cast("int") if shards < 2 else F.expr(f"cast(rank * {shards} div total as int)")
 
 
+def _sharded(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows``, ranked, with ``shard`` and ``slot``."""
+    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")  # the smallest rank of the shard
+    return rows.withColumn("shard", _shard(F.col("rank"), F.col("total"), shards)).withColumn("slot", F.col("rank") - first)
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row."""
-    rows = ranked(metadata(docs)).withColumn("shard", _shard(F.col("rank"), F.col("total"), shards))
-    first = F.expr(f"(shard * total + {shards - 1}) div {shards}")  # the smallest rank of the shard
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("rank") - first).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return _sharded(ranked(metadata(docs)), shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write whole documents, one folder a shard, in curve order."""
-    places = shard(docs, shards).select(F.col("doc_id").alias("__id"), "shard", "slot")
+    """Write whole documents, one folder a shard, in curve order. Rows are told apart by a number of their own, not by their ids."""
     if {"shard", "slot"} & set(docs.columns):
         raise ValueError("the input has a column shard or slot already")
-    joined = docs.join(places, docs["doc_id"] == places["__id"]).drop("__id")
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))  # numbered before it is written: the numbers stay
+    places = _sharded(ranked(metadata(rows, "__row")), shards).select(F.col("__row").alias("__place"), "shard", "slot")
+    joined = rows.join(places, rows["__row"] == places["__place"]).drop("__row", "__place")
     joined.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_ranges(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """Per shard: rows, bytes, and the range and number of values of each dimension, for pruning."""
-    rows = ranked(metadata(docs)).withColumn("shard", _shard(F.col("rank"), F.col("total"), shards))
     spans = [f(d).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("min", F.min), ("max", F.max), ("n", F.approx_count_distinct))]
-    return rows.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *spans)
+    return _sharded(ranked(metadata(docs)), shards).groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), *spans)
