@@ -31,3 +31,48 @@ DEFAULT_IGNORES = (
 ).split()
 OUTBOUND_VERBS = ["call", "invoke", "publish", "send"]
 INBOUND_VERBS = ["receive", "consume", "handle"]
+#: A route, a broker address or a schedule that a text spells out.
+ROUTE_TOKEN = (
+    r"(?i)(?:\b(?:GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+/\S+)"
+    r"|(?:\b(?:https?|sqs|sns|kafka|rabbit|amqp|servicebus|pubsub|grpc|wss?|s3)://\S+)"
+    r"|(?:\bcron:\S+)"
+    r"|(?:(?:^|\s)/(?:api|internal|admin|webhooks?|graphql|v\d+)\b[\w\-./{}:]*)"
+)
+#: Elements and attributes of user interfaces in source text; each counts for itself.
+WIDGET_PATTERNS = (
+    [rf"<{w}\b" for w in "Button IconButton Input TextField TextArea Textarea Select MenuItem Checkbox Switch Toggle Radio Autocomplete DatePicker TimePicker Slider Tabs Stepper Dialog Drawer Sheet Popover DropdownMenu ContextMenu Form".split()]
+    + [rf"<mat-{w}\b" for w in "button raised-button icon-button fab mini-fab form-field input select option checkbox radio-button radio-group slide-toggle slider autocomplete datepicker dialog dialog-content sidenav drawer tab-group tab stepper menu menu-item card expansion-panel chip paginator sort-header table".split()]
+    + [r"\(click\)=", r"\(ngSubmit\)=", r"\(change\)=", r"\(input\)=", r"\(selectionChange\)=", r"\[formGroup\]", r"\[formControl\]", "formControlName=", r"\[\(ngModel\)\]", r"\[routerLink\]", "routerLink=", r"<button\s+mat-", r"<a\s+mat-"]
+)
+#: Of node rows: names that no persona has, and phrases that no outcome holds.
+FORBIDDEN_NODE_PERSONAS = "developer engineer programmer api service component module backend frontend database controller handler repository".split()
+TECHNICAL_OUTCOMES = ["handle api", "process database", "render component", "execute query"]
+#: Statements that branch, and what they or queries name where they matter.
+BRANCH_TYPES = ["if_statement", "elif_clause", "else_clause", "conditional_expression"]
+BRANCH_WORDS = [
+    "flag", "type", "mode", "status", "role", "kind", "category", "inout", "csflag", "gsflag", "icflag", "avflag", "maflag", "request_param", "request.params", "request.matchdict",
+    "query.type", "query.mode", "wftype", "wf_type", "== 9", "== 3", "== 15", "== 19", "== 4", "== 16", "'sale'", "'purchase'", "'receipt'", "'payment'", '"sale"', '"purchase"', '"receipt"', '"payment"',
+]
+ROUTE_WORDS = ["request_param", "request_method"]
+QUERY_WORDS = "invoice voucher delchal purchaseorder transfernote rejectionnote customerandsupplier product godown stock tax bankrecon drcr budget project insert update delete create where".split()
+#: Resource types by layer: beginnings of names, and endings where the middle is free. The last list is also flagged for a look.
+RESOURCE_LAYERS = {
+    "EventQueue": "aws_sqs_queue aws_sns_topic aws_msk_cluster aws_kinesis_stream aws_kinesis_firehose aws_mq_broker google_pubsub_ azurerm_servicebus_ azurerm_eventhub_",
+    "DataLake": "aws_rds_ aws_db_instance aws_aurora_ aws_dynamodb_table aws_elasticache_ aws_redshift_ aws_opensearch_domain aws_s3_bucket aws_timestream_ aws_glue_ aws_emr_ google_sql_ google_bigtable_ google_bigquery_ google_storage_bucket azurerm_cosmosdb_ azurerm_*_database azurerm_storage_account azurerm_synapse_",
+    "ApiGateway": "aws_api_gateway_ aws_apigatewayv2_ aws_lb aws_alb aws_appsync_ google_api_gateway_ google_compute_*_load_balancer azurerm_api_management azurerm_application_gateway kubernetes_ingress",
+    "Services": "aws_lambda_function aws_ecs_service aws_ecs_task_definition aws_apprunner_service google_cloud_run_ google_cloudfunctions_ azurerm_function_app azurerm_container_app kubernetes_deployment kubernetes_stateful_set helm_release",
+    "Infrastructure": "aws_eks_cluster aws_eks_node_group aws_ecs_cluster aws_vpc aws_subnet aws_autoscaling_group aws_cloudfront_distribution aws_route53_ aws_instance aws_elb google_container_cluster google_compute_network azurerm_kubernetes_cluster azurerm_virtual_network",
+    "ObservabilityMonitoring": "aws_cloudwatch_ aws_xray_ aws_prometheus_ aws_grafana_ google_monitoring_ azurerm_monitor_ azurerm_application_insights",
+    "UserExperience": "aws_amplify_",
+}
+FLAGGED_RESOURCES = {"DataLake": "aws_sagemaker_ aws_bedrock_ google_vertex_ai_ azurerm_cognitive_ azurerm_machine_learning_"}
+#: Texts that mark an intent as not functional.
+NON_FUNCTIONAL = [
+    "Test ", "Mock ", "Benchmark", "Initialize ", "Establish ", "Run Service Initialization", "Register API Handlers", "Start Application", "Start Web Server",
+    "Start Moderation Service", "Database Migration", "Database Connection", "Connect to ", "Vite", "Frontend Build", "Development Environment",
+    "Configure Frontend Environment", "Configure GRPC", "Configure gRPC", "Configure Application Router", "Configure Server Router", "Configure Service Router",
+    "Configure Logging", "Render Loading", "Render Skeleton", "Render Fallback", "Render Tooltip", "Render Error Boundary", "Render Spinner", "Re-render Component",
+    "Font Rendering", "Font Metric", "Font Loading", "Parse SVG Path", "Transform SVG Coordinates", "Skeleton Loading", "Loading Spinner", "Loading Fallback",
+    "Error Boundary", "State Management", "Context Provider", "Event Handler", "Event Listener", "Debounce ", "Throttle ", "Webpack", "Docker", "Nginx", "CI/CD",
+    "Pipeline Configuration", "Environment Variable", "Health Check Endpoint", "CORS Configuration",
+]

@@ -6,11 +6,13 @@ not multiply rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scale import cut
 from ..functions.text import is_system, name_tokens, platform_key
 from ..functions.values import COMPONENT_TYPES, EXPECTED_TEMPLATES, MIN_SUPPORTING, SYNONYMS
+from .functional import health
 
 
 def edges(nodes: DataFrame, array: str) -> DataFrame:
@@ -101,11 +103,41 @@ def duplicate_scenario_ids(journeys: DataFrame, own=None) -> DataFrame:
 
 def child_platform_mismatch(children: DataFrame, links: DataFrame, parents: DataFrame) -> DataFrame:
     """Children whose parents' platforms are not just their own; ``passed`` is what the child hands down."""
-    own = platform_key("platform")
-    up = links.distinct().join(parents.select(F.col("id").alias("parent"), own.alias("p")), "parent").groupBy("child").agg(F.sort_array(F.collect_set("p")).alias("expected"))
-    rows = children.select("id", own.alias("platform")).join(up, F.col("id") == F.col("child"))
-    passed = F.when(F.array_contains("expected", F.col("platform")), F.col("platform")).otherwise(F.col("expected")[0])
-    return rows.where(F.col("expected") != F.array("platform")).select("id", "platform", F.array_join("expected", ",").alias("expected"), passed.alias("passed"))
+    rows = _platforms(children, links, parents.select(F.col("id").alias("parent"), platform_key("platform").alias("p")))
+    return rows.where(F.col("expected") != F.array("platform")).select("id", "platform", F.array_join("expected", ",").alias("expected"), "passed")
+
+
+def _platforms(children: DataFrame, links: DataFrame, handed: DataFrame) -> DataFrame:
+    """id, platform, expected and passed of the children of nodes (parent, p)."""
+    up = links.distinct().join(handed, "parent").groupBy("child").agg(F.sort_array(F.collect_set("p")).alias("expected"))
+    rows = children.select("id", platform_key("platform").alias("platform")).join(up, F.col("id") == F.col("child")).drop("child")
+    return rows.withColumn("passed", F.when(F.array_contains("expected", F.col("platform")), F.col("platform")).otherwise(F.col("expected")[0]))
+
+
+def platforms_handed_down(journeys: DataFrame, levels: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
+    """(label, id, platform, expected, reason): nodes (label, nodes, links to the level above) that are not on the platform handed down to them from their journeys, level by level."""
+    handed, out = journeys.where("id IS NOT NULL").select(F.col("id").alias("parent"), platform_key("platform").alias("p")), None
+    reason = F.when(F.array_contains("expected", F.col("platform")), "shared by journeys on different platforms").otherwise("not on its journey's platform")
+    for label, nodes, links in levels:
+        rows = cut(_platforms(nodes, links, handed))
+        bad = rows.where(F.col("expected") != F.array("platform")).select(F.lit(label).alias("label"), "id", "platform", F.array_join("expected", ",").alias("expected"), reason.alias("reason"))
+        handed, out = rows.select(F.col("id").alias("parent"), F.col("passed").alias("p")), bad if out is None else out.union(bad)
+    return out
+
+
+def actions_on_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Pages that have links to actions (child, parent), with their number: actions belong to components."""
+    return pages.select("id", "name").join(links.groupBy(F.col("child").alias("id")).agg(F.count("*").alias("n")), "id")
+
+
+def design_health(findings: list[tuple[str, DataFrame]]) -> DataFrame:
+    """From (severity, finding rows) of each check: sums by severity and the label. Rows with a column ``n`` count that often, rows with a column ``severity`` have their own."""
+    out = None
+    for severity, rows in findings:
+        n = F.coalesce(F.sum("n"), F.lit(0)) if "n" in rows.columns else F.count("*")
+        part = rows.groupBy("severity").agg(n.cast("long").alias("n")) if "severity" in rows.columns else rows.agg(n.cast("long").alias("n")).select(F.lit(severity).alias("severity"), "n")
+        out = part if out is None else out.unionByName(part)
+    return health(out)
 
 
 def invalid_enums(nodes: DataFrame, field: str, valid: list[str]) -> DataFrame:
@@ -141,6 +173,11 @@ def type_distribution(components: DataFrame) -> DataFrame:
     return components.groupBy(F.when(F.col("type").isin(COMPONENT_TYPES), F.col("type")).otherwise("UNKNOWN").alias("type")).agg(F.count("*").alias("n"))
 
 
+def modality_distribution(flows: DataFrame) -> DataFrame:
+    """Counts of flows by modality as it stands; UNKNOWN where there is none."""
+    return flows.groupBy(F.coalesce("modality", F.lit("UNKNOWN")).alias("modality")).agg(F.count("*").alias("n"))
+
+
 def journey_platform_mismatch(journeys, scenario, outcome) -> DataFrame:
     """Journeys whose platform isn't that of their scenario's outcome; several outcome platforms are ambiguous."""
     want = scenario.join(outcome.select("outcome_id", platform_key("platform").alias("p")), "outcome_id").groupBy("scenario_id").agg(F.sort_array(F.collect_set("p")).alias("expected"))
@@ -166,11 +203,19 @@ def step_coverage(used: DataFrame, steps: DataFrame, covered: DataFrame) -> Data
 
 
 def step_action_consistency(component_action, action_step, component_page, page_flow, flow_step) -> DataFrame:
-    """Component's actions whose step is in none of the steps of the flows that hold the component's pages; components without such steps are left out."""
-    flows = component_page.distinct().join(page_flow.select(F.col("child").alias("parent"), F.col("parent").alias("flow")), "parent").select("child", "flow").distinct()
-    reach = flows.join(flow_step.select(F.col("child").alias("flow"), F.col("parent").alias("step_id")), "flow").select(F.col("child").alias("component_id"), "step_id").distinct()
-    has = component_action.join(action_step, "action_id").join(reach.select("component_id").distinct(), "component_id", "left_semi")
-    return has.join(reach, ["component_id", "step_id"], "left_anti").select("component_id", "action_id", "step_id")
+    """Component's actions whose step is in none of the steps of the flows that hold the component's pages; components without such steps are left out.
+
+    Walked from the actions' steps up to their pages, and not from components down to all steps that they reach.
+    """
+    rows = component_action.join(action_step, "action_id").select("component_id", "action_id", "step_id")
+    flows = flow_step.select(F.col("child").alias("parent"), F.col("parent").alias("step_id"))
+    asked = rows.select("step_id").distinct()
+    pages = flows.join(asked, "step_id", "left_semi").distinct().join(page_flow, "parent").select("step_id", F.col("child").alias("parent")).distinct()
+    mine = component_page.select(F.col("child").alias("component_id"), "parent")
+    fine = rows.select("component_id", "step_id").distinct().join(pages, "step_id").join(mine, ["component_id", "parent"], "left_semi").select("component_id", "step_id")
+    stepped = page_flow.join(flows.select("parent"), "parent", "left_semi").select(F.col("child").alias("parent")).distinct()
+    some = mine.join(stepped, "parent", "left_semi").select("component_id")
+    return rows.join(some, "component_id", "left_semi").join(fine, ["component_id", "step_id"], "left_anti")
 
 
 def on_both(flow_step: DataFrame, page_step: DataFrame) -> DataFrame:

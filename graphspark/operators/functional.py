@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.find import hits
+from ..functions.scale import broadcast_if_small, cut
 from ..functions.text import is_system, name_key, platform_key, valid_description
 from ..functions.values import FORBIDDEN_PERSONA_NAMES, FORBIDDEN_UI_WORDS
 
@@ -88,15 +90,26 @@ def cross_persona_overlap(scenario, outcome, persona, keywords=OVERLAP) -> DataF
 
 
 def source_coverage(stories: DataFrame, texts: DataFrame) -> DataFrame:
-    """Per story of (story, keyword): the share of keywords that stand in some text; FULL from 60 %, PARTIAL above 0, else MISSING."""
-    keywords = [r.keyword for r in stories.select(F.lower("keyword").alias("keyword")).distinct().limit(10_001).collect()]
-    if len(keywords) > 10_000:
-        raise ValueError("more than 10,000 keywords")
-    seen = texts.select(F.explode(F.filter(F.array(*map(F.lit, keywords)), lambda w: F.lower("text").contains(w))).alias("found")).distinct() if keywords else texts.select(F.lit("").alias("found")).limit(0)
-    rows = stories.join(seen, F.lower("keyword") == F.col("found"), "left").groupBy("story").agg(F.count("*").alias("total"), F.count("found").alias("found"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("found").isNull(), F.col("keyword")))), ",").alias("missing"))
+    """Per story of (story, keyword): the share of keywords that stand in some text; FULL from 60 %, PARTIAL above 0, else MISSING. Any number of keywords: texts are read once for each block of them."""
+    rows = stories.withColumn("term", F.lower("keyword"))
+    seen = hits(texts.select(F.lower("text").alias("text")), rows).distinct().withColumnRenamed("term", "found")
+    rows = rows.join(seen, F.col("term") == F.col("found"), "left").groupBy("story").agg(F.count("*").alias("total"), F.count("found").alias("found"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("found").isNull(), F.col("keyword")))), ",").alias("missing"))
     return rows.withColumn("status", F.when(F.col("found") >= 0.6 * F.col("total"), "FULL").when(F.col("found") > 0, "PARTIAL").otherwise("MISSING"))
 
 
+def embed_texts(persona, outcome, scenario, step, action) -> DataFrame:
+    """(level, id, embed_text) of every node: the names of the chain above it and its own, a line each, the persona's first."""
+    line = lambda level: F.concat(F.lit(f"{level.capitalize()}: "), F.col(level))
+    chain = persona.select("persona_id", line("persona").alias("text"))
+    out = chain.select(F.lit("persona").alias("level"), F.col("persona_id").cast("long").alias("id"), F.col("text").alias("embed_text"))
+    above = "persona"
+    for level, rows in (("outcome", outcome), ("scenario", scenario), ("step", step), ("action", action)):
+        chain = rows.select(f"{above}_id", f"{level}_id", level).join(chain, f"{above}_id").select(f"{level}_id", F.concat_ws("\n", "text", line(level)).alias("text"))
+        out = out.union(chain.select(F.lit(level), F.col(f"{level}_id").cast("long"), "text"))
+        above = level
+    return out
+
+
 def health(findings: DataFrame) -> DataFrame:
     """From (severity, n): the sums by severity and the label."""
     p = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).cast("long").alias(s.lower())
@@ -105,15 +118,17 @@ def health(findings: DataFrame) -> DataFrame:
 
 
 def functional_health(persona, outcome, scenario, step, action) -> DataFrame:
+    """Sums of findings by severity. Actions are read once, with the scenario of their step; totals are computed once."""
     n = lambda severity, df: df.agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), "n")
-    quality = persona_quality(persona, outcome, scenario, step, action)
+    quality = cut(persona_quality(persona, outcome, scenario, step, action))
     cited = citation_coverage(outcome, scenario).agg((F.sum("with_citation") < F.sum("total")).cast("long").alias("n")).select(F.lit("P1").alias("severity"), "n")
     described = description_coverage(scenario, outcome, persona, step, action).where("kind = 'system_action' AND pct < 80")
     duplicates = duplicate_outcomes(outcome)
+    flags = quality.agg(*[F.sum(F.col("flags").contains(f).cast("long")).alias(f) for f in ("FORBIDDEN", "BLOATED", "THIN")], F.sum((F.col("flags").contains("BLOATED") | F.col("flags").contains("THIN")).cast("long")).alias("odd"))
+    flagged = flags.select(F.explode(F.array(F.struct(F.lit("P0").alias("severity"), F.col("FORBIDDEN").alias("n")), F.struct(F.lit("P1").alias("severity"), F.col("odd").alias("n")))).alias("f")).select("f.*")
     parts = [
-        n("P0", empty_scenarios(scenario, step)), n("P0", quality.where("flags LIKE '%FORBIDDEN%'")),
-        n("P1", duplicate_scenarios(scenario, outcome, persona)), n("P1", duplicates.where("severity = 'P1'")), n("P1", platform_agnostic(action)), cited, n("P1", described), n("P1", quality.where("flags LIKE '%BLOATED%' OR flags LIKE '%THIN%'")),
-        n("P2", duplicates.where("severity = 'P2'")), n("P2", cross_persona_overlap(scenario, outcome, persona)),
+        n("P0", empty_scenarios(scenario, step)), flagged, n("P1", duplicate_scenarios(scenario, outcome, persona)), duplicates.groupBy("severity").agg(F.count("*").alias("n")),
+        n("P1", platform_agnostic(action)), cited, n("P1", described), n("P2", cross_persona_overlap(scenario, outcome, persona)),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -154,8 +169,8 @@ def scenario_paging(scenario, outcome, persona, page: int, limit: int) -> DataFr
 
 
 def ordered_steps(scenarios, step) -> DataFrame:
-    """Steps of a page of scenarios, numbered from 1 within each by id; the page is bounded by its limit and broadcast."""
-    mine = step.join(F.broadcast(scenarios.select("scenario_id")), "scenario_id", "left_semi")
+    """Steps of a page of scenarios, numbered from 1 within each by id."""
+    mine = step.join(broadcast_if_small(cut(scenarios.select("scenario_id"))), "scenario_id", "left_semi")
     return mine.select("scenario_id", "step_id", "step", F.row_number().over(Window.partitionBy("scenario_id").orderBy("step_id")).alias("order"))
 
 

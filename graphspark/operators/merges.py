@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key, platform_key
+from ..functions.values import FLAGGED_RESOURCES, RESOURCE_LAYERS
 
 
 def merge_outcomes(existing: DataFrame, payload: DataFrame, by_platform: bool = True) -> DataFrame:
@@ -18,6 +19,43 @@ def merge_outcomes(existing: DataFrame, payload: DataFrame, by_platform: bool =
     return merged.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keys]), 256).alias("key_id"), "persona_id", "outcome", "platform", "description", "is_new")
 
 
+#: Levels of the functional tree from the top; the platform is part of an outcome's identity.
+TREE = ["persona", "outcome", "scenario", "step", "action"]
+
+
+def merge_tree(existing: dict[str, DataFrame], payload: dict[str, DataFrame], by_platform: bool = True) -> DataFrame:
+    """(level, path, key_id, name, description, citations, apis, is_new) of two functional trees merged by name at every level under its parent.
+
+    A side has a table for each level: ``<level>_id``, ``<parent>_id``, the name in a column named like the level, and if it has them
+    ``description``, ``platform`` (outcomes), and the arrays ``citations`` and ``apis`` (of strings). The later value that isn't null
+    wins, citations and apis are united, and a node's id is the hash of the names above it and its own, so that a second run changes
+    nothing. The name that stood there first stays.
+    """
+    nodes, schema = None, {"description": "string", "citations": "array<string>", "apis": "array<string>"}
+    for seq, side in enumerate((existing, payload)):
+        paths = None
+        for depth, level in enumerate(TREE):
+            if level not in side:
+                break
+            rows = side[level]
+            key = [name_key(level), *([platform_key("platform")] if level == "outcome" and by_platform and "platform" in rows.columns else [])]
+            own = F.concat_ws("|", *key)
+            extra = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in schema.items()]
+            rows = rows.select(f"{level}_id", *([f"{TREE[depth - 1]}_id"] if depth else []), F.col(level).alias("name"), own.alias("own"), *extra)
+            if depth:
+                rows = rows.join(paths, f"{TREE[depth - 1]}_id").withColumn("path", F.concat_ws(" > ", "above", "own"))
+            else:
+                rows = rows.withColumn("path", F.col("own"))
+            paths = rows.select(f"{level}_id", F.col("path").alias("above"))
+            part = rows.select(F.lit(level).alias("level"), "path", "name", *schema, F.lit(seq).alias("seq"))
+            nodes = part if nodes is None else nodes.unionByName(part)
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c)
+    # Arrays by distinct items: a node with many copies never holds more than its own.
+    items = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>")))))).alias(c)
+    merged = nodes.groupBy("level", "path").agg(F.min_by("name", F.struct("seq", "name")).alias("name"), last("description"), items("citations"), items("apis"), (F.min("seq") == 1).alias("is_new"))
+    return merged.select("level", "path", F.sha2("path", 256).alias("key_id"), "name", "description", "citations", "apis", "is_new")
+
+
 def merge_design(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, name, platform, seq) of existing and payload together, and (child, parent) links: nodes by lower name and platform, links appended and distinct. Ids become the smallest of the merged."""
     keyed = nodes.withColumns({"k": F.lower(F.trim("name")), "p": platform_key("platform")})
@@ -44,8 +82,9 @@ def merge_batches(rows: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 
 def widen_scope(observations: DataFrame) -> DataFrame:
-    """(type, name, feature, app, shared): PAGE, DOMAIN or GLOBAL."""
-    per = observations.groupBy("type", "name").agg(F.count_distinct("feature").alias("features"), F.count_distinct("app").alias("apps"), F.bool_or("shared").alias("shared"))
+    """(type, name, feature, app, shared, uses): PAGE, DOMAIN or GLOBAL, and all that the component was seen to use (a row or a null each)."""
+    uses = F.array_sort(F.collect_set("uses")) if "uses" in observations.columns else F.array().cast("array<string>")
+    per = observations.groupBy("type", "name").agg(F.count_distinct("feature").alias("features"), F.count_distinct("app").alias("apps"), F.bool_or("shared").alias("shared"), uses.alias("supporting"))
     scope = F.when((F.col("features") >= 3) | (F.col("apps") >= 2) | F.col("shared"), "GLOBAL").when(F.col("features") == 2, "DOMAIN").otherwise("PAGE")
     return per.withColumn("scope", scope)
 
@@ -81,10 +120,20 @@ def merge_architecture(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return merged.drop("k"), differ
 
 
-def classify_resources(resources: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(id, rtype) by the longest of the listed (prefix, layer); a fixed table that is broadcast. Unknown types are flagged."""
-    met = resources.join(F.broadcast(prefixes), F.col("rtype").startswith(F.col("prefix")), "left")
-    return met.groupBy("id", "rtype").agg(F.max_by("layer", F.length("prefix")).alias("layer")).withColumn("flagged", F.col("layer").isNull())
+def resource_table(spark) -> DataFrame:
+    """(prefix, suffix, layer, look) of the known resource types; a fixed table."""
+    rows = [(*(t.split("*") if "*" in t else (t, "")), layer, look) for table, look in ((RESOURCE_LAYERS, False), (FLAGGED_RESOURCES, True)) for layer, types in table.items() for t in types.split()]
+    return spark.createDataFrame(rows, "prefix string, suffix string, layer string, look boolean")
+
+
+def classify_resources(resources: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """(id, rtype) by the longest known beginning (and ending, if the type has one); unknown types, and those to be looked at, are flagged. A type meets the table by an equi-join on its own beginnings."""
+    table = resource_table(resources.sparkSession) if table is None else table
+    types = resources.select("rtype").distinct()
+    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("rtype"), F.lit(1))), lambda n: F.substring(F.col("rtype"), F.lit(1), n)))
+    met = types.withColumn("prefix", F.explode(heads)).join(table, "prefix").where(F.col("rtype").endswith(F.col("suffix")))
+    best = met.groupBy("rtype").agg(F.max_by(F.struct("layer", "look"), F.struct(F.length("prefix") + F.length("suffix"), "prefix", "suffix")).alias("m")).select("rtype", "m.layer", "m.look")
+    return resources.join(best, "rtype", "left").select("id", "rtype", "layer", (F.col("layer").isNull() | F.col("look")).alias("flagged"))
 
 
 LAYERS = ["UserExperience", "ApiGateway", "Services", "Agents", "DataLake", "EventQueue", "ObservabilityMonitoring", "Infrastructure"]
@@ -113,6 +162,3 @@ def derive_schema_fields(columns: DataFrame, constraints: DataFrame, indexes: Da
     tables = columns.groupBy("table_id").agg(F.count("*").alias("column_count")).join(primary, "table_id", "left").withColumn("has_primary_key", F.coalesce("has_primary_key", F.lit(False)))
     return tables, facts, constraints.where("kind = 'FK'").select("table_id", "ref_table").distinct()
 
-
-def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")

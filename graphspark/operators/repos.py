@@ -142,5 +142,6 @@ def affected_apps(libraries: DataFrame, deps: DataFrame) -> DataFrame:
 
 
 def change_breakdown(changes: DataFrame) -> DataFrame:
-    n = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0)).alias(s.lower())
-    return changes.groupBy("wtype").agg(*[n(s) for s in "AMDR"])
+    """Per workspace and its type: files changed, and those to create, to update and to flag (deleted or renamed)."""
+    n = lambda *s: F.sum(F.col("status").isin(*s).cast("int")).alias("x")
+    return changes.groupBy("workspace", "wtype").agg(F.count("*").alias("changed"), n("A").alias("to_create"), n("M").alias("to_update"), n("D", "R").alias("to_flag"))

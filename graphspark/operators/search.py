@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,28 +33,38 @@ def reference_sweep(parts: list[DataFrame], term: str) -> DataFrame:
     return out.distinct()
 
 
-def semantic_top_k(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = -1.0, most: int = 10_000) -> DataFrame:
-    """(query_id, id, score): the k nearest nodes by cosine. The query matrix (``most`` rows at most, checked) goes to the tasks; each block of nodes keeps k a query before the shuffle."""
-    rows = queries.select("query_id", "embedding").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} queries")
-    if not rows:
-        return queries.sparkSession.createDataFrame([], "query_id long, id long, score double")
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-    ids, matrix = np.array([r.query_id for r in rows]), unit(np.array([r.embedding for r in rows], float))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = shared.value
-        for b in batches:
-            scores = matrix @ unit(np.stack(b["embedding"].to_numpy()).astype(float)).T
-            order = np.lexsort((np.broadcast_to(b["id"].to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-            q, c = np.repeat(np.arange(len(ids)), order.shape[1]), order.ravel()
-            yield pd.DataFrame({"query_id": ids[q], "id": b["id"].to_numpy()[c], "score": scores[q, c]})
-
-    best = nodes.select("id", "embedding").where("embedding IS NOT NULL").mapInPandas(block, "query_id long, id long, score double")
+#: Queries that meet a block of nodes at once, and nodes of a block.
+QUERY_BLOCK, NODE_BLOCK = 4_096, 16_384
+
+
+def semantic_top_k(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
+    """(query_id, id, score): the k nearest nodes by cosine, ties by id, for any number of queries.
+
+    Queries and nodes are dealt into blocks by a hash of their ids, every block of queries meets every block of nodes in a task of its
+    own, and each pair of blocks keeps k nodes a query before they are shuffled and compared. Vectors without an embedding are left out.
+    """
+    asked, held = (df.select(name, "embedding").where("embedding IS NOT NULL") for df, name in ((queries, "query_id"), (nodes, "id")))
+    qs, ns = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-held.count() // NODE_BLOCK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = asked.select(part("query_id", qs).alias("i"), every(ns).alias("j"), F.col("query_id").alias("key"), "embedding")
+    n = held.select(every(qs).alias("i"), part("id", ns).alias("j"), F.col("id").alias("key"), "embedding")
+    unit = lambda v: (m := np.stack(list(v)).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+    def best(q: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(n):
+            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+        n, out = n.sort_values("key"), []
+        ids, matrix = n["key"].to_numpy(), unit(n["embedding"])
+        for at in range(0, len(q), 256):
+            keys, scores = q["key"].to_numpy()[at : at + 256], unit(q["embedding"].iloc[at : at + 256]) @ matrix.T
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids are sorted: ties stay in their order
+            out.append(pd.DataFrame({"query_id": np.repeat(keys, order.shape[1]), "id": ids[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
+        return pd.concat(out)
+
+    found = q.groupBy("i", "j").cogroup(n.groupBy("i", "j")).applyInPandas(best, "query_id long, id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return best.where(F.col("score") >= min_score).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return found.where(F.col("score") >= min_score).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
 def best_hit_per_path(hits: DataFrame, min_score: float = 0.25) -> DataFrame:

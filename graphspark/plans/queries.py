@@ -12,23 +12,8 @@ from ..functions.values import LAYOUT_TYPES, PAGE_TYPES
 from ..operators import design, functional, gates, intents, interfaces, merges, repos, search, spec
 from ..sources import exports
 from ..streaming import status as streams
-from .bindings import Tables, with_views
-
-_FOUND: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(f):
-        _FOUND[name] = (f, sql)
-        return f
-
-    return add
-
-
-PK = "coalesce(nullif(lower(trim(platform)), ''), 'default')"
-NK = r"lower(trim(regexp_replace(outcome, '\s+', ' ', 'g')))"
-SYS = "lower(trim(persona)) IN ('system', 'external system')"
-ROUTE = r"regexp_replace(lower(regexp_replace(regexp_replace(url, '\?.*$', ''), '/+$', '')), '\{[^}]*\}', ':p', 'g')"
+from .bindings import Tables, named_in, with_views
+from .registry import FOUND, NK, PK, ROUTE, SYS, query
 
 
 def _graph(t):
@@ -37,21 +22,11 @@ def _graph(t):
 
 # Scalar functions
 query("norm_route", f"SELECT {ROUTE} AS route, count(*) AS n FROM b_api GROUP BY 1")(lambda t: t.b_api.groupBy(fn.norm_route("url").alias("route")).agg(F.count("*").alias("n")))
-query("norm_repo_url", r"SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z+]+://([^/@]*@)?', ''), '[?#].*$', ''), '/+$', ''), '\.git$', '') AS repo_url, 'gitlab' AS provider FROM pages")(lambda t: t.pages.select("page_id", fn.norm_repo_url("url").alias("repo_url"), fn.provider_of("url").alias("provider")))
 query("name_key", f"SELECT {NK} AS k, count(*) AS n FROM b_outcome GROUP BY 1")(lambda t: t.b_outcome.groupBy(fn.name_key("outcome").alias("k")).agg(F.count("*").alias("n")))
 query("platform_key", f"SELECT {PK} AS platform, count(*) AS n FROM b_outcome GROUP BY 1")(lambda t: functional.outcome_platforms(t.b_outcome))
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(intent, '^[^\n]*?: ', '')), '\([^)]*\)', '', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
 query("normalize_intent", f"SELECT doc_id, {NORM} AS norm FROM b_intent")(lambda t: t.b_intent.select("doc_id", fn.normalize_intent("intent").alias("norm")))
-query("name_tokens", r"SELECT id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''))), ',') AS tokens FROM b_page")(lambda t: t.b_page.select("id", F.array_join(F.array_sort(fn.name_tokens("name")), ",").alias("tokens")))
-query("url_needle", r"SELECT url, CASE WHEN url LIKE 'https%' THEN 'https:/ext.example.com/x' WHEN url LIKE 'rel%' THEN url ELSE regexp_replace(regexp_replace(url, '^/', ''), '/\{id\}.*$', '') END AS needle, count(*) AS n FROM b_api GROUP BY 1, 2")(lambda t: t.b_api.groupBy("url", fn.url_needle("url").alias("needle")).agg(F.count("*").alias("n")))
-query("route_token", r"SELECT action, regexp_extract(action, '(/[A-Za-z0-9_/]+)', 1) AS token, count(*) AS n FROM b_action GROUP BY 1, 2")(lambda t: t.b_action.groupBy("action", fn.route_token("action").alias("token")).agg(F.count("*").alias("n")))
-query("decompose_data_type", "SELECT c_custkey AS id, 'decimal' AS base, CAST(NULL AS INTEGER) AS length, CAST(c_custkey % 30 + 1 AS INTEGER) AS precision, CAST(c_custkey % 7 AS INTEGER) AS scale FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 'nvarchar', CAST(c_custkey % 200 AS INTEGER), NULL, NULL FROM customer WHERE c_custkey % 2 = 1")(
-    lambda t: t.customer.select(F.col("c_custkey").alias("id"), fn.decompose_data_type(F.expr("CASE WHEN c_custkey % 2 = 0 THEN concat('decimal(', c_custkey % 30 + 1, ',', c_custkey % 7, ')') ELSE concat('nvarchar(', c_custkey % 200, ')') END")).alias("d")).select("id", "d.*")
-)
 query("apply_filters", "SELECT id, name FROM b_component WHERE type IN ('ATOM', 'MOLECULE') AND feature_id >= 5 AND feature_id < 20 AND lower(name) LIKE '%supplier%'")(lambda t: fn.apply_filters(t.b_component, {"type": {"$in": ["ATOM", "MOLECULE"]}, "feature_id": {"$gte": 5, "$lt": 20}, "name": {"$containsi": "Supplier"}}).select("id", "name"))
-query("build_embed_text", "SELECT scenario_id, 'Persona: ' || persona || chr(10) || 'Outcome: ' || outcome || chr(10) || 'Scenario: ' || scenario AS embed_text FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id)")(
-    lambda t: functional.with_persona(t.b_scenario, t.b_outcome, t.b_persona).select("scenario_id", F.concat_ws("\n", F.concat(F.lit("Persona: "), "persona"), F.concat(F.lit("Outcome: "), "outcome"), F.concat(F.lit("Scenario: "), "scenario")).alias("embed_text"))
-)
 
 # Functional graph
 _S = "s AS (SELECT outcome_id, count(*) AS scenarios, sum(st) AS steps, sum(ac) AS actions FROM b_scenario LEFT JOIN (SELECT scenario_id, count(*) AS st FROM b_step GROUP BY 1) USING (scenario_id) LEFT JOIN (SELECT scenario_id, count(*) AS ac FROM b_action JOIN b_step USING (step_id) GROUP BY 1) USING (scenario_id) GROUP BY 1)"
@@ -66,14 +41,11 @@ query("citation_coverage", _CITED)(lambda t: functional.citation_coverage(t.b_ou
 query("description_coverage", f"SELECT kind, count(*) AS total, CAST(sum(h) AS BIGINT) AS described, round(100.0 * sum(h) / count(*), 1) AS pct FROM (SELECT 'scenario' AS kind, CASE WHEN trim(description) <> '' THEN 1 ELSE 0 END AS h FROM b_scenario UNION ALL SELECT CASE WHEN {SYS} THEN 'system_action' ELSE 'human_action' END, CASE WHEN trim(a.description) <> '' THEN 1 ELSE 0 END FROM b_action a JOIN b_step USING (step_id) JOIN b_scenario s USING (scenario_id) JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id)) GROUP BY 1")(
     lambda t: functional.description_coverage(t.b_scenario, t.b_outcome, t.b_persona, t.b_step, t.b_action)
 )
-query("platform_agnostic", "SELECT action, count(*) AS n, CASE WHEN action LIKE 'Click%' THEN 'click,tab' ELSE 'tab' END AS words FROM b_action WHERE lower(action) LIKE '%tab%' GROUP BY 1")(lambda t: functional.platform_agnostic(t.b_action))
-query("persona_quality", f"SELECT persona, outcomes, scenarios, actions, round(scenarios / (SELECT greatest(count(*), 1) FROM b_scenario), 4) AS share, CASE WHEN scenarios / (SELECT greatest(count(*), 1) FROM b_scenario) > 0.4 THEN 'BLOATED' WHEN scenarios <= 1 AND actions < 5 THEN 'THIN' ELSE '' END AS flags FROM ({_TOTALS}) WHERE persona IS NOT NULL")(lambda t: functional.persona_quality(*_graph(t)))
 query("cross_persona_overlap", "SELECT k AS keyword, count(DISTINCT persona) AS personas, string_agg(DISTINCT persona, ',' ORDER BY persona) AS persona_list FROM (VALUES ('machinery'), ('building'), ('household')) AS v(k) JOIN (SELECT persona, scenario FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id)) ON contains(lower(scenario), k) GROUP BY 1 HAVING count(DISTINCT persona) >= 3")(lambda t: functional.cross_persona_overlap(t.b_scenario, t.b_outcome, t.b_persona))
 _STORIES = [("a", "machinery"), ("a", "flow 7"), ("b", "building"), ("b", "rocket"), ("b", "submarine"), ("c", "unicorn")]
 query("source_coverage", "SELECT story, count(*) AS total, CAST(sum(f) AS BIGINT) AS found, coalesce(string_agg(CASE WHEN f = 0 THEN k END, ',' ORDER BY k), '') AS missing, CASE WHEN sum(f) >= 0.6 * count(*) THEN 'FULL' WHEN sum(f) > 0 THEN 'PARTIAL' ELSE 'MISSING' END AS status FROM (SELECT story, k, CASE WHEN EXISTS (SELECT 1 FROM b_scenario WHERE contains(lower(scenario), k)) THEN 1 ELSE 0 END AS f FROM (VALUES ('a', 'machinery'), ('a', 'flow 7'), ('b', 'building'), ('b', 'rocket'), ('b', 'submarine'), ('c', 'unicorn')) AS v(story, k)) GROUP BY 1")(
     lambda t: functional.source_coverage(t.spark.createDataFrame(_STORIES, "story string, keyword string"), t.b_scenario.select(F.col("scenario").alias("text")))
 )
-query("functional_health")(lambda t: functional.functional_health(*_graph(t)))
 query("outcome_halves", f"SELECT {NK} AS outcome_key, bool_or({SYS}) AS has_system, bool_or(NOT {SYS}) AS has_human FROM b_outcome JOIN b_persona USING (persona_id) GROUP BY 1 HAVING bool_or({SYS}) <> bool_or(NOT {SYS})")(lambda t: functional.outcome_halves(t.b_outcome, t.b_persona))
 query("reconcile_outcomes", f"SELECT outcome_id, min(outcome_id) OVER w AS kept_id, first_value(outcome) OVER (PARTITION BY persona_id, {NK} ORDER BY outcome_id) AS kept_name FROM b_outcome WINDOW w AS (PARTITION BY persona_id, {NK})")(lambda t: functional.reconcile_outcomes(t.b_outcome))
 query("scope_by_persona", "WITH j AS (SELECT id FROM b_journey WHERE id % 2 = 0), f AS (SELECT DISTINCT child FROM b_flow_parent WHERE parent IN (SELECT id FROM j)), p AS (SELECT DISTINCT child FROM b_page_parent WHERE parent IN (SELECT child FROM f)), c AS (SELECT DISTINCT child FROM b_component_parent WHERE parent IN (SELECT child FROM p)) SELECT 'flow' AS label, child AS id FROM f UNION ALL SELECT 'page', child FROM p UNION ALL SELECT 'component', child FROM c")(
@@ -98,15 +70,6 @@ def _payload(t):
 
 
 _P = "(SELECT outcome_id AS payload_id, persona, action_id, action, a.description, has_api, l_suppkey FROM b_action a JOIN b_step USING (step_id) JOIN b_scenario USING (scenario_id) JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id))"
-query("check_schema", "SELECT c_custkey AS payload_id, 'schema' AS \"check\", 'personas' AS detail FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, 'schema', 'persona' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 7 = 0 UNION ALL SELECT c_custkey, 'schema', 'outcomes' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 = 0 UNION ALL SELECT c_custkey, 'schema', 'outcome' FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey % 11 <> 0 AND c_custkey % 3 = 0")(
-    lambda t: gates.check_schema(t.customer.selectExpr("c_custkey AS payload_id", "filter(array(named_struct('persona', IF(c_custkey % 7 = 0, ' ', c_mktsegment), 'outcomes', filter(array(named_struct('outcome', c_name, 'scenarios', filter(array(c_mktsegment), x -> c_custkey % 3 <> 0))), x -> c_custkey % 11 <> 0))), x -> c_custkey % 5 <> 0) AS personas"))
-)
-query("check_rule_a", f"SELECT payload_id, 'rule_a' AS \"check\", action_id, lower(split_part(action, ' ', 1)) AS detail FROM {_P} WHERE NOT has_api AND ((NOT {SYS} AND lower(split_part(action, ' ', 1)) IN ('submit', 'persist')) OR ({SYS} AND lower(split_part(action, ' ', 1)) IN ('submit', 'receive', 'persist') AND NOT coalesce(contains(description, 'table'), false)))")(lambda t: gates.check_rule_a(_payload(t)))
-query("check_forbidden_words", f"SELECT payload_id, 'forbidden_words' AS \"check\", action_id, 'click,tab' AS detail FROM {_P} WHERE NOT {SYS} AND action = 'Click the tab'")(lambda t: gates.check_forbidden_words(_payload(t)))
-query("check_persona", f"SELECT outcome_id AS payload_id, 'persona' AS \"check\", 'kind' AS detail FROM b_outcome JOIN b_persona USING (persona_id) WHERE {SYS}")(lambda t: gates.check_persona(t.b_outcome.join(t.b_persona, "persona_id").select(F.col("outcome_id").alias("payload_id"), "persona"), "human"))
-query("check_path_linked", f"SELECT payload_id, 'path_linked' AS \"check\", action_id, 'no_api' AS detail FROM {_P} WHERE action LIKE 'Receive POST%' AND NOT has_api")(lambda t: gates.check_path_linked(_payload(t)))
-query("check_descriptions", f"SELECT payload_id, action_id FROM {_P} WHERE description IS NULL")(lambda t: gates.check_descriptions(_payload(t)).select("payload_id", "action_id"))
-query("check_atomicity", f"SELECT payload_id, 'input_with_api' AS \"check\", action_id, 'enter' AS detail FROM {_P} WHERE action = 'Enter quantity' AND has_api")(lambda t: gates.check_atomicity(_payload(t), t.spark.createDataFrame([(0, "quantity", True)], "payload_id long, label string, editable boolean")))
 query("check_citations", "SELECT outcome_id AS payload_id, 'citations' AS \"check\", level, node_id, CASE WHEN level = 'outcome' THEN 'not_allowed' ELSE 'missing' END AS detail FROM (SELECT outcome_id, 'outcome' AS level, outcome_id AS node_id, cited FROM b_outcome UNION ALL SELECT outcome_id, 'scenario', scenario_id, cited FROM b_scenario) WHERE (level = 'outcome') = cited")(
     lambda t: gates.check_citations(t.b_outcome.select(F.col("outcome_id").alias("payload_id"), F.lit("outcome").alias("level"), F.col("outcome_id").alias("node_id"), F.when(F.col("cited"), "repo/a").alias("reference")).unionByName(t.b_scenario.select(F.col("outcome_id").alias("payload_id"), F.lit("scenario").alias("level"), F.col("scenario_id").alias("node_id"), F.when(F.col("cited"), "repo/b").alias("reference"))), F.lit("repo"))
 )
@@ -115,8 +78,6 @@ query("check_field_coverage", f"WITH f AS (SELECT outcome_id AS payload_id, 'Ord
 )
 query("check_citation_completeness", "SELECT doc_id AS payload_id, path FROM b_file WHERE NOT indexed")(lambda t: gates.check_citation_completeness(t.b_file.select(F.col("doc_id").alias("payload_id"), "path"), t.b_file.where("indexed").select(F.col("doc_id").alias("payload_id"), F.col("path").alias("reference"))))
 query("check_side_effect_coverage", f"SELECT payload_id, count(*) AS total, CAST(sum(CAST(has_api AS INT)) AS BIGINT) AS matched, round(100.0 * sum(CAST(has_api AS INT)) / count(*), 1) AS pct FROM {_P} GROUP BY 1 HAVING sum(CAST(has_api AS INT)) < 0.9 * count(*)")(lambda t: gates.coverage_below(_payload(t), "has_api"))
-query("check_widget_coverage", r"SELECT repo AS payload_id, CAST(sum(len(regexp_extract_all(text, 'the'))) AS BIGINT) AS widgets, count(*) AS actions FROM b_file GROUP BY 1 HAVING count(*) < 0.9 * sum(len(regexp_extract_all(text, 'the')))")(lambda t: gates.check_widget_coverage(t.b_file.select(F.col("repo").alias("payload_id")), t.b_file.select(F.col("repo").alias("payload_id"), "text"), "the"))
-query("check_node", "SELECT scenario_id AS id, 'Scenario' AS label, CASE WHEN outcome_id = 0 THEN 'parent' ELSE 'description' END AS issue FROM b_scenario WHERE outcome_id = 0 OR description IS NULL")(lambda t: gates.check_node(t.b_scenario.selectExpr("scenario_id AS id", "'Scenario' AS label", "scenario AS name", "description", "nullif(outcome_id, 0) AS parent_id")))
 query("check_wrapper", "SELECT id AS body_id, CASE WHEN id % 5 = 0 THEN 'project.uuid' ELSE 'project.name' END AS missing FROM b_page WHERE id % 5 = 0 OR id % 7 = 0")(lambda t: gates.check_wrapper(t.b_page.selectExpr("id AS body_id", "name AS payload", "CASE WHEN id % 5 = 0 THEN ' ' ELSE 'u' END AS project_uuid", "CASE WHEN id % 7 = 0 THEN NULL ELSE 'n' END AS project_name", "false AS skip")))
 
 # Design graph
@@ -128,26 +89,14 @@ query("broken_chains", "WITH p AS (SELECT DISTINCT parent AS id FROM b_component
 query("duplicate_linkage", "SELECT l_orderkey AS child, l_linenumber AS parent, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda t: design.duplicate_linkage(t.lineitem.select(F.col("l_orderkey").alias("child"), F.col("l_linenumber").alias("parent"))))
 query("empty_hierarchy", "SELECT 'page_without_component' AS issue, id FROM b_page WHERE id NOT IN (SELECT parent FROM b_component_parent WHERE child % 2 = 0)")(lambda t: design.empty_hierarchy(t.b_page, t.b_component_parent.where("child % 2 = 0"), "page_without_component"))
 query("duplicate_names", f"SELECT name, page_type, {PK} AS platform, count(*) AS n, min(id) AS first_id FROM b_page WHERE trim(name) <> '' GROUP BY 1, 2, 3 HAVING count(*) > 1")(lambda t: design.duplicate_names(t.b_page, "page_type"))
-query("near_duplicate_names")(lambda t: design.near_duplicate_names(t.b_page.select(F.lit("Page").alias("label"), "platform", "name")))
 query("missing_scenario_id", "SELECT id, name FROM b_journey WHERE scenario_id IS NULL")(lambda t: design.missing_scenario_id(t.b_journey))
 query("duplicate_scenario_ids", "SELECT scenario_id, count(DISTINCT id) AS n, bool_or(id % 2 = 0) AS counts FROM b_journey WHERE scenario_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1")(lambda t: design.duplicate_scenario_ids(t.b_journey, F.col("id") % 2 == 0))
-query("child_platform_mismatch", f"WITH fl AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'portal' WHEN o_orderkey % 3 = 1 THEN 'admin' ELSE NULL END AS platform FROM orders), own AS (SELECT id, {PK} AS platform FROM fl), j AS (SELECT id, {PK} AS p FROM b_journey), up AS (SELECT child, list_sort(list(DISTINCT p)) AS e FROM b_flow_parent JOIN j ON j.id = parent GROUP BY 1) SELECT id, platform, array_to_string(e, ',') AS expected, CASE WHEN list_contains(e, platform) THEN platform ELSE e[1] END AS passed FROM own JOIN up ON child = id WHERE e <> [platform]")(
-    lambda t: design.child_platform_mismatch(t.orders.select(F.col("o_orderkey").alias("id"), F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 'portal' WHEN o_orderkey % 3 = 1 THEN 'admin' END").alias("platform")), t.b_flow_parent, t.b_journey)
-)
-query("invalid_enums", "SELECT id, page_type AS value, 'P1' AS severity FROM b_page WHERE page_type = 'form'")(lambda t: design.invalid_enums(t.b_page, "page_type", PAGE_TYPES))
 _LAYOUT = "CASE p_size % 6 WHEN 0 THEN 'GRID' WHEN 1 THEN 'FLEX' WHEN 2 THEN 'SIDEBAR' WHEN 3 THEN 'FULL' WHEN 4 THEN 'full' ELSE 'Masonry' END"
 query("invalid_layouts", f"SELECT p_partkey AS id, {_LAYOUT} AS value, CASE WHEN p_size % 6 = 4 THEN 'P1' ELSE 'P0' END AS severity FROM part WHERE p_size % 6 > 3")(lambda t: design.invalid_enums(t.part.selectExpr("p_partkey AS id", f"{_LAYOUT} AS layout_type"), "layout_type", LAYOUT_TYPES))
 query("template_compliance", "WITH x AS (SELECT parent AS id, count(*) AS n, min(c.name) AS tpl FROM (SELECT DISTINCT child, parent FROM b_component_parent) l JOIN b_component c ON c.id = l.child AND c.type = 'TEMPLATE' GROUP BY 1) SELECT p.id, coalesce(n, 0) AS templates, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'several' ELSE 'unexpected' END AS issue, CASE WHEN n IS NULL THEN 'P0' ELSE 'P2' END AS severity FROM b_page p LEFT JOIN x USING (id) WHERE n IS NULL OR n > 1 OR page_type <> 'form'")(lambda t: design.template_compliance(t.b_page, t.b_component, t.b_component_parent))
 
 
-def _uses(t):
-    return t.b_component.select("id", "name", F.explode(F.expr("CASE WHEN id % 3 = 0 THEN array(id + 1) ELSE array(id + 1, id + 4) END")).alias("u")).select("id", "name", F.concat(F.lit("Supplier#"), F.lpad(F.col("u").cast("string"), 9, "0")).alias("used"))
-
-
-query("supporting_components")(lambda t: design.supporting_components(t.b_component, _uses(t).select("id", "used")))
-query("design_description_coverage", "SELECT 'Scenario' AS label, count(*) AS total, CAST(sum(CASE WHEN description IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, round(100.0 * (count(*) - sum(CASE WHEN description IS NULL THEN 1 ELSE 0 END)) / count(*), 1) AS pct FROM b_scenario")(lambda t: functional.description_gaps(t.b_scenario.select(F.lit("Scenario").alias("label"), "description")))
 query("type_distribution", "SELECT type, count(*) AS n FROM b_component GROUP BY 1")(lambda t: design.type_distribution(t.b_component))
-query("journey_platform_mismatch", f"WITH o AS (SELECT outcome_id, {PK} AS p FROM b_outcome), j AS (SELECT id, scenario_id, {PK} AS platform FROM b_journey) SELECT id, platform, p AS expected, false AS ambiguous FROM j JOIN b_scenario USING (scenario_id) JOIN o USING (outcome_id) WHERE p <> platform")(lambda t: design.journey_platform_mismatch(t.b_journey, t.b_scenario, t.b_outcome))
 query("scenario_coverage", f"WITH h AS (SELECT scenario_id FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id) WHERE NOT {SYS}) SELECT (SELECT count(*) FROM b_journey WHERE scenario_id IS NOT NULL AND scenario_id NOT IN (SELECT scenario_id FROM b_scenario)) AS unknown_journeys, count(*) AS human_scenarios, count(j.scenario_id) AS covered, round(100.0 * count(j.scenario_id) / count(*), 1) AS pct FROM h LEFT JOIN (SELECT DISTINCT scenario_id FROM b_journey) j USING (scenario_id)")(
     lambda t: design.scenario_coverage(t.b_journey, t.b_scenario, t.b_outcome, t.b_persona)
 )
@@ -160,9 +109,6 @@ query("action_coverage", "WITH u AS (SELECT DISTINCT action_id FROM b_action WHE
 query("step_on_flow_and_page", "SELECT step_id, f.n AS flows, p.n AS pages FROM (SELECT o_orderkey AS step_id, count(DISTINCT o_custkey) AS n FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1) f JOIN (SELECT l_orderkey AS step_id, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) p USING (step_id)")(
     lambda t: design.on_both(t.orders.where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("child"), F.col("o_orderkey").alias("parent")), t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("child"), F.col("l_orderkey").alias("parent")))
 )
-query("step_action_consistency", "WITH ca AS (SELECT l_suppkey AS component_id, l_orderkey * 10 + l_linenumber AS action_id, l_orderkey AS step_id FROM lineitem WHERE l_linenumber = 3), fl AS (SELECT DISTINCT c.child, p.parent AS flow FROM b_component_parent c JOIN b_page_parent p ON p.child = c.parent), r AS (SELECT DISTINCT child AS component_id, flow AS step_id FROM fl) SELECT component_id, action_id, step_id FROM ca WHERE component_id IN (SELECT component_id FROM r) AND (component_id, step_id) NOT IN (SELECT component_id, step_id FROM r)")(
-    lambda t: design.step_action_consistency(t.lineitem.where("l_linenumber = 3").selectExpr("l_suppkey AS component_id", "l_orderkey * 10 + l_linenumber AS action_id"), t.lineitem.where("l_linenumber = 3").selectExpr("l_orderkey * 10 + l_linenumber AS action_id", "l_orderkey AS step_id").distinct(), t.b_component_parent, t.b_page_parent, t.orders.select(F.col("o_orderkey").alias("child"), F.col("o_orderkey").alias("parent")))
-)
 query("action_on_many_components", "SELECT l_partkey AS action_id, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")(lambda t: design.over_shared(t.lineitem.select(F.col("l_suppkey").alias("child"), F.col("l_partkey").alias("parent")), 1, "action_id"))
 query("action_accumulation", "SELECT id, type, n FROM b_component JOIN (SELECT child AS id, count(*) AS n FROM b_component_parent GROUP BY 1 HAVING count(*) > 5) USING (id) WHERE type IN ('ATOM', 'TEMPLATE')")(lambda t: design.accumulation(t.b_component_parent, t.b_component))
 query("over_shared_steps", "SELECT parent AS step_id, count(DISTINCT child) AS n FROM b_flow_parent GROUP BY 1 HAVING count(DISTINCT child) > 3")(lambda t: design.over_shared(t.b_flow_parent, 3, "step_id"))
@@ -181,11 +127,13 @@ query("route_crosscheck", f"WITH l AS (SELECT {ROUTE} AS path, count(*) AS n FRO
 )
 query("orphan_handler_files", "SELECT path FROM b_file WHERE path LIKE '%/app/%.py' AND NOT indexed")(lambda t: interfaces.orphan_handler_files(t.b_file, t.b_file.where("indexed"), r"/app/.*\.py$"))
 _HOPS = "SELECT event_type AS from_app, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS to_app FROM events"
-query("journey_map", f"SELECT from_app, to_app, count(*) AS n, to_app IS NOT NULL AS resolved FROM ({_HOPS}) GROUP BY 1, 2")(lambda t: interfaces.journey_map(_sql(t, "events", _HOPS)))
+query("journey_map", f"SELECT from_app, to_app, count(*) AS n, to_app IS NOT NULL AS resolved FROM ({_HOPS}) GROUP BY 1, 2")(lambda t: interfaces.journey_map(_sql_views(t, _HOPS)))
 
 
-def _sql(t, table: str, sql: str) -> DataFrame:
-    getattr(t, table).createOrReplaceTempView(table)
+def _sql_views(t, sql: str) -> DataFrame:
+    """A text that names tables and views, in Spark."""
+    for name in named_in(sql):
+        getattr(t, name).createOrReplaceTempView(name)
     return t.spark.sql(sql)
 
 
@@ -197,72 +145,49 @@ def _registries(t):
 
 _REG = "l AS (SELECT name AS left_name, CASE WHEN id % 7 = 0 THEN 'R' || name ELSE name END AS key, type AS left_type, id % 7 = 0 AS via FROM b_component WHERE id % 3 <> 0), r AS (SELECT CASE WHEN id % 7 = 0 THEN 'R' || name ELSE name END AS key, CASE WHEN id % 8 = 1 THEN 'ATOM' ELSE type END AS right_type FROM b_component WHERE id % 5 <> 0), c AS (SELECT key, left_name, left_type, right_type, coalesce(via, false) AS via_equivalence, CASE WHEN right_type IS NULL THEN 'left_only' WHEN left_name IS NULL THEN 'right_only' ELSE 'matched' END AS side FROM l FULL JOIN r USING (key))"
 query("compare_component_registries", f"WITH {_REG} SELECT * FROM c")(lambda t: interfaces.compare_registries(*_registries(t)))
-query("component_type_drift", f"WITH {_REG} SELECT key, left_type, right_type, 'HIGH' AS severity FROM c WHERE side = 'matched' AND left_type <> right_type")(lambda t: interfaces.component_type_drift(interfaces.compare_registries(*_registries(t))))
-query("component_children_drift", "WITH l AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem WHERE l_linenumber <= 2), r AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem WHERE l_linenumber BETWEEN 2 AND 3) SELECT key, CAST(sum(CASE WHEN r.child IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only, CAST(sum(CASE WHEN l.child IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only, CAST(sum(CASE WHEN l.child = r.child THEN 1 ELSE 0 END) AS BIGINT) AS common FROM l FULL JOIN r USING (key, child) GROUP BY 1 HAVING count(l.child) > 0 AND count(r.child) > 0")(lambda t: _kids(t))
+query("component_children_drift", "WITH l AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem WHERE l_linenumber <= 4), r AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem WHERE l_linenumber >= 3) SELECT key, CAST(sum(CASE WHEN r.child IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only, CAST(sum(CASE WHEN l.child IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only, CAST(sum(CASE WHEN l.child = r.child THEN 1 ELSE 0 END) AS BIGINT) AS common FROM l FULL JOIN r USING (key, child) GROUP BY 1 HAVING count(l.child) > 0 AND count(r.child) > 0")(lambda t: _kids(t))
 
 
 def _kids(t):
     side = lambda c: t.lineitem.where(c).select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("child"))
-    return interfaces.children_drift(side("l_linenumber <= 2"), side("l_linenumber BETWEEN 2 AND 3"))
+    return interfaces.children_drift(side("l_linenumber <= 4"), side("l_linenumber >= 3"))
 
 
-query("registry_health")(lambda t: interfaces.registry_health(interfaces.compare_registries(*_registries(t)), _kids(t)))
 
 # Merges
-query("merge_functional")(lambda t: merges.merge_outcomes(t.b_outcome.where("outcome_id < 15").selectExpr("persona_id", "outcome", "platform", "CAST(NULL AS STRING) AS description"), t.b_outcome.where("outcome_id >= 10").selectExpr("persona_id", "upper(outcome) AS outcome", "platform", "'new' AS description")))
 query("merge_design", "WITH k AS (SELECT id, lower(trim(name)) AS k, coalesce(nullif(lower(trim(platform)), ''), 'default') AS p FROM b_page), m AS (SELECT k, p, min(id) AS kept FROM k GROUP BY 1, 2) SELECT DISTINCT kept AS id, parent FROM b_page_parent JOIN k ON k.id = child JOIN m USING (k, p)")(lambda t: merges.merge_design(t.b_page.withColumn("seq", F.col("id") % 2), t.b_page_parent)[1])
 query("delete_with_orphan_cleanup", "WITH j AS (SELECT id FROM b_journey WHERE id % 2 = 0), f AS (SELECT child AS id FROM (SELECT DISTINCT child, parent FROM b_flow_parent) LEFT JOIN j ON parent = j.id GROUP BY 1 HAVING count(*) = count(j.id)), p AS (SELECT child AS id FROM b_page_parent LEFT JOIN f ON parent = f.id GROUP BY 1 HAVING count(*) = count(f.id)) SELECT 'flow' AS label, id FROM f UNION ALL SELECT 'page', id FROM p")(
     lambda t: _labelled(["flow", "page"], merges.delete_with_orphan_cleanup(t.b_journey.where("id % 2 = 0"), [t.b_flow_parent, t.b_page_parent]))
 )
 query("merge_batch_scenarios", "SELECT outcome_id, scenario, min(scenario_id) AS scenario_id FROM b_scenario GROUP BY 1, 2")(lambda t: merges.merge_batches(t.b_scenario.select("outcome_id", "scenario", "scenario_id"), ["outcome_id", "scenario"], ["scenario_id"]))
-query("widen_component_scope", "SELECT type, name, features, apps, shared, CASE WHEN features >= 3 OR apps >= 2 OR shared THEN 'GLOBAL' WHEN features = 2 THEN 'DOMAIN' ELSE 'PAGE' END AS scope FROM (SELECT type, name, count(DISTINCT l_partkey % 5) AS features, count(DISTINCT l_partkey % 2) AS apps, bool_or(l_partkey % 50 = 0) AS shared FROM lineitem JOIN b_component ON id = l_suppkey WHERE l_linenumber = 1 GROUP BY 1, 2)")(
-    lambda t: merges.widen_scope(t.lineitem.where("l_linenumber = 1").join(t.b_component, F.col("id") == F.col("l_suppkey")).selectExpr("type", "name", "l_partkey % 5 AS feature", "l_partkey % 2 AS app", "l_partkey % 50 = 0 AS shared"))
-)
-query("validate_registry")(lambda t: merges.validate_registry(t.b_component.select("name", "type"), _uses(t).select("name", F.col("used").alias("child"))))
 
 
 def _arch(t):
     return t.part.selectExpr("'Services' AS layer", "p_brand AS name", "CASE p_partkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'iac' ELSE 'code' END AS source", "p_type AS description", "p_container AS technology", "CAST(p_size AS STRING) AS region") if "p_container" in t.part.columns else t.part.selectExpr("'Services' AS layer", "p_brand AS name", "CASE p_partkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'iac' ELSE 'code' END AS source", "p_type AS description", "p_type AS technology", "CAST(p_size AS STRING) AS region")
 
 
-query("merge_architecture_sources", "SELECT 'Services' AS layer, lower(p_brand) AS k, 'region' AS field, count(DISTINCT p_size) AS n FROM part GROUP BY 2 HAVING count(DISTINCT p_size) > 1")(lambda t: merges.merge_architecture(_arch(t))[1].where("field = 'region'"))
 query("layer_inventory", "SELECT layer, n, n = 0 AS empty FROM (SELECT 'Services' AS layer, (SELECT count(*) FROM part) AS n UNION ALL SELECT unnest(['UserExperience', 'ApiGateway', 'Agents', 'DataLake', 'EventQueue', 'ObservabilityMonitoring', 'Infrastructure']), 0)")(lambda t: merges.layer_inventory(_arch(t)))
 query("layer_boundaries", "SELECT DISTINCT l_partkey AS source, l_suppkey AS target, CASE WHEN l_partkey % 3 = 0 THEN 'direct_storage_call' ELSE 'reverse_flow' END AS issue FROM lineitem WHERE (l_partkey % 3 = 0 AND l_suppkey % 3 = 1) OR (l_partkey % 3 = 2 AND l_suppkey % 3 = 0)")(
     lambda t: merges.layer_boundaries(t.part.selectExpr("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'UserExperience' WHEN 1 THEN 'DataLake' ELSE 'Services' END AS layer"), t.lineitem.select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
 )
-query("classify_iac_resources", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'aws_s3_bucket' WHEN 1 THEN 'aws_sqs_queue' ELSE 'x_unknown' END AS rtype, CASE p_partkey % 3 WHEN 0 THEN 'DataLake' WHEN 1 THEN 'EventQueue' END AS layer, p_partkey % 3 = 2 AS flagged FROM part")(
-    lambda t: merges.classify_resources(t.part.selectExpr("p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN 'aws_s3_bucket' WHEN 1 THEN 'aws_sqs_queue' ELSE 'x_unknown' END AS rtype"), t.spark.createDataFrame([("aws_s3_bucket", "DataLake"), ("aws_s3", "UserExperience"), ("aws_sqs_queue", "EventQueue")], "prefix string, layer string"))
-)
 
 # Search and impact
 _NOUNS = ["the", "apache", "license", "password"]
 query("keyword_sweep", "SELECT noun, count(*) AS total, count(*) > 60 AS too_common FROM documents JOIN (VALUES ('the'), ('apache'), ('license'), ('password')) AS v(noun) ON contains(lower(text), noun) GROUP BY 1")(lambda t: search.keyword_sweep(t.documents.select(F.col("doc_id").alias("id"), "text"), _NOUNS)[0])
 query("reference_sweep", "SELECT path AS file FROM b_file WHERE contains(lower(text), 'token')")(lambda t: search.reference_sweep([t.b_file.select(F.col("path").alias("file"), "text")], "tokeN"))
-query("semantic_top_k", "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS id, list_cosine_similarity(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM q, embeddings) SELECT query_id, id, round(s, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM s) WHERE r <= 10")(
-    lambda t: search.semantic_top_k(t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 10).select("query_id", "id", F.round("score", 5).alias("score"))
-)
 query("best_hit_per_path", "SELECT l_suppkey AS query_id, CAST(l_partkey % 100 AS STRING) AS path, max(l_discount) AS score FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1, 2")(lambda t: search.best_hit_per_path(t.lineitem.selectExpr("l_suppkey AS query_id", "CAST(l_partkey % 100 AS STRING) AS path", "l_discount AS score", "l_orderkey AS id"), 0.05).select("query_id", "path", "score"))
 query("expand_touched_scenarios", "SELECT scenario_id, outcome_id FROM b_scenario WHERE outcome_id IN (SELECT outcome_id FROM b_scenario WHERE scenario_id % 500 = 1)")(lambda t: search.expand_touched_scenarios(t.b_scenario.where("scenario_id % 500 = 1"), t.b_scenario))
 query("covering_design_nodes", "SELECT DISTINCT child AS id FROM b_component_parent WHERE parent IN (SELECT id FROM b_page WHERE id % 50 = 0)")(lambda t: search.covering_nodes(t.b_component_parent, t.b_page.where("id % 50 = 0")))
-query("call_graph_neighbours", "WITH e AS (SELECT DISTINCT l_orderkey % 500 AS s, l_partkey % 500 AS t FROM lineitem), h0 AS (SELECT 1 AS id), h1 AS (SELECT DISTINCT t AS id FROM e WHERE s IN (SELECT id FROM h0) AND t NOT IN (SELECT id FROM h0)), h2 AS (SELECT DISTINCT t AS id FROM e WHERE s IN (SELECT id FROM h1) AND t NOT IN (SELECT id FROM h0 UNION ALL SELECT id FROM h1)) SELECT id, 0 AS distance FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2")(
-    lambda t: search.neighbours(t.lineitem.selectExpr("l_orderkey % 500 AS source", "l_partkey % 500 AS target"), t.spark.createDataFrame([(1,)], "id long"), 2)
-)
 query("file_fan_in", "SELECT l_partkey AS id, count(DISTINCT l_suppkey) AS imported_by FROM lineitem GROUP BY 1")(lambda t: search.file_fan_in(t.lineitem.select(F.col("l_partkey").alias("target"), F.col("l_suppkey").alias("source"))))
-query("scenarios_citing_files", "WITH c AS (SELECT DISTINCT l_suppkey AS node_id, l_partkey AS reference FROM lineitem WHERE l_linenumber = 1), x AS (SELECT node_id, count(*) AS citations, CAST(sum(CASE WHEN reference % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM c GROUP BY 1) SELECT *, citations = changed AS all_gone FROM x WHERE changed > 0")(
-    lambda t: search.nodes_citing_files(t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("path")), t.lineitem.where("l_linenumber = 1").select(F.col("l_suppkey").alias("node_id"), F.col("l_partkey").alias("reference")))
+query("scenarios_citing_files", "WITH c AS (SELECT DISTINCT l_suppkey AS node_id, l_partkey AS reference FROM lineitem), x AS (SELECT node_id, count(*) AS citations, CAST(sum(CASE WHEN reference % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM c GROUP BY 1) SELECT *, citations = changed AS all_gone FROM x WHERE changed > 0")(
+    lambda t: search.nodes_citing_files(t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("path")), t.lineitem.select(F.col("l_suppkey").alias("node_id"), F.col("l_partkey").alias("reference")))
 )
 
 # Intents
 query("exact_dedup", "SELECT DISTINCT intent FROM b_intent")(lambda t: t.b_intent.select("intent").distinct())
 query("normalized_dedup", f"WITH x AS (SELECT DISTINCT intent FROM b_intent), n AS (SELECT intent, {NORM} AS norm FROM x) SELECT norm, intent, merged FROM (SELECT norm, intent, count(*) OVER (PARTITION BY norm) AS merged, row_number() OVER (PARTITION BY norm ORDER BY length(intent) DESC, intent) AS r FROM n) WHERE r = 1")(lambda t: intents.normalized_dedup(t.b_intent))
 query("split_persona", "SELECT doc_id, split_part(intent, ': ', 1) AS persona, substr(intent, 5) AS text FROM b_intent")(lambda t: t.b_intent.select("doc_id", fn.split_persona("intent")[0].alias("persona"), fn.split_persona("intent")[1].alias("text")))
-query("filter_non_functional")(lambda t: intents.filter_non_functional(t.b_intent).select("doc_id"))
-query("cluster_intents")(lambda t: intents.cluster(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("grp"), "embedding"), 0.70))
-query("similar_pairs", "SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.3")(lambda t: intents.similar_pairs(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("grp"), "embedding"), 0.70))
-query("cluster_summary")(lambda t: intents.cluster_summary(intents.cluster(t.embeddings.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("grp"), "embedding"), 0.70)))
 query("fixed_batches", "SELECT repo, doc_id, CAST(floor((row_number() OVER (PARTITION BY repo ORDER BY doc_id) - 1) / 20) AS BIGINT) AS batch FROM b_file")(lambda t: intents.fixed_batches(t.b_file.select("repo", "doc_id"), "repo", "doc_id", 20))
-query("capacity_batches")(lambda t: intents.capacity_batches(t.b_file.select(F.col("repo").alias("grp"), F.col("doc_id").alias("pos"), F.col("loc").alias("size")), 20_000, True))
-query("extract_branches", r"WITH k AS (SELECT fn, pos, CASE WHEN regexp_matches(text, '(?i)\b(with|from)\b') THEN 'BRANCH' WHEN regexp_matches(text, '(?i)(tion)') THEN 'ROUTE' WHEN regexp_matches(text, '(?i)\b(the|and)\b') THEN 'DB' END AS kind FROM b_statement WHERE length(text) >= 10), r AS (SELECT *, count(*) OVER (PARTITION BY fn) AS n, row_number() OVER (PARTITION BY fn, kind = 'DB' ORDER BY pos) AS r FROM k WHERE kind IS NOT NULL) SELECT fn, pos, kind FROM r WHERE n <= 8 OR (kind = 'DB' AND r <= 2) OR (kind <> 'DB' AND r <= 6)")(lambda t: intents.extract_branches(t.b_statement, r"(?i)\b(with|from)\b", "(?i)(tion)", r"(?i)\b(the|and)\b"))
 
 # Repositories and changes
 query("display_names", "SELECT CAST(s_suppkey AS STRING) || '/x' AS key, CASE WHEN count(*) OVER (PARTITION BY s_nationkey) = 1 THEN CAST(s_nationkey AS STRING) ELSE CAST(s_suppkey AS STRING) || '__x' END AS display_name FROM supplier")(lambda t: repos.display_names(t.supplier.selectExpr("concat(s_suppkey, '/x') AS key", "CAST(s_nationkey AS STRING) AS name")))
@@ -274,8 +199,6 @@ query("triage_by_prefix", f"SELECT CASE WHEN name = 'solo' THEN '(none)' ELSE sp
 query("unsupported_languages", f"SELECT key, language FROM (SELECT {', '.join(_REPOS)} FROM orders) WHERE language = 'Go'")(lambda t: t.orders.selectExpr(*_REPOS).where(repos.unsupported()).select("key", "language"))
 query("tree_stats", r"WITH c AS (SELECT repo, CASE WHEN regexp_extract(path, '(\.[^./]+)$', 1) = '' THEN '(none)' ELSE lower(regexp_extract(path, '(\.[^./]+)$', 1)) END AS value, count(*) AS n FROM b_file GROUP BY 1, 2) SELECT repo, value, n FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, value) AS r FROM c) WHERE r <= 3")(lambda t: repos.tree_stats(t.b_file, "ext", 3))
 _PATTERNS = ["*.cs", "/src1/**", "never-there/"]
-query("preview_ignores", "SELECT doc_id, CASE WHEN doc_id % 5 IN (2, 4) THEN 'unsupported' WHEN doc_id % 6 IN (0, 1) THEN 'built-in' WHEN doc_id % 5 = 3 THEN '*.cs' WHEN repo = 'src1' THEN '/src1/**' ELSE 'kept' END AS reason FROM b_file")(lambda t: repos.preview_ignores(t.b_file, _PATTERNS).select("doc_id", "reason"))
-query("pattern_hits", "SELECT p AS pattern, CAST(coalesce(sum(CASE WHEN p = r THEN 1 ELSE 0 END), 0) AS BIGINT) AS n FROM (VALUES ('*.cs'), ('/src1/**'), ('never-there/')) AS v(p), (SELECT CASE WHEN doc_id % 5 IN (2, 4) OR doc_id % 6 IN (0, 1) THEN '' WHEN doc_id % 5 = 3 THEN '*.cs' WHEN repo = 'src1' THEN '/src1/**' ELSE '' END AS r FROM b_file) GROUP BY 1")(lambda t: repos.pattern_hits(repos.preview_ignores(t.b_file, _PATTERNS), _PATTERNS))
 _STATUS = "CASE stage WHEN 'active' THEN 'indexed' WHEN 'error' THEN 'error' ELSE 'ingesting' END"
 _LATEST = f"SELECT repo_id, ts, stage, {_STATUS} AS status FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY ts DESC, event_id DESC) AS r FROM b_status_event) WHERE r = 1"
 query("repo_status", _LATEST)(lambda t: repos.latest_status(t.b_status_event))
@@ -299,10 +222,8 @@ _W = "SELECT *, CASE WHEN path = 'apps/en' OR path LIKE 'apps/en/%' THEN 'apps/e
 query("assign_workspace", f"SELECT page_id, path, status, workspace, wtype FROM ({_W})")(lambda t: _spaces(t).dropDuplicates(["page_id"]))
 query("scope_filter", "SELECT page_id, path FROM b_change WHERE path LIKE 'apps/en/%' OR path LIKE 'apps/fr/%'")(lambda t: repos.scope_filter(t.b_change, ["apps/en/", "apps/fr/"]).select("page_id", "path"))
 query("affected_apps", "SELECT l_suppkey AS library, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS apps FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY 1")(lambda t: repos.affected_apps(t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("library")), t.lineitem.select(F.col("l_suppkey").alias("library"), F.col("l_returnflag").alias("app")).distinct()))
-query("change_breakdown", f"SELECT wtype, CAST(sum(CASE status WHEN 'A' THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE status WHEN 'M' THEN 1 ELSE 0 END) AS BIGINT) AS m, CAST(sum(CASE status WHEN 'D' THEN 1 ELSE 0 END) AS BIGINT) AS d, CAST(sum(CASE status WHEN 'R' THEN 1 ELSE 0 END) AS BIGINT) AS r FROM ({_W}) GROUP BY 1")(lambda t: repos.change_breakdown(_spaces(t).dropDuplicates(["page_id"])))
 
 # Specification tables
-query("plain_rows")(lambda t: spec.plain_rows(t.b_scenario, t.b_step, t.b_action))
 query("outcome_citations", "SELECT outcome_id, string_agg(doc, ',' ORDER BY pos, doc) AS docs FROM (SELECT outcome_id, split_part(scenario, ' ', 1) AS doc, min(scenario_id) AS pos FROM b_scenario GROUP BY 1, 2) GROUP BY 1")(lambda t: spec.outcome_citations(t.b_scenario.select("outcome_id", F.split("scenario", " ")[0].alias("doc"), F.col("scenario_id").alias("pos"))))
 query("source_index", "SELECT source AS doc, CAST(row_number() OVER (ORDER BY source) AS INTEGER) AS no FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)")(lambda t: spec.source_index(t.documents.select(F.col("source").alias("doc"))))
 
@@ -317,13 +238,12 @@ query("connect_candidates", "SELECT s_suppkey AS repo_id FROM supplier WHERE s_s
 query("classify_stores", "SELECT s_suppkey AS store, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'blocking' WHEN s_suppkey % 3 = 0 THEN 'writable' ELSE 'confirmed' END AS tier FROM supplier WHERE s_suppkey % 5 >= 3")(lambda t: search.classify_stores(t.supplier.selectExpr("s_suppkey AS store", "s_suppkey % 2 = 0 AS read_only", "s_suppkey % 3 = 0 AS needs_ddl", "s_suppkey % 5 AS hits", "0.41 AS score_min", "0.44 AS score_max")))
 query("store_verdict", "SELECT CASE max(CASE WHEN s_suppkey % 6 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKING' WHEN 1 THEN 'WORK' ELSE 'NO DDL' END AS verdict FROM supplier WHERE s_suppkey % 5 >= 3")(lambda t: search.store_verdict(search.classify_stores(t.supplier.selectExpr("s_suppkey AS store", "s_suppkey % 2 = 0 AS read_only", "s_suppkey % 3 = 0 AS needs_ddl", "s_suppkey % 5 AS hits", "0.41 AS score_min", "0.44 AS score_max"))))
 query("focus_tables", "SELECT table_id, CAST(sum(h) AS BIGINT) AS hits FROM (SELECT p_partkey AS table_id, CAST(contains(lower(p_name), 'e') AS INT) + CAST(contains(lower(p_name), 's') AS INT) AS h FROM part UNION ALL SELECT p_partkey, CAST(contains(lower(p_type), 'e') AS INT) + CAST(contains(lower(p_type), 's') AS INT) FROM part) GROUP BY 1 HAVING sum(h) > 0")(lambda t: search.focus_tables(t.part.selectExpr("p_partkey AS table_id", "p_name AS name"), t.part.selectExpr("p_partkey AS table_id", "p_type AS name"), ["e", "s"]))
-query("schema_dependents", "SELECT 'foreign_key' AS kind, l_suppkey AS id FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1 UNION ALL SELECT 'view', doc_id FROM documents WHERE regexp_matches(text, '(?i)\\bapache\\b')")(lambda t: search.schema_dependents("apache", t.lineitem.where("l_linenumber = 1").selectExpr("l_suppkey AS table_id", "CASE WHEN l_returnflag = 'A' THEN 'apache' ELSE 'x' END AS ref_table"), t.documents.selectExpr("'view' AS kind", "doc_id AS id", "text AS body")))
+query("schema_dependents", "SELECT 'foreign_key' AS kind, l_suppkey AS id FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT 'view', doc_id FROM documents WHERE regexp_matches(text, '(?i)\\bapache\\b')")(lambda t: search.schema_dependents("apache", t.lineitem.selectExpr("l_suppkey AS table_id", "CASE WHEN l_returnflag = 'A' THEN 'apache' ELSE 'x' END AS ref_table"), t.documents.selectExpr("'view' AS kind", "doc_id AS id", "text AS body")))
 query("anchor_architecture", "SELECT p_partkey AS code_ontology_id, p_brand AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")(lambda t: search.anchor(t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("code_ontology_id")), t.part.selectExpr("p_partkey AS code_ontology_id", "p_brand AS name")))
 query("supporting_layer_hop", "SELECT p_partkey AS id, 'DataLake' AS layer FROM part WHERE p_partkey % 2 = 0 AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 0)")(lambda t: search.supporting_hop(t.supplier.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("id")), t.lineitem.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")), t.part.selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN 'DataLake' ELSE 'Services' END AS layer"), ["DataLake", "EventQueue"]))
 query("attach_citations", "WITH own AS (SELECT DISTINCT o_custkey AS scenario_id, 'src/' || CAST(o_orderkey AS STRING) AS path FROM orders WHERE o_orderkey % 5 = 0) SELECT * FROM own UNION ALL SELECT scenario_id, 'o/' || CAST(outcome_id AS STRING) FROM b_scenario WHERE scenario_id NOT IN (SELECT scenario_id FROM own)")(lambda t: intents.attach_citations(t.b_scenario.select("scenario_id", "outcome_id"), t.orders.where("o_orderkey % 5 = 0").selectExpr("o_custkey AS scenario_id", "concat('src/', o_orderkey) AS path"), t.b_outcome.selectExpr("outcome_id", "concat('o/', outcome_id) AS path")))
 query("attach_embeddings", f"WITH c AS (SELECT DISTINCT {NORM} AS norm FROM b_intent WHERE doc_id % 2 = 0) SELECT DISTINCT {NORM} AS norm FROM b_intent WHERE {NORM} NOT IN (SELECT norm FROM c)")(lambda t: intents.attach_embeddings(t.b_intent, t.b_intent.where("doc_id % 2 = 0").select(fn.normalize_intent("intent").alias("norm")).distinct().withColumn("embedding", F.array(F.lit(1.0))))[1])
 query("check_api_urls", "SELECT action_id FROM b_api WHERE url LIKE '/App/%'")(lambda t: gates.check_api_urls(t.b_api, t.spark.createDataFrame([("GET rel/path",), ("https:/ext.example.com/x",)], "text string")).select("action_id"))
-query("rebuild_outcome_detail", "SELECT outcome_id, count(*) AS scenarios, CAST(sum(n) AS BIGINT) AS steps FROM (SELECT outcome_id, s.scenario_id, count(step_id) AS n FROM b_scenario s LEFT JOIN b_step USING (scenario_id) GROUP BY 1, 2) GROUP BY 1")(lambda t: exports.rebuild_outcome_detail(t.b_scenario, t.b_step).selectExpr("outcome_id", "CAST(size(scenarios) AS BIGINT) AS scenarios", "CAST(aggregate(scenarios, 0, (n, s) -> n + coalesce(size(s.steps), 0)) AS BIGINT) AS steps"))
 query("findings_report", "SELECT 'empty_scenarios' AS \"check\", 'P0' AS severity, CAST(scenario_id AS STRING) AS key, scenario AS detail FROM b_scenario WHERE scenario_id NOT IN (SELECT scenario_id FROM b_step)")(lambda t: exports.findings("empty_scenarios", "P0", functional.empty_scenarios(t.b_scenario, t.b_step), "scenario_id", "scenario"))
 
 # Streams, run as batches here; the tests hold batch and stream results together
@@ -332,9 +252,12 @@ query("stream_status_counts", f"SELECT date_trunc('day', ts) AS window_start, {_
 query("stream_stalls", f"WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM b_status_event WINDOW w AS (PARTITION BY repo_id ORDER BY ts, event_id)), k AS (SELECT *, sum(s) OVER (PARTITION BY repo_id ORDER BY ts, event_id) AS k FROM g), l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, k ORDER BY ts DESC, event_id DESC) AS r FROM k) SELECT repo_id, ts + INTERVAL 6 HOUR AS stalled_at, stage FROM l WHERE r = 1 AND stage NOT IN ('active', 'error')")(lambda t: streams.stream_stalls(t.b_status_event, "6 hours"))
 
 
+from . import rules  # noqa: E402, F401  (registers more queries, which use the SQL of those above)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in _FOUND.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_views(sql) for name, (_, sql) in _FOUND.items() if sql}
+    return {name: with_views(sql) for name, (_, sql) in FOUND.items() if sql}

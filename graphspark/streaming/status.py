@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.gates import row_gates
 from ..operators.repos import latest_status, status_of
 
 
@@ -25,6 +26,6 @@ def stream_status_counts(events: DataFrame, window: str = "1 day", watermark: st
     return rows.groupBy(F.window("ts", window).alias("w"), status_of().alias("status")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "status", "n")
 
 
-def stream_gate(payloads: DataFrame, gate) -> DataFrame:
-    """Violations of a row-level gate in a stream of payload rows."""
-    return gate(payloads)
+def stream_gate_payloads(payloads: DataFrame) -> DataFrame:
+    """Violations of all row-level gates in a stream (or batch) of action rows (append mode)."""
+    return row_gates(payloads)
