@@ -55,8 +55,12 @@ def duplicate_names(nodes: DataFrame, kind: str) -> DataFrame:
 
 def expanded(tokens):
     """Tokens with their synonyms."""
-    extra = [F.when(F.array_contains(tokens, a), F.array(F.lit(b))).otherwise(F.array().cast("array<string>")) for x, y in SYNONYMS for a, b in ((x, y), (y, x))]
-    return F.array_distinct(F.concat(tokens, *extra))
+    others: dict[str, list[str]] = {}
+    for x, y in SYNONYMS:
+        others.setdefault(x, []).append(y)
+        others.setdefault(y, []).append(x)
+    known = F.create_map(*[c for token, words in others.items() for c in (F.lit(token), F.array(*map(F.lit, words)))])
+    return F.array_distinct(F.concat(tokens, F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(known, t), F.array().cast("array<string>"))))))
 
 
 def near_duplicate_names(nodes: DataFrame, threshold: float = 0.6) -> DataFrame:

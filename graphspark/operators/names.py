@@ -20,7 +20,7 @@ from ..functions.text import name_tokens, platform_key
 from .design import expanded
 from .intents import components
 
-BLOCK, TASK_ROWS = 2_000, 50_000
+BLOCK, TASK_ROWS = 2_000, 4_000
 
 
 def classes_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
