@@ -9,8 +9,10 @@ merges give. Decoder: one byte string of all tokens with an offset table; ids be
 Ids are packed as little-endian unsigned 32-bit integers in a binary column (``unpack`` turns them into an array). The vocabulary
 file (1.5 MB, fixed) is read by the driver and broadcast.
 
-Edge cases: null and empty texts have no ids and decode to the empty text; ids outside the vocabulary decode to nothing; extra
-columns are kept as they are; an output name that the input has already raises ``ValueError``.
+Edge cases: null and empty texts have no ids and decode to the empty text; texts of any length are encoded whole, and a pre-token of
+any length in linear time; ids outside the vocabulary decode to nothing; of merges with equal rank in a pre-token the one further left
+comes first; repeated rows and null ids are rows of their own; an empty table gives an empty result; extra columns are kept as they are;
+an output name that the input has already raises ``ValueError``.
 """
 
 from __future__ import annotations

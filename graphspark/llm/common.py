@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import broadcast_if_small, cut, running, shared_dir, small_enough
+
+__all__ = ["broadcast_if_small", "crc_mod", "cut", "fraction_of", "keep", "map_batches", "read_table", "running", "shared_dir", "small_batches", "small_enough"]
+
 #: A word of the corpus contracts: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 4 << 20
@@ -18,23 +21,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all runs on one machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared folder, so that lost executors cost no earlier work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """Have Spark hand texts to Python in batches of ``BATCH_BYTES``: the default of 64 MB is held several times over, in each task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
@@ -56,28 +42,6 @@ def fraction_of(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(0x5EED), *columns), F.lit(1 << 40)) / F.lit(float(1 << 40))
 
 
-def small_enough(rows: int, row_bytes: int = 100, limit_bytes: int = 32 << 20) -> bool:
-    """Whether a counted table may be broadcast; callers join by shuffling where it may not. A row of a few numbers takes about 100 bytes in a hash table."""
-    return rows * row_bytes <= limit_bytes
-
-
-def broadcast_if_small(df: DataFrame, row_bytes: int = 100) -> DataFrame:
-    """``df``, which has been written, with a hint to broadcast it where its counted rows allow that."""
-    return F.broadcast(df) if small_enough(df.count(), row_bytes) else df
-
-
-def running(df: DataFrame, order: list[Column], value: Column, out: str, parts: int = 32) -> DataFrame:
-    """``df`` with ``out``: the sum of ``value`` over all rows before a row in the order, which must be total.
-
-    Rows are sorted in ranges; a range adds the sums of those before it (``parts`` rows), so that no task holds all of them.
-    """
-    ranges = cut(df.withColumn("__value", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranges.groupBy("__part").agg(F.sum("__value").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.join(F.broadcast(sums), "__part").withColumn(out, F.col("__before") + F.coalesce(F.sum("__value").over(within), F.lit(0))).drop("__value", "__part", "__before")
-
-
 _kept: list = []
 
 

@@ -8,8 +8,9 @@ many documents it alone drops.
 Measurements: n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines with a word that equal an earlier line),
 n_repeat_words (words inside 3-word windows that the text has twice or more), n_upper (A-Z).
 
-Edge cases: a null or empty text has no words and fails ``few_words``; repeated rows are rows of their own; an empty table gives an
-empty result; other columns are ignored.
+Edge cases: a null or empty text has no words and fails ``few_words``; texts of any length are read whole; a measurement that equals a
+rule's limit (a tie) doesn't fail it; repeated rows and null ids are rows of their own; an empty table gives an empty result; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

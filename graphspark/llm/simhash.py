@@ -14,13 +14,14 @@ its pairs. A larger bucket is covered again over the bits that its mask leaves f
 7 free bits, or 128 classes: no bucket is dropped or cut. Components are found by star contraction with a checkpoint a round.
 
 Edge cases: null and empty texts have no shingle, fingerprint 0, and link as any other; texts with one or two words have one
-shingle of the whole sequence; repeated rows fall in one component; the component id is the smallest non-null doc_id in it; an empty
-table gives an empty result; other columns are ignored by ``components`` and kept by ``keep_one``.
+shingle of the whole sequence; texts of any length are read in chunks; repeated rows fall in one component; the component id is the
+smallest non-null doc_id in it, and null where all of them are null; a bit set in exactly half of the hashes (a tie) is 0; an empty table
+gives an empty result; other columns are ignored by ``components`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -56,18 +57,18 @@ def shingle_counts(text: str | None, shingle: int = SHINGLE) -> tuple[np.ndarray
     return ones, total
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """As a signed 64-bit integer."""
-    ones, total = shingle_counts(text)
+    ones, total = shingle_counts(text, shingle)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fingerprint (long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], pa.int64())], ["doc_id", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return map_batches(docs, ["doc_id", "text"], run, f"doc_id {kind}, fp long")
@@ -82,11 +83,11 @@ def cover(places: list[int], dimensions: int = RADIUS + 1) -> list[int]:
     return masks
 
 
-def masks_of(level: int) -> list[tuple[int, int, int]]:
-    """(bucket path above, path, mask) of a level; a mask holds those above it. The number is fixed: 15, 225 or 3,375."""
-    rows = [(0, 0, 0)]
+def masks_of(level: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
+    """(bucket path above, path, mask) of a level; a mask holds those above it. The number is fixed: for a radius of 3 it is 15, 225 or 3,375."""
+    rows, ways = [(0, 0, 0)], 1 << radius + 1
     for _ in range(level):
-        rows = [(path, path * 16 + u + 1, mask | m) for _, path, mask in rows for u, m in enumerate(cover([i for i in range(64) if not mask >> i & 1]))]
+        rows = [(path, path * ways + u + 1, mask | m) for _, path, mask in rows for u, m in enumerate(cover([i for i in range(64) if not mask >> i & 1], radius + 1))]
     return [(a, b, m - (1 << 64) if m >> 63 else m) for a, b, m in rows]
 
 
@@ -112,10 +113,13 @@ def forest(values: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
     return edges
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        edges = [e for members in batch.column(0) for e in forest(members.values.to_numpy())]
-        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+def _forests(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges = [e for members in batch.column(0) for e in forest(members.values.to_numpy(), radius)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -125,17 +129,17 @@ def links(classes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Dat
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     for level in (1, 2, 3):
         if level == 1:
-            masked = rows.select("fp", F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(mask).cast("long").alias("mask")) for _, path, mask in masks_of(1)])).alias("m")).select("fp", "m.*")
+            masked = rows.select("fp", F.explode(F.array(*[F.struct(F.lit(path).alias("path"), F.lit(mask).cast("long").alias("mask")) for _, path, mask in masks_of(1, radius)])).alias("m")).select("fp", "m.*")
         else:
-            masks = spark.createDataFrame(masks_of(level), "above int, path int, mask long")  # 225 or 3,375 rows
+            masks = spark.createDataFrame(masks_of(level, radius), "above int, path int, mask long")  # 225 or 3,375 rows for a radius of 3
             masked = rows.withColumnRenamed("path", "above").join(F.broadcast(masks), "above")
         keyed = masked.select("path", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = cut(keyed.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
         found.append(sizes.where("n = 2").where(near).select("a", "b"))
-        most = bucket if level < 3 else 1 << 60  # at most 128 by then
+        most = bucket if level < 3 else 1 << 60  # at most 128 by then, for a radius of 3
         some = keyed.join(sizes.where((F.col("n") > 2) & (F.col("n") <= most)).select("path", "key"), ["path", "key"], "left_semi")
         whole = some.groupBy("path", "key").agg(F.collect_list("fp").alias("members"))
-        found.append(whole.select("members").mapInArrow(_forests, "a long, b long"))
+        found.append(whole.select("members").mapInArrow(_forests(radius), "a long, b long"))
         large = sizes.where(F.col("n") > most).select("path", "key")
         if large.isEmpty():
             break
@@ -171,23 +175,23 @@ def contract(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def components(docs: DataFrame) -> DataFrame:
+def components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row."""
-    prints = cut(fingerprints(docs))
+    prints = cut(fingerprints(docs, shingle))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = contract(links(classes))
+    roots = contract(links(classes, radius))
     rooted = cut(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))  # written, so that Spark can split a large component
     named = cut(rooted.join(ids, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` whose id is that of their component; its columns stay as they are. Rows without an id stay.
 
     The ids that go are counted; they are broadcast where they are few and joined by shuffling where not. Rows that repeat an id that
     stays are not told apart here: exact de-duplication comes first.
     """
-    gone = cut(components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    gone = cut(components(docs, shingle, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
     gone = broadcast_if_small(gone)
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
