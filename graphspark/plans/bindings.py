@@ -11,6 +11,7 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 VIEWS = {
     "b_persona": "SELECT CAST(r_regionkey AS BIGINT) AS persona_id, CASE r_name WHEN 'ASIA' THEN 'System' WHEN 'EUROPE' THEN 'External System' WHEN 'AMERICA' THEN 'Developer' ELSE r_name END AS persona FROM region",
     "b_outcome": "SELECT CAST(n_nationkey AS BIGINT) AS outcome_id, CAST(n_regionkey AS BIGINT) AS persona_id, CASE WHEN n_nationkey < 12 THEN 'Manage Area ' || CAST(n_nationkey % 8 AS STRING) ELSE 'Operate Area ' || CAST(n_nationkey % 10 AS STRING) END AS outcome, CASE n_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' Portal ' ELSE 'admin' END AS platform, n_nationkey % 4 <> 0 AS cited FROM nation",
+    "b_outcome_all": "SELECT c_custkey AS outcome_id, CAST(c_nationkey % 5 AS BIGINT) AS persona_id, CASE c_custkey % 4 WHEN 0 THEN 'Manage  Area ' || CAST(c_custkey % 300 AS STRING) WHEN 1 THEN ' manage area ' || CAST(c_custkey % 300 AS STRING) ELSE 'Operate ' || c_mktsegment || CAST(c_custkey % 500 AS STRING) END AS outcome, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN ' Portal ' ELSE 'admin' END AS platform, c_custkey % 4 <> 0 AS cited FROM customer",
     "b_scenario": "SELECT c_custkey AS scenario_id, CAST(c_nationkey AS BIGINT) AS outcome_id, c_mktsegment || ' flow ' || CAST(c_custkey % 400 AS STRING) AS scenario, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 'handles ' || lower(c_mktsegment) END AS description, c_custkey % 5 <> 0 AS cited, c_acctbal < 0 AS is_design_generated FROM customer",
     "b_step": "SELECT o_orderkey AS step_id, o_custkey AS scenario_id, o_orderpriority AS step, o_orderdate AS created_at FROM orders WHERE o_custkey % 23 <> 0",
     "b_action": "SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS action_id, l_orderkey AS step_id, CASE l_linenumber WHEN 1 THEN CASE l_partkey % 5 WHEN 0 THEN 'Publish sqs://orders/Q' || CAST(l_suppkey AS STRING) || '/' WHEN 1 THEN 'Fetch cron:5m prices' ELSE 'Submit order ' || CAST(l_partkey AS STRING) END WHEN 2 THEN 'Enter quantity' WHEN 3 THEN CASE l_partkey % 3 WHEN 0 THEN 'Click the tab' WHEN 1 THEN 'Open Modal Dialog' ELSE 'Choose a table row' END WHEN 4 THEN 'Receive POST /api/v1/items/' || CAST(l_suppkey AS STRING) WHEN 5 THEN 'Review table' ELSE CASE l_partkey % 4 WHEN 0 THEN 'Save GET /v1/area/{id}/part?a=1' ELSE 'Persist item' END END AS action, CASE WHEN l_discount = 0 THEN NULL WHEN l_discount < 0.03 THEN 'writes the stock table' WHEN l_discount < 0.05 THEN 'goes to s3://bucket/key' WHEN l_discount < 0.06 THEN ' ' ELSE 'keeps line' END AS description, l_quantity > 25 AS has_api, l_suppkey, l_returnflag FROM lineitem",

@@ -27,11 +27,11 @@ query("norm_route", f"""
     lambda t: t.b_api.groupBy(fn.norm_route("url").alias("route")).agg(F.count("*").alias("n"))
 )
 query("name_key", f"""
-    SELECT {NK} AS k, count(*) AS n FROM b_outcome GROUP BY 1
+    SELECT {NK} AS k, count(*) AS n FROM b_outcome_all GROUP BY 1
 """)(
-    lambda t: t.b_outcome.groupBy(fn.name_key("outcome").alias("k")).agg(F.count("*").alias("n"))
+    lambda t: t.b_outcome_all.groupBy(fn.name_key("outcome").alias("k")).agg(F.count("*").alias("n"))
 )
-query("platform_key", f"SELECT {PK} AS platform, count(*) AS n FROM b_outcome GROUP BY 1")(lambda t: functional.outcome_platforms(t.b_outcome))
+query("platform_key", f"SELECT {PK} AS platform, count(*) AS n FROM b_outcome_all GROUP BY 1")(lambda t: functional.outcome_platforms(t.b_outcome_all))
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(intent, '^[^\n]*?: ', '')), '\([^)]*\)', '', 'g'), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g'))"
 query("normalize_intent", f"SELECT doc_id, {NORM} AS norm FROM b_intent")(lambda t: t.b_intent.select("doc_id", fn.normalize_intent("intent").alias("norm")))
 query("apply_filters", """
@@ -66,9 +66,9 @@ _DUP = """
 query("duplicate_scenarios", _DUP)(lambda t: functional.duplicate_scenarios(t.b_scenario, t.b_outcome, t.b_persona))
 query("duplicate_outcomes", """
     SELECT outcome, CAST(sum(k) AS BIGINT) AS n, CASE WHEN max(k) > 1 THEN 'P1' ELSE 'P2' END AS severity
-    FROM (SELECT outcome, persona_id, count(*) AS k FROM b_outcome GROUP BY 1, 2) GROUP BY 1 HAVING sum(k) > 1
+    FROM (SELECT outcome, persona_id, count(*) AS k FROM b_outcome_all GROUP BY 1, 2) GROUP BY 1 HAVING sum(k) > 1
 """)(
-    lambda t: functional.duplicate_outcomes(t.b_outcome)
+    lambda t: functional.duplicate_outcomes(t.b_outcome_all)
 )
 _CITED = """
     SELECT level, count(*) AS total, CAST(sum(CAST(cited AS INT)) AS BIGINT) AS with_citation, round(100.0 * sum(CAST(cited AS INT)) / count(*), 1) AS pct
@@ -103,16 +103,16 @@ query("source_coverage", """
     lambda t: functional.source_coverage(t.spark.createDataFrame(_STORIES, "story string, keyword string"), t.b_scenario.select(F.col("scenario").alias("text")))
 )
 query("outcome_halves", f"""
-    SELECT {NK} AS outcome_key, bool_or({SYS}) AS has_system, bool_or(NOT {SYS}) AS has_human FROM b_outcome JOIN b_persona USING (persona_id)
+    SELECT {NK} AS outcome_key, bool_or({SYS}) AS has_system, bool_or(NOT {SYS}) AS has_human FROM b_outcome_all JOIN b_persona USING (persona_id)
     GROUP BY 1 HAVING bool_or({SYS}) <> bool_or(NOT {SYS})
 """)(
-    lambda t: functional.outcome_halves(t.b_outcome, t.b_persona)
+    lambda t: functional.outcome_halves(t.b_outcome_all, t.b_persona)
 )
 query("reconcile_outcomes", f"""
     SELECT outcome_id, min(outcome_id) OVER w AS kept_id, first_value(outcome) OVER (PARTITION BY persona_id, {NK}
-    ORDER BY outcome_id) AS kept_name FROM b_outcome WINDOW w AS (PARTITION BY persona_id, {NK})
+    ORDER BY outcome_id) AS kept_name FROM b_outcome_all WINDOW w AS (PARTITION BY persona_id, {NK})
 """)(
-    lambda t: functional.reconcile_outcomes(t.b_outcome)
+    lambda t: functional.reconcile_outcomes(t.b_outcome_all)
 )
 query("scope_by_persona", """
     WITH j AS (SELECT id FROM b_journey WHERE id % 2 = 0), f AS (SELECT DISTINCT child FROM b_flow_parent WHERE parent IN (SELECT id

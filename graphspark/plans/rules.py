@@ -122,7 +122,7 @@ def _sums(parts: list[tuple[str, str]]) -> str:
 
 
 def _count(name: str, where: str = "true", what: str = "count(*)") -> str:
-    return f"SELECT {what} FROM ({sql_of(name)}) WHERE {where}"
+    return f"SELECT {what} FROM ({sql_of(name).replace('b_outcome_all', 'b_outcome')}) WHERE {where}"  # of the tree's own outcomes
 
 
 query("functional_health", _sums([
@@ -164,9 +164,9 @@ query("check_persona", f"""
     SELECT payload_id, 'persona' AS "check", detail FROM (
         SELECT outcome_id AS payload_id, CASE WHEN {SYS} THEN 'kind'
             WHEN len(list_intersect(regexp_extract_all(lower(persona), '[a-z]+'), [{text_list(v.FORBIDDEN_PERSONA_NAMES)}])) > 0 THEN 'forbidden' END AS detail
-        FROM b_outcome JOIN b_persona USING (persona_id)
+        FROM b_outcome_all JOIN b_persona USING (persona_id)
     ) WHERE detail IS NOT NULL
-""")(lambda t: gates.check_persona(t.b_outcome.join(t.b_persona, "persona_id").select(F.col("outcome_id").alias("payload_id"), "persona"), "human"))
+""")(lambda t: gates.check_persona(t.b_outcome_all.join(t.b_persona, "persona_id").select(F.col("outcome_id").alias("payload_id"), "persona"), "human"))
 
 _LINKED = f"""
     SELECT payload_id, 'path_linked' AS "check", action_id, detail FROM (
@@ -533,7 +533,7 @@ query("rebuild_outcome_detail", """
         "array_min(flatten(transform(filter(steps, s -> s.actions IS NOT NULL), s -> s.actions.action))) AS first",
     )
 )
-query("outcome_manifest", "SELECT outcome_id, outcome, persona FROM b_outcome JOIN b_persona USING (persona_id)")(lambda t: exports.outcome_manifest(t.b_outcome, t.b_persona))
+query("outcome_manifest", "SELECT outcome_id, outcome, persona FROM b_outcome_all JOIN b_persona USING (persona_id)")(lambda t: exports.outcome_manifest(t.b_outcome_all, t.b_persona))
 
 _JSON = """CASE id % 4 WHEN 0 THEN '{"Page": [{"id": "' || CAST(id AS STRING) || '", "name": "n"}], "Flow": []}' WHEN 1 THEN '{"nodes": [{"type": "Flow", "id": "' || CAST(id AS STRING) || '"}, {"label": "Other", "id": "x"}]}'
     WHEN 2 THEN '[{"label": "Component", "type": "Page", "id": "' || CAST(id AS STRING) || '"}]' ELSE 'no json' END AS value"""
