@@ -7,7 +7,7 @@ shuffled; parents are joined by key and never gathered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.find import hits
@@ -27,11 +27,21 @@ def with_persona(scenario: DataFrame, outcome: DataFrame, persona: DataFrame) ->
     return scenario.join(outcome.select("outcome_id", "persona_id", "outcome"), "outcome_id").join(persona, "persona_id")
 
 
-def graph_totals(persona, outcome, scenario, step, action) -> DataFrame:
-    """Counts of each level by persona, and for the whole graph (persona null)."""
+def _described() -> Column:
+    return F.coalesce(F.trim("description") != "", F.lit(False)).cast("int")
+
+
+def actions_by_step(action) -> DataFrame:
+    """(step_id, a, h): a step's actions, and those with a description that is not blank; summed before any join."""
+    return action.groupBy("step_id").agg(F.count("*").alias("a"), F.sum(_described()).alias("h"))
+
+
+def graph_totals(persona, outcome, scenario, step, action, by_step: DataFrame | None = None) -> DataFrame:
+    """Counts of each level by persona, and for the whole graph (persona null). ``by_step``: ``actions_by_step``, if it is there already."""
     s = scenario.select("scenario_id", "outcome_id")
     steps = step.groupBy("scenario_id").agg(F.count("*").alias("steps"))
-    actions = action.groupBy("step_id").agg(F.count("*").alias("a")).join(step.select("step_id", "scenario_id"), "step_id").groupBy("scenario_id").agg(F.sum("a").alias("actions"))
+    by_step = actions_by_step(action) if by_step is None else by_step
+    actions = by_step.join(step.select("step_id", "scenario_id"), "step_id").groupBy("scenario_id").agg(F.sum("a").alias("actions"))
     by_outcome = s.join(steps, "scenario_id", "left").join(actions, "scenario_id", "left").groupBy("outcome_id").agg(F.count("*").alias("scenarios"), F.sum("steps").alias("steps"), F.sum("actions").alias("actions"))
     rows = persona.join(outcome, "persona_id", "left").join(by_outcome, "outcome_id", "left")
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
@@ -59,13 +69,14 @@ def citation_coverage(outcome, scenario) -> DataFrame:
     return rows.groupBy("level").agg(F.count("*").alias("total"), got.alias("with_citation"), ratio(got, F.count("*")).alias("pct"))
 
 
-def description_coverage(scenario, outcome, persona, step, action) -> DataFrame:
+def description_coverage(scenario, outcome, persona, step, action, by_step: DataFrame | None = None) -> DataFrame:
     """Scenarios, System actions and human actions that have a description that is not blank."""
-    has = F.coalesce(F.trim("description") != "", F.lit(False)).cast("int").alias("has")
+    by_step = actions_by_step(action) if by_step is None else by_step
     owner = with_persona(scenario.select("scenario_id", "outcome_id"), outcome, persona).select("scenario_id", is_system("persona").alias("sys"))
-    actions = action.join(step.select("step_id", "scenario_id"), "step_id").join(owner, "scenario_id")
-    rows = scenario.select(F.lit("scenario").alias("kind"), has).unionByName(actions.select(F.when(F.col("sys"), "system_action").otherwise("human_action").alias("kind"), has))
-    return rows.groupBy("kind").agg(F.count("*").alias("total"), F.sum("has").alias("described"), ratio(F.sum("has"), F.count("*")).alias("pct"))
+    kind = F.when(F.col("sys"), "system_action").otherwise("human_action").alias("kind")
+    actions = by_step.join(step.select("step_id", "scenario_id"), "step_id").join(owner, "scenario_id").groupBy(kind).agg(F.sum("a").alias("total"), F.sum("h").alias("described"))
+    rows = scenario.agg(F.lit("scenario").alias("kind"), F.count("*").alias("total"), F.sum(_described()).alias("described")).where("total > 0").unionByName(actions)
+    return rows.select("kind", "total", "described", ratio(F.col("described"), F.col("total")).alias("pct"))
 
 
 def platform_agnostic(action, words=FORBIDDEN_UI_WORDS) -> DataFrame:
@@ -74,8 +85,8 @@ def platform_agnostic(action, words=FORBIDDEN_UI_WORDS) -> DataFrame:
     return action.groupBy("action").agg(F.count("*").alias("n")).withColumn("words", found).where("words <> ''")
 
 
-def persona_quality(persona, outcome, scenario, step, action) -> DataFrame:
-    totals = graph_totals(persona, outcome, scenario, step, action)
+def persona_quality(persona, outcome, scenario, step, action, by_step: DataFrame | None = None) -> DataFrame:
+    totals = graph_totals(persona, outcome, scenario, step, action, by_step)
     whole = totals.where("persona IS NULL").select(F.col("scenarios").alias("all_scenarios"))
     share = F.col("scenarios") / F.greatest("all_scenarios", F.lit(1))
     flags = F.array_join(F.filter(F.array(F.when(share > 0.4, "BLOATED"), F.when((F.col("scenarios") <= 1) & (F.col("actions") < 5), "THIN"), F.when(F.lower(F.trim("persona")).isin(FORBIDDEN_PERSONA_NAMES), "FORBIDDEN")), lambda x: x.isNotNull()), ",")
@@ -120,9 +131,10 @@ def health(findings: DataFrame) -> DataFrame:
 def functional_health(persona, outcome, scenario, step, action) -> DataFrame:
     """Sums of findings by severity. Actions are read once, with the scenario of their step; totals are computed once."""
     n = lambda severity, df: df.agg(F.count("*").alias("n")).select(F.lit(severity).alias("severity"), "n")
-    quality = cut(persona_quality(persona, outcome, scenario, step, action))
+    by_step = cut(actions_by_step(action))
+    quality = cut(persona_quality(persona, outcome, scenario, step, action, by_step))
     cited = citation_coverage(outcome, scenario).agg((F.sum("with_citation") < F.sum("total")).cast("long").alias("n")).select(F.lit("P1").alias("severity"), "n")
-    described = description_coverage(scenario, outcome, persona, step, action).where("kind = 'system_action' AND pct < 80")
+    described = description_coverage(scenario, outcome, persona, step, action, by_step).where("kind = 'system_action' AND pct < 80")
     duplicates = duplicate_outcomes(outcome)
     flags = quality.agg(*[F.sum(F.col("flags").contains(f).cast("long")).alias(f) for f in ("FORBIDDEN", "BLOATED", "THIN")], F.sum((F.col("flags").contains("BLOATED") | F.col("flags").contains("THIN")).cast("long")).alias("odd"))
     flagged = flags.select(F.explode(F.array(F.struct(F.lit("P0").alias("severity"), F.col("FORBIDDEN").alias("n")), F.struct(F.lit("P1").alias("severity"), F.col("odd").alias("n")))).alias("f")).select("f.*")
