@@ -1,4 +1,4 @@
-"""Operators for large training-data corpora: ten Spark jobs over documents and pages.
+"""Operators for large training-data corpora: thirteen Spark jobs over documents, pages and embeddings.
 
 Nothing outside this folder imports it; its queries are in ``queries`` and its pipeline in ``corpus_pipeline.py``.
 """

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scale import broadcast_if_small, cut, running, shared_dir, small_enough
 
-__all__ = ["broadcast_if_small", "crc_mod", "cut", "fraction_of", "keep", "map_batches", "read_table", "running", "shared_dir", "small_batches", "small_enough"]
+__all__ = ["broadcast_if_small", "crc_mod", "cut", "finite_vectors", "fraction_of", "keep", "map_batches", "read_table", "running", "shared_dir", "small_batches", "small_enough", "sum_parts"]
 
 #: A word of the corpus contracts: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,3 +52,24 @@ def keep(key, make: Callable):
         _kept.clear()
         _kept[:] = [key, make()]
     return _kept[1]
+
+
+def finite_vectors(table: DataFrame, vector: str = "embedding") -> tuple[DataFrame, int]:
+    """Rows whose vector is of the usual length (the most frequent; of equally frequent ones the longest) and holds finite numbers alone, and that length."""
+    no = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    rows = table.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).where(~F.exists(vector, no))
+    sizes = rows.groupBy(F.size(vector).alias("d")).agg(F.count("*").alias("n")).agg(F.max(F.struct("n", "d")).alias("m")).select("m.d").first()
+    dims = sizes.d or 0
+    return rows.where(F.size(vector) == dims), dims
+
+
+def sum_parts(blocks: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarray]) -> np.ndarray:
+    """The sum of an array of numbers that ``part`` makes of all batches of a task: its places are summed by Spark, and only the sums are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = part(batches)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found))), pa.array(found.astype(float))], ["k", "v"])
+
+    sums = {r.k: r.v for r in blocks.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
+    return np.array([sums[k] for k in range(len(sums))])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, hilbert_shard, html_extract, language_id, license_scan, mixing, quality_rules, secret_scan, simhash
+from . import bpe, embedding_whitening, exact_dedup, hard_negatives, hilbert_shard, html_extract, language_id, license_scan, mixing, quality_rules, secret_scan, simhash, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, docs.where(~held), ["doc_id", held.alias("held_out")])
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = language_id.held_out()
+    labels = read_table(spark, sf_dir, "labels").where(~held)
+    return toxicity.predict(read_table(spark, sf_dir, "documents"), labels, ["doc_id", held.alias("held_out")])
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_secret_scan, op2_bpe, op3_html_extract, op4_exact_dedup, op5_quality_rules, op6_mixing, op7_simhash, op8_license_scan, op9_hilbert_shard, op10_language_id)}
+    return {q.__name__: q for q in (op1_secret_scan, op2_bpe, op3_html_extract, op4_exact_dedup, op5_quality_rules, op6_mixing, op7_simhash, op8_license_scan, op9_hilbert_shard, op10_language_id, op11_toxicity, op12_whitening, op13_hard_negatives)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -92,4 +107,21 @@ ORACLE_SQL = {
             CAST(failures AS INTEGER) AS failures
         FROM f
     """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS y
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike, CAST(list_dot_product(a.y, b.y) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS INTEGER) AS rank,
+            s.other_id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT s.alike AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
 }
