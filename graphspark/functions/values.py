@@ -76,3 +76,31 @@ NON_FUNCTIONAL = [
     "Error Boundary", "State Management", "Context Provider", "Event Handler", "Event Listener", "Debounce ", "Throttle ", "Webpack", "Docker", "Nginx", "CI/CD",
     "Pipeline Configuration", "Environment Variable", "Health Check Endpoint", "CORS Configuration",
 ]
+
+# Words on which personas overlap, in the order of the rule.
+OVERLAP_KEYWORDS = ["bond", "static data", "price", "fx", "p&l", "expense", "pdf", "audit", "exception", "waiv", "tolerance", "upload", "report", "dashboard", "validation"]
+
+# What a change set leaves out (project.json stays), style and asset files, and components that keep these.
+CHANGE_IGNORES = (
+    "*.md *.txt *.json *.yml *.yaml *.lock *.log node_modules/ dist/ build/ .git/ .vscode/ .idea/ __pycache__/ *.test.* *.spec.* *_test.* *_spec.* "
+    ".env* Dockerfile docker-compose* Makefile azure-pipelines/ scripts/ tools/ docs/ e2e/"
+).split()
+STYLE_FILES = "*.css *.scss *.less *.svg *.png *.jpg".split()
+COMPONENT_FILES = "*.tsx *.jsx *.vue *.svelte *.component.ts *.component.html".split()
+
+# Signals of a path in a repository without workspaces.
+FRONTEND_FOLDERS = "src/pages src/views src/components src/app pages views components".split()
+FRONTEND_FILES = "*.tsx *.jsx *.vue *.svelte *.cshtml *.aspx *.html".split()
+BACKEND_FOLDERS = "controllers resolvers services routes handlers consumers processors jobs middleware".split()
+BACKEND_FILES = "*.controller.ts *.service.ts *.resolver.ts *Controller.cs *Controller.java views.py routes.py".split()
+
+# Files that mark a workspace; its type by path (pattern, type, framework), then by what lies in it (patterns, type, framework).
+WORKSPACE_MARKERS = "package.json project.json angular.json".split()
+WORKSPACE_TYPES = [
+    ("apps/*/web", "frontend", "detect"), ("apps/*/syndication", "frontend", "detect"), ("apps/*/api", "backend", "detect"), ("apps/lambda", "backend", "lambda"), ("apps/*/sitemap-lambda", "backend", "lambda"),
+    ("libs/ngx-*", "shared-frontend", "angular"), ("libs/nest-*", "shared-backend", "nestjs"), ("libs/express-*", "shared-backend", "express"), ("libs/utils-node", "shared-backend", "node"),
+    ("libs/opensearch-ops-common", "shared-backend", "other"), ("libs/*-index-structure", "shared-backend", "other"), ("libs/source-common", "shared-both", "other"), ("libs/utils-ts", "shared-both", "other"), ("libs/*-common", "shared-both", "other"),
+]
+WORKSPACE_SIGNS = [
+    (["**/src/app/", "*.component.ts", "*.component.html"], "frontend", "angular"), (["*.controller.ts", "*.service.ts", "*.module.ts"], "backend", "nestjs"), (["handler.ts", "bootstrap.ts"], "backend", "lambda"),
+]

@@ -13,11 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.find import hits
 from ..functions.scale import broadcast_if_small, cut
 from ..functions.text import is_system, name_key, platform_key, valid_description
-from ..functions.values import FORBIDDEN_PERSONA_NAMES, FORBIDDEN_UI_WORDS
-
-#: Topics that personas share, for the driver's tables.
-OVERLAP = ["login", "search", "notification", "report", "machinery", "building", "household"]
-
+from ..functions.values import FORBIDDEN_PERSONA_NAMES, FORBIDDEN_UI_WORDS, OVERLAP_KEYWORDS
 
 def ratio(part, whole, when_empty: float = 100.0):
     return F.when(whole == 0, F.lit(when_empty)).otherwise(F.round(100.0 * part / whole, 1))
@@ -93,7 +89,7 @@ def persona_quality(persona, outcome, scenario, step, action, by_step: DataFrame
     return totals.where("persona IS NOT NULL").join(F.broadcast(whole)).select("persona", "outcomes", "scenarios", "actions", F.round(share, 4).alias("share"), flags.alias("flags"))
 
 
-def cross_persona_overlap(scenario, outcome, persona, keywords=OVERLAP) -> DataFrame:
+def cross_persona_overlap(scenario, outcome, persona, keywords=OVERLAP_KEYWORDS) -> DataFrame:
     """Keywords in the scenario names of three personas or more."""
     names = with_persona(scenario, outcome, persona).select("persona", F.lower("scenario").alias("s")).distinct()
     hit = names.select("persona", F.explode(F.filter(F.array(*map(F.lit, keywords)), lambda w: F.col("s").contains(w))).alias("keyword"))

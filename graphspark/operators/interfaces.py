@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_route
+from ..functions.values import INBOUND_VERBS, OUTBOUND_VERBS
 
 
 def match_calls_to_handlers(api: DataFrame, verbless: list[str] = ()) -> DataFrame:
@@ -30,13 +31,20 @@ def uncalled_handlers(api: DataFrame) -> DataFrame:
     return rest.where("is_system").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("verb")), ",").alias("verbs")).join(called, "path", "left_anti")
 
 
+def direction(action: str = "action", is_system: str = "is_system") -> Column:
+    """Inbound or outbound by the verb of a system's action; a human's call is outbound; effects inside a system are neither (null)."""
+    verb = F.lower(F.regexp_extract(F.trim(F.col(action)), r"^([A-Za-z]+)", 1))
+    return F.when(~F.col(is_system), "outbound").when(verb.isin(INBOUND_VERBS), "inbound").when(verb.isin(OUTBOUND_VERBS), "outbound")
+
+
 def interface_quadrants(api: DataFrame) -> DataFrame:
-    """From (type, url, is_system, direction): reconciled over all personas by type and route."""
-    side = lambda d, who: api.where((F.col("direction") == d) & who).groupBy("type", norm_route("url").alias("path")).agg(F.count("*").alias(f"n_{d}"))
-    out_human = api.where("direction = 'outbound'").groupBy("type", norm_route("url").alias("path")).agg(F.bool_or(~F.col("is_system")).alias("human"), F.count("*").alias("n_outbound"))
-    both = out_human.join(side("inbound", F.lit(True)), ["type", "path"], "full_outer")
-    kind = F.when(F.col("n_outbound").isNull(), "dangling-inbound").when(F.col("n_inbound").isNull(), "dangling-outbound").when(F.col("human"), "human-system").otherwise("system-system")
-    return both.select("type", "path", F.coalesce("n_outbound", F.lit(0)).alias("n_outbound"), F.coalesce("n_inbound", F.lit(0)).alias("n_inbound"), kind.alias("kind"))
+    """Interfaces (type, url, is_system, action) reconciled over all personas by type and route: callers and handlers, and who calls. Both sides are counted before they meet."""
+    rows = api.where("url IS NOT NULL").select("type", norm_route("url").alias("path"), "is_system", direction().alias("direction")).where("direction IS NOT NULL")
+    n = lambda c: F.sum(c.cast("long"))
+    out, into = F.col("direction") == "outbound", F.col("direction") == "inbound"
+    both = rows.groupBy("type", "path").agg(n(out).alias("n_outbound"), n(into).alias("n_inbound"), F.bool_or(out & ~F.col("is_system")).alias("human"))
+    kind = F.when(F.col("n_outbound") == 0, "dangling-inbound").when(F.col("n_inbound") == 0, "dangling-outbound").when(F.col("human"), "human-system").otherwise("system-system")
+    return both.select("type", "path", "n_outbound", "n_inbound", kind.alias("kind"))
 
 
 def crosscheck(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -73,8 +81,11 @@ def component_type_drift(compared: DataFrame) -> DataFrame:
     return compared.where("side = 'matched' AND left_type <> right_type").select("key", "left_type", "right_type", severity.alias("severity"))
 
 
-def children_drift(left: DataFrame, right: DataFrame) -> DataFrame:
-    """From distinct (key, child) of both sides: numbers of children on the left only, right only and both, by key of both sides."""
+def children_drift(left: DataFrame, right: DataFrame, equivalence: DataFrame | None = None) -> DataFrame:
+    """From (key, child) of both sides: numbers of children on the left only, right only and both, by key of both sides. Children of the left go through ``equivalence`` (name, as_name) first, as names do."""
+    if equivalence is not None:
+        same = equivalence.groupBy(F.col("name").alias("child")).agg(F.min("as_name").alias("as_name"))
+        left = left.join(same, "child", "left").select("key", F.coalesce("as_name", "child").alias("child"))
     both = left.distinct().withColumn("l", F.lit(1)).join(right.distinct().withColumn("r", F.lit(1)), ["key", "child"], "full_outer")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     rows = both.groupBy("key").agg(n(F.col("r").isNull()).alias("left_only"), n(F.col("l").isNull()).alias("right_only"), n(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("common"), F.count("l").alias("nl"), F.count("r").alias("nr"))

@@ -39,7 +39,7 @@ def merge_tree(existing: dict[str, DataFrame], payload: dict[str, DataFrame], by
                 break
             rows = side[level]
             key = [name_key(level), *([platform_key("platform")] if level == "outcome" and by_platform and "platform" in rows.columns else [])]
-            own = F.concat_ws("|", *key)
+            own = F.concat_ws("|", *[F.regexp_replace(k, r"([\\|>])", r"\\$1") for k in key])  # signs that part names are escaped inside them
             extra = [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in schema.items()]
             rows = rows.select(f"{level}_id", *([f"{TREE[depth - 1]}_id"] if depth else []), F.col(level).alias("name"), own.alias("own"), *extra)
             if depth:
@@ -65,6 +65,50 @@ def merge_design(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFra
     return merged.select(F.col("kept").alias("id"), "name", F.col("p").alias("platform")), moved
 
 
+#: Levels of the design graph from the top.
+DESIGN = ["journey", "flow", "page", "component"]
+
+
+def design_mapping(nodes: DataFrame) -> DataFrame:
+    """(label, id, kept) of (label, id, name, platform, scenario_id, seq): which node each one is merged into, the one with the smallest id.
+
+    Journeys are one for each scenario; those without a scenario are one with a journey of their name that has one, else with each other. All other
+    nodes are one for each lower name and platform within their label.
+    """
+    rows = nodes.select("label", "id", F.lower(F.trim("name")).alias("k"), platform_key("platform").alias("p"), F.when(F.col("label") == "journey", F.col("scenario_id")).alias("s")).distinct()
+    of_scenario = rows.where("label = 'journey' AND s IS NOT NULL")
+    first = of_scenario.groupBy("s").agg(F.min("id").alias("kept"))
+    by_scenario = of_scenario.join(first, "s").select("label", "id", "k", "kept")
+    by_name = by_scenario.groupBy("k").agg(F.min("kept").alias("known"))
+    rest = rows.where("label = 'journey' AND s IS NULL")
+    alone = rest.groupBy("k").agg(F.min("id").alias("own"))
+    named = rest.join(alone, "k").join(by_name, "k", "left").select("label", "id", F.coalesce("known", "own").alias("kept"))
+    others = rows.where("label <> 'journey'")
+    same = others.groupBy("label", "k", "p").agg(F.min("id").alias("kept"))
+    return by_scenario.select("label", "id", "kept").unionByName(named).unionByName(others.join(same, ["label", "k", "p"]).select("label", "id", "kept"))
+
+
+def merge_design_graph(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged nodes (label, id, name, platform, scenario_id, parent_ids) and links (label, child, parent) of existing and payload together.
+
+    ``links`` has the child's label. Both ends move to the merged nodes, new parents are appended, and the arrays are built from the
+    distinct links at the end; the later name stays. Running it again on its own result changes nothing.
+    """
+    above = F.create_map(*[F.lit(x) for low, high in zip(DESIGN[1:], DESIGN) for x in (low, high)])
+    mapping = design_mapping(nodes)
+    child, parent = mapping.toDF("label", "child", "new_child"), mapping.toDF("parent_label", "parent", "new_parent")
+    moved = links.withColumn("parent_label", above[F.col("label")]).join(child, ["label", "child"]).join(parent, ["parent_label", "parent"], "left")
+    moved = moved.select("label", F.col("new_child").alias("child"), F.coalesce("new_parent", "parent").alias("parent")).distinct()
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c)
+    merged = nodes.join(mapping, ["label", "id"]).groupBy("label", F.col("kept").alias("id")).agg(newest("name"), newest("platform"), newest("scenario_id"))
+    return merged.join(parent_arrays(moved).withColumnRenamed("child", "id"), ["label", "id"], "left").withColumn("parent_ids", F.coalesce("parent_ids", F.array().cast(f"array<{dict(links.dtypes)['parent']}>"))), moved
+
+
+def parent_arrays(links: DataFrame) -> DataFrame:
+    """(label, child, parent_ids): the sorted distinct parents of each child; a child holds no more than its own."""
+    return links.groupBy("label", "child").agg(F.array_sort(F.collect_set("parent")).alias("parent_ids"))
+
+
 def delete_with_orphan_cleanup(roots: DataFrame, levels: list[DataFrame]) -> list[DataFrame]:
     """What is deleted level by level: children all of whose parents go. ``roots`` has column id, ``levels`` have (child, parent)."""
     gone, out = roots.select("id"), []
@@ -75,6 +119,18 @@ def delete_with_orphan_cleanup(roots: DataFrame, levels: list[DataFrame]) -> lis
     return out
 
 
+def delete_design(roots: DataFrame, links: DataFrame, labels: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Deleted nodes (label, id), the roots' children all of whose parents go and so on down, and what is left of the links (label, child, parent): none of a deleted node, on either end."""
+    by_level = [links.where(F.col("label") == label).select("child", "parent") for label in labels]
+    gone = delete_with_orphan_cleanup(roots, by_level)
+    deleted, kept, above = None, None, roots.select("id")
+    for label, own, dead in zip(labels, by_level, gone):
+        rows = dead.select(F.lit(label).alias("label"), "id")
+        rest = own.distinct().join(above.select(F.col("id").alias("parent")).distinct(), "parent", "left_anti").join(dead.select(F.col("id").alias("child")), "child", "left_anti").select(F.lit(label).alias("label"), "child", "parent")
+        deleted, kept, above = (rows, rest, dead) if deleted is None else (deleted.union(rows), kept.union(rest), dead)
+    return deleted, kept
+
+
 def merge_batches(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     first = F.min(F.struct(*order, *[c for c in rows.columns if c not in keys and c not in order])).alias("r")
@@ -105,19 +161,34 @@ def validate_registry(components: DataFrame, uses: DataFrame) -> DataFrame:
     return size.union(bad)
 
 
+#: Fields of an architecture row by the order in which sources are believed.
+ARCH_FIELDS = {"name": "doc iac code", "description": "doc iac code", "domain": "doc iac code", "technology": "iac code doc", "region": "iac code doc", "deployment": "iac code doc"}
+
+
 def merge_architecture(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(layer, name, source, description, technology, region) of doc, iac and code: one row a component, and the fields on which sources differ."""
-    rank = lambda order: F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(order) for x in (s, i)]), F.col("source"))
-    words, parts = rank(("doc", "iac", "code")), rank(("iac", "code", "doc"))
-    pick = lambda c, r: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(r, c))).alias(c)
-    keyed = rows.withColumn("k", F.lower("name"))
-    origin = F.when(F.max((F.col("source") == "doc").cast("int")) == 1, "documented").when(F.max((F.col("source") == "code").cast("int")) == 1, "code-discovered").otherwise("iac-discovered")
-    merged = keyed.groupBy("layer", "k").agg(pick("name", words), pick("description", words), pick("technology", parts), pick("region", parts), origin.alias("origin"))
-    differ = None
-    for c in ("description", "technology", "region"):
-        d = keyed.groupBy("layer", "k").agg(F.count_distinct(c).alias("n")).where("n > 1").select("layer", "k", F.lit(c).alias("field"), "n")
-        differ = d if differ is None else differ.union(d)
-    return merged.drop("k"), differ
+    """Components merged from doc, iac and code, and what their sources disagree on.
+
+    ``rows`` has layer, name, source and any of description, domain (an array), technology, region, deployment. Each value is a row
+    (field, value, source) of its own; all fields go through one shuffle. The first result has a row a component: each field from the
+    source that is believed first, ``domains`` (all sources' together) and ``origin``. The second has a row for each value of a field on
+    which sources differ (layer, k, field, value, sources, chosen).
+    """
+    there = [f for f in ARCH_FIELDS if f in rows.columns]
+    text = lambda f: F.array_join(F.array_sort(F.array_distinct(f)), ",") if dict(rows.dtypes)[f].startswith("array") else F.col(f).cast("string")
+    rank = lambda f: F.array_position(F.array(*map(F.lit, ARCH_FIELDS[f].split())), F.col("source"))
+    values = F.array(*[F.struct(F.lit(f).alias("field"), text(f).alias("value"), rank(f).alias("rank")) for f in there])
+    long = rows.select("layer", F.lower("name").alias("k"), "source", F.explode(values).alias("v")).select("layer", "k", "source", "v.*").where("value IS NOT NULL AND value <> ''")
+    each = long.groupBy("layer", "k", "field", "value").agg(F.min("rank").alias("rank"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    best = each.groupBy("layer", "k", "field").agg(F.min_by("value", F.struct("rank", "value")).alias("best"), F.count("*").alias("n"))
+    differ = each.join(best.where("n > 1"), ["layer", "k", "field"]).select("layer", "k", "field", "value", "sources", (F.col("value") == F.col("best")).alias("chosen"))
+    wide = best.groupBy("layer", "k").agg(*[F.max(F.when(F.col("field") == f, F.col("best"))).alias(f) for f in there])
+    has = lambda s: F.bool_or(F.col("source") == s)
+    origin = F.when(has("doc"), "documented").when(has("code"), "code-discovered").otherwise("iac-discovered")
+    found = rows.groupBy("layer", F.lower("name").alias("k")).agg(origin.alias("origin"))
+    if "domain" in there:
+        all_of = rows.select("layer", F.lower("name").alias("k"), F.explode("domain").alias("d")).groupBy("layer", "k").agg(F.array_join(F.array_sort(F.collect_set("d")), ",").alias("domains"))
+        found = found.join(all_of, ["layer", "k"], "left")
+    return wide.join(found, ["layer", "k"], "right").drop("k"), differ
 
 
 def resource_table(spark) -> DataFrame:

@@ -99,49 +99,37 @@ def connect_candidates(repos: DataFrame, max_inflight: int) -> DataFrame:
     return ranked.join(F.broadcast(busy)).where(F.col("r") <= F.lit(max_inflight) - F.col("busy")).select("repo_id")
 
 
-def coverage_audit(indexed: DataFrame, disk: DataFrame) -> DataFrame:
-    n = lambda df, s: df.groupBy("repo").agg(F.count("*").alias(f"files_{s}"), F.sum("loc").alias(f"loc_{s}"))
-    z = lambda c: F.coalesce(c, F.lit(0))
-    both = n(indexed, "indexed").join(n(disk, "disk"), "repo", "full_outer")
-    return both.select("repo", z("files_indexed").alias("files_indexed"), z("files_disk").alias("files_disk"), (z("files_indexed") - z("files_disk")).alias("files_delta"), (z("loc_indexed") - z("loc_disk")).alias("loc_delta"))
-
-
-def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(repo, path) of the left side alone: missing files, or ghosts."""
-    return left.select("repo", "path").join(right.select("repo", "path"), ["repo", "path"], "left_anti")
+MEASURES = ("files", "functions", "classes", "loc")
 
 
-def repos_behind(repos: DataFrame, heads: DataFrame) -> DataFrame:
-    rows = repos.join(heads, "key", "left")
-    return rows.select("key", F.when(F.col("head").isNull(), "unreadable").when(F.col("commit") != F.col("head"), "behind").otherwise("current").alias("state"))
-
-
-def exclude_irrelevant(changes: DataFrame, pattern: str) -> DataFrame:
-    return changes.where(~F.col("path").rlike(pattern))
+def coverage_audit(indexed: DataFrame, disk: DataFrame) -> DataFrame:
+    """Per repository files, functions, classes and lines on both sides and their differences. A side is (repo[, functions, classes, loc]), a row a file; what a side doesn't count is null."""
 
+    def side(df: DataFrame, name: str) -> DataFrame:
+        found = {"files": F.count("*")} | {m: F.sum(m) if m in df.columns else F.lit(None).cast("long") for m in MEASURES[1:]}
+        return df.groupBy("repo").agg(*[c.alias(f"{m}_{name}") for m, c in found.items()])
 
-def assign_workspace(changes: DataFrame, workspaces: DataFrame) -> DataFrame:
-    """The longest workspace path that is a folder prefix, by an equi-join on the file's own prefixes; heuristics where there is none."""
-    parts = F.split("path", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    met = changes.withColumn("prefix", F.explode(prefixes)).join(workspaces.select(F.col("ws").alias("prefix"), "wtype"), "prefix")
-    best = met.groupBy("path").agg(F.max(F.struct(F.length("prefix"), "prefix", "wtype")).alias("m")).select("path", "m.prefix", "m.wtype")
-    guess = F.when(F.col("path").rlike(r"\.(tsx|jsx|vue|html|css)$"), "frontend").when(F.col("path").rlike(r"\.(py|java|go|cs|sql)$"), "backend").otherwise("irrelevant")
-    return changes.join(best, "path", "left").select(*changes.columns, F.col("prefix").alias("workspace"), F.coalesce("wtype", guess).alias("wtype"))
+    none = lambda df, m: m != "files" and m not in df.columns
+    z = lambda m, name, df: F.lit(None).cast("long") if none(df, m) else F.coalesce(f"{m}_{name}", F.lit(0))
+    both = side(indexed, "indexed").join(side(disk, "disk"), "repo", "full_outer")
+    columns = [c for m in MEASURES for a, b in [(z(m, "indexed", indexed), z(m, "disk", disk))] for c in (a.alias(f"{m}_indexed"), b.alias(f"{m}_disk"), (a - b).alias(f"{m}_delta"))]
+    return both.select("repo", *columns)
 
 
-def scope_filter(changes: DataFrame, scopes: list[str]) -> DataFrame:
-    keep = F.lit(False)
-    for s in scopes:
-        keep = keep | F.col("path").startswith(s)
-    return changes.where(keep)
+def unindexed_reasons(disk: DataFrame, indexed: DataFrame, supported=SUPPORTED_EXTENSIONS) -> DataFrame:
+    """(repo, path, reason) of files on disk that aren't indexed: unsupported kind, left out by a built-in pattern, or missing."""
+    built_in = "|".join(f"(?:{gitignore_to_regex(p)})" for p in DEFAULT_IGNORES)
+    reason = F.when(~extension().isin(supported), "unsupported").when(F.col("path").rlike(built_in), "excluded").otherwise("missing")
+    return only_in(disk, indexed).select("repo", "path", reason.alias("reason"))
 
 
-def affected_apps(libraries: DataFrame, deps: DataFrame) -> DataFrame:
-    return libraries.select("library").distinct().join(deps, "library").groupBy("library").agg(F.array_join(F.array_sort(F.collect_set("app")), ",").alias("apps"))
+def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(repo, path) of the left side alone: missing files, or ghosts."""
+    return left.select("repo", "path").join(right.select("repo", "path"), ["repo", "path"], "left_anti")
 
 
-def change_breakdown(changes: DataFrame) -> DataFrame:
-    """Per workspace and its type: files changed, and those to create, to update and to flag (deleted or renamed)."""
-    n = lambda *s: F.sum(F.col("status").isin(*s).cast("int")).alias("x")
-    return changes.groupBy("workspace", "wtype").agg(F.count("*").alias("changed"), n("A").alias("to_create"), n("M").alias("to_update"), n("D", "R").alias("to_flag"))
+def repos_behind(repos: DataFrame, heads: DataFrame) -> DataFrame:
+    """(key, state) of repositories (key, commit) against branch heads (key, head): unreadable without a head, behind where the commits differ or none is indexed yet."""
+    known = heads.groupBy("key").agg(F.max("head").alias("head"))
+    rows = repos.join(known, "key", "left")
+    return rows.select("key", F.when(F.col("head").isNull(), "unreadable").when(F.col("commit").eqNullSafe(F.col("head")), "current").otherwise("behind").alias("state"))

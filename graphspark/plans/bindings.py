@@ -38,10 +38,14 @@ VIEWS = {
     "b_uses": "SELECT id, name, 'Supplier#' || lpad(CAST(id + 1 AS STRING), 9, '0') AS used FROM b_component UNION ALL SELECT id, name, 'supplier#' || lpad(CAST(id + 4 AS STRING), 9, '0') FROM b_component WHERE id % 3 <> 0",
     "b_statement_of": "SELECT conv_id AS fn, turn AS pos, CASE turn % 5 WHEN 0 THEN 'if_statement' WHEN 1 THEN 'decorator' WHEN 2 THEN 'query_statement' WHEN 3 THEN 'else_clause' ELSE 'assignment' END AS stype, CASE (conv_id + turn) % 6 WHEN 0 THEN 'if icFlag' || chr(10) || '== 9' WHEN 1 THEN '@view(request_method)' WHEN 2 THEN 'SELECT stock' WHEN 3 THEN 'x' ELSE text END AS text FROM conversations",
     "b_resource": "SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN 'aws_s3_bucket' WHEN 1 THEN 'aws_sqs_queue_policy' WHEN 2 THEN 'x_unknown' WHEN 3 THEN 'google_compute_url_load_balancer' WHEN 4 THEN 'google_compute_network' WHEN 5 THEN 'azurerm_mssql_database' WHEN 6 THEN 'aws_sagemaker_model' WHEN 7 THEN 'aws_lb' WHEN 8 THEN 'kubernetes_ingress_v1' WHEN 9 THEN 'google_compute_disk' WHEN 10 THEN 'aws_cloudwatch_log_group' ELSE NULL END AS rtype FROM part",
-    "b_arch": "SELECT 'Services' AS layer, p_brand AS name, CASE p_partkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'iac' ELSE 'code' END AS source, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS description, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS technology, CAST(p_size AS STRING) AS region FROM part",
+    "b_arch": "SELECT 'Services' AS layer, CASE WHEN p_partkey % 8 = 0 THEN upper(p_brand) ELSE p_brand END AS name, CASE p_partkey % 3 WHEN 0 THEN 'doc' WHEN 1 THEN 'iac' ELSE 'code' END AS source, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type END AS description, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_name END AS technology, CAST(p_size AS STRING) AS region, CASE WHEN p_partkey % 6 = 0 THEN NULL ELSE 'host' || CAST(p_partkey % 5 AS STRING) END AS deployment, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 'd' || CAST(p_size % 3 AS STRING) END AS domain_a, 'd' || CAST(p_partkey % 4 AS STRING) AS domain_b FROM part",
     "b_source_text": "SELECT page_id, replace(replace(html, '<p>', CASE page_id % 3 WHEN 0 THEN '<Button x>' WHEN 1 THEN '<mat-tab-group (click)=' ELSE '<div>' END), '<li>', '<li [(ngModel)]') AS text FROM pages",
     "b_observed": "SELECT type, name, l_partkey % 5 AS feature, l_suppkey % 7 % 2 AS app, l_partkey % 50 = 0 AND l_suppkey % 9 = 0 AS shared, CASE WHEN l_linenumber > 2 THEN 'c' || CAST(l_linenumber AS STRING) END AS uses FROM lineitem JOIN b_component ON b_component.id = l_suppkey % 100 WHERE l_suppkey % 4 <> 0 OR l_partkey % 5 < 2",
-    "b_change": "SELECT page_id, regexp_replace(url, '^https?://[^/]+/', 'apps/') AS path, CASE page_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'D' ELSE 'R' END AS status FROM pages",
+    "b_change": "SELECT page_id, CASE WHEN page_id % 13 = 0 THEN replace(regexp_replace(url, '^https?://[^/]+/', 'apps/'), 'apps/en/', 'apps/enx/') ELSE regexp_replace(url, '^https?://[^/]+/', 'apps/') END AS path, CASE page_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'D' ELSE 'R' END AS status FROM pages",
+    "b_topic": "SELECT scenario_id, outcome_id, CASE scenario_id % 19 WHEN 0 THEN 'Upload Bond prices' WHEN 1 THEN 'Show the P&L report' WHEN 2 THEN 'Waive an exception' WHEN 3 THEN 'FX static data' WHEN 4 THEN 'Audit as PDF' WHEN 5 THEN CASE WHEN outcome_id < 2 THEN 'Set a tolerance' ELSE 'Validate' END WHEN 6 THEN 'expense dashboard' ELSE scenario END AS scenario FROM b_scenario",
+    "b_path": "SELECT page_id, CASE WHEN page_id % 29 = 0 THEN NULL ELSE CASE page_id % 16 WHEN 0 THEN 'apps/shop' || CAST(page_id % 3 AS STRING) || '/web/' WHEN 1 THEN 'apps/shop1/api/' WHEN 2 THEN 'libs/ngx-forms/' WHEN 3 THEN 'libs/nest-core/' WHEN 4 THEN 'libs/price-common/' WHEN 5 THEN 'libs/widget' || CAST(page_id % 2 AS STRING) || '/' WHEN 6 THEN 'services/mail/' WHEN 7 THEN 'apps/shop1/web2/' WHEN 8 THEN 'libs/ngx-forms/node_modules/x/' WHEN 9 THEN 'tools/' WHEN 10 THEN 'apps/lambda/' WHEN 11 THEN 'src/pages/' WHEN 12 THEN 'legacy/' WHEN 13 THEN 'libs/plain/deep/er/' ELSE '' END || CASE page_id % 7 WHEN 0 THEN 'src/app/' WHEN 1 THEN 'controllers/' ELSE '' END || CASE page_id % 17 WHEN 0 THEN 'f' || CAST(page_id AS STRING) || '.component.ts' WHEN 1 THEN 'style.css' WHEN 2 THEN 'a' || CAST(page_id AS STRING) || '.ts' WHEN 3 THEN 'package.json' WHEN 4 THEN 'x' || CAST(page_id AS STRING) || '.service.ts' WHEN 5 THEN 'read.md' WHEN 6 THEN 'a.spec.ts' WHEN 7 THEN 'project.json' WHEN 8 THEN 'v' || CAST(page_id AS STRING) || '.vue' WHEN 9 THEN 'Dockerfile' WHEN 10 THEN '.env.local' WHEN 11 THEN 'OrderController.cs' WHEN 12 THEN 'logo.png' WHEN 13 THEN 'handler.ts' WHEN 14 THEN 'docker-compose.dev' WHEN 15 THEN 'yarn.lock' ELSE 'main.go' END END AS path, CASE page_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'M' WHEN 2 THEN 'D' ELSE 'R' END AS status FROM pages",
+    "b_design_node": "SELECT 'journey' AS label, id, CASE WHEN id % 5 = 0 THEN 'Shared journey' ELSE name END AS name, platform, scenario_id, id % 2 AS seq FROM b_journey UNION ALL SELECT 'flow', id, CASE WHEN id % 9 = 0 THEN ' FLOW ' || CAST(id % 50 AS STRING) ELSE name END, platform, NULL, id % 2 FROM b_flow UNION ALL SELECT 'page', id, name, platform, NULL, id % 2 FROM b_page UNION ALL SELECT 'component', id, CASE WHEN id % 3 = 0 THEN 'Button' ELSE name END, CASE WHEN id % 2 = 0 THEN 'web' END, NULL, id % 2 FROM b_component",
+    "b_design_link": "SELECT 'flow' AS label, child, parent FROM b_flow_parent UNION ALL SELECT 'page', child, parent FROM b_page_parent UNION ALL SELECT 'component', child, parent FROM b_component_parent",
 }
 
 

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions.values import LAYOUT_TYPES, PAGE_TYPES
-from ..operators import design, functional, gates, intents, interfaces, merges, repos, search, spec
+from ..functions.values import INBOUND_VERBS, LAYOUT_TYPES, OUTBOUND_VERBS, OVERLAP_KEYWORDS, PAGE_TYPES
+from ..operators import changes, design, functional, gates, intents, interfaces, merges, repos, search, spec
 from ..sources import exports
 from ..streaming import status as streams
 from .bindings import Tables, named_in, with_views
-from .registry import FOUND, NK, PK, ROUTE, SYS, query
+from .registry import FOUND, NK, PK, ROUTE, SYS, query, text_list
 
 
 def _graph(t):
@@ -84,13 +84,13 @@ query("description_coverage", f"""
 """)(
     lambda t: functional.description_coverage(t.b_scenario, t.b_outcome, t.b_persona, t.b_step, t.b_action)
 )
-query("cross_persona_overlap", """
+query("cross_persona_overlap", f"""
     SELECT k AS keyword, count(DISTINCT persona) AS personas, string_agg(DISTINCT persona, ',' ORDER BY persona) AS persona_list
-    FROM (VALUES ('machinery'), ('building'), ('household')) AS v(k) JOIN (SELECT persona, scenario FROM b_scenario
+    FROM (VALUES {", ".join(f"({text_list([k])})" for k in OVERLAP_KEYWORDS)}) AS v(k) JOIN (SELECT persona, scenario FROM b_topic
     JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id)) ON contains(lower(scenario), k) GROUP BY 1
     HAVING count(DISTINCT persona) >= 3
 """)(
-    lambda t: functional.cross_persona_overlap(t.b_scenario, t.b_outcome, t.b_persona)
+    lambda t: functional.cross_persona_overlap(t.b_topic, t.b_outcome, t.b_persona)
 )
 _STORIES = [("a", "machinery"), ("a", "flow 7"), ("b", "building"), ("b", "rocket"), ("b", "submarine"), ("c", "unicorn")]
 query("source_coverage", """
@@ -213,9 +213,13 @@ query("duplicate_linkage", """
     lambda t: design.duplicate_linkage(t.lineitem.select(F.col("l_orderkey").alias("child"), F.col("l_linenumber").alias("parent")))
 )
 query("empty_hierarchy", """
-    SELECT 'page_without_component' AS issue, id FROM b_page WHERE id NOT IN (SELECT parent FROM b_component_parent WHERE child % 2 = 0)
+    SELECT 'journey_without_flow' AS issue, id FROM b_journey WHERE id NOT IN (SELECT parent FROM b_flow_parent)
+    UNION ALL SELECT 'flow_without_page', id FROM b_flow WHERE id NOT IN (SELECT parent FROM b_page_parent WHERE child % 3 = 0)
+    UNION ALL SELECT 'page_without_component', id FROM b_page WHERE id NOT IN (SELECT parent FROM b_component_parent WHERE child % 7 = 0)
 """)(
-    lambda t: design.empty_hierarchy(t.b_page, t.b_component_parent.where("child % 2 = 0"), "page_without_component")
+    lambda t: design.empty_hierarchy(t.b_journey, t.b_flow_parent, "journey_without_flow")
+    .union(design.empty_hierarchy(t.b_flow, t.b_page_parent.where("child % 3 = 0"), "flow_without_page"))
+    .union(design.empty_hierarchy(t.b_page, t.b_component_parent.where("child % 7 = 0"), "page_without_component"))
 )
 query("duplicate_names", f"""
     SELECT name, page_type, {PK} AS platform, count(*) AS n, min(id) AS first_id FROM b_page WHERE trim(name) <> '' GROUP BY 1, 2, 3
@@ -318,14 +322,22 @@ query("uncalled_handlers", f"""
     lambda t: interfaces.uncalled_handlers(t.b_api)
 )
 query("interface_quadrants", f"""
-    WITH d AS (SELECT type, {ROUTE} AS path, is_system, CASE WHEN action LIKE 'Receive%' THEN 'i' ELSE 'o' END AS dir
-    FROM b_api), o AS (SELECT type, path, count(*) AS n, bool_or(NOT is_system) AS human FROM d WHERE dir = 'o'
-    GROUP BY 1, 2), i AS (SELECT type, path, count(*) AS n FROM d WHERE dir = 'i' GROUP BY 1, 2)
+    WITH v AS (SELECT type, {ROUTE} AS path, is_system, lower(regexp_extract(trim(action), '^[A-Za-z]+')) AS verb FROM b_api WHERE url IS NOT NULL),
+    d AS (SELECT *, CASE WHEN NOT is_system THEN 'o' WHEN verb IN ({text_list(INBOUND_VERBS)}) THEN 'i' WHEN verb IN ({text_list(OUTBOUND_VERBS)}) THEN 'o' END AS dir FROM v),
+    o AS (SELECT type, path, count(*) AS n, bool_or(NOT is_system) AS human FROM d WHERE dir = 'o' GROUP BY 1, 2),
+    i AS (SELECT type, path, count(*) AS n FROM d WHERE dir = 'i' GROUP BY 1, 2)
     SELECT type, path, coalesce(o.n, 0) AS n_outbound, coalesce(i.n, 0) AS n_inbound,
         CASE WHEN o.n IS NULL THEN 'dangling-inbound' WHEN i.n IS NULL THEN 'dangling-outbound' WHEN human THEN 'human-system' ELSE 'system-system' END AS kind
     FROM o FULL JOIN i USING (type, path)
 """)(
-    lambda t: interfaces.interface_quadrants(t.b_api.withColumn("direction", F.when(F.col("action").startswith("Receive"), "inbound").otherwise("outbound")))
+    lambda t: interfaces.interface_quadrants(t.b_api)
+)
+query("interface_directions", f"""
+    SELECT CASE WHEN NOT is_system THEN 'outbound' WHEN regexp_matches(lower(action), '^\\s*(receive|consume|handle)\\b') THEN 'inbound'
+        WHEN regexp_matches(lower(action), '^\\s*(call|invoke|publish|send)\\b') THEN 'outbound' ELSE 'internal' END AS direction, is_system, count(*) AS n
+    FROM b_api GROUP BY 1, 2
+""")(
+    lambda t: t.b_api.groupBy(F.coalesce(interfaces.direction(), F.lit("internal")).alias("direction"), "is_system").agg(F.count("*").alias("n"))
 )
 query("route_crosscheck", f"""
     WITH l AS (SELECT {ROUTE} AS path, count(*) AS n FROM b_api WHERE is_system GROUP BY 1), r AS (SELECT {ROUTE} AS path, count(*) AS n
@@ -374,8 +386,9 @@ _REG = """
 """
 query("compare_component_registries", f"WITH {_REG} SELECT * FROM c")(lambda t: interfaces.compare_registries(*_registries(t)))
 query("component_children_drift", """
-    WITH l AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem
-    WHERE l_linenumber <= 4), r AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem WHERE l_linenumber >= 3)
+    WITH e AS (SELECT DISTINCT l_partkey AS name, l_partkey + 1 AS as_name FROM lineitem WHERE l_partkey % 3 = 0),
+    l AS (SELECT DISTINCT l_suppkey AS key, coalesce(as_name, l_partkey) AS child FROM lineitem LEFT JOIN e ON name = l_partkey WHERE l_linenumber <= 4),
+    r AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS child FROM lineitem WHERE l_linenumber >= 3)
     SELECT key, CAST(sum(CASE WHEN r.child IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only,
         CAST(sum(CASE WHEN l.child IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only,
         CAST(sum(CASE WHEN l.child = r.child THEN 1 ELSE 0 END) AS BIGINT) AS common
@@ -383,11 +396,10 @@ query("component_children_drift", """
 """)(
     lambda t: _kids(t)
 )
-
-
 def _kids(t):
     side = lambda c: t.lineitem.where(c).select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("child"))
-    return interfaces.children_drift(side("l_linenumber <= 4"), side("l_linenumber >= 3"))
+    same = t.lineitem.where("l_partkey % 3 = 0").selectExpr("l_partkey AS name", "l_partkey + 1 AS as_name").distinct()
+    return interfaces.children_drift(side("l_linenumber <= 4"), side("l_linenumber >= 3"), same)
 
 
 
@@ -399,12 +411,44 @@ query("merge_design", """
 """)(
     lambda t: merges.merge_design(t.b_page.withColumn("seq", F.col("id") % 2), t.b_page_parent)[1]
 )
-query("delete_with_orphan_cleanup", """
-    WITH j AS (SELECT id FROM b_journey WHERE id % 2 = 0), f AS (SELECT child AS id FROM (SELECT DISTINCT child, parent FROM b_flow_parent) LEFT
-    JOIN j ON parent = j.id GROUP BY 1 HAVING count(*) = count(j.id)), p AS (SELECT child AS id FROM b_page_parent LEFT JOIN f ON parent = f.id
-    GROUP BY 1 HAVING count(*) = count(f.id)) SELECT 'flow' AS label, id FROM f UNION ALL SELECT 'page', id FROM p
+_MERGED = f"""
+    k AS (SELECT label, id, name, platform, scenario_id, seq, lower(trim(name)) AS k, {PK} AS p FROM b_design_node),
+    of_scenario AS (SELECT id, k, min(id) OVER (PARTITION BY scenario_id) AS kept FROM k WHERE label = 'journey' AND scenario_id IS NOT NULL),
+    mapping AS (
+        SELECT 'journey' AS label, id, kept FROM of_scenario
+        UNION ALL SELECT 'journey', id, coalesce((SELECT min(kept) FROM of_scenario o WHERE o.k = n.k), min(id) OVER (PARTITION BY k)) FROM k n WHERE label = 'journey' AND scenario_id IS NULL
+        UNION ALL SELECT label, id, min(id) OVER (PARTITION BY label, k, p) FROM k WHERE label <> 'journey'
+    ),
+    moved AS (
+        SELECT DISTINCT l.label, c.kept AS child, coalesce(a.kept, l.parent) AS parent FROM b_design_link l JOIN (SELECT DISTINCT * FROM mapping) c ON c.label = l.label AND c.id = l.child
+        LEFT JOIN (SELECT DISTINCT * FROM mapping) a ON a.id = l.parent AND a.label = CASE l.label WHEN 'flow' THEN 'journey' WHEN 'page' THEN 'flow' ELSE 'page' END
+    )
+"""
+query("merge_design_nodes", f"""
+    WITH {_MERGED},
+    n AS (SELECT k.label, kept AS id, arg_max(name, (seq, name)) AS name, arg_max(platform, (seq, platform)) FILTER (WHERE platform IS NOT NULL) AS platform, max(scenario_id) AS scenario_id FROM k JOIN (SELECT DISTINCT * FROM mapping) m ON m.label = k.label AND m.id = k.id GROUP BY 1, 2)
+    SELECT n.label, n.id, name, platform, scenario_id, coalesce(ids, '') AS parent_ids FROM n LEFT JOIN (SELECT label, child, string_agg(CAST(parent AS STRING), ',' ORDER BY parent) AS ids FROM moved GROUP BY 1, 2) m ON m.label = n.label AND m.child = n.id
+""")(lambda t: merges.merge_design_graph(t.b_design_node, t.b_design_link)[0].withColumn("parent_ids", F.array_join("parent_ids", ",")))
+query("merge_design_links", f"WITH {_MERGED} SELECT * FROM moved")(lambda t: merges.merge_design_graph(t.b_design_node, t.b_design_link)[1])
+_DELETED = """
+    j AS (SELECT id FROM b_journey WHERE id % 2 = 0),
+    f AS (SELECT child AS id FROM (SELECT DISTINCT child, parent FROM b_flow_parent) LEFT JOIN j ON parent = j.id GROUP BY 1 HAVING count(*) = count(j.id)),
+    p AS (SELECT child AS id FROM b_page_parent LEFT JOIN f ON parent = f.id GROUP BY 1 HAVING count(*) = count(f.id)),
+    c AS (SELECT child AS id FROM b_component_parent LEFT JOIN p ON parent = p.id GROUP BY 1 HAVING count(*) = count(p.id))
+"""
+query("delete_with_orphan_cleanup", f"WITH {_DELETED} SELECT 'flow' AS label, id FROM f UNION ALL SELECT 'page', id FROM p UNION ALL SELECT 'component', id FROM c")(
+    lambda t: merges.delete_design(t.b_journey.where("id % 2 = 0"), t.b_design_link, merges.DESIGN[1:])[0]
+)
+query("delete_strips_parents", f"""
+    WITH {_DELETED},
+    k AS (
+        SELECT DISTINCT 'flow' AS label, child, parent FROM b_flow_parent WHERE parent NOT IN (SELECT id FROM j) AND child NOT IN (SELECT id FROM f)
+        UNION ALL SELECT 'page', child, parent FROM b_page_parent WHERE parent NOT IN (SELECT id FROM f) AND child NOT IN (SELECT id FROM p)
+        UNION ALL SELECT 'component', child, parent FROM b_component_parent WHERE parent NOT IN (SELECT id FROM p) AND child NOT IN (SELECT id FROM c)
+    )
+    SELECT label, child, string_agg(CAST(parent AS STRING), ',' ORDER BY parent) AS parent_ids FROM k GROUP BY 1, 2
 """)(
-    lambda t: _labelled(["flow", "page"], merges.delete_with_orphan_cleanup(t.b_journey.where("id % 2 = 0"), [t.b_flow_parent, t.b_page_parent]))
+    lambda t: merges.parent_arrays(merges.delete_design(t.b_journey.where("id % 2 = 0"), t.b_design_link, merges.DESIGN[1:])[1]).withColumn("parent_ids", F.array_join("parent_ids", ","))
 )
 query("merge_batch_scenarios", """
     SELECT outcome_id, scenario, min(scenario_id) AS scenario_id FROM b_scenario GROUP BY 1, 2
@@ -556,49 +600,97 @@ query("retry_candidates", f"""
 """)(
     lambda t: repos.retry_candidates(repos.latest_status(t.b_status_event).join(t.b_status_event.where("stage = 'error'").groupBy("repo_id").agg(F.count("*").alias("attempts")), "repo_id"), 30)
 )
-query("coverage_audit", """
-    WITH i AS (SELECT repo, count(*) AS f, sum(loc) AS l FROM b_file WHERE indexed GROUP BY 1), d AS (SELECT repo, count(*) AS f, sum(loc) AS l
-    FROM b_file WHERE on_disk GROUP BY 1)
-    SELECT repo, coalesce(i.f, 0) AS files_indexed, coalesce(d.f, 0) AS files_disk, coalesce(i.f, 0) - coalesce(d.f, 0) AS files_delta,
-        CAST(coalesce(i.l, 0) - coalesce(d.l, 0) AS BIGINT) AS loc_delta
-    FROM i FULL JOIN d USING (repo)
+_COUNTED = "SELECT repo, path, loc, len(string_split(text, '.')) AS functions, doc_id % 4 AS classes, indexed, on_disk FROM b_file"
+
+
+def _counted(t, side):
+    return t.b_file.where(side).select("repo", "path", "loc", F.size(F.split("text", r"\.", -1)).alias("functions"), (F.col("doc_id") % 4).alias("classes"))
+
+
+query("coverage_audit", f"""
+    WITH k AS ({_COUNTED}), i AS (SELECT repo, count(*) AS f, sum(loc) AS l, sum(functions) AS u, sum(classes) AS c FROM k WHERE indexed GROUP BY 1),
+    d AS (SELECT repo, count(*) AS f, sum(loc) AS l, sum(functions) AS u, sum(classes) AS c FROM k WHERE on_disk AND repo <> 'src1' GROUP BY 1),
+    b AS (SELECT repo, coalesce(i.f, 0) AS files_indexed, coalesce(d.f, 0) AS files_disk, coalesce(i.u, 0) AS functions_indexed, coalesce(d.u, 0) AS functions_disk, coalesce(i.c, 0) AS classes_indexed, coalesce(d.c, 0) AS classes_disk, coalesce(i.l, 0) AS loc_indexed, coalesce(d.l, 0) AS loc_disk FROM i FULL JOIN d USING (repo))
+    SELECT repo, files_indexed, files_disk, files_indexed - files_disk AS files_delta, {", ".join(f"CAST({m}_indexed AS BIGINT) AS {m}_indexed, CAST({m}_disk AS BIGINT) AS {m}_disk, CAST({m}_indexed - {m}_disk AS BIGINT) AS {m}_delta" for m in ("functions", "classes", "loc"))} FROM b
+""")(
+    lambda t: repos.coverage_audit(_counted(t, "indexed"), _counted(t, "on_disk AND repo <> 'src1'"))
+)
+query("unindexed_files", """
+    WITH n AS (SELECT repo, path, regexp_extract(path, '[^/]*$') AS base FROM b_file WHERE on_disk AND NOT indexed)
+    SELECT repo, path, CASE WHEN NOT regexp_matches(base, '\\.(ts|py|cs)$') THEN 'unsupported' WHEN contains('/' || path, '/dist/') OR contains('/' || path, '/tests/') THEN 'excluded' ELSE 'missing' END AS reason
+    FROM n
 """)(
-    lambda t: repos.coverage_audit(t.b_file.where("indexed"), t.b_file.where("on_disk"))
+    lambda t: repos.unindexed_reasons(t.b_file.where("on_disk"), t.b_file.where("indexed"))
 )
 query("ghost_files", "SELECT repo, path FROM b_file WHERE indexed AND NOT on_disk")(lambda t: repos.only_in(t.b_file.where("indexed"), t.b_file.where("on_disk")))
 query("repos_behind", """
-    SELECT c_custkey AS key, CASE WHEN c_custkey % 10 = 0 THEN 'unreadable' WHEN c_custkey % 4 = 0 THEN 'behind' ELSE 'current' END AS state
-    FROM customer
+    WITH r AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'c' || CAST(c_nationkey AS STRING) END AS commit FROM customer),
+    h AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'c' || CAST(c_custkey % 25 AS STRING) END AS head FROM customer WHERE c_custkey % 10 <> 0)
+    SELECT key, CASE WHEN head IS NULL THEN 'unreadable' WHEN commit IS NOT DISTINCT FROM head THEN 'current' ELSE 'behind' END AS state FROM r LEFT JOIN h USING (key)
 """)(
-    lambda t: repos.repos_behind(t.customer.selectExpr("c_custkey AS key", "'a' AS commit"), t.customer.where("c_custkey % 10 <> 0").selectExpr("c_custkey AS key", "CASE WHEN c_custkey % 4 = 0 THEN 'b' ELSE 'a' END AS head"))
+    lambda t: repos.repos_behind(
+        t.customer.selectExpr("c_custkey AS key", "CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE 'c' || CAST(c_nationkey AS STRING) END AS commit"),
+        t.customer.where("c_custkey % 10 <> 0").selectExpr("c_custkey AS key", "CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 'c' || CAST(c_custkey % 25 AS STRING) END AS head"),
+    )
 )
 query("exclude_irrelevant", """
-    SELECT page_id, path FROM b_change WHERE NOT contains(path, '#')
-""")(
-    lambda t: repos.exclude_irrelevant(t.b_change, "#").select("page_id", "path")
-)
-_WS = [("apps", "shared"), ("apps/en", "frontend"), ("apps/de", "backend")]
+    WITH b AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS folder FROM b_path WHERE path IS NOT NULL),
+    k AS (
+        SELECT * FROM b WHERE NOT regexp_matches(base, '\\.(md|txt|yml|yaml|lock|log)$') AND NOT (base LIKE '%.json' AND base <> 'project.json') AND NOT regexp_matches(base, '(\\.|_)(test|spec)\\.')
+            AND NOT starts_with(base, '.env') AND base <> 'Dockerfile' AND base <> 'Makefile' AND NOT starts_with(base, 'docker-compose')
+            AND NOT list_has_any(string_split(folder, '/'), ['node_modules', 'dist', 'build', '.git', '.vscode', '.idea', '__pycache__', 'azure-pipelines', 'scripts', 'tools', 'docs', 'e2e'])
+    )
+    SELECT page_id, path FROM k WHERE NOT regexp_matches(base, '\\.(css|scss|less|svg|png|jpg)$')
+        OR folder IN (SELECT folder FROM b WHERE regexp_matches(base, '\\.(tsx|jsx|vue|svelte|component\\.ts|component\\.html)$'))
+""")(
+    lambda t: changes.exclude_irrelevant(t.b_path).select("page_id", "path")
+)
+_MAP = r"""
+    f AS (SELECT DISTINCT path, regexp_extract(path, '[^/]*$') AS base FROM b_path WHERE path IS NOT NULL),
+    w AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS ws FROM f WHERE base IN ('package.json', 'project.json', 'angular.json') AND contains(path, '/')),
+    o AS (SELECT path, base, ws FROM f JOIN w ON starts_with(path, ws || '/') QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(ws) DESC) = 1),
+    g AS (SELECT ws, min(CASE WHEN contains('/' || path, '/src/app/') OR regexp_matches(base, '\.component\.(ts|html)$') THEN 0 WHEN regexp_matches(base, '\.(controller|service|module)\.ts$') THEN 1 WHEN base IN ('handler.ts', 'bootstrap.ts') THEN 2 END) AS sign FROM o GROUP BY 1),
+    m AS (
+        SELECT ws, string_split(ws, '/') AS s, sign FROM w LEFT JOIN g USING (ws)
+    ),
+    k AS (
+        SELECT ws, CASE WHEN s[1] = 'apps' AND s[3] IN ('web', 'syndication') THEN 'frontend,detect' WHEN s[1] = 'apps' AND s[3] = 'api' THEN 'backend,detect' WHEN s[1] = 'apps' AND (s[2] = 'lambda' OR s[3] = 'sitemap-lambda') THEN 'backend,lambda'
+            WHEN s[1] = 'libs' AND starts_with(s[2], 'ngx-') THEN 'shared-frontend,angular' WHEN s[1] = 'libs' AND starts_with(s[2], 'nest-') THEN 'shared-backend,nestjs' WHEN s[1] = 'libs' AND starts_with(s[2], 'express-') THEN 'shared-backend,express'
+            WHEN s[1] = 'libs' AND ends_with(s[2], '-common') THEN 'shared-both,other' WHEN sign = 0 THEN 'frontend,angular' WHEN sign = 1 THEN 'backend,nestjs' WHEN sign = 2 THEN 'backend,lambda' ELSE 'shared-both,other' END AS k
+        FROM m
+    ),
+    spaces AS (SELECT ws, string_split(k, ',')[1] AS wtype, string_split(k, ',')[2] AS framework FROM k)
+"""
+query("workspace_map", f"WITH {_MAP} SELECT * FROM spaces")(lambda t: changes.workspace_map(t.b_path))
 
 
 def _spaces(t):
-    return repos.assign_workspace(t.b_change, t.spark.createDataFrame(_WS, "ws string, wtype string"))
+    return changes.assign_workspace(t.b_path, changes.workspace_map(t.b_path))
 
 
-_W = """
-    SELECT *, CASE WHEN path = 'apps/en' OR path LIKE 'apps/en/%' THEN 'apps/en' WHEN path = 'apps/de' OR path LIKE 'apps/de/%' THEN 'apps/de' ELSE 'apps' END AS workspace, CASE WHEN path = 'apps/en' OR path LIKE 'apps/en/%' THEN 'frontend' WHEN path = 'apps/de' OR path LIKE 'apps/de/%' THEN 'backend' ELSE 'shared' END AS wtype
-    FROM b_change
+_W = rf"""
+    WITH {_MAP},
+    own AS (SELECT path, ws, wtype FROM (SELECT DISTINCT path FROM b_path) JOIN spaces ON path = ws OR starts_with(path, ws || '/') QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(ws) DESC) = 1)
+    SELECT page_id, b.path, status, ws AS workspace, coalesce(wtype, CASE
+        WHEN regexp_matches(b.path, '(\.(controller|service|resolver)\.ts|Controller\.(cs|java)|(^|/)views\.py|(^|/)routes\.py)$') THEN 'backend'
+        WHEN regexp_matches('/' || b.path, '/(pages|views|components|src/app)/') OR regexp_matches(b.path, '\.(tsx|jsx|vue|svelte|cshtml|aspx|html)$') THEN 'frontend'
+        WHEN regexp_matches('/' || b.path, '/(controllers|resolvers|services|routes|handlers|consumers|processors|jobs|middleware)/') THEN 'backend' ELSE 'irrelevant' END) AS wtype
+    FROM b_path b LEFT JOIN own ON own.path = b.path
 """
-query("assign_workspace", f"SELECT page_id, path, status, workspace, wtype FROM ({_W})")(lambda t: _spaces(t).dropDuplicates(["page_id"]))
+query("assign_workspace", f"SELECT page_id, path, status, workspace, wtype FROM ({_W})")(lambda t: _spaces(t))
+query("analysis_passes", f"""
+    SELECT analysis, count(*) AS n FROM ({_W}) JOIN (VALUES ('frontend', 'frontend'), ('shared-frontend', 'frontend'), ('backend', 'backend'), ('shared-backend', 'backend'), ('shared-both', 'frontend'), ('shared-both', 'backend')) AS p(wtype, analysis) USING (wtype) GROUP BY 1
+""")(lambda t: changes.analysis_passes(_spaces(t)).groupBy("analysis").agg(F.count("*").alias("n")))
 query("scope_filter", """
-    SELECT page_id, path FROM b_change WHERE path LIKE 'apps/en/%' OR path LIKE 'apps/fr/%'
+    SELECT page_id, path FROM b_change WHERE path LIKE 'apps/en/%' OR path = 'apps/en' OR path LIKE 'apps/fr/%' OR path = 'apps/fr'
 """)(
-    lambda t: repos.scope_filter(t.b_change, ["apps/en/", "apps/fr/"]).select("page_id", "path")
+    lambda t: changes.scope_filter(t.b_change, ["apps/en", "apps/fr/"]).select("page_id", "path")
 )
 query("affected_apps", """
     SELECT l_suppkey AS library, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS apps FROM lineitem WHERE l_suppkey % 3 = 0
     GROUP BY 1
 """)(
-    lambda t: repos.affected_apps(t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("library")), t.lineitem.select(F.col("l_suppkey").alias("library"), F.col("l_returnflag").alias("app")).distinct())
+    lambda t: changes.affected_apps(t.supplier.where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("library")), t.lineitem.select(F.col("l_suppkey").alias("library"), F.col("l_returnflag").alias("app")).distinct())
 )
 
 # Specification tables
@@ -615,12 +707,20 @@ query("source_index", """
     lambda t: spec.source_index(t.documents.select(F.col("source").alias("doc")))
 )
 
+def _schema(t):
+    facts = t.lineitem.where("l_linenumber = 1").selectExpr("l_suppkey AS table_id", "'FK' AS kind", "array(l_partkey) AS columns", "l_partkey % 100 AS ref_table")
+    facts = facts.union(t.lineitem.where("l_linenumber = 3 AND l_suppkey % 3 = 0").selectExpr("l_suppkey", "'PK'", "array(l_partkey, l_partkey + 1)", "NULL"))
+    return merges.derive_schema_fields(t.lineitem.selectExpr("l_suppkey AS table_id", "l_partkey AS name").distinct(), facts, t.lineitem.where("l_linenumber = 2").selectExpr("l_suppkey AS table_id", "array(l_partkey) AS columns"))
+
+
 query("derive_schema_fields", """
     SELECT l_suppkey AS table_id, l_partkey AS name, bool_or(l_linenumber = 1) AS is_foreign_key, bool_or(l_linenumber = 2) AS is_indexed
     FROM lineitem GROUP BY 1, 2
-""")(
-    lambda t: merges.derive_schema_fields(t.lineitem.selectExpr("l_suppkey AS table_id", "l_partkey AS name").distinct(), t.lineitem.where("l_linenumber = 1").selectExpr("l_suppkey AS table_id", "'FK' AS kind", "array(l_partkey) AS columns", "l_partkey % 100 AS ref_table"), t.lineitem.where("l_linenumber = 2").selectExpr("l_suppkey AS table_id", "array(l_partkey) AS columns"))[1]
-)
+""")(lambda t: _schema(t)[1])
+query("derive_schema_tables", """
+    SELECT l_suppkey AS table_id, count(DISTINCT l_partkey) AS column_count, bool_or(l_linenumber = 3 AND l_suppkey % 3 = 0) AS has_primary_key FROM lineitem GROUP BY 1
+""")(lambda t: _schema(t)[0])
+query("derive_schema_edges", "SELECT DISTINCT l_suppkey AS table_id, l_partkey % 100 AS ref_table FROM lineitem WHERE l_linenumber = 1")(lambda t: _schema(t)[2])
 query("schema_ingest_check", """
     WITH l AS (SELECT p_brand AS label, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_brand AS label, count(*) AS n FROM part
     WHERE p_partkey % 9 <> 0 GROUP BY 1)
@@ -685,12 +785,19 @@ query("attach_citations", """
 """)(
     lambda t: intents.attach_citations(t.b_scenario.select("scenario_id", "outcome_id"), t.orders.where("o_orderkey % 5 = 0").selectExpr("o_custkey AS scenario_id", "concat('src/', o_orderkey) AS path"), t.b_outcome.selectExpr("outcome_id", "concat('o/', outcome_id) AS path"))
 )
+def _attached(t):
+    cache = t.b_intent.where("doc_id % 2 = 0").groupBy(fn.normalize_intent("intent").alias("norm")).agg(F.min("doc_id").alias("first"))
+    return intents.attach_embeddings(t.b_intent, cache.select("norm", F.array(F.col("first").cast("double")).alias("embedding")))
+
+
 query("attach_embeddings", f"""
     WITH c AS (SELECT DISTINCT {NORM} AS norm FROM b_intent WHERE doc_id % 2 = 0) SELECT DISTINCT {NORM} AS norm FROM b_intent
     WHERE {NORM} NOT IN (SELECT norm FROM c)
-""")(
-    lambda t: intents.attach_embeddings(t.b_intent, t.b_intent.where("doc_id % 2 = 0").select(fn.normalize_intent("intent").alias("norm")).distinct().withColumn("embedding", F.array(F.lit(1.0))))[1]
-)
+""")(lambda t: _attached(t)[1])
+query("attached_embeddings", f"""
+    WITH n AS (SELECT doc_id, {NORM} AS norm FROM b_intent), c AS (SELECT norm, CAST(min(doc_id) AS DOUBLE) AS first FROM n WHERE doc_id % 2 = 0 GROUP BY 1)
+    SELECT doc_id, first FROM n LEFT JOIN c USING (norm)
+""")(lambda t: _attached(t)[0].select("doc_id", F.get("embedding", F.lit(0)).alias("first")))
 query("check_api_urls", """
     SELECT action_id FROM b_api WHERE url LIKE '/App/%'
 """)(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import values as v
 from ..functions.scale import shared_dir
-from ..operators import design, functional, gates, interfaces, intents, merges, names, repos, search, spec
+from ..operators import changes, design, functional, gates, interfaces, intents, merges, names, repos, search, spec
 from ..sources import exports
 from ..streaming import status as streams
 from . import queries as base
@@ -129,7 +129,7 @@ query("functional_health", _sums([
     ("P0", _count("empty_scenarios")), ("P0", _count("persona_quality", "contains(flags, 'FORBIDDEN')")), ("P1", _count("duplicate_scenarios")),
     ("P1", _count("duplicate_outcomes", "severity = 'P1'")), ("P1", _count("platform_agnostic")), ("P1", "SELECT CASE WHEN (SELECT sum(with_citation) < sum(total) FROM (" + sql_of("citation_coverage") + ")) THEN 1 ELSE 0 END"),
     ("P1", _count("description_coverage", "kind = 'system_action' AND pct < 80")), ("P1", _count("persona_quality", "contains(flags, 'BLOATED') OR contains(flags, 'THIN')")),
-    ("P2", _count("duplicate_outcomes", "severity = 'P2'")), ("P2", f"SELECT count(*) FROM (SELECT k FROM (VALUES {', '.join(f'({text_list([k])})' for k in functional.OVERLAP)}) AS v(k) JOIN (SELECT persona, scenario FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id)) ON contains(lower(scenario), k) GROUP BY 1 HAVING count(DISTINCT persona) >= 3)"),
+    ("P2", _count("duplicate_outcomes", "severity = 'P2'")), ("P2", f"SELECT count(*) FROM (SELECT k FROM (VALUES {', '.join(f'({text_list([k])})' for k in v.OVERLAP_KEYWORDS)}) AS v(k) JOIN (SELECT persona, scenario FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id)) ON contains(lower(scenario), k) GROUP BY 1 HAVING count(DISTINCT persona) >= 3)"),
 ]))(lambda t: functional.functional_health(*base._graph(t)))
 
 # Payload gates
@@ -369,7 +369,7 @@ def _side_sql(new: bool) -> str:
     n = int(new)
     cites = lambda c: f"['n' || CAST({c} % 3 AS STRING), 'x']" if new else f"['o' || CAST({c} % 2 AS STRING), 'x']"
     say = lambda c: f"' ' || upper({c})" if new else c
-    key = lambda c: rf"lower(trim(regexp_replace({say(c)}, '\s+', ' ', 'g')))"
+    key = lambda c: rf"regexp_replace(lower(trim(regexp_replace({say(c)}, '\s+', ' ', 'g'))), '([\\|>])', '\\\1', 'g')"
     keep = lambda c: f"{c} % 4 <> {0 if new else 1}"
     text, none = "'new'" if new else "'old'", "CAST(NULL AS STRING[])"
     return f"""
@@ -395,15 +395,26 @@ query("widen_component_scope", """
         SELECT type, name, count(DISTINCT feature) AS features, count(DISTINCT app) AS apps, bool_or(shared) AS shared, coalesce(string_agg(DISTINCT uses, ',' ORDER BY uses), '') AS supporting FROM b_observed GROUP BY 1, 2)
 """)(lambda t: merges.widen_scope(t.b_observed).withColumn("supporting", F.array_join("supporting", ",")))
 
-query("merge_architecture_sources", " UNION ALL ".join(
-    f"SELECT layer, lower(name) AS k, '{c}' AS field, count(DISTINCT {c}) AS n FROM b_arch GROUP BY 1, 2 HAVING count(DISTINCT {c}) > 1" for c in ("description", "technology", "region")))(lambda t: merges.merge_architecture(t.b_arch)[1])
-_WORDS, _PARTS = "CASE source WHEN 'doc' THEN 0 WHEN 'iac' THEN 1 ELSE 2 END", "CASE source WHEN 'iac' THEN 0 WHEN 'code' THEN 1 ELSE 2 END"
-_BEST = lambda c, rank: f"first({c} ORDER BY {rank}, {c}) FILTER (WHERE {c} IS NOT NULL) AS {c}"
+_ARCH = {"name": "doc iac code", "description": "doc iac code", "domain": "doc iac code", "technology": "iac code doc", "region": "iac code doc", "deployment": "iac code doc"}
+_ARCH_ROWS = """a AS (SELECT layer, lower(name) AS k, source, name, description, CASE WHEN domain_a IS NULL OR domain_a = domain_b THEN domain_b WHEN domain_a < domain_b THEN domain_a || ',' || domain_b ELSE domain_b || ',' || domain_a END AS domain, technology, region, deployment FROM b_arch)"""
+_LONG = " UNION ALL ".join(f"SELECT layer, k, '{f}' AS field, {f} AS value, source, list_position({order.split()}, source) AS rank FROM a WHERE {f} IS NOT NULL" for f, order in _ARCH.items())
+
+
+def _architecture(t):
+    return merges.merge_architecture(t.b_arch.withColumn("domain", F.filter(F.array("domain_a", "domain_b"), lambda d: d.isNotNull())))
+
+
+query("merge_architecture_sources", f"""
+    WITH {_ARCH_ROWS}, l AS ({_LONG}), e AS (SELECT layer, k, field, value, min(rank) AS rank, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM l GROUP BY 1, 2, 3, 4)
+    SELECT layer, k, field, value, sources, value = first(value) OVER (PARTITION BY layer, k, field ORDER BY rank, value) AS chosen FROM e QUALIFY count(*) OVER (PARTITION BY layer, k, field) > 1
+""")(lambda t: _architecture(t)[1])
+_BEST = lambda f: f"first({f} ORDER BY list_position({_ARCH[f].split()}, source), {f}) FILTER (WHERE {f} IS NOT NULL) AS {f}"
 query("merge_architecture_rows", f"""
-    SELECT layer, {_BEST('name', _WORDS)}, {_BEST('description', _WORDS)}, {_BEST('technology', _PARTS)}, {_BEST('region', _PARTS)},
+    WITH {_ARCH_ROWS}, d AS (SELECT layer, lower(name) AS k, string_agg(DISTINCT d, ',' ORDER BY d) AS domains FROM (SELECT layer, name, unnest([domain_a, domain_b]) AS d FROM b_arch) WHERE d IS NOT NULL GROUP BY 1, 2)
+    SELECT a.layer, {", ".join(_BEST(f) for f in _ARCH)}, any_value(domains) AS domains,
         CASE WHEN bool_or(source = 'doc') THEN 'documented' WHEN bool_or(source = 'code') THEN 'code-discovered' ELSE 'iac-discovered' END AS origin
-    FROM b_arch GROUP BY layer, lower(b_arch.name)
-""")(lambda t: merges.merge_architecture(t.b_arch)[0])
+    FROM a LEFT JOIN d ON d.layer = a.layer AND d.k = a.k GROUP BY a.layer, a.k
+""")(lambda t: _architecture(t)[0])
 
 _TYPES = ", ".join(f"({text_list([*(x.split('*') if '*' in x else (x, ''))])}, '{layer}', {str(look).lower()})" for table, look in ((v.RESOURCE_LAYERS, False), (v.FLAGGED_RESOURCES, True)) for layer, types in table.items() for x in types.split())
 query("classify_iac_resources", f"""
@@ -492,7 +503,7 @@ query("pattern_hits", f"SELECT pattern, count(reason) AS n FROM (VALUES {', '.jo
 query("change_breakdown", f"""
     SELECT workspace, wtype, count(*) AS changed, count(CASE WHEN status = 'A' THEN 1 END) AS to_create, count(CASE WHEN status = 'M' THEN 1 END) AS to_update, count(CASE WHEN status IN ('D', 'R') THEN 1 END) AS to_flag
     FROM ({base._W}) GROUP BY 1, 2
-""")(lambda t: repos.change_breakdown(base._spaces(t).dropDuplicates(["page_id"])))
+""")(lambda t: changes.change_breakdown(base._spaces(t)))
 
 # Exports and specification tables
 
