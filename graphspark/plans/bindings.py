@@ -24,6 +24,7 @@ VIEWS = {
     "b_component_parent": "SELECT DISTINCT l_suppkey AS child, l_partkey AS parent FROM lineitem",
     "b_file": "SELECT doc_id, source AS repo, source || '/' || lang || CASE doc_id % 6 WHEN 0 THEN '/dist/' WHEN 1 THEN '/tests/' ELSE '/app/' END || 'f' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.cs' ELSE '' END AS path, n_chars AS loc, text, doc_id % 13 <> 0 AS indexed, doc_id % 11 <> 0 AS on_disk FROM documents",
     "b_status_event": "SELECT event_id, ts, user_id AS repo_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'node_creation' WHEN 'click' THEN 'creating_embeddings' WHEN 'purchase' THEN 'active' ELSE 'error' END AS stage, value FROM events",
+    "b_repo_log": "SELECT event_id, ts, CAST(user_id % 200 AS BIGINT) AS repo_id, CASE event_type WHEN 'signup' THEN 'connected' WHEN 'view' THEN 'node_creation' WHEN 'click' THEN 'still_running' WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retried' WHEN 2 THEN 'retry_check_failed' ELSE 'metadata_addition' END ELSE 'error' END AS stage FROM events",
     "b_intent": "SELECT doc_id, upper(lang) || ': ' || CASE doc_id % 9 WHEN 0 THEN 'Run Docker for ' WHEN 1 THEN 'Render Spinner on ' ELSE '' END || text AS intent FROM documents",
     "b_statement": "SELECT conv_id AS fn, turn AS pos, role AS stype, text FROM conversations",
     "b_field": "SELECT outcome_id AS payload_id, 'Quantity' AS label, 'qty' AS code, true AS editable FROM b_outcome UNION ALL SELECT outcome_id, 'Table Row', 'row', outcome_id % 2 = 0 FROM b_outcome UNION ALL SELECT outcome_id, 'keeps', 'Choose a', true FROM b_outcome UNION ALL SELECT outcome_id, 'Rocket', NULL, true FROM b_outcome UNION ALL SELECT outcome_id, ' ', 'rocket', true FROM b_outcome WHERE outcome_id % 3 = 0",

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
+from ..functions.scale import shared_dir
 from ..functions.values import INBOUND_VERBS, LAYOUT_TYPES, OUTBOUND_VERBS, OVERLAP_KEYWORDS, PAGE_TYPES
 from ..operators import changes, design, functional, gates, intents, interfaces, merges, repos, search, spec
 from ..sources import exports
+from ..streaming import stalls
 from ..streaming import status as streams
+from ..streaming import tables as stream_tables
 from .bindings import Tables, named_in, with_views
 from .registry import FOUND, NK, PK, ROUTE, SYS, query, text_list
 
@@ -810,21 +814,83 @@ query("findings_report", """
     lambda t: exports.findings("empty_scenarios", "P0", functional.empty_scenarios(t.b_scenario, t.b_step), "scenario_id", "scenario")
 )
 
-# Streams, run as batches here; the tests hold batch and stream results together
-query("stream_latest_status", _LATEST)(lambda t: streams.stream_latest_status(t.b_status_event))
+# Streams: the given rows are written as files, read as a stream with a trigger that ends, and the kept table is the result
+_WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM b_status_event)"
+
+
+def streamed(t, rows: DataFrame, files: int = 4, each: int | None = None) -> tuple[DataFrame, str]:
+    """The rows as a stream of files, ``each`` of them a batch (None: all), and a folder of its own for what is kept. Event times need a zone."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
+    folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(files).write.parquet(f"{folder}/in")
+    reader = t.spark.readStream.schema(rows.schema)
+    return (reader if each is None else reader.option("maxFilesPerTrigger", each)).parquet(f"{folder}/in"), folder
+
+
+def _plain(time: str):
+    return F.col(time).cast("timestamp_ntz").alias(time)
+
+
+def _kept(t, found: DataFrame, folder: str) -> DataFrame:
+    """What an append-mode stream writes."""
+    found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(f"{folder}/out")
+
+
+def _latest_table(t):
+    rows, folder = streamed(t, t.b_status_event.select("event_id", "ts", F.col("repo_id").cast("long").alias("repo_id"), "stage"), 4, 1)
+    table = stream_tables.latest_status_table(t.spark, f"{folder}/table", compact_every=3)
+    table.start(rows, f"{folder}/log", availableNow=True).awaitTermination()
+    return table.read().select("repo_id", _plain("ts"), "stage", repos.status_of().alias("status"))
+
+
+query("stream_latest_status", _LATEST)(_latest_table)
+
+
+def _counts_table(t):
+    rows, folder = streamed(t, t.b_status_event, 4, 2)
+    table = stream_tables.counts_table(t.spark, f"{folder}/table")
+    stream_tables.start_counts(streams.stream_status_counts(rows, watermark="10000 days"), table, f"{folder}/log", availableNow=True).awaitTermination()
+    return table.read().select(_plain("window_start"), "status", "n")
+
+
 query("stream_status_counts", f"""
     SELECT date_trunc('day', ts) AS window_start, {_STATUS} AS status, count(*) AS n FROM b_status_event GROUP BY 1, 2
-""")(
-    lambda t: streams.stream_status_counts(t.b_status_event)
-)
+""")(_counts_table)
+
+
+def _stalls(t):
+    rows, folder = streamed(t, t.b_status_event)
+    return _kept(t, streams.stream_stalls(rows, "6 hours"), folder).select("repo_id", _plain("stalled_at"), "stage")
+
+
 query("stream_stalls", f"""
     WITH g AS (SELECT *, CASE WHEN ts > lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM b_status_event
     WINDOW w AS (PARTITION BY repo_id ORDER BY ts, event_id)), k AS (SELECT *, sum(s) OVER (PARTITION BY repo_id ORDER BY ts, event_id) AS k
     FROM g), l AS (SELECT *, row_number() OVER (PARTITION BY repo_id, k ORDER BY ts DESC, event_id DESC) AS r FROM k)
-    SELECT repo_id, ts + INTERVAL 6 HOUR AS stalled_at, stage FROM l WHERE r = 1 AND stage NOT IN ('active', 'error')
-""")(
-    lambda t: streams.stream_stalls(t.b_status_event, "6 hours")
-)
+    SELECT repo_id, ts + INTERVAL 6 HOUR AS stalled_at, stage FROM l WHERE r = 1 AND stage NOT IN ('active', 'error') AND ts + INTERVAL 6 HOUR <= {_WATERMARK}
+""")(_stalls)
+
+
+def _timers(t):
+    rows, folder = streamed(t, t.b_repo_log)
+    stalls.use_timers(t.spark)
+    return _kept(t, stalls.stream_candidates(rows, 180, 4), folder).withColumn("at", _plain("at"))
+
+
+_CANDIDATES = """
+    WITH e AS (
+        SELECT *, sum(CASE WHEN stage = 'connected' THEN 1 ELSE 0 END) OVER w AS life, lead(ts) OVER (PARTITION BY repo_id ORDER BY ts, event_id) AS next,
+            last_value(CASE WHEN stage NOT IN ('still_running', 'retry_check_failed') THEN stage END IGNORE NULLS) OVER w AS said,
+            last_value(CASE WHEN stage NOT IN ('still_running', 'retry_check_failed') THEN ts END IGNORE NULLS) OVER w AS progress, last_value(CASE WHEN stage = 'still_running' THEN ts END IGNORE NULLS) OVER w AS probed
+        FROM b_repo_log WHERE ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b_repo_log) WINDOW w AS (PARTITION BY repo_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+    ),
+    a AS (SELECT *, CAST(sum(CASE WHEN stage IN ('retried', 'retry_check_failed') THEN 1 ELSE 0 END) OVER (PARTITION BY repo_id, life ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS INTEGER) AS attempts, greatest(greatest(progress, coalesce(probed, progress)) + INTERVAL 3 HOUR, ts) AS due FROM e)
+    SELECT repo_id, 'error' AS kind, ts AS at, said AS stage, attempts FROM a WHERE said = 'error' AND attempts < 4
+    UNION ALL SELECT repo_id, 'stalled', due, said, attempts FROM a WHERE said NOT IN ('error', 'active') AND attempts < 4 AND (due < next OR next IS NULL AND due <= (SELECT max(ts) - INTERVAL 1 HOUR FROM b_repo_log))
+"""
+query("stream_stall_timers", _CANDIDATES)(_timers)
+query("stall_candidates", _CANDIDATES)(lambda t: stalls.stall_candidates(t.b_repo_log, t.b_repo_log.selectExpr("max(ts) - INTERVAL 1 HOUR AS t").first().t, 180, 4))
 
 
 from . import rules  # noqa: E402, F401  (registers more queries, which use the SQL of those above)

@@ -10,6 +10,7 @@ from ..functions.scale import shared_dir
 from ..operators import changes, design, functional, gates, interfaces, intents, merges, names, repos, search, spec
 from ..sources import exports
 from ..streaming import status as streams
+from ..streaming import tables as stream_tables
 from . import queries as base
 from .registry import PK, SYS, any_of, query, sql_of, text_list
 
@@ -184,7 +185,13 @@ query("check_descriptions", f"SELECT payload_id, action_id FROM {PAYLOAD} WHERE
 query("stream_gate_payloads", f"""
     {sql_of('check_rule_a')} UNION ALL {sql_of('check_forbidden_words')} UNION ALL {_LINKED}
     UNION ALL SELECT payload_id, 'description', action_id, 'missing' FROM {PAYLOAD} WHERE {_BLANK}
-""")(lambda t: streams.stream_gate_payloads(base._payload(t)))
+""")(lambda t: _findings(t))
+
+
+def _findings(t):
+    rows, folder = base.streamed(t, base._payload(t), 4, 2)
+    stream_tables.start_findings(rows, f"{folder}/out", f"{folder}/log", availableNow=True).awaitTermination()
+    return stream_tables.read_findings(t.spark, f"{folder}/out", streams.stream_gate_payloads(base._payload(t)).schema)
 
 _INPUTS = f"i AS (SELECT payload_id, action_id, action, has_api, {squeezed('action', 'description')} AS t FROM {PAYLOAD} WHERE NOT {SYS} AND {VERB} IN ({text_list(v.INPUT_VERBS)}))"
 query("check_atomicity", f"""
