@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scale import broadcast_if_small, cut, small_enough
+from ..functions.scale import broadcast_if_small, cut
 from ..functions.text import normalize_intent, split_persona
 from ..functions.values import BRANCH_TYPES, BRANCH_WORDS, NON_FUNCTIONAL, QUERY_WORDS, ROUTE_WORDS
+from . import metric_tree
 
 #: Vectors of a block; a pair of blocks is one task's work.
 BLOCK = 4_096
@@ -35,40 +35,24 @@ def attach_embeddings(intents: DataFrame, cache: DataFrame) -> tuple[DataFrame,
     return rows, rows.where("embedding IS NULL").select("norm").distinct()
 
 
-def _unit(vectors) -> np.ndarray:
-    m = np.stack(list(vectors)).astype(float)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-
-
 def _blocks(vectors: DataFrame, eps: float, block: int) -> DataFrame:
-    """(grp, i, j, part, id, embedding): every pair of blocks of a group that can hold linked vectors.
+    """(grp, i, j, part, id, embedding): every pair of blocks of a group that can hold linked vectors, by a metric tree."""
+    rows, wanted = metric_tree.block_pairs(vectors, eps, block)
+    both = wanted.select("grp", "i", "j", F.col("i").alias("part")).union(wanted.where("i < j").select("grp", "i", "j", F.col("j").alias("part")))
+    return rows.join(broadcast_if_small(both), ["grp", "part"])
 
-    Vectors of a group are sorted into blocks of about ``block`` by their angle to one of them. Angles obey the triangle inequality, so
-    two blocks whose ranges of angles are further apart than the links' angle hold no linked pair and are left out.
-    """
+
+def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row (id, grp, embedding, n) for equal vectors of a group, with the smallest id, and (id, rep, n) of the others: copies are compared once."""
     rows = vectors.where("embedding IS NOT NULL").select("id", "grp", "embedding")
-    pivots = rows.groupBy("grp").agg(F.min_by("embedding", "id").alias("pivot"), F.count("*").alias("n"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot("embedding", "embedding") * dot("pivot", "pivot"))
-    cosine = F.when(norm > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot("embedding", "pivot") / norm))).otherwise(F.lit(0.0))
-    rows = cut(rows.join(pivots, "grp").withColumn("angle", F.acos(cosine)).drop("pivot"))
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    # Ranges of angles by counting 4,096 steps of them a group: no group is sorted in one task.
-    step = F.floor(F.col("angle") / math.pi * 4095).cast("int")
-    steps = rows.groupBy("grp", step.alias("step")).agg(F.count("*").alias("m"), F.first("blocks").alias("blocks"), F.first("n").alias("n"))
-    before = Window.partitionBy("grp").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = cut(steps.select("grp", "step", "m", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("low"), "blocks", "n"))
-    # A step with more vectors than a block is divided by a hash of the id.
-    rows = rows.withColumn("step", step).drop("n", "blocks").join(F.broadcast(steps) if small_enough(steps.count()) else steps, ["grp", "step"])
-    part = F.floor((F.col("low") + F.pmod(F.xxhash64("id"), F.col("m"))) * F.col("blocks") / F.col("n")).cast("int")
-    rows = rows.withColumn("part", part)
-    spans = cut(rows.groupBy("grp", "part").agg(F.min("angle").alias("least"), F.max("angle").alias("most")))
-    reach = math.acos(max(-1.0, 1.0 - eps)) + 1e-6
-    a, b = spans.select("grp", F.col("part").alias("i"), F.col("least").alias("l"), F.col("most").alias("m")), spans.select("grp", F.col("part").alias("j"), F.col("least").alias("l2"), F.col("most").alias("m2"))
-    near = a.join(b, "grp").where(F.col("i") <= F.col("j")).where((F.col("l2") - F.col("m") <= reach) & (F.col("l") - F.col("m2") <= reach))
-    wanted = near.select("grp", "i", "j", F.col("i").alias("part")).union(near.where("i < j").select("grp", "i", "j", F.col("j").alias("part")))
-    wanted = cut(wanted)
-    return rows.select("grp", "part", "id", "embedding").join(F.broadcast(wanted) if small_enough(wanted.count()) else wanted, ["grp", "part"])
+    one = cut(rows.groupBy("grp", "embedding").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    others = rows.join(one.where("n > 1"), ["grp", "embedding"]).where("id <> rep").select("id", "rep", "n")
+    return one.select(F.col("rep").alias("id"), "grp", "embedding", "n"), others
+
+
+def _with_direction(embedding: str = "embedding") -> Column:
+    """Whether a vector isn't zero: only such are linked to their copies."""
+    return F.exists(embedding, lambda x: x != 0)
 
 
 def _close(t: pd.DataFrame, key: tuple, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -76,7 +60,7 @@ def _close(t: pd.DataFrame, key: tuple, eps: float) -> Iterator[tuple[np.ndarray
     a, b = t[t["part"] == key[1]], t[t["part"] == key[2]]
     if not len(a) or not len(b):
         return
-    x, y, p, q = _unit(a["embedding"]), _unit(b["embedding"]), a["id"].to_numpy(), b["id"].to_numpy()
+    x, y, p, q = metric_tree.unit(a["embedding"]), metric_tree.unit(b["embedding"]), a["id"].to_numpy(), b["id"].to_numpy()
     for k in range(0, len(x), 512):
         yield p[k : k + 512], q, (x[k : k + 512] @ y.T >= 1 - eps - 1e-12) & (p[k : k + 512, None] != q[None, :])
 
@@ -92,17 +76,22 @@ def similar_pairs(vectors: DataFrame, eps: float = 0.20, block: int = BLOCK) ->
 
 
 def similar_links(vectors: DataFrame, eps: float = 0.20, block: int = BLOCK) -> DataFrame:
-    """(id, links): how many other vectors of its group are at cosine distance eps or less; ids are unique."""
+    """(id, links): how many other vectors of its group are at cosine distance eps or less; ids are unique. Equal vectors are compared once and counted with their number."""
+    one, others = classes(vectors)
 
     def run(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
-        found = []
+        found, times = [], dict(zip(t["id"], t["n"]))
         for p, q, close in _close(t, key, eps):
-            found.append(pd.DataFrame({"id": p, "links": close.sum(1)}))
+            found.append(pd.DataFrame({"id": p, "links": close @ np.array([times[i] for i in q], np.int64)}))
             if key[1] != key[2]:
-                found.append(pd.DataFrame({"id": q, "links": close.sum(0)}))
+                found.append(pd.DataFrame({"id": q, "links": np.array([times[i] for i in p], np.int64) @ close}))
         return pd.concat(found).groupby("id", as_index=False)["links"].sum() if found else pd.DataFrame({"id": [], "links": []})
 
-    return _blocks(vectors, eps, block).groupBy("grp", "i", "j").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    blocks = _blocks(one, eps, block).join(one.select("id", "n"), "id")
+    met = blocks.groupBy("grp", "i", "j").applyInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    own = F.when((F.lit(eps) >= 1) | _with_direction(), F.col("n") - 1).otherwise(0)
+    whole = cut(one.select("id", own.alias("copies")).join(met, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("copies")).alias("links")))
+    return whole.union(others.select("id", "rep").join(whole.withColumnRenamed("id", "rep"), "rep").select("id", "links"))
 
 
 def similar_forest(vectors: DataFrame, eps: float = 0.20, block: int = BLOCK) -> DataFrame:
@@ -113,7 +102,7 @@ def similar_forest(vectors: DataFrame, eps: float = 0.20, block: int = BLOCK) ->
         a, b = np.flatnonzero(parts == key[1]), np.flatnonzero(parts == key[2])
         if not len(a) or not len(b):
             return pd.DataFrame({"a": [], "b": []})
-        unit, left, edges = _unit(t["embedding"]), np.zeros(len(t), bool), [pd.DataFrame({"a": ids[:0], "b": ids[:0]})]
+        unit, left, edges = metric_tree.unit(t["embedding"]), np.zeros(len(t), bool), [pd.DataFrame({"a": ids[:0], "b": ids[:0]})]
         for k in range(0, len(a), 512):
             close = (unit[a[k : k + 512]] @ unit[b].T >= 1 - eps - 1e-12) & (a[k : k + 512, None] != b[None, :])
             left[a[k : k + 512]] |= close.any(1)
@@ -154,9 +143,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def cluster(vectors: DataFrame, eps: float = 0.20, block: int = BLOCK) -> DataFrame:
-    """(id, grp, cluster): clusters by smallest member, null for noise and for rows without an embedding."""
-    found = components(similar_forest(vectors, eps, block))
-    return vectors.select("id", "grp").join(found, "id", "left")
+    """(id, grp, cluster): clusters by smallest member, null for noise and for rows without an embedding. Equal vectors are compared once."""
+    one, others = classes(vectors)
+    found = components(similar_forest(one, eps, block))
+    linked = one.where((F.lit(eps) >= 1) | _with_direction()).where("n > 1").select("id", F.col("id").alias("own"))
+    of = cut(found.join(linked, "id", "full_outer").select("id", F.coalesce("cluster", "own").alias("cluster")))  # the class has the smallest id
+    of = of.union(others.select("id", "rep").join(of.withColumnRenamed("id", "rep"), "rep").select("id", "cluster"))
+    return vectors.select("id", "grp").join(of, "id", "left")
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

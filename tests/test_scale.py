@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphspark.functions import find, scale
 from graphspark.functions import text as fn
-from graphspark.operators import design, gates, intents, names, search
+from graphspark.operators import design, gates, intents, metric_tree, names, search
 from graphspark.streaming import status
 
 
@@ -52,7 +52,7 @@ def test_near_duplicate_links_equal_all_pairs(spark, monkeypatch, block):
     assert names.near_duplicate_links(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 4_096])
+@pytest.mark.parametrize("block", [24, 4_096])
 def test_vector_links_and_clusters_equal_all_pairs(spark, block):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 6))
@@ -69,6 +69,20 @@ def test_vector_links_and_clusters_equal_all_pairs(spark, block):
     assert intents.cluster(df.limit(0), 0.2, block).count() == 0
 
 
+def test_metric_tree_leaves_out_pairs(spark):
+    """64 dimensions, 12 clusters, and a third of all rows equal: of the pairs of blocks a small share stays, and the links are those of all pairs."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 64))
+    rows = [(i, "a", (centres[i % 12] + rng.normal(size=64) * 0.25).tolist()) for i in range(1_200)] + [(2_000 + i, "a", centres[0].tolist()) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, grp string, embedding array<double>")
+    kept, whole = metric_tree.kept_share(intents.classes(df)[0], 0.2, 40)
+    assert whole > 400 and kept < 0.2 * whole
+    x = metric_tree.unit([v for _, _, v in rows])
+    close = x @ x.T >= 0.8 - 1e-12
+    assert {r.id: r.links for r in intents.similar_links(df, 0.2, 40).collect()} == {i: int(n) - 1 for (i, _, _), n in zip(rows, close.sum(1))}
+    assert len({r.cluster for r in intents.cluster(df, 0.2, 40).collect()}) == 12
+
+
 def test_capacity_batches_over_ranges(spark):
     rng = random.Random(5)
     rows = [(rng.choice(["a", "a", "b", "c"]), i, rng.choice([0, 1, 3, 5, 9, 10, 11, 40])) for i in range(500)]
