@@ -35,13 +35,38 @@ def broadcast_if_small(df: DataFrame, row_bytes: int = 100) -> DataFrame:
     return F.broadcast(df) if small_enough(df.count(), row_bytes) else df
 
 
-def running(df: DataFrame, order: list[Column], value: Column, out: str, parts: int = 32) -> DataFrame:
+#: Rows of a range, and the fewest ranges of an order.
+RANGE_ROWS, LEAST_RANGES = 250_000, 8
+
+
+def ranges_for(df: DataFrame) -> int:
+    """How many ranges an order over ``df`` is cut into: from its counted rows, so that a range stays as small at any size."""
+    return max(LEAST_RANGES, -(-df.count() // RANGE_ROWS))
+
+
+def running(df: DataFrame, order: list[Column], value: Column, out: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over all rows before a row in the order, which must be total.
 
-    Rows are sorted in ranges; a range adds the sums of those before it (``parts`` rows), so that no task holds all of them.
+    Rows are sorted in ranges; a range adds the sums of those before it (``parts`` rows, by default from the count), so that no task holds all of them.
     """
-    ranges = cut(df.withColumn("__value", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    ranges = cut(df.withColumn("__value", value).repartitionByRange(parts or ranges_for(df), *order).withColumn("__part", F.spark_partition_id()))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranges.groupBy("__part").agg(F.sum("__value").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return ranges.join(F.broadcast(sums), "__part").withColumn(out, F.col("__before") + F.coalesce(F.sum("__value").over(within), F.lit(0))).drop("__value", "__part", "__before")
+
+
+def numbered_within(df: DataFrame, key: str, order: list[str], out: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the number (from 0) of a row within its key, in the order, which must be total within a key.
+
+    The rows are cut into ranges of (key, order), wherever keys end; a range of a key begins at the number of rows that the key has in
+    the ranges before. A key with all rows is numbered by as many tasks as there are ranges. Null is a key as any other.
+    """
+    ranges = cut(df.repartitionByRange(parts or ranges_for(df), key, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranges.groupBy("__part", key).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(counts.select("__part", F.col(key).alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
+    rank = F.row_number().over(Window.partitionBy("__part", key).orderBy(*order)) - 1
+    numbered = ranges.withColumn("__rank", rank).withColumnRenamed("__part", "__own")
+    joined = numbered.join(broadcast_if_small(starts), (F.col("__own") == F.col("__part")) & F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumn(out, (F.col("__before") + F.col("__rank")).cast("long")).drop("__own", "__part", "__key", "__before", "__rank")

@@ -53,6 +53,27 @@ def duplicate_scenarios(scenario, outcome, persona) -> DataFrame:
     return with_persona(scenario, outcome, persona).groupBy("scenario").agg(F.count("*").alias("n"), F.count_distinct("persona").alias("personas"), F.count_distinct("outcome_id").alias("outcomes")).where("n > 1")
 
 
+def places(rows: DataFrame, name: str, order: list[str], n: int = 5) -> DataFrame:
+    """Of names that repeat: the first ``n`` rows in the order, with their ``rank`` and the name's whole number ``total``.
+
+    Spark keeps at most ``n`` rows a name in each task before they are shuffled (the rank is filtered right above its window), and totals
+    are summed before they are, so that a hot name is gathered nowhere.
+    """
+    totals = rows.where(F.trim(name) != "").groupBy(name).agg(F.count("*").alias("total")).where("total > 1")
+    rank = F.row_number().over(Window.partitionBy(name).orderBy(*order))
+    first = rows.where(F.trim(name) != "").withColumn("rank", rank).where(F.col("rank") <= n)
+    return first.join(totals, name)
+
+
+def uncited(levels: dict[str, DataFrame]) -> DataFrame:
+    """(level, id, name) of all nodes without a citation; each level has (id, name, cited)."""
+    out = None
+    for level, nodes in levels.items():
+        rows = nodes.where(~F.coalesce("cited", F.lit(False))).select(F.lit(level).alias("level"), "id", "name")
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def duplicate_outcomes(outcome) -> DataFrame:
     """P1 where one persona has the outcome name twice, else P2."""
     each = outcome.groupBy("outcome", "persona_id").agg(F.count("*").alias("k"))

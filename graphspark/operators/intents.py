@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scale import broadcast_if_small, cut
+from ..functions.scale import broadcast_if_small, cut, numbered_within, ranges_for
 from ..functions.text import normalize_intent, split_persona
 from ..functions.values import BRANCH_TYPES, BRANCH_WORDS, NON_FUNCTIONAL, QUERY_WORDS, ROUTE_WORDS
 from . import metric_tree
@@ -156,20 +156,20 @@ def cluster_summary(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("grp").agg(F.count("*").alias("n"), F.count_distinct("cluster").alias("clusters"), F.sum(F.col("cluster").isNull().cast("int")).alias("singletons"))
 
 
-def fixed_batches(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("batch", F.floor((rank - 1) / n).cast("long"))
+def fixed_batches(df: DataFrame, key: str, order: str, n: int, parts: int | None = None) -> DataFrame:
+    """``df`` with ``batch``: rows of a key in order, ``n`` a batch. Numbered over ranges, so that a key with all rows is the work of many tasks."""
+    return numbered_within(df, key, [order], "__at", parts).withColumn("batch", F.floor(F.col("__at") / n).cast("long")).drop("__at")
 
 
-def capacity_batches(df: DataFrame, cap: int, solo_at_cap: bool = False, parts: int = 64) -> DataFrame:
+def capacity_batches(df: DataFrame, cap: int, solo_at_cap: bool = False, parts: int | None = None) -> DataFrame:
     """(grp, pos, size) with ``batch``: next-fit within a group, in the order of pos (unique in its group).
 
-    Rows are sorted in ``parts`` ranges of (grp, pos). What a range does to a batch that is open before it depends on how full that is, but
+    Rows are sorted in ranges of (grp, pos), ``parts`` of them or as many as their count asks for. What a range does to a batch that is open before it depends on how full that is, but
     only until the range opens a batch of its own: a range is summed up as a few cases (one for each of its rows that could open the first
     batch). Those are chained for each group, a row a case, and the ranges are then packed each for itself.
     """
     kinds = dict(df.dtypes)
-    ranges = cut(df.select("grp", "pos", "size").repartitionByRange(parts, "grp", "pos").withColumn("part", F.spark_partition_id()))
+    ranges = cut(df.select("grp", "pos", "size").repartitionByRange(parts or ranges_for(df), "grp", "pos").withColumn("part", F.spark_partition_id()))
 
     def cases(t: pd.DataFrame) -> pd.DataFrame:
         """The rows that may open the first batch: what the range holds before them, and what follows if they do."""

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import find
+
 
 def keyword_sweep(nodes: DataFrame, nouns: list[str], max_total: int = 60) -> tuple[DataFrame, DataFrame]:
     """Totals of (id, text) by noun (case-insensitive substring), and the hits of nouns that are not too common."""
@@ -120,6 +122,25 @@ def schema_dependents(table: str, fks: DataFrame, bodies: DataFrame) -> DataFram
     return refs.union(bodies.where(F.col("body").rlike(rf"(?i)\b\Q{table}\E\b")).select("kind", "id"))
 
 
+def all_schema_dependents(tables: DataFrame, fks: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(table, kind, id) for every one of ``tables`` (column table): tables that refer to it, and views and procedures whose body names it as a word, in any case. One pass over the bodies for all names."""
+    names = tables.where("table <> ''").select(F.lower("table").alias("table")).distinct()
+    refs = fks.select(F.lower("ref_table").alias("table"), F.lit("foreign_key").alias("kind"), F.col("table_id").alias("id")).join(names, "table", "left_semi").select("table", "kind", "id")
+    texts = bodies.select("kind", "id", F.lower("body").alias("text"))
+    return refs.union(find.hits(texts, names, term="table", words=True).select("table", "kind", "id"))
+
+
+def all_references(parts: list[DataFrame], terms: DataFrame) -> DataFrame:
+    """(term, file) for every one of ``terms`` (column term): files of (file, text) rows of any kind that hold it, or its snake or kebab form, as a word."""
+    forms = F.array_distinct(F.array(F.lower("term"), *[F.lower(F.regexp_replace("term", "([a-z0-9])([A-Z])", f"$1{sign}$2")) for sign in ("_", "-")]))
+    named = terms.where("term <> ''").select("term", F.explode(forms).alias("form")).distinct()
+    out = None
+    for p in parts:
+        found = find.hits(p.select("file", F.lower("text").alias("text")), named.select("form"), term="form", words=True)
+        out = found if out is None else out.unionByName(found)
+    return out.join(named, "form").select("term", "file").distinct()
+
+
 def classify_stores(stores: DataFrame) -> DataFrame:
     """(store, read_only, needs_ddl, hits, score_min, score_max) to a tier; weak hits are skipped."""
     weak = (F.col("hits") < 3) & (F.col("score_min") >= 0.40) & (F.col("score_max") <= 0.45)

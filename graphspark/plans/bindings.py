@@ -23,6 +23,7 @@ VIEWS = {
     "b_component": "SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'TEMPLATE' WHEN 1 THEN 'ORGANISM' WHEN 2 THEN 'MOLECULE' ELSE 'ATOM' END AS type, CAST(s_nationkey AS BIGINT) AS feature_id FROM supplier",
     "b_component_parent": "SELECT DISTINCT l_suppkey AS child, l_partkey AS parent FROM lineitem",
     "b_file": "SELECT doc_id, source AS repo, source || '/' || lang || CASE doc_id % 6 WHEN 0 THEN '/dist/' WHEN 1 THEN '/tests/' ELSE '/app/' END || 'f' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.cs' ELSE '' END AS path, n_chars AS loc, text, doc_id % 13 <> 0 AS indexed, doc_id % 11 <> 0 AS on_disk FROM documents",
+    "b_pattern": "SELECT repo, CAST(position AS BIGINT) AS position, pattern FROM (SELECT DISTINCT source AS repo, 3 AS position, '*.cs' AS pattern FROM documents UNION ALL SELECT DISTINCT source, 2, '/' || source || '/de/**' FROM documents UNION ALL SELECT DISTINCT source, 1, 'f1*.ts' FROM documents UNION ALL SELECT DISTINCT source, 9, 'never-there/' FROM documents UNION ALL SELECT DISTINCT source, 4, 'fr/app/' FROM documents UNION ALL SELECT DISTINCT source, 5, 'app/' FROM documents WHERE lang = 'es' UNION ALL SELECT source, 100 + doc_id, 'f' || CAST(doc_id AS STRING) || '.py' FROM documents WHERE doc_id % 3 <> 0) AS x",
     "b_status_event": "SELECT event_id, ts, user_id AS repo_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'node_creation' WHEN 'click' THEN 'creating_embeddings' WHEN 'purchase' THEN 'active' ELSE 'error' END AS stage, value FROM events",
     "b_repo_log": "SELECT event_id, ts, CAST(user_id % 200 AS BIGINT) AS repo_id, CASE event_type WHEN 'signup' THEN 'connected' WHEN 'view' THEN 'node_creation' WHEN 'click' THEN 'still_running' WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retried' WHEN 2 THEN 'retry_check_failed' ELSE 'metadata_addition' END ELSE 'error' END AS stage FROM events",
     "b_intent": "SELECT doc_id, upper(lang) || ': ' || CASE doc_id % 9 WHEN 0 THEN 'Run Docker for ' WHEN 1 THEN 'Render Spinner on ' ELSE '' END || text AS intent FROM documents",

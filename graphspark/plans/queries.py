@@ -68,6 +68,18 @@ _DUP = """
     JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id) GROUP BY 1 HAVING count(*) > 1
 """
 query("duplicate_scenarios", _DUP)(lambda t: functional.duplicate_scenarios(t.b_scenario, t.b_outcome, t.b_persona))
+query("duplicate_scenario_places", """
+    WITH r AS (SELECT scenario, scenario_id, outcome_id, persona, row_number() OVER (PARTITION BY scenario ORDER BY scenario_id) AS rank, count(*) OVER (PARTITION BY scenario) AS total
+    FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id))
+    SELECT scenario, scenario_id, outcome_id, persona, CAST(rank AS INTEGER) AS rank, total FROM r WHERE total > 1 AND rank <= 5 AND trim(scenario) <> ''
+""")(
+    lambda t: functional.places(functional.with_persona(t.b_scenario, t.b_outcome, t.b_persona).select("scenario", "scenario_id", "outcome_id", "persona"), "scenario", ["scenario_id"])
+)
+query("uncited_nodes", """
+    SELECT 'outcome' AS level, outcome_id AS id, outcome AS name FROM b_outcome WHERE NOT cited UNION ALL SELECT 'scenario', scenario_id, scenario FROM b_scenario WHERE NOT cited
+""")(
+    lambda t: functional.uncited({"outcome": t.b_outcome.selectExpr("outcome_id AS id", "outcome AS name", "cited"), "scenario": t.b_scenario.selectExpr("scenario_id AS id", "scenario AS name", "cited")})
+)
 query("duplicate_outcomes", """
     SELECT outcome, CAST(sum(k) AS BIGINT) AS n, CASE WHEN max(k) > 1 THEN 'P1' ELSE 'P2' END AS severity
     FROM (SELECT outcome, persona_id, count(*) AS k FROM b_outcome_all GROUP BY 1, 2) GROUP BY 1 HAVING sum(k) > 1
@@ -771,6 +783,25 @@ query("schema_dependents", """
 """)(
     lambda t: search.schema_dependents("apache", t.lineitem.selectExpr("l_suppkey AS table_id", "CASE WHEN l_returnflag = 'A' THEN 'apache' ELSE 'x' END AS ref_table"), t.documents.selectExpr("'view' AS kind", "doc_id AS id", "text AS body"))
 )
+_NAMES = "SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z]{5,}', 0)) AS name FROM conversations WHERE role = 'user'"
+query("all_schema_dependents", rf"""
+    WITH n AS (SELECT name FROM ({_NAMES}) WHERE name <> '')
+    SELECT name AS table, 'foreign_key' AS kind, part_id AS id FROM (SELECT p_partkey AS part_id, lower(string_split(p_name, ' ')[1]) AS name FROM part) JOIN n USING (name)
+    UNION ALL SELECT name, 'view', doc_id FROM documents JOIN n ON contains(lower(text), name) AND regexp_matches(lower(text), '\b' || name || '\b')
+""")(
+    lambda t: search.all_schema_dependents(_user_words(t).withColumnRenamed("name", "table"), t.part.select(F.col("p_partkey").alias("table_id"), F.split("p_name", " ")[0].alias("ref_table")), t.documents.selectExpr("'view' AS kind", "doc_id AS id", "text AS body"))
+)
+query("all_references", rf"""
+    SELECT name AS term, path AS file FROM b_file JOIN (SELECT name FROM ({_NAMES}) WHERE name <> '') ON contains(lower(text), name) AND regexp_matches(lower(text), '\b' || name || '\b') GROUP BY 1, 2
+""")(
+    lambda t: search.all_references([t.b_file.select(F.col("path").alias("file"), "text")], _user_words(t).withColumnRenamed("name", "term"))
+)
+
+
+def _user_words(t):
+    return t.conversations.where("role = 'user'").select(F.lower(F.regexp_extract("text", "[A-Za-z]{5,}", 0)).alias("name")).where("name <> ''").distinct()
+
+
 query("anchor_architecture", """
     SELECT p_partkey AS code_ontology_id, p_brand AS name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)
 """)(

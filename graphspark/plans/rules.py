@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import values as v
 from ..functions.scale import shared_dir
-from ..operators import changes, design, functional, gates, interfaces, intents, merges, names, repos, search, spec
+from ..operators import changes, design, functional, gates, ignores, interfaces, intents, merges, names, repos, search, spec
 from ..sources import exports
 from ..streaming import status as streams
 from ..streaming import tables as stream_tables
@@ -594,3 +594,23 @@ query("read_jsonl_log", "SELECT ts, 'stage' AS event, CAST(repo_id AS STRING) AS
     lambda t: exports.read_jsonl_log(t.spark, _written(t, t.b_status_event.selectExpr("ts", "'stage' AS event", "CAST(repo_id AS STRING) AS repo", "stage"), "json")).select("ts", "event", "repo", "stage")
 )
 query("write_report", sql_of("findings_report"))(lambda t: t.spark.read.parquet(_written(t, base.FOUND["findings_report"][0](t), "parquet")))
+
+# Patterns by repository, by their rules: a pattern of one name holds at any depth, one with a slash inside from the root
+_FITS = """
+    f AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, '/' || path AS p FROM b_file),
+    m AS (
+        SELECT doc_id, position, pattern FROM f JOIN b_pattern USING (repo)
+        WHERE CASE position WHEN 1 THEN base LIKE 'f1%.ts' WHEN 2 THEN starts_with(path, repo || '/de/') WHEN 3 THEN base LIKE '%.cs' WHEN 4 THEN starts_with(path, 'fr/app/') WHEN 5 THEN contains(p, '/app/') WHEN 9 THEN contains(p, '/never-there/') ELSE base = pattern END
+    ),
+    seen AS (
+        SELECT doc_id, repo, CASE WHEN NOT regexp_matches(base, '\.(ts|py|cs)$') THEN 'unsupported' WHEN contains(p, '/dist/') OR contains(p, '/tests/') THEN 'built-in' WHEN w.position IS NOT NULL THEN 'own' ELSE 'kept' END AS reason, w.position, w.pattern
+        FROM f LEFT JOIN (SELECT doc_id, min(position) AS position, min_by(pattern, position) AS pattern FROM m GROUP BY 1) w USING (doc_id)
+    )
+"""
+_PREVIEW = lambda t: ignores.preview_by_repo(t.b_file.select("doc_id", "repo", "path"), t.b_pattern)
+query("preview_ignores_by_repo", f"WITH {_FITS} SELECT doc_id, reason, CASE WHEN reason = 'own' THEN position END AS position, CASE WHEN reason = 'own' THEN pattern END AS pattern FROM seen")(
+    lambda t: _PREVIEW(t).select("doc_id", "reason", "position", "pattern")
+)
+query("pattern_hits_by_repo", f"""
+    WITH {_FITS} SELECT b.repo, b.position, b.pattern, count(s.doc_id) AS n FROM b_pattern b LEFT JOIN (SELECT * FROM seen WHERE reason = 'own') s ON s.repo = b.repo AND s.position = b.position GROUP BY 1, 2, 3
+""")(lambda t: ignores.hits_by_repo(_PREVIEW(t), t.b_pattern))
