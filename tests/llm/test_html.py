@@ -3,6 +3,7 @@
 import re
 import time
 
+import numpy as np
 import pytest
 
 from graphspark.llm import html_extract
@@ -28,6 +29,52 @@ def test_pages_without_marks_give_the_text_of_the_marked_page(pages, monkeypatch
     assert sum(a == html_extract.main_text(b) for a, b in zip(want, bare)) <= 0.1 * len(pages)
 
 
+def test_windows_decide_on_marked_pages(pages, monkeypatch):
+    want = [html_extract.main_text(p) for p in pages]
+    monkeypatch.setattr(html_extract, "stretches", lambda row: [(0, len(row))])
+    assert sum(a == html_extract.main_text(p) for a, p in zip(want, pages)) <= 0.01 * len(pages)
+
+
+def test_surge_and_dive_equal_plain_sums():
+    """Stretches and what surges, against sums taken window by window."""
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        row = rng.choice([0.0, 0.0, 5.0, 30.0, 90.0], rng.integers(1, 30))
+        w = html_extract.WINDOW
+        sums = [sum(row[max(0, k - w + 1) : k + 1]) for k in range(len(row) + w - 1)]
+        want, k = [], 0
+        while k < len(sums):
+            if sums[k] > 0:
+                end = k
+                while end < len(sums) and sums[end] > 0:
+                    end += 1
+                want.append((k, min(end - w + 1, len(row))))
+                k = end
+            k += 1
+        assert html_extract.stretches(row) == want and np.allclose(html_extract.windows(row), sums)
+
+
+@pytest.mark.parametrize("page", [
+    "<form><main><p>{}</p></main></form>", "<form id=f><div><article><p>{}</p></article></div></form>", '<article><div class="elementor-widget"><p>{}</p></div></article>',
+    '<main><div class="elementor-element elementor-widget elementor-widget-text-editor"><p>{}</p></div></main>', '<main><section class="related-work"><p>{}</p></section></main>', "<form><div><p>{}</p><p>{}</p><input><label>Name</label></div></form>",
+])
+def test_articles_in_forms_and_boxes_are_kept(page):
+    text = html_extract.main_text(page.format(BODY, BODY))
+    assert text.startswith(BODY.strip()) and text.count(BODY.strip()) == page.count("{}")
+
+
+def test_forms_and_boxes_beside_articles_go():
+    boxes = f'<form><p>{BODY}</p><label>Name</label></form><div class="widget">{BODY}</div><div class="related-posts"><p>{BODY}</p></div><div class="share-buttons">Share</div>'
+    assert html_extract.main_text(f"<main><p>{BODY}</p>{boxes}<p>End.</p></main>") == f"{BODY.strip()}\n\nEnd."
+
+
+@pytest.mark.parametrize("page", ["<i>" * 120_000 + "</x>" * 120_000, "<x><article>" + "<i>" * 120_000 + "</x>" * 120_000, "<head>" * 150_000, "<b>" * 100_000 + "</b></i>" * 100_000, "<div class=a>" * 60_000 + "</p>" * 60_000])
+def test_broken_nesting_is_read_once(page):
+    began = time.time()
+    html_extract.main_text(page + f"<p>{BODY}</p>")
+    assert time.time() - began < 10
+
+
 def test_marked_articles_are_whole(pages):
     """Of the given pages, whose articles hold nothing foreign: every paragraph and heading of the article, in order."""
     for page in pages:
