@@ -596,7 +596,7 @@ query("read_jsonl_log", "SELECT ts, 'stage' AS event, CAST(repo_id AS STRING) AS
 query("write_report", sql_of("findings_report"))(lambda t: t.spark.read.parquet(_written(t, base.FOUND["findings_report"][0](t), "parquet")))
 
 # Patterns by repository, by their rules: a pattern of one name holds at any depth, one with a slash inside from the root
-_FITS = """
+_FITS = r"""
     f AS (SELECT *, regexp_extract(path, '[^/]*$') AS base, '/' || path AS p FROM b_file),
     m AS (
         SELECT doc_id, position, pattern FROM f JOIN b_pattern USING (repo)
