@@ -4,8 +4,9 @@ An automaton holds every run of words of licence templates. There are two, so th
 before it: one of the whole texts of the files in ``licenses`` (one a licence, named by its label), one of the usual notices. A text is
 streamed through them word by word, which gives the matching statistics: at each word the longest run of template words that ends
 there. Long matches (``ANCHOR`` words for notices, ``FULL_ANCHOR`` for whole texts) are chained,
-in the order of text and of template and with small gaps; of all chains of a template those that cover most become spans, as far as they
-don't overlap, and a span that covers ``COVERAGE`` of a template gives its label. A phrase of the base list ends at a word exactly where
+in the order of text and of template and with small gaps; a chain is worth the words that it covers less ``SKIP_COST`` for each word of the
+text that it skips, since one word may make another licence of it. Of all chains of a template the best become spans, as far as they
+don't overlap, and a span worth ``COVERAGE`` of a template gives its label. A span inside one of another licence is part of that, and goes. A phrase of the base list ends at a word exactly where
 the state, or a state that its suffix links lead to, is the phrase's.
 
 Words: A-Z lower-cased, then runs of ASCII letters and digits and of all characters beyond ASCII. The driver reads the files (0.2 MB,
@@ -43,15 +44,25 @@ TEMPLATES = [
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4 0"),
-    ("cc-by-4.0", "licensed under a creative commons attribution 4 0 international license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3"),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("epl-2.0", "eclipse public license v 2 0"),
+    ("epl-2.0", "eclipse public license version 2 0"),
     ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-ANCHOR, FULL_ANCHOR, GAP, COVERAGE = 2, 5, 6, 0.85
+#: The licences of the CC BY family after the name's own words, as signs and in words; identifiers in SPDX lines and their labels.
+CC_BY = [("", ""), ("sa", "sharealike"), ("nc", "noncommercial"), ("nd", "noderivatives"), ("nc sa", "noncommercial sharealike"), ("nc nd", "noncommercial noderivatives")]
+SPDX = "mit apache-2.0 gpl-2.0 gpl-3.0 lgpl-2.1 lgpl-3.0 agpl-3.0 bsd-2-clause bsd-3-clause isc mpl-1.1 mpl-2.0 epl-2.0 cc0-1.0 unlicense artistic-1.0".split()
+for signs, named in CC_BY:
+    label = "-".join(["cc-by", *signs.split(), "4.0"])
+    TEMPLATES += [(label, " ".join(f"cc by {signs} 4 0".split())), (label, " ".join(f"creative commons attribution {named} 4 0 international".split()))]
+TEMPLATES += [(x, f"spdx license identifier {x.replace('-', ' ').replace('.', ' ')}") for x in SPDX]
+ANCHOR, FULL_ANCHOR, GAP, COVERAGE, SKIP_COST = 2, 5, 6, 0.85, 2
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -165,7 +176,7 @@ class Templates:
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """The best chain that ends with each match, in text order; spans are those that cover most and overlap no other of their template."""
-        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # of each template: words covered, first word, word after the last, end
+        chains: dict[int, list[tuple[int, int, int, int]]] = {}  # of each template: worth, first word, word after the last, end
         whole: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in matches:
             for t, end in self.automaton.ends[state]:
@@ -173,10 +184,10 @@ class Templates:
                     continue
                 near = [c for c in chains.get(t, ()) if start <= c[2] + GAP]  # matches come by start: others are too far from all later ones
                 best = (size, start)
-                for covered, first, after, at in near:
+                for worth, first, after, at in near:
                     fresh = min(size, start + size - after, end - at)  # words that the chain hasn't covered
                     if fresh > 0:
-                        best = max(best, (covered + fresh, first))
+                        best = max(best, (worth + fresh - SKIP_COST * max(0, start - after), first))
                 near.append((*best, start + size, end))
                 chains[t] = near
                 if best[0] >= COVERAGE * self.sizes[t]:
@@ -184,14 +195,26 @@ class Templates:
         spans = []
         for t, found in whole.items():
             taken: list[tuple[int, int]] = []
-            for covered, first, after in sorted(found, key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            for worth, first, after in sorted(found, key=lambda c: (-c[0], c[2] - c[1], c[1])):
                 k = bisect(taken, (first, after))
                 if (k == 0 or taken[k - 1][1] <= first) and (k == len(taken) or taken[k][0] >= after):
                     insort(taken, (first, after))
-                    spans.append((self.labels[t], first, after, covered / self.sizes[t]))
+                    spans.append((self.labels[t], first, after, worth / self.sizes[t]))
         return spans
 
 
+def outermost(spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+    """Spans (label, first, after, coverage) in text order, without those inside a longer span of another label, or at the same place with less coverage."""
+    kept, reach = [], {}  # of each label: the span so far that ends last
+    for span in sorted(spans, key=lambda x: (x[1], -x[2], -x[3], x[0])):
+        label, first, after, coverage = span
+        if not any(o != label and a >= after and (a > after or f < first or c > coverage) for o, (f, a, c) in reach.items()):
+            kept.append(span)
+        if label not in reach or after > reach[label][1]:
+            reach[label] = (first, after, coverage)
+    return kept
+
+
 class Scanner:
     def __init__(self, full: list[tuple[str, str]] | None = None):
         self.notices = Templates([(label, text) for text, label in BASE] + TEMPLATES, ANCHOR, len(BASE))
@@ -202,7 +225,7 @@ class Scanner:
         words = words_of(text)
         places, matches = self.notices.read(words)
         spans = self.notices.chain(matches) + self.full.chain(self.full.read(words)[1])
-        return len(words), places, sorted(spans, key=lambda x: x[1:3])
+        return len(words), places, outermost(spans)
 
 
 def scan_texts(docs: DataFrame) -> DataFrame:

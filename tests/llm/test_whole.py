@@ -7,7 +7,7 @@ from graphspark.llm import exact_dedup, license_scan, secret_scan
 
 
 def _most_covered(words, templates):
-    """By brute force: the words of each template that a chain of longest runs covers, in order and with gaps of at most GAP words of the text."""
+    """By brute force: the worth of each template's best chain of longest runs, in order and with gaps of at most GAP words of the text, which cost SKIP_COST each."""
     gap, best = license_scan.GAP, [[] for _ in templates]
     held = {tuple(t[a:b]) for t in templates for a in range(len(t)) for b in range(a + 1, len(t) + 1)}
     longest = [max((n for n in range(1, i + 1) if tuple(words[i - n : i]) in held), default=0) for i in range(len(words) + 1)] + [0]
@@ -16,7 +16,7 @@ def _most_covered(words, templates):
             continue
         for chains, t in zip(best, templates):
             for end in [e for e in range(n, len(t) + 1) if t[e - n : e] == words[after - n : after]]:
-                chains.append((after, end, max([n] + [c + min(n, after - a, end - e) for a, e, c in chains if after - n <= a + gap and min(n, after - a, end - e) > 0])))
+                chains.append((after, end, max([n] + [c + min(n, after - a, end - e) - license_scan.SKIP_COST * max(0, after - n - a) for a, e, c in chains if after - n <= a + gap and min(n, after - a, end - e) > 0])))
     return [max((c for _, _, c in chains), default=0) for chains in best]
 
 
