@@ -3,7 +3,7 @@
 Two names of one label and platform link when the Jaccard score of their token sets, plain or with synonyms, is at or above a threshold.
 Names with equal token sets are one class first (word order and case drop out). Of a set with n tokens only the rarest
 n - ceil(threshold * n) + 1 are indexed, so that frequent tokens meet in no bucket. A bucket holds the classes that share an indexed
-token; it is scored as a product of 0/1 matrices, and a pair counts in the bucket of the first indexed token that the two share. A
+token; it is scored by products of 0/1 matrices of the tokens that both sides have, some columns at a time, and a pair counts in the bucket of the first indexed token that the two share. A
 bucket of over ``BLOCK`` classes is divided into pairs of blocks. A bucket gives each class its number of linked names, and a spanning
 forest of its links: what is written is linear in what is read.
 """
@@ -33,39 +33,60 @@ def classes_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return names.select("label", "platform", "key", "cls"), classes.withColumn("wide", F.array_sort(expanded(F.col("plain"))))
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    shared = a @ b.T
-    return np.round(shared / np.maximum(a.sum(1)[:, None] + b.sum(1)[None, :] - shared, 1), 4)
+#: Columns of a product at once: memory is rows x COLUMNS, whatever the number of tokens.
+COLUMNS = 1_024
 
 
-def _sets(lists: list, vocabulary: dict) -> np.ndarray:
-    out = np.zeros((len(lists), len(vocabulary)), np.float32)
-    for i, tokens in enumerate(lists):
-        out[i, [vocabulary[t] for t in tokens]] = 1
-    return out
+class _Sets:
+    """Token sets of rows as (row, code) pairs; how many tokens rows share, by products of the columns that both sides have."""
+
+    def __init__(self, lists: list[list[str]]):
+        known: dict[str, int] = {}
+        self.codes = np.array([known.setdefault(t, len(known)) for tokens in lists for t in tokens], np.int64)
+        self.size = np.array([len(tokens) for tokens in lists], np.int64)
+        self.rows, self.tokens = np.repeat(np.arange(len(lists)), self.size), len(known)
+
+    def _columns(self, rows: np.ndarray, column: np.ndarray, low: int) -> np.ndarray:
+        """The 0/1 matrix of some rows and the columns from ``low`` on."""
+        place = np.full(len(self.size), -1)
+        place[rows] = np.arange(len(rows))
+        at, col = place[self.rows], column[self.codes] - low
+        kept = (at >= 0) & (col >= 0) & (col < COLUMNS)
+        out = np.zeros((len(rows), COLUMNS), np.float32)
+        out[at[kept], col[kept]] = 1
+        return out
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        in_a, in_b = (np.bincount(self.codes[np.isin(self.rows, x)], minlength=self.tokens) > 0 for x in (a, b))
+        both = np.flatnonzero(in_a & in_b)
+        column = np.full(self.tokens, -1)
+        column[both] = np.arange(len(both))
+        out = np.zeros((len(a), len(b)), np.float32)
+        for low in range(0, len(both), COLUMNS):
+            out += self._columns(a, column, low) @ self._columns(b, column, low).T
+        return out
+
+    def jaccard(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared = self.shared(a, b)
+        return np.round(shared / np.maximum(self.size[a][:, None] + self.size[b][None, :] - shared, 1), 4)
 
 
 def _bucket(rows: pd.DataFrame, wide: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of a bucket, or a pair of its blocks (column ``side``): linked names of each row, and edges (two columns of row numbers)."""
     plain, broad, before = ([list(x) for x in rows[c]] for c in ("plain", "wide", "before"))
-    known: dict = {}
-    for lists in (plain, broad, before):
-        for tokens in lists:
-            for t in tokens:
-                known.setdefault(t, len(known))
     a, b = np.flatnonzero(rows["side"].to_numpy() != 2), np.flatnonzero(rows["side"].to_numpy() != 1)
     if wide:  # only a name with synonyms can come closer than the plain sets
         other = np.array([len(p) != len(w) for p, w in zip(plain, broad)])
         if not other.any():
             return np.zeros(len(rows), np.int64), np.zeros((0, 2), np.int64)
-    p, w, e = _sets(plain, known), _sets(broad, known), _sets(before, known)
+    p, w, e = _Sets(plain), _Sets(broad), _Sets(before)
     linked, n, ids, joined = np.zeros(len(rows), np.int64), rows["n"].to_numpy(np.int64), rows["cls"].to_numpy(), np.zeros((len(rows), len(rows)), bool)
     for k in range(0, len(a), 512):
         part = a[k : k + 512]
-        close = _jaccard(w[part], w[b]) >= threshold if wide else _jaccard(p[part], p[b]) >= threshold
+        close = (w if wide else p).jaccard(part, b) >= threshold
         if wide:
-            close &= (_jaccard(p[part], p[b]) < threshold) & (other[part][:, None] | other[b][None, :])
-        close &= e[part] @ e[b].T == 0  # no token before this one is indexed by both
+            close &= (p.jaccard(part, b) < threshold) & (other[part][:, None] | other[b][None, :])
+        close &= e.shared(part, b) == 0  # no token before this one is indexed by both
         if (rows["side"] == 0).all():
             close &= ids[part][:, None] < ids[b][None, :]
         linked[part] += close @ n[b]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -35,38 +37,49 @@ def reference_sweep(parts: list[DataFrame], term: str) -> DataFrame:
     return out.distinct()
 
 
-#: Queries that meet a block of nodes at once, and nodes of a block.
-QUERY_BLOCK, NODE_BLOCK = 4_096, 16_384
+#: Queries that are sent to the tasks at once, and nodes that meet them at once.
+QUERY_BLOCK, NODE_BLOCK = 4_096, 8_192
 
 
 def semantic_top_k(queries: DataFrame, nodes: DataFrame, k: int, min_score: float = -1.0) -> DataFrame:
     """(query_id, id, score): the k nearest nodes by cosine, ties by id, for any number of queries.
 
-    Queries and nodes are dealt into blocks by a hash of their ids, every block of queries meets every block of nodes in a task of its
-    own, and each pair of blocks keeps k nodes a query before they are shuffled and compared. Vectors without an embedding are left out.
+    Nodes stay where they are. Queries go to the tasks in blocks of about ``QUERY_BLOCK`` (by a hash of their ids, a bounded broadcast), and a
+    task keeps k nodes a query of all that it reads, so that only those are shuffled and compared. Vectors without an embedding are left out.
     """
     asked, held = (df.select(name, "embedding").where("embedding IS NOT NULL") for df, name in ((queries, "query_id"), (nodes, "id")))
-    qs, ns = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-held.count() // NODE_BLOCK))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = asked.select(part("query_id", qs).alias("i"), every(ns).alias("j"), F.col("query_id").alias("key"), "embedding")
-    n = held.select(every(qs).alias("i"), part("id", ns).alias("j"), F.col("id").alias("key"), "embedding")
-    unit = lambda v: (m := np.stack(list(v)).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-
-    def best(q: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(n):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        n, out = n.sort_values("key"), []
-        ids, matrix = n["key"].to_numpy(), unit(n["embedding"])
-        for at in range(0, len(q), 256):
-            keys, scores = q["key"].to_numpy()[at : at + 256], unit(q["embedding"].iloc[at : at + 256]) @ matrix.T
-            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ids are sorted: ties stay in their order
-            out.append(pd.DataFrame({"query_id": np.repeat(keys, order.shape[1]), "id": ids[order.ravel()], "score": np.take_along_axis(scores, order, 1).ravel()}))
-        return pd.concat(out)
-
-    found = q.groupBy("i", "j").cogroup(n.groupBy("i", "j")).applyInPandas(best, "query_id long, id long, score double")
+    blocks, out = max(1, -(-asked.count() // QUERY_BLOCK)), None
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        found = _nearest(sorted((r.query_id, r.embedding) for r in some.collect()), held, k, min_score)
+        out = found if out is None else out.union(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.where(F.col("score") >= min_score).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    return out.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+
+
+def _nearest(asked: list[tuple], nodes: DataFrame, k: int, min_score: float) -> DataFrame:
+    unit = lambda v: (m := np.stack(list(v)).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+    shared = nodes.sparkSession.sparkContext.broadcast((np.array([i for i, _ in asked], np.int64), unit([v for _, v in asked]) if asked else None))
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, vectors = shared.value
+        best_ids, best = np.zeros((len(keys), 0), np.int64), np.zeros((len(keys), 0))
+        for table in tables:
+            for at in range(0, len(table) if len(keys) else 0, NODE_BLOCK):
+                part = table.iloc[at : at + NODE_BLOCK].sort_values("id")
+                ids, matrix = part["id"].to_numpy(np.int64), unit(part["embedding"]).T
+                kept_ids, kept = [], []
+                for q in range(0, len(keys), 256):
+                    scores = np.concatenate([best[q : q + 256], vectors[q : q + 256] @ matrix], 1)
+                    names = np.concatenate([best_ids[q : q + 256], np.broadcast_to(ids, (len(scores), len(ids)))], 1)
+                    order = np.lexsort((names, -scores))[:, :k]
+                    kept_ids.append(np.take_along_axis(names, order, 1))
+                    kept.append(np.take_along_axis(scores, order, 1))
+                best_ids, best = np.concatenate(kept_ids), np.concatenate(kept)
+        found = pd.DataFrame({"query_id": np.repeat(keys, best.shape[1]), "id": best_ids.ravel(), "score": best.ravel()})
+        yield found[found["score"] >= min_score]
+
+    return nodes.mapInPandas(run, "query_id long, id long, score double")
 
 
 def best_hit_per_path(hits: DataFrame, min_score: float = 0.25) -> DataFrame:
