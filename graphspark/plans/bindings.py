@@ -23,6 +23,17 @@ VIEWS = {
     "b_component": "SELECT s_suppkey AS id, s_name AS name, CASE s_suppkey % 4 WHEN 0 THEN 'TEMPLATE' WHEN 1 THEN 'ORGANISM' WHEN 2 THEN 'MOLECULE' ELSE 'ATOM' END AS type, CAST(s_nationkey AS BIGINT) AS feature_id FROM supplier",
     "b_component_parent": "SELECT DISTINCT l_suppkey AS child, l_partkey AS parent FROM lineitem",
     "b_file": "SELECT doc_id, source AS repo, source || '/' || lang || CASE doc_id % 6 WHEN 0 THEN '/dist/' WHEN 1 THEN '/tests/' ELSE '/app/' END || 'f' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.cs' ELSE '' END AS path, n_chars AS loc, text, doc_id % 13 <> 0 AS indexed, doc_id % 11 <> 0 AS on_disk FROM documents",
+    "b_read": "SELECT doc_id % 40 AS payload_id, path FROM b_file",
+    "b_cited": "SELECT doc_id % 40 + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS payload_id, CASE doc_id % 3 WHEN 0 THEN path WHEN 1 THEN 'elsewhere/' || regexp_replace(path, '^.*/', '') ELSE regexp_replace(path, '^.*/', '') END AS reference FROM b_file WHERE indexed",
+    "b_body": "SELECT id AS body_id, CASE WHEN id % 11 = 0 THEN NULL ELSE name END AS payload, CASE id % 5 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'u' END AS project_uuid, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'n' END AS project_name, CASE WHEN id % 3 = 0 THEN NULL ELSE id % 2 = 0 END AS skip FROM b_page",
+    "b_served": "SELECT DISTINCT CASE WHEN type = 'Event' THEN 'listen ' || lower(url) ELSE 'GET ' || upper(url) || ' here' END AS text FROM b_api WHERE is_system",
+    "b_template": "SELECT id, CASE id % 5 WHEN 0 THEN 'FormPageLayout' WHEN 1 THEN 'ListPageLayout' WHEN 2 THEN 'DetailPageLayout' WHEN 3 THEN 'DashboardLayout' ELSE name END AS name, type, feature_id FROM b_component",
+    "b_template_on": "SELECT child, parent FROM b_component_parent WHERE child % 4 <> 0 UNION ALL SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_suppkey % 4 = 0 AND (p_partkey % 20 = s_suppkey % 20 OR p_partkey % 37 = s_suppkey)",
+    "b_repo": "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 THEN 'solo' ELSE o_orderstatus || '-' || CAST(o_orderkey AS STRING) END AS name, CAST(o_orderdate AS DATE) AS pushed_at, o_orderkey % 7 = 0 AS archived, o_orderkey % 5 = 0 AS fork, o_orderkey % 11 = 0 AS empty, 'https://u:p@Host/R' || CAST(o_orderkey AS STRING) || CASE o_orderkey % 3 WHEN 0 THEN '.git' WHEN 1 THEN '/' ELSE '?x=1' END AS url, CASE WHEN o_orderkey % 4 = 0 THEN 'dev' ELSE 'main' END AS branch FROM orders",
+    "b_project": "SELECT o_orderkey + 100 AS project_id, CASE WHEN o_orderkey % 9 = 0 THEN 'SOLO' ELSE upper(o_orderstatus) || '-' || CAST(o_orderkey * 2 AS STRING) END AS name, 'http://host/r' || CAST(o_orderkey AS STRING) AS url, CASE WHEN o_orderkey % 2 = 0 THEN 'main' ELSE 'dev' END AS branch FROM orders WHERE o_custkey % 3 = 0",
+    "b_reference": "SELECT path AS file, text || CASE doc_id % 9 WHEN 0 THEN ' orderLine' WHEN 1 THEN ' ORDER_LINE' WHEN 2 THEN ' order-line' WHEN 3 THEN ' order line' WHEN 4 THEN ' preorderlines' ELSE '' END AS text FROM b_file",
+    "b_store": "SELECT l_orderkey * 10 + l_linenumber AS store, l_suppkey % 2 = 0 AS read_only, l_partkey % 3 = 0 AS needs_ddl, l_linenumber AS hits, 0.36 + 0.01 * (l_partkey % 9) AS score_min, 0.40 + 0.01 * (l_suppkey % 9) AS score_max FROM lineitem",
+    "b_layer": "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'DataLake' WHEN 1 THEN 'EventQueue' WHEN 2 THEN 'Observability' WHEN 3 THEN 'Infrastructure' WHEN 4 THEN 'Services' ELSE NULL END AS layer FROM part",
     "b_pattern": "SELECT repo, CAST(position AS BIGINT) AS position, pattern FROM (SELECT DISTINCT source AS repo, 3 AS position, '*.cs' AS pattern FROM documents UNION ALL SELECT DISTINCT source, 2, '/' || source || '/de/**' FROM documents UNION ALL SELECT DISTINCT source, 1, 'f1*.ts' FROM documents UNION ALL SELECT DISTINCT source, 9, 'never-there/' FROM documents UNION ALL SELECT DISTINCT source, 4, 'fr/app/' FROM documents UNION ALL SELECT DISTINCT source, 5, 'app/' FROM documents WHERE lang = 'es' UNION ALL SELECT source, 100 + doc_id, 'f' || CAST(doc_id AS STRING) || '.py' FROM documents WHERE doc_id % 3 <> 0) AS x",
     "b_status_event": "SELECT event_id, ts, user_id AS repo_id, CASE event_type WHEN 'signup' THEN 'started' WHEN 'view' THEN 'node_creation' WHEN 'click' THEN 'creating_embeddings' WHEN 'purchase' THEN 'active' ELSE 'error' END AS stage, value FROM events",
     "b_repo_log": "SELECT event_id, ts, CAST(user_id % 200 AS BIGINT) AS repo_id, CASE event_type WHEN 'signup' THEN 'connected' WHEN 'view' THEN 'node_creation' WHEN 'click' THEN 'still_running' WHEN 'purchase' THEN CASE event_id % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'retried' WHEN 2 THEN 'retry_check_failed' ELSE 'metadata_addition' END ELSE 'error' END AS stage FROM events",

@@ -179,17 +179,6 @@ query("check_citations", """
 """)(
     lambda t: gates.check_citations(t.b_outcome.select(F.col("outcome_id").alias("payload_id"), F.lit("outcome").alias("level"), F.col("outcome_id").alias("node_id"), F.when(F.col("cited"), "repo/a").alias("reference")).unionByName(t.b_scenario.select(F.col("outcome_id").alias("payload_id"), F.lit("scenario").alias("level"), F.col("scenario_id").alias("node_id"), F.when(F.col("cited"), "repo/b").alias("reference"))), F.lit("repo"))
 )
-query("check_field_coverage", f"""
-    WITH f AS (SELECT outcome_id AS payload_id, 'Order ' || CAST(outcome_id * 7 AS STRING) AS label, 'quantity' AS code FROM b_outcome
-    WHERE outcome_id % 2 = 0 UNION ALL SELECT outcome_id, 'Rocket', NULL FROM b_outcome) SELECT payload_id, label FROM f WHERE label = 'Rocket'
-""")(
-    lambda t: gates.check_field_coverage(t.b_outcome.where("outcome_id % 2 = 0").selectExpr("outcome_id AS payload_id", "concat('Order ', outcome_id * 7) AS label", "'quantity' AS code").union(t.b_outcome.selectExpr("outcome_id", "'Rocket'", "CAST(NULL AS STRING)")), _payload(t)).select("payload_id", "label")
-)
-query("check_citation_completeness", """
-    SELECT doc_id AS payload_id, path FROM b_file WHERE NOT indexed
-""")(
-    lambda t: gates.check_citation_completeness(t.b_file.select(F.col("doc_id").alias("payload_id"), "path"), t.b_file.where("indexed").select(F.col("doc_id").alias("payload_id"), F.col("path").alias("reference")))
-)
 query("check_side_effect_coverage", f"""
     SELECT payload_id, count(*) AS total, CAST(sum(CAST(has_api AS INT)) AS BIGINT) AS matched, round(100.0 * sum(CAST(has_api AS INT)) / count(*),
         1) AS pct
@@ -197,12 +186,6 @@ query("check_side_effect_coverage", f"""
 """)(
     lambda t: gates.coverage_below(_payload(t), "has_api")
 )
-query("check_wrapper", """
-    SELECT id AS body_id, CASE WHEN id % 5 = 0 THEN 'project.uuid' ELSE 'project.name' END AS missing FROM b_page WHERE id % 5 = 0 OR id % 7 = 0
-""")(
-    lambda t: gates.check_wrapper(t.b_page.selectExpr("id AS body_id", "name AS payload", "CASE WHEN id % 5 = 0 THEN ' ' ELSE 'u' END AS project_uuid", "CASE WHEN id % 7 = 0 THEN NULL ELSE 'n' END AS project_name", "false AS skip"))
-)
-
 # Design graph
 query("orphan_nodes", """
     SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT child FROM b_flow_parent)
@@ -256,17 +239,6 @@ query("invalid_layouts", f"""
 """)(
     lambda t: design.invalid_enums(t.part.selectExpr("p_partkey AS id", f"{_LAYOUT} AS layout_type"), "layout_type", LAYOUT_TYPES)
 )
-query("template_compliance", """
-    WITH x AS (SELECT parent AS id, count(*) AS n, min(c.name) AS tpl FROM (SELECT DISTINCT child, parent FROM b_component_parent) l
-    JOIN b_component c ON c.id = l.child AND c.type = 'TEMPLATE' GROUP BY 1)
-    SELECT p.id, coalesce(n, 0) AS templates, CASE WHEN n IS NULL THEN 'none' WHEN n > 1 THEN 'several' ELSE 'unexpected' END AS issue,
-        CASE WHEN n IS NULL THEN 'P0' ELSE 'P2' END AS severity
-    FROM b_page p LEFT JOIN x USING (id) WHERE n IS NULL OR n > 1 OR page_type <> 'form'
-""")(
-    lambda t: design.template_compliance(t.b_page, t.b_component, t.b_component_parent)
-)
-
-
 query("type_distribution", "SELECT type, count(*) AS n FROM b_component GROUP BY 1")(lambda t: design.type_distribution(t.b_component))
 query("scenario_coverage", f"""
     WITH h AS (SELECT scenario_id FROM b_scenario JOIN b_outcome USING (outcome_id) JOIN b_persona USING (persona_id) WHERE NOT {SYS})
@@ -498,11 +470,6 @@ query("keyword_sweep", """
 """)(
     lambda t: search.keyword_sweep(t.documents.select(F.col("doc_id").alias("id"), "text"), _NOUNS)[0]
 )
-query("reference_sweep", """
-    SELECT path AS file FROM b_file WHERE contains(lower(text), 'token')
-""")(
-    lambda t: search.reference_sweep([t.b_file.select(F.col("path").alias("file"), "text")], "tokeN")
-)
 query("best_hit_per_path", """
     SELECT l_suppkey AS query_id, CAST(l_partkey % 100 AS STRING) AS path, max(l_discount) AS score FROM lineitem WHERE l_discount >= 0.05
     GROUP BY 1, 2
@@ -559,12 +526,6 @@ query("display_names", """
 """)(
     lambda t: repos.display_names(t.supplier.selectExpr("concat(s_suppkey, '/x') AS key", "CAST(s_nationkey AS STRING) AS name"))
 )
-query("triage_repos", """
-    SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 = 0 THEN 'archived' WHEN o_orderkey % 5 = 0 THEN 'fork' WHEN o_orderkey % 11 = 0 THEN 'empty' WHEN CAST(o_orderdate AS DATE) < DATE '1996-01-01' THEN 'stale' ELSE 'keep' END AS suggestion
-    FROM orders
-""")(
-    lambda t: repos.triage(t.orders.selectExpr("o_orderkey AS key", "CAST(o_orderdate AS DATE) AS pushed_at", "o_orderkey % 7 = 0 AS archived", "o_orderkey % 5 = 0 AS fork", "o_orderkey % 11 = 0 AS empty"), "1998-01-01")
-)
 _REPOS = ["o_orderkey AS key", "CASE WHEN o_orderkey % 3 = 0 THEN 'solo' ELSE o_orderstatus || '-' || CAST(o_orderkey AS STRING) END AS name", "CASE o_orderkey % 4 WHEN 0 THEN 'C#' WHEN 1 THEN 'Java' WHEN 2 THEN 'Go' END AS language", "CAST(o_orderdate AS DATE) AS pushed_at", "o_orderkey % 7 = 0 AS archived", "o_orderkey % 5 = 0 AS fork", "o_orderkey % 11 = 0 AS empty"]
 _KEPT = f"(SELECT * FROM (SELECT {', '.join(_REPOS)} FROM orders) WHERE NOT archived AND NOT fork AND NOT empty AND pushed_at >= DATE '1996-01-01')"
 query("triage_by_language", f"""
@@ -745,30 +706,12 @@ query("schema_ingest_check", """
 """)(
     lambda t: interfaces.crosscheck(t.part.select(F.col("p_brand").alias("label")), t.part.where("p_partkey % 9 <> 0").select(F.col("p_brand").alias("label")), "label")
 )
-query("adopt_existing", """
-    SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 THEN 'adopt' WHEN s_suppkey % 3 = 0 THEN 'name-conflict' ELSE 'connect' END AS action, CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey END AS adopted
-    FROM supplier
-""")(
-    lambda t: repos.adopt_existing(t.supplier.selectExpr("s_suppkey AS key", "s_name AS name", "concat('https://u:p@Host/R', s_suppkey, '.git') AS url", "'main' AS branch"), t.supplier.where("s_suppkey % 3 = 0").selectExpr("s_suppkey AS project_id", "upper(s_name) AS name", "concat('https://host/r', s_suppkey, '/') AS url", "CASE WHEN s_suppkey % 2 = 0 THEN 'main' ELSE 'dev' END AS branch"))
-)
 query("connect_candidates", """
     SELECT s_suppkey AS repo_id FROM supplier WHERE s_suppkey % 4 <> 0 ORDER BY 1 LIMIT (SELECT greatest(40 - count(*), 0) FROM supplier
     WHERE s_suppkey % 4 = 0)
 """)(
     lambda t: repos.connect_candidates(t.supplier.selectExpr("s_suppkey AS repo_id", "CASE WHEN s_suppkey % 4 = 0 THEN 'ingesting' ELSE 'planned' END AS status"), 40)
 )
-query("classify_stores", """
-    SELECT s_suppkey AS store, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 = 0 THEN 'blocking' WHEN s_suppkey % 3 = 0 THEN 'writable' ELSE 'confirmed' END AS tier
-    FROM supplier WHERE s_suppkey % 5 >= 3
-""")(
-    lambda t: search.classify_stores(t.supplier.selectExpr("s_suppkey AS store", "s_suppkey % 2 = 0 AS read_only", "s_suppkey % 3 = 0 AS needs_ddl", "s_suppkey % 5 AS hits", "0.41 AS score_min", "0.44 AS score_max"))
-)
-query("store_verdict", """
-    SELECT CASE max(CASE WHEN s_suppkey % 6 = 0 THEN 2 WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKING' WHEN 1 THEN 'WORK' ELSE 'NO DDL' END AS verdict
-    FROM supplier WHERE s_suppkey % 5 >= 3
-""")(
-    lambda t: search.store_verdict(search.classify_stores(t.supplier.selectExpr("s_suppkey AS store", "s_suppkey % 2 = 0 AS read_only", "s_suppkey % 3 = 0 AS needs_ddl", "s_suppkey % 5 AS hits", "0.41 AS score_min", "0.44 AS score_max")))
-)
 query("focus_tables", """
     SELECT table_id, CAST(sum(h) AS BIGINT) AS hits
     FROM (SELECT p_partkey AS table_id, CAST(contains(lower(p_name), 'e') AS INT) + CAST(contains(lower(p_name), 's') AS INT) AS h FROM part
@@ -807,12 +750,6 @@ query("anchor_architecture", """
 """)(
     lambda t: search.anchor(t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("code_ontology_id")), t.part.selectExpr("p_partkey AS code_ontology_id", "p_brand AS name"))
 )
-query("supporting_layer_hop", """
-    SELECT p_partkey AS id, 'DataLake' AS layer FROM part WHERE p_partkey % 2 = 0 AND p_partkey IN (SELECT l_partkey FROM lineitem
-    WHERE l_suppkey % 10 = 0)
-""")(
-    lambda t: search.supporting_hop(t.supplier.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("id")), t.lineitem.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")), t.part.selectExpr("p_partkey AS id", "CASE WHEN p_partkey % 2 = 0 THEN 'DataLake' ELSE 'Services' END AS layer"), ["DataLake", "EventQueue"])
-)
 query("attach_citations", """
     WITH own AS (SELECT DISTINCT o_custkey AS scenario_id, 'src/' || CAST(o_orderkey AS STRING) AS path FROM orders WHERE o_orderkey % 5 = 0)
     SELECT * FROM own UNION ALL SELECT scenario_id, 'o/' || CAST(outcome_id AS STRING) FROM b_scenario
@@ -833,11 +770,6 @@ query("attached_embeddings", f"""
     WITH n AS (SELECT doc_id, {NORM} AS norm FROM b_intent), c AS (SELECT norm, CAST(min(doc_id) AS DOUBLE) AS first FROM n WHERE doc_id % 2 = 0 GROUP BY 1)
     SELECT doc_id, first FROM n LEFT JOIN c USING (norm)
 """)(lambda t: _attached(t)[0].select("doc_id", F.get("embedding", F.lit(0)).alias("first")))
-query("check_api_urls", """
-    SELECT action_id FROM b_api WHERE url LIKE '/App/%'
-""")(
-    lambda t: gates.check_api_urls(t.b_api, t.spark.createDataFrame([("GET rel/path",), ("https:/ext.example.com/x",)], "text string")).select("action_id")
-)
 query("findings_report", """
     SELECT 'empty_scenarios' AS "check", 'P0' AS severity, CAST(scenario_id AS STRING) AS key, scenario AS detail FROM b_scenario
     WHERE scenario_id NOT IN (SELECT scenario_id FROM b_step)

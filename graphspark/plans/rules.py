@@ -54,6 +54,15 @@ query("url_needle", rf"""
 
 
 
+_URL_NEEDLE = rf"CASE WHEN regexp_matches(url, '^(Query|Mutation)\.\w+$') THEN split_part(url, '.', 2) ELSE array_to_string({_SEGMENTS.format(_CUT)}[-3:], '/') END"
+query("template_compliance", f"""
+    WITH x AS (SELECT parent AS id, count(*) AS n, min(c.name) AS tpl FROM (SELECT DISTINCT child, parent FROM b_template_on) l JOIN b_template c ON c.id = l.child AND c.type = 'TEMPLATE' GROUP BY 1),
+    k AS (SELECT p.id, coalesce(n, 0) AS templates, tpl, CASE page_type {" ".join(f"WHEN '{a}' THEN '{b}'" for a, b in v.EXPECTED_TEMPLATES.items())} END AS expected FROM b_page p LEFT JOIN x USING (id)),
+    i AS (SELECT id, templates, CASE WHEN templates = 0 THEN 'none' WHEN templates > 1 THEN 'several' WHEN tpl <> expected THEN 'unexpected' END AS issue FROM k)
+    SELECT id, templates, issue, CASE WHEN templates = 0 THEN 'P0' ELSE 'P2' END AS severity FROM i WHERE issue IS NOT NULL
+""")(lambda t: design.template_compliance(t.b_page, t.b_template, t.b_template_on))
+
+
 def token_of(column: str) -> str:
     return rf"trim(regexp_replace(regexp_extract({column}, '{v.ROUTE_TOKEN}'), '^\s+', ''))"
 
@@ -614,3 +623,38 @@ query("preview_ignores_by_repo", f"WITH {_FITS} SELECT doc_id, reason, CASE WHEN
 query("pattern_hits_by_repo", f"""
     WITH {_FITS} SELECT b.repo, b.position, b.pattern, count(s.doc_id) AS n FROM b_pattern b LEFT JOIN (SELECT * FROM seen WHERE reason = 'own') s ON s.repo = b.repo AND s.position = b.position GROUP BY 1, 2, 3
 """)(lambda t: ignores.hits_by_repo(_PREVIEW(t), t.b_pattern))
+
+# Rules that were checked by their outcome, by the rule itself
+query("check_field_coverage", f"""
+    WITH t AS (SELECT payload_id, {squeezed('action', 'description')} AS t FROM {PAYLOAD}), f AS (SELECT payload_id, label, code, {squeezed('label')} AS a, {squeezed('code')} AS b FROM b_field)
+    SELECT payload_id, label, code FROM f WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.payload_id = f.payload_id AND (a <> '' AND contains(t, a) OR b <> '' AND contains(t, b)))
+""")(lambda t: gates.check_field_coverage(t.b_field.select("payload_id", "label", "code"), base._payload(t)))
+query("check_citation_completeness", """
+    SELECT payload_id, path FROM b_read r WHERE NOT EXISTS (SELECT 1 FROM b_cited c WHERE c.payload_id = r.payload_id AND regexp_extract(reference, '[^/]+$') = regexp_extract(path, '[^/]+$'))
+""")(lambda t: gates.check_citation_completeness(t.b_read, t.b_cited))
+query("check_wrapper", """
+    SELECT body_id, missing FROM (SELECT body_id, CASE WHEN payload IS NULL THEN 'payload' WHEN coalesce(trim(project_uuid), '') = '' THEN 'project.uuid' WHEN coalesce(trim(project_name), '') = '' THEN 'project.name' WHEN skip IS NULL THEN 'skipStepAndAction' END AS missing FROM b_body) WHERE missing IS NOT NULL
+""")(lambda t: gates.check_wrapper(t.b_body))
+query("triage_repos", """
+    SELECT key, CASE WHEN archived THEN 'archived' WHEN fork THEN 'fork' WHEN empty THEN 'empty' WHEN pushed_at < DATE '1998-01-01' - INTERVAL 24 MONTH THEN 'stale' ELSE 'keep' END AS suggestion FROM b_repo
+""")(lambda t: repos.triage(t.b_repo, "1998-01-01"))
+_REPO_URL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z+]+://([^/@]*@)?', ''), '[?#].*$', ''), '/+$', ''), '\.git$', '')"
+query("adopt_existing", f"""
+    WITH p AS (SELECT {_REPO_URL} AS u, branch, min(project_id) AS adopted FROM b_project GROUP BY 1, 2), n AS (SELECT DISTINCT lower(name) AS ln FROM b_project), r AS (SELECT key, lower(name) AS ln, {_REPO_URL} AS u, branch FROM b_repo)
+    SELECT key, CASE WHEN adopted IS NOT NULL THEN 'adopt' WHEN n.ln IS NOT NULL THEN 'name-conflict' ELSE 'connect' END AS action, adopted FROM r LEFT JOIN p USING (u, branch) LEFT JOIN n USING (ln)
+""")(lambda t: repos.adopt_existing(t.b_repo, t.b_project))
+query("supporting_layer_hop", """
+    SELECT id, layer FROM b_layer WHERE layer IN ('DataLake', 'EventQueue', 'Observability', 'Infrastructure') AND id IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0)
+""")(lambda t: search.supporting_hop(t.supplier.where("s_acctbal < 0").select(F.col("s_suppkey").alias("id")), t.lineitem.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")), t.b_layer, ["DataLake", "EventQueue", "Observability", "Infrastructure"]))
+query("reference_sweep", """
+    SELECT DISTINCT file FROM b_reference WHERE contains(lower(text), 'orderline') OR contains(lower(text), 'order_line') OR contains(lower(text), 'order-line')
+""")(lambda t: search.reference_sweep([t.b_reference], "orderLine"))
+_STORES = """
+    SELECT store, CASE WHEN read_only AND needs_ddl THEN 'blocking' WHEN needs_ddl THEN 'writable' ELSE 'confirmed' END AS tier FROM b_store WHERE NOT (hits < 3 AND score_min >= 0.40 AND score_max <= 0.45)
+"""
+query("classify_stores", _STORES)(lambda t: search.classify_stores(t.b_store))
+query("store_verdict", f"SELECT CASE max(CASE tier WHEN 'blocking' THEN 2 WHEN 'writable' THEN 1 ELSE 0 END) WHEN 2 THEN 'BLOCKING' WHEN 1 THEN 'WORK' ELSE 'NO DDL' END AS verdict FROM ({_STORES})")(lambda t: search.store_verdict(search.classify_stores(t.b_store)))
+query("check_api_urls", f"""
+    WITH n AS (SELECT action_id, {_URL_NEEDLE} AS needle FROM b_api)
+    SELECT action_id FROM n WHERE needle <> '' AND needle NOT IN (SELECT needle FROM (SELECT DISTINCT needle FROM n WHERE needle <> '') m JOIN b_served ON contains(text, needle))
+""")(lambda t: gates.check_api_urls(t.b_api, t.b_served).select("action_id"))
