@@ -38,12 +38,17 @@ ROUTE_TOKEN = (
     r"|(?:\bcron:\S+)"
     r"|(?:(?:^|\s)/(?:api|internal|admin|webhooks?|graphql|v\d+)\b[\w\-./{}:]*)"
 )
-#: Elements and attributes of user interfaces in source text; each counts for itself.
-WIDGET_PATTERNS = (
-    [rf"<{w}\b" for w in "Button IconButton Input TextField TextArea Textarea Select MenuItem Checkbox Switch Toggle Radio Autocomplete DatePicker TimePicker Slider Tabs Stepper Dialog Drawer Sheet Popover DropdownMenu ContextMenu Form".split()]
-    + [rf"<mat-{w}\b" for w in "button raised-button icon-button fab mini-fab form-field input select option checkbox radio-button radio-group slide-toggle slider autocomplete datepicker dialog dialog-content sidenav drawer tab-group tab stepper menu menu-item card expansion-panel chip paginator sort-header table".split()]
-    + [r"\(click\)=", r"\(ngSubmit\)=", r"\(change\)=", r"\(input\)=", r"\(selectionChange\)=", r"\[formGroup\]", r"\[formControl\]", "formControlName=", r"\[\(ngModel\)\]", r"\[routerLink\]", "routerLink=", r"<button\s+mat-", r"<a\s+mat-"]
-)
+# Elements and attributes of user interfaces in source text, in the order of the rule; each counts for itself.
+WIDGET_PATTERNS = [
+    r"<Button\b", r"<IconButton\b", r"<Input\b", r"<TextField\b", r"<TextArea\b", r"<Textarea\b", r"<Select\b", r"<MenuItem\b", r"<Checkbox\b", r"<Switch\b", r"<Toggle\b", r"<Radio\b",
+    r"<Autocomplete\b", r"<DatePicker\b", r"<TimePicker\b", r"<Slider\b", r"<Tabs\b", r"<Stepper\b", r"<Dialog\b", r"<Drawer\b", r"<Sheet\b", r"<Popover\b", r"<DropdownMenu\b", r"<ContextMenu\b", r"<Form\b",
+    r"<mat-button\b", r"<mat-raised-button\b", r"<mat-icon-button\b", r"<mat-fab\b", r"<mat-mini-fab\b", r"<mat-form-field\b", r"<mat-input\b", r"<mat-select\b", r"<mat-option\b", r"<mat-checkbox\b",
+    r"<mat-radio-button\b", r"<mat-radio-group\b", r"<mat-slide-toggle\b", r"<mat-slider\b", r"<mat-autocomplete\b", r"<mat-datepicker\b", r"<mat-dialog\b", r"<mat-dialog-content\b",
+    r"<mat-sidenav\b", r"<mat-drawer\b", r"<mat-tab-group\b", r"<mat-tab\b", r"<mat-stepper\b", r"<mat-menu\b", r"<mat-menu-item\b", r"<mat-card\b", r"<mat-expansion-panel\b", r"<mat-chip\b",
+    r"<mat-paginator\b", r"<mat-sort-header\b", r"<mat-table\b",
+    r"\(click\)=", r"\(ngSubmit\)=", r"\(change\)=", r"\(input\)=", r"\(selectionChange\)=", r"\[formGroup\]", r"\[formControl\]", "formControlName=", r"\[\(ngModel\)\]", r"\[routerLink\]", "routerLink=",
+    r"<button\s+mat-", r"<a\s+mat-",
+]
 #: Of node rows: names that no persona has, and phrases that no outcome holds.
 FORBIDDEN_NODE_PERSONAS = "developer engineer programmer api service component module backend frontend database controller handler repository".split()
 TECHNICAL_OUTCOMES = ["handle api", "process database", "render component", "execute query"]
