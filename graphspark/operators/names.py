@@ -23,13 +23,17 @@ from .intents import components
 BLOCK, TASK_ROWS = 2_000, 4_000
 
 
-def classes_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Distinct lower-case names (label, platform, key, cls); and their classes (cls, label, platform, plain, wide, n), cls a 64-bit hash."""
+def classes_of(nodes: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Distinct lower-case names (label, platform, key, cls); and their classes (cls, label, platform, plain, wide, n), cls a 64-bit hash. Where two token sets have one hash, all are hashed anew."""
     tokens = name_tokens("name")
     names = nodes.where(F.trim("name") != "").select("label", platform_key("platform").alias("platform"), F.lower("name").alias("key"), F.array_sort(tokens).alias("plain"))
     names = names.groupBy("label", "platform", "key").agg(F.min("plain").alias("plain"))  # tokens depend on case; the first set stands for the name
-    names = names.withColumn("cls", F.xxhash64("label", "platform", F.array_join("plain", " ")))
-    classes = names.groupBy("cls").agg(F.first("label").alias("label"), F.first("platform").alias("platform"), F.first("plain").alias("plain"), F.count("*").alias("n"))
+    names = cut(names.withColumn("cls", F.xxhash64(F.lit(seed), "label", "platform", F.array_join("plain", " "))))
+    whole = F.struct("label", "platform", "plain")
+    classes = cut(names.groupBy("cls").agg(F.min(whole).alias("m"), (F.min(whole) != F.max(whole)).alias("clash"), F.count("*").alias("n")))
+    if not classes.where("clash").isEmpty():
+        return classes_of(nodes, seed + 1)
+    classes = classes.select("cls", "m.label", "m.platform", "m.plain", "n")
     return names.select("label", "platform", "key", "cls"), classes.withColumn("wide", F.array_sort(expanded(F.col("plain"))))
 
 
@@ -138,7 +142,8 @@ def linked_classes(classes: DataFrame, threshold: float = 0.6) -> DataFrame:
         rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
         rows = rows.withColumn("side", F.when(F.col("i") == F.col("j"), 0).when(F.col("own") == F.col("i"), 1).otherwise(2))
         rows = rows.withColumn("bucket", F.xxhash64("label", "platform", "token", "i", "j"))
-        tasks = max(1, index.count() // TASK_ROWS)
+        copies = sizes.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK))).first()[0] or 0  # rows as they meet, blocks included
+        tasks = max(1, copies // TASK_ROWS)
         parts = rows.withColumn("task", F.pmod("bucket", F.lit(tasks)))
 
         scored = parts.select("task", "label", "platform", "token", "i", "j", "side", "cls", "plain", "wide", "n", "before").groupBy("task").applyInPandas(_scorer(which == "wide", threshold), schema)
@@ -153,7 +158,7 @@ def near_duplicate_links(nodes: DataFrame, threshold: float = 0.6) -> DataFrame:
     token sets are equal link to each other.
     """
     names, classes = classes_of(nodes)
-    names, classes = cut(names), cut(classes)
+    classes = cut(classes)
     found = cut(linked_classes(classes, threshold))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("far"))
     roots = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("id").alias("cls"), F.col("cluster").alias("root"))
