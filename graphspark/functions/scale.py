@@ -56,17 +56,22 @@ def running(df: DataFrame, order: list[Column], value: Column, out: str, parts:
     return ranges.join(F.broadcast(sums), "__part").withColumn(out, F.col("__before") + F.coalesce(F.sum("__value").over(within), F.lit(0))).drop("__value", "__part", "__before")
 
 
-def numbered_within(df: DataFrame, key: str, order: list[str], out: str, parts: int | None = None) -> DataFrame:
-    """``df`` with ``out``: the number (from 0) of a row within its key, in the order, which must be total within a key.
+def running_within(df: DataFrame, key: str, order: list[str | Column], value: Column, out: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same key before a row, in an order that must be total within a key.
 
-    The rows are cut into ranges of (key, order), wherever keys end; a range of a key begins at the number of rows that the key has in
-    the ranges before. A key with all rows is numbered by as many tasks as there are ranges. Null is a key as any other.
+    The rows are cut into ranges of (key, order), wherever keys end; a range of a key begins at the sum that the key has in the ranges
+    before (a row a key and range). A key with all rows is summed by as many tasks as there are ranges. Null is a key as any other.
     """
-    ranges = cut(df.repartitionByRange(parts or ranges_for(df), key, *order).withColumn("__part", F.spark_partition_id()))
-    counts = ranges.groupBy("__part", key).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(counts.select("__part", F.col(key).alias("__key"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")))
-    rank = F.row_number().over(Window.partitionBy("__part", key).orderBy(*order)) - 1
-    numbered = ranges.withColumn("__rank", rank).withColumnRenamed("__part", "__own")
-    joined = numbered.join(broadcast_if_small(starts), (F.col("__own") == F.col("__part")) & F.col(key).eqNullSafe(F.col("__key")))
-    return joined.withColumn(out, (F.col("__before") + F.col("__rank")).cast("long")).drop("__own", "__part", "__key", "__before", "__rank")
+    ranges = cut(df.withColumn("__value", value).repartitionByRange(parts or ranges_for(df), key, *order).withColumn("__own", F.spark_partition_id()))
+    sums = ranges.groupBy(F.col("__own").alias("__part"), F.col(key).alias("__key")).agg(F.sum("__value").alias("__sum"))
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(sums.select("__part", "__key", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before")))
+    within = Window.partitionBy("__own", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranges.withColumn("__within", F.coalesce(F.sum("__value").over(within), F.lit(0)))
+    joined = summed.join(broadcast_if_small(starts), (F.col("__own") == F.col("__part")) & F.col(key).eqNullSafe(F.col("__key")))
+    return joined.withColumn(out, F.col("__before") + F.col("__within")).drop("__value", "__own", "__part", "__key", "__before", "__within")
+
+
+def numbered_within(df: DataFrame, key: str, order: list[str], out: str, parts: int | None = None) -> DataFrame:
+    """``df`` with ``out``: the number (from 0) of a row within its key, in the order, which must be total within a key."""
+    return running_within(df, key, order, F.lit(1).cast("long"), out, parts)

@@ -177,3 +177,19 @@ def test_fields_of_hot_payloads(spark):
     assert sorted((r.payload_id, r.label) for r in gates.check_field_coverage(fields.drop("editable"), actions).collect()) == [(1, "Field 7"), (1, "Field 8"), (2, "Field 1")]
     got = sorted((r.check, -1 if r.action_id is None else r.action_id, r.detail) for r in gates.check_atomicity(actions, fields).collect())
     assert got == sorted([("input_with_api", i, "enter") for i in range(0, 300, 50)] + [("no_action", -1, "f7"), ("no_action", -1, "f8")])
+
+
+def test_sums_within_keys_over_ranges(spark):
+    """Against a plain loop: a key with nearly all rows, a null key, ties across keys, and no rows."""
+    rng = random.Random(8)
+    rows = [("hot" if i % 20 else rng.choice(["a", "b", None]), i, rng.randint(-5, 9)) for i in range(2_000)]
+    table = spark.createDataFrame(rows, "key string, at long, n long").repartition(7)
+    got = {r.at: (r.key, r.n, r.before) for r in scale.running_within(table, "key", ["at"], F.col("n"), "before", parts=11).collect()}
+    sums = {}
+    for key, at, n in rows:
+        assert got[at] == (key, n, sums.get(key, 0))
+        sums[key] = sums.get(key, 0) + n
+    assert len(got) == len(rows)
+    down = {r.at: r.before for r in scale.running_within(table, "key", [F.col("at").desc()], F.col("n"), "before", parts=3).collect()}
+    assert all(down[at] == sums[key] - got[at][2] - n for key, at, n in rows)
+    assert scale.running_within(table.limit(0), "key", ["at"], F.col("n"), "before").collect() == []
