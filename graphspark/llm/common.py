@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import broadcast_if_small, cut, running, shared_dir, small_enough
+from ..functions.scale import broadcast_if_small, cut, running, running_within, shared_dir, small_enough
 
-__all__ = ["broadcast_if_small", "crc_mod", "cut", "finite_vectors", "fraction_of", "keep", "map_batches", "read_table", "running", "shared_dir", "small_batches", "small_enough", "sum_parts"]
+__all__ = ["broadcast_if_small", "crc_mod", "cut", "finite_vectors", "fraction_of", "keep", "map_batches", "read_table", "running", "running_within", "shared_dir", "small_batches", "small_enough", "sum_parts"]
 
 #: A word of the corpus contracts: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

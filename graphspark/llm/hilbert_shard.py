@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running, small_enough
+from .common import cut, running_within, small_enough
 
 BITS, SHARDS, BIN, OVERHEAD = 5, 40, 2_000, 16
 DIMENSIONS = ("source", "lang", "size")
@@ -57,12 +57,15 @@ def hilbert_index(df: DataFrame, dimensions: list[str], bits: int, out: str) ->
 def quantised(rows: DataFrame) -> DataFrame:
     """source, lang and size as numbers below 2^BITS."""
     top = (1 << BITS) - 1
+    named = F.array(*[F.struct(F.lit(d).alias("__dimension"), F.col(d).alias("__name")) for d in ("source", "lang")])
+    values = rows.select(F.explode(named).alias("v")).groupBy("v.__dimension", "v.__name").agg(F.lit(1).cast("long").alias("__one"))
+    values = cut(running_within(values, "__dimension", [F.col("__name").asc_nulls_first()], F.col("__one"), "__at"))
+    sizes = {r["__dimension"]: r["n"] for r in values.groupBy("__dimension").agg(F.count("*").alias("n")).collect()}  # two rows
     for name in ("source", "lang"):
-        values = rows.groupBy(F.col(name).alias("__name")).agg(F.lit(1).alias("__one"))
-        values = cut(running(values, [F.col("__name").asc_nulls_first()], F.lit(1), "__at").select("__name", "__at"))
-        n = values.count()
+        n = sizes.get(name, 0)
         code = F.expr(f"__at * {top + 1} div {max(n, top + 1)}").alias(f"q_{name}")
-        rows = rows.join((F.broadcast if small_enough(n) else lambda v: v)(values.select("__name", code)), F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
+        own = values.where(F.col("__dimension") == name).select("__name", code)
+        rows = rows.join(F.broadcast(own) if small_enough(n) else own, F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
     low, high = rows.agg(F.min(F.log2("size")), F.max(F.log2("size"))).first()
     size = F.floor((F.log2("size") - F.lit(low or 0.0)) / F.lit(max((high or 0.0) - (low or 0.0), 1e-9)) * (top + 1))
     return rows.withColumn("q_size", F.least(size, F.lit(top)).cast("long"))
@@ -83,8 +86,8 @@ def ranked(rows: DataFrame) -> DataFrame:
     cells = cut(counts.select("cell", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("cell_start"), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / BIN))).cast("int").alias("bits"), F.sum("n").over(Window.partitionBy()).alias("total")))
     mixed = F.xxhash64("doc_id", "text_crc32")
     binned = placed.join(F.broadcast(cells), "cell").withColumn("bin", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(xxhash64(doc_id, text_crc32), 64 - bits)")).otherwise(F.lit(0).cast("long")))
-    inside = Window.partitionBy("cell").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = cut(binned.groupBy("cell", "bin").agg(F.count("*").alias("n")).select("cell", "bin", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("bin_start")))
+    sums = cut(binned.groupBy("cell", "bin").agg(F.count("*").alias("bin_rows")))
+    bins = cut(running_within(sums, "cell", ["bin"], F.col("bin_rows"), "bin_start").drop("bin_rows"))
     order = Window.partitionBy("cell", "bin").orderBy(mixed, "doc_id", "text_crc32", "size")
     return binned.join(bins, ["cell", "bin"]).withColumn("rank", F.col("cell_start") + F.col("bin_start") + F.row_number().over(order) - 1).drop("cell_start", "bin_start", "bits", "bin")
 

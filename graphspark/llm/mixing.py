@@ -13,7 +13,7 @@ weight until none is above.
 
 At scale: sources are a table, never gathered; the driver learns sums alone. Slots are made, drawn, permuted and counted where Spark puts
 them; the sources' shares are joined to slots by ranges of the draw, broadcast if they are small. A source's place sums go by buckets
-of its documents, so no task holds a source's documents.
+of its documents, and sums over a source's buckets and shards by ranges, so no task holds all of a source.
 
 Edge cases: a null text has no word; a null source is a source of its own, after the others; sources without words have target 0; one
 long text is many blocks; rows that repeat, and null ids, are rows of their own; ties in a source's order change nothing but which of
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, broadcast_if_small, cut, fraction_of, running
+from .common import WORD, broadcast_if_small, cut, fraction_of, running, running_within
 
 WEIGHTS, MOST, BLOCK, SHARD_SLOTS, PLACE_ROWS, RUN_SLOTS, RANGE_SLOTS, SEED = (5.0, 2.0, 1.0), 3, 512, 1 << 14, 1_000, 4_096, 1 << 20, 20240607
 #: A word with the white space behind it, and for the first word that before it: the pieces of a text add up to the text.
@@ -139,8 +139,7 @@ def shard_counts(plan: DataFrame, shard_slots: int = SHARD_SLOTS, seed: int = SE
     draw = F.floor(F.pmod(F.xxhash64(F.lit(seed), shard, "id"), F.lit(1 << 52)) / float(1 << 52) * total).cast("long")
     drawn = slots.select(shard.alias("shard"), draw.alias("u")).withColumn("bucket", F.expr(f"u div {width}")).join(broadcast_if_small(shares), "bucket").where("u >= low AND u < high")
     counts = cut(drawn.groupBy("shard", "k").agg(F.count("*").alias("n")))
-    before = Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = cut(counts.select("shard", "k", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n").join(broadcast_if_small(cut(plan.select("k", "slots"))), "k"))
+    firsts = cut(running_within(counts, "k", ["shard"], F.col("n"), "first").join(broadcast_if_small(cut(plan.select("k", "slots"))), "k"))
     kept = firsts.where("first < slots").select("shard", "k", "first", F.least("n", F.col("slots") - F.col("first")).alias("n"))
     over = firsts.where("first + n > slots").select("shard", "k", (F.col("n") - F.greatest(F.lit(0), F.col("slots") - F.col("first"))).alias("n"))
     got = counts.groupBy("k").agg(F.sum("n").alias("got"))
@@ -186,8 +185,7 @@ def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     sources = plan.select("k", F.col("source").alias("__source"), "source_size", "target", F.ceil(F.col("docs") / PLACE_ROWS).alias("buckets"))
     size = rows.join(broadcast_if_small(cut(sources)), F.col("source").eqNullSafe(F.col("__source"))).drop("source", "__source").withColumn("docs_bucket", (fraction_of(F.col("doc_id"), F.col("size")) * F.col("buckets")).cast("int"))
     sums = cut(size.groupBy("k", "docs_bucket").agg(F.sum("size").alias("bucket_size")))
-    before = Window.partitionBy("k").orderBy("docs_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut(sums.select("k", "docs_bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start")))
+    starts = cut(running_within(sums, "k", ["docs_bucket"], F.col("bucket_size"), "bucket_start").drop("bucket_size"))
     within = Window.partitionBy("k", "docs_bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     return cut(size.join(starts, ["k", "docs_bucket"]).withColumn("start", F.col("bucket_start") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("bucket_start", "docs_bucket", "buckets"))
 
