@@ -150,10 +150,23 @@ def invalid_enums(nodes: DataFrame, field: str, valid: list[str]) -> DataFrame:
     return bad.select("id", F.col(field).alias("value"), F.when(F.upper(field).isin(valid), "P1").otherwise("P0").alias("severity"))
 
 
-def template_compliance(pages: DataFrame, components: DataFrame, component_page: DataFrame) -> DataFrame:
-    """Pages with no template (P0), with more than one, or with one that their type doesn't expect (P2)."""
-    templates = components.where("type = 'TEMPLATE'").select(F.col("id").alias("child"), F.col("name").alias("template"))
-    per = component_page.distinct().join(templates, "child").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("n"), F.min("template").alias("template"))
+def template_compliance(pages: DataFrame, components: DataFrame, component_page: DataFrame, component_group: DataFrame | None = None, page_group: DataFrame | None = None) -> DataFrame:
+    """Pages with no template (P0), with more than one, or with one that their type doesn't expect (P2).
+
+    Links that hold for whole groups are given as such: ``component_group`` (child, group) and ``page_group`` (parent, group) link all components
+    of a group to all its pages; a node has one group. Templates are summed by group, and no pairs are made. A link that a group has as well counts once.
+    """
+    templates = components.where("type = 'TEMPLATE'").groupBy(F.col("id").alias("child")).agg(F.count("*").alias("n"), F.min("name").alias("template"))
+    sums = [F.sum("n").alias("n"), F.min("template").alias("template")]
+    links = component_page.select("child", "parent").distinct().join(templates, "child")
+    if component_group is not None and page_group is not None:
+        of, on = component_group.select("child", "group").distinct(), page_group.select("parent", "group").distinct()
+        by_group = of.join(templates, "child").groupBy("group").agg(*sums)
+        both = F.coalesce(F.col("group") == F.col("page_group"), F.lit(False))
+        own = links.join(of, "child", "left").join(on.withColumnRenamed("group", "page_group"), "parent", "left").where(~both)
+        per = own.select("parent", "n", "template").unionByName(on.join(by_group, "group").select("parent", "n", "template")).groupBy(F.col("parent").alias("id")).agg(*sums)
+    else:
+        per = links.groupBy(F.col("parent").alias("id")).agg(*sums)
     expected = F.element_at(F.create_map(*[F.lit(x) for kv in EXPECTED_TEMPLATES.items() for x in kv]), F.col("page_type"))
     rows = pages.select("id", "page_type").join(per, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     issue = F.when(F.col("n") == 0, "none").when(F.col("n") > 1, "several").when(F.col("template") != expected, "unexpected")
