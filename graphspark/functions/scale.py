@@ -44,6 +44,15 @@ def ranges_for(df: DataFrame) -> int:
     return max(LEAST_RANGES, -(-df.count() // RANGE_ROWS))
 
 
+#: Rows of a task of a join or a distinct, and the fewest tasks.
+TASK_ROWS, LEAST_TASKS = 500_000, 8
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """To how many tasks tables are dealt by key: from their counted rows, so that a task's memory is the same at any size. Parts of a given number are not put together again by adaptive execution, which looks at compressed bytes alone."""
+    return max(LEAST_TASKS, -(-sum(t.count() for t in tables) // TASK_ROWS))
+
+
 def running(df: DataFrame, order: list[Column], value: Column, out: str, parts: int | None = None) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over all rows before a row in the order, which must be total.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import cut
+from ..functions.scale import cut, tasks_for
 from ..functions.text import is_system, name_tokens, platform_key
 from ..functions.values import COMPONENT_TYPES, EXPECTED_TEMPLATES, MIN_SUPPORTING, SYNONYMS
 from .functional import health
@@ -212,10 +212,14 @@ def scenario_coverage(journeys, scenario, outcome, persona) -> DataFrame:
     return unknown.join(covered).withColumn("pct", F.when(F.col("human_scenarios") == 0, 100.0).otherwise(F.round(100.0 * F.col("covered") / F.col("human_scenarios"), 1)))
 
 
-def step_coverage(used: DataFrame, steps: DataFrame, covered: DataFrame) -> DataFrame:
-    """Step ids that no step has, and steps of covered scenarios (column scenario_id) that nothing uses."""
-    gone = used.select("step_id").distinct().join(steps.select("step_id"), "step_id", "left_anti").select(F.lit("unknown").alias("issue"), "step_id")
-    bare = steps.join(covered, "scenario_id", "left_semi").select("step_id").join(used.select("step_id"), "step_id", "left_anti").select(F.lit("uncovered").alias("issue"), "step_id")
+def step_coverage(used: DataFrame, steps: DataFrame, covered: DataFrame | None = None) -> DataFrame:
+    """Step ids that no step has, and steps of covered scenarios (column scenario_id; None: all steps) that nothing uses. Rows are dealt by step to as many tasks as their number asks for."""
+    parts = tasks_for(used, steps)
+    dealt = lambda df: df.select("step_id").repartition(parts, "step_id")
+    mine = dealt(used)
+    gone = mine.distinct().join(dealt(steps), "step_id", "left_anti").select(F.lit("unknown").alias("issue"), "step_id")
+    asked = steps if covered is None else steps.join(covered, "scenario_id", "left_semi")
+    bare = dealt(asked).join(mine, "step_id", "left_anti").select(F.lit("uncovered").alias("issue"), "step_id")
     return gone.union(bare.distinct())
 
 

@@ -32,3 +32,13 @@ def test_templates_by_group_equal_pairs(spark):
     of, on = spark.createDataFrame(group_of, "child long, group long"), spark.createDataFrame(group_on, "parent long, group long")
     assert set(own) & set(pairs)
     assert rows_of(design.template_compliance(pages, components, links(own), of, on)) == rows_of(design.template_compliance(pages, components, links(own + pairs)))
+
+
+def test_joins_are_dealt_by_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 2)
+    used, steps = spark.createDataFrame([(i % 20,) for i in range(40)], "step_id long"), spark.createDataFrame([(i, 1) for i in range(10, 30)], "step_id long, scenario_id long")
+    got = design.step_coverage(used, steps)
+    assert rows_of(got) == sorted([f"Row(issue='unknown', step_id={i})" for i in range(10)] + [f"Row(issue='uncovered', step_id={i})" for i in range(20, 30)])
+    assert ", 30)" in plan_of(got) and "hashpartitioning(scenario_id" not in plan_of(got)
+    one = steps.select("scenario_id").distinct()
+    assert rows_of(design.step_coverage(used, steps, one)) == rows_of(got) and rows_of(design.step_coverage(used, steps, one.limit(0))) == [f"Row(issue='unknown', step_id={i})" for i in range(10)]
