@@ -261,7 +261,7 @@ query("action_coverage", """
     WITH u AS (SELECT DISTINCT action_id FROM b_action WHERE has_api) SELECT 'uncovered' AS issue, action_id FROM b_action
     WHERE action_id NOT IN (SELECT action_id FROM u) GROUP BY 2
 """)(
-    lambda t: design.step_coverage(t.b_action.where("has_api").select(F.col("action_id").alias("step_id")), t.b_action.select(F.col("action_id").alias("step_id"), F.lit(1).alias("scenario_id")), t.spark.createDataFrame([(1,)], "scenario_id int")).withColumnRenamed("step_id", "action_id")
+    lambda t: design.step_coverage(t.b_action.where("has_api").select(F.col("action_id").alias("step_id")), t.b_action.select(F.col("action_id").alias("step_id"))).withColumnRenamed("step_id", "action_id")
 )
 query("step_on_flow_and_page", """
     SELECT step_id, f.n AS flows, p.n AS pages FROM (SELECT o_orderkey AS step_id, count(DISTINCT o_custkey) AS n FROM orders
