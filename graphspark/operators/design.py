@@ -30,14 +30,20 @@ def dangling_parent_refs(links: DataFrame, parents: DataFrame) -> DataFrame:
 
 
 def broken_chains(component_page, page_flow, flow_journey, journeys) -> DataFrame:
-    """Pages of components without flows; flows of pages without journeys, or whose journeys all are missing."""
-    pages = component_page.select(F.col("parent").alias("id")).distinct()
-    no_flow = pages.join(page_flow.select(F.col("child").alias("id")), "id", "left_anti").select(F.lit("page_without_flow").alias("issue"), "id")
-    flows = page_flow.join(pages.toDF("child"), "child", "left_semi").select(F.col("parent").alias("child")).distinct()
-    known = journeys.select(F.col("id").alias("parent"), F.lit(1).alias("known"))
-    state = flows.join(flow_journey, "child", "left").join(known, "parent", "left").groupBy("child").agg(F.count("parent").alias("n"), F.count("known").alias("k"))
-    bad = state.where("k = 0").select(F.when(F.col("n") == 0, "flow_without_journey").otherwise("flow_with_missing_journeys").alias("issue"), F.col("child").alias("id"))
-    return no_flow.union(bad)
+    """Pages of components without flows; flows of pages without journeys, or whose journeys all are missing. Links may come twice.
+
+    Rows are dealt by key to as many tasks as their number asks for; links without a parent, of which there may be many, are not shuffled.
+    """
+    parts = tasks_for(component_page, page_flow, flow_journey)
+    pages = component_page.select(F.col("parent").alias("id")).repartition(parts, "id").distinct()
+    above = page_flow.select(F.col("child").alias("id"), "parent").repartition(parts, "id")
+    no_flow = pages.join(above, "id", "left_anti").select(F.lit("page_without_flow").alias("issue"), "id")
+    flows = above.join(pages, "id", "left_semi").select(F.col("parent").alias("child")).repartition(parts, "child").distinct()
+    known = journeys.select(F.col("id").alias("parent")).distinct().withColumn("known", F.lit(1))
+    links = flow_journey.where("parent IS NOT NULL").select("child", "parent").repartition(parts, "parent").join(known, "parent", "left")
+    links = links.repartition(parts, "child").groupBy("child").agg(F.count("parent").alias("n"), F.count("known").alias("k"))
+    state = flows.join(links, "child", "left").where("coalesce(k, 0) = 0")
+    return no_flow.union(state.select(F.when(F.coalesce("n", F.lit(0)) == 0, "flow_without_journey").otherwise("flow_with_missing_journeys").alias("issue"), F.col("child").alias("id")))
 
 
 def duplicate_linkage(links: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ query("broken_chains", """
     WHERE id NOT IN (SELECT child FROM b_page_parent) UNION ALL
     SELECT CASE WHEN n = 0 THEN 'flow_without_journey' ELSE 'flow_with_missing_journeys' END, id FROM s WHERE k = 0
 """)(
-    lambda t: design.broken_chains(t.b_component_parent, t.b_page_parent, t.b_flow_parent, t.b_journey)
+    lambda t: design.broken_chains(t.links("b_component_parent"), t.links("b_page_parent"), t.b_flow_parent, t.b_journey)
 )
 query("duplicate_linkage", """
     SELECT l_orderkey AS child, l_linenumber AS parent, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1

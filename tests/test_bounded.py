@@ -42,3 +42,12 @@ def test_joins_are_dealt_by_counted_rows(spark, monkeypatch):
     assert ", 30)" in plan_of(got) and "hashpartitioning(scenario_id" not in plan_of(got)
     one = steps.select("scenario_id").distinct()
     assert rows_of(design.step_coverage(used, steps, one)) == rows_of(got) and rows_of(design.step_coverage(used, steps, one.limit(0))) == [f"Row(issue='unknown', step_id={i})" for i in range(10)]
+
+
+def test_chains_without_parents_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 2)
+    links = lambda rows: spark.createDataFrame(rows, "child long, parent long")
+    on, up, above = links([(1, 1), (1, 1), (2, 2), (3, None)]), links([(1, 10), (1, 10), (1, 11), (1, 12), (1, 13)]), links([(10, None), (10, None), (11, 99), (12, 7), (12, 99), (13, 98), (13, 98)])
+    got = design.broken_chains(on, up, above, spark.createDataFrame([(7,), (7,)], "id long"))
+    assert rows_of(got) == sorted(str(r) for r in spark.createDataFrame([("page_without_flow", 2), ("page_without_flow", None), ("flow_without_journey", 10), ("flow_with_missing_journeys", 11), ("flow_with_missing_journeys", 13)], "issue string, id long").collect())
+    assert "isnotnull(parent" in plan_of(got) and ", 8)" in plan_of(got)
