@@ -51,3 +51,10 @@ def test_chains_without_parents_are_not_shuffled(spark, monkeypatch):
     got = design.broken_chains(on, up, above, spark.createDataFrame([(7,), (7,)], "id long"))
     assert rows_of(got) == sorted(str(r) for r in spark.createDataFrame([("page_without_flow", 2), ("page_without_flow", None), ("flow_without_journey", 10), ("flow_with_missing_journeys", 11), ("flow_with_missing_journeys", 13)], "issue string, id long").collect())
     assert "isnotnull(parent" in plan_of(got) and ", 8)" in plan_of(got)
+
+
+def test_text_is_split_off_once(spark):
+    df = spark.createDataFrame([("User: Docker up",), ("Docker: fine",), (None,), ("plain",)], "intent string")
+    got = intents.filter_non_functional(df)
+    assert rows_of(got) == ["Row(intent='Docker: fine')", "Row(intent='plain')"] and "exists(" not in plan_of(got)
+    assert intents.filter_non_functional(df, []).count() == 4
