@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scale import cut, tasks_for
+from ..functions.scale import broadcast_if_small, cut, tasks_for
 from ..functions.text import is_system, name_tokens, platform_key
 from ..functions.values import COMPONENT_TYPES, EXPECTED_TEMPLATES, MIN_SUPPORTING, SYNONYMS
 from .functional import health
@@ -230,19 +230,24 @@ def step_coverage(used: DataFrame, steps: DataFrame, covered: DataFrame | None =
 
 
 def step_action_consistency(component_action, action_step, component_page, page_flow, flow_step) -> DataFrame:
-    """Component's actions whose step is in none of the steps of the flows that hold the component's pages; components without such steps are left out.
+    """Component's actions whose step is in none of the steps of the flows that hold the component's pages; components without such steps are left out. Links may come twice.
 
-    Walked from the actions' steps up to their pages, and not from components down to all steps that they reach.
+    Walked from the actions' steps up to their pages, and not from components down to all steps that they reach. Rows are dealt by key to as
+    many tasks as their number asks for; which components have steps at all is known from distinct ids.
     """
-    rows = component_action.join(action_step, "action_id").select("component_id", "action_id", "step_id")
+    parts = tasks_for(component_action, page_flow)
+    by = lambda df, *keys: df.repartition(parts, *keys)
+    rows = by(component_action, "action_id").join(by(action_step, "action_id"), "action_id").select("component_id", "action_id", "step_id")
     flows = flow_step.select(F.col("child").alias("parent"), F.col("parent").alias("step_id"))
-    asked = rows.select("step_id").distinct()
-    pages = flows.join(asked, "step_id", "left_semi").distinct().join(page_flow, "parent").select("step_id", F.col("child").alias("parent")).distinct()
+    asked = by(rows.select("step_id"), "step_id").distinct()
+    flowing = by(by(flows, "step_id").join(asked, "step_id", "left_semi").distinct(), "parent")
+    pages = by(flowing.join(by(page_flow, "parent"), "parent").select("step_id", F.col("child").alias("parent")), "step_id").distinct()
     mine = component_page.select(F.col("child").alias("component_id"), "parent")
-    fine = rows.select("component_id", "step_id").distinct().join(pages, "step_id").join(mine, ["component_id", "parent"], "left_semi").select("component_id", "step_id")
-    stepped = page_flow.join(flows.select("parent"), "parent", "left_semi").select(F.col("child").alias("parent")).distinct()
-    some = mine.join(stepped, "parent", "left_semi").select("component_id")
-    return rows.join(some, "component_id", "left_semi").join(fine, ["component_id", "step_id"], "left_anti")
+    pairs = by(by(rows.select("component_id", "step_id"), "step_id").distinct().join(pages, "step_id"), "component_id", "parent")
+    fine = by(pairs.join(by(mine, "component_id", "parent"), ["component_id", "parent"], "left_semi").select("component_id", "step_id"), "component_id", "step_id")
+    stepped = by(by(page_flow, "parent").join(by(flows.select("parent"), "parent"), "parent", "left_semi").select(F.col("child").alias("parent")), "parent").distinct()
+    some = by(mine, "parent").join(stepped, "parent", "left_semi").select("component_id").distinct()
+    return by(rows.join(broadcast_if_small(cut(some)), "component_id", "left_semi"), "component_id", "step_id").join(fine, ["component_id", "step_id"], "left_anti")
 
 
 def on_both(flow_step: DataFrame, page_step: DataFrame) -> DataFrame:

@@ -53,6 +53,17 @@ def test_chains_without_parents_are_not_shuffled(spark, monkeypatch):
     assert "isnotnull(parent" in plan_of(got) and ", 8)" in plan_of(got)
 
 
+def test_consistency_is_dealt_and_takes_links_twice(spark, monkeypatch):
+    pairs = lambda rows, names: spark.createDataFrame(rows, names)
+    action, step = [(1, 100), (1, 101), (2, 102), (3, 103)], [(100, 5), (101, 6), (102, 5), (103, 5)]
+    on, up, flow = [(1, 10), (2, 11), (3, 12)], [(10, 20), (11, 21)], [(20, 5), (21, 6)]
+    run = lambda n: design.step_action_consistency(pairs(action, "component_id long, action_id long"), pairs(step, "action_id long, step_id long"), pairs(on * n, "child long, parent long"), pairs(up * n, "child long, parent long"), pairs(flow, "child long, parent long"))
+    want = ["Row(component_id=1, step_id=6, action_id=101)", "Row(component_id=2, step_id=5, action_id=102)"]
+    assert rows_of(run(1)) == want
+    monkeypatch.setattr(scale, "TASK_ROWS", 1)
+    assert rows_of(run(5)) == want and ", 14)" in plan_of(run(5))
+
+
 def test_text_is_split_off_once(spark):
     df = spark.createDataFrame([("User: Docker up",), ("Docker: fine",), (None,), ("plain",)], "intent string")
     got = intents.filter_non_functional(df)
