@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import find
+from ..functions.scale import broadcast_if_small, cut, tasks_for
 
 
 def keyword_sweep(nodes: DataFrame, nouns: list[str], max_total: int = 60) -> tuple[DataFrame, DataFrame]:
@@ -144,14 +145,18 @@ def all_schema_dependents(tables: DataFrame, fks: DataFrame, bodies: DataFrame)
 
 
 def all_references(parts: list[DataFrame], terms: DataFrame) -> DataFrame:
-    """(term, file) for every one of ``terms`` (column term): files of (file, text) rows of any kind that hold it, or its snake or kebab form, as a word."""
+    """(term, file) for every one of ``terms`` (column term): files of (file, text) rows of any kind that hold it, or its snake or kebab form, as a word.
+
+    Forms go to what is found, so that a frequent form's files stay where they are; pairs are dealt to as many tasks as their number asks for.
+    """
     forms = F.array_distinct(F.array(F.lower("term"), *[F.lower(F.regexp_replace("term", "([a-z0-9])([A-Z])", f"$1{sign}$2")) for sign in ("_", "-")]))
     named = terms.where("term <> ''").select("term", F.explode(forms).alias("form")).distinct()
     out = None
     for p in parts:
         found = find.hits(p.select("file", F.lower("text").alias("text")), named.select("form"), term="form", words=True)
         out = found if out is None else out.unionByName(found)
-    return out.join(named, "form").select("term", "file").distinct()
+    pairs = cut(out.join(broadcast_if_small(cut(named)), "form").select("term", "file"))
+    return pairs.repartition(tasks_for(pairs), "term", "file").distinct()
 
 
 def classify_stores(stores: DataFrame) -> DataFrame:

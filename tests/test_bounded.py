@@ -69,3 +69,10 @@ def test_text_is_split_off_once(spark):
     got = intents.filter_non_functional(df)
     assert rows_of(got) == ["Row(intent='Docker: fine')", "Row(intent='plain')"] and "exists(" not in plan_of(got)
     assert intents.filter_non_functional(df, []).count() == 4
+
+
+def test_references_are_dealt_by_counted_pairs(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TASK_ROWS", 2)
+    files = spark.createDataFrame([(str(i), "order list") for i in range(30)] * 2, "file string, text string")
+    got = search.all_references([files], spark.createDataFrame([("order",), ("list",)], "term string"))
+    assert got.count() == 60 and got.rdd.getNumPartitions() == 60 and got.groupBy("term").agg(F.count("*").alias("n")).where("n = 30").count() == 2
