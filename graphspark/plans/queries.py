@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions.scale import shared_dir
+from ..functions.scale import RANGE_ROWS, shared_dir
 from ..functions.values import INBOUND_VERBS, LAYOUT_TYPES, OUTBOUND_VERBS, OVERLAP_KEYWORDS, PAGE_TYPES
 from ..operators import changes, design, functional, gates, intents, interfaces, merges, repos, search, spec
 from ..sources import exports
@@ -782,12 +782,16 @@ _WATERMARK = "(SELECT max(ts) - INTERVAL 1 HOUR FROM b_status_event)"
 
 
 def streamed(t, rows: DataFrame, files: int = 4, each: int | None = None) -> tuple[DataFrame, str]:
-    """The rows as a stream of files, ``each`` of them a batch (None: all), and a folder of its own for what is kept. Event times need a zone."""
+    """The rows as a stream of files, ``each`` of ``files`` a batch (None: all), and a folder of its own for what is kept. Event times need a zone.
+
+    A file of over ``RANGE_ROWS`` rows is several, and a batch has as many more: the number of batches stays, and no task writes or reads a fixed part of all rows.
+    """
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
     folder = f"{shared_dir(t.spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(files).write.parquet(f"{folder}/in")
+    times = max(1, -(-rows.count() // (files * RANGE_ROWS)))
+    rows.repartition(files * times).write.parquet(f"{folder}/in")
     reader = t.spark.readStream.schema(rows.schema)
-    return (reader if each is None else reader.option("maxFilesPerTrigger", each)).parquet(f"{folder}/in"), folder
+    return (reader if each is None else reader.option("maxFilesPerTrigger", each * times)).parquet(f"{folder}/in"), folder
 
 
 def _plain(time: str):

@@ -64,6 +64,16 @@ def test_consistency_is_dealt_and_takes_links_twice(spark, monkeypatch):
     assert rows_of(run(5)) == want and ", 14)" in plan_of(run(5))
 
 
+def test_streamed_files_grow_with_rows_and_batches_do_not(spark, monkeypatch):
+    monkeypatch.setattr(queries, "RANGE_ROWS", 10)
+    tables = type("T", (), {"spark": spark})()
+    rows, folder = queries.streamed(tables, spark.range(400), 4, 2)
+    run = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert len(spark.read.parquet(f"{folder}/in").inputFiles()) == 40
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == 2 and spark.read.parquet(f"{folder}/out").count() == 400
+
+
 def test_text_is_split_off_once(spark):
     df = spark.createDataFrame([("User: Docker up",), ("Docker: fine",), (None,), ("plain",)], "intent string")
     got = intents.filter_non_functional(df)
