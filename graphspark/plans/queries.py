@@ -399,6 +399,13 @@ query("merge_design", """
 """)(
     lambda t: merges.merge_design(t.b_page.withColumn("seq", F.col("id") % 2), t.b_page_parent)[1]
 )
+
+
+def _design_links(t):
+    """``b_design_link`` with links that come twice."""
+    return t.b_flow_parent.select(F.lit("flow").alias("label"), "child", "parent").union(t.links("b_page_parent").select(F.lit("page"), "child", "parent")).union(t.links("b_component_parent").select(F.lit("component"), "child", "parent"))
+
+
 _MERGED = f"""
     k AS (SELECT label, id, name, platform, scenario_id, seq, lower(trim(name)) AS k, {PK} AS p FROM b_design_node),
     of_scenario AS (SELECT id, k, min(id) OVER (PARTITION BY scenario_id) AS kept FROM k WHERE label = 'journey' AND scenario_id IS NOT NULL),
@@ -416,8 +423,8 @@ query("merge_design_nodes", f"""
     WITH {_MERGED},
     n AS (SELECT k.label, kept AS id, arg_max(name, (seq, name)) AS name, arg_max(platform, (seq, platform)) FILTER (WHERE platform IS NOT NULL) AS platform, max(scenario_id) AS scenario_id FROM k JOIN (SELECT DISTINCT * FROM mapping) m ON m.label = k.label AND m.id = k.id GROUP BY 1, 2)
     SELECT n.label, n.id, name, platform, scenario_id, coalesce(ids, '') AS parent_ids FROM n LEFT JOIN (SELECT label, child, string_agg(CAST(parent AS STRING), ',' ORDER BY parent) AS ids FROM moved GROUP BY 1, 2) m ON m.label = n.label AND m.child = n.id
-""")(lambda t: merges.merge_design_graph(t.b_design_node, t.b_design_link)[0].withColumn("parent_ids", F.array_join("parent_ids", ",")))
-query("merge_design_links", f"WITH {_MERGED} SELECT * FROM moved")(lambda t: merges.merge_design_graph(t.b_design_node, t.b_design_link)[1])
+""")(lambda t: merges.merge_design_graph(t.b_design_node, _design_links(t))[0].withColumn("parent_ids", F.array_join("parent_ids", ",")))
+query("merge_design_links", f"WITH {_MERGED} SELECT * FROM moved")(lambda t: merges.merge_design_graph(t.b_design_node, _design_links(t))[1])
 _DELETED = """
     j AS (SELECT id FROM b_journey WHERE id % 2 = 0),
     f AS (SELECT child AS id FROM (SELECT DISTINCT child, parent FROM b_flow_parent) LEFT JOIN j ON parent = j.id GROUP BY 1 HAVING count(*) = count(j.id)),

@@ -81,6 +81,14 @@ def test_text_is_split_off_once(spark):
     assert intents.filter_non_functional(df, []).count() == 4
 
 
+def test_mapping_of_merges_is_made_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(merges, "cut", lambda df: made.append(scale.cut(df)) or made[-1])
+    nodes = spark.createDataFrame([("flow", 1, "A", None, None, 0), ("flow", 2, "a ", None, None, 1), ("page", 3, "P", None, None, 0)], "label string, id long, name string, platform string, scenario_id long, seq int")
+    merged, moved = merges.merge_design_graph(nodes, spark.createDataFrame([("page", 3, 2), ("page", 3, 1), ("page", 3, 1)], "label string, child long, parent long"))
+    assert len(made) == 1 and rows_of(moved) == ["Row(label='page', child=3, parent=1)"] and merged.count() == 2
+
+
 def test_references_are_dealt_by_counted_pairs(spark, monkeypatch):
     monkeypatch.setattr(scale, "TASK_ROWS", 2)
     files = spark.createDataFrame([(str(i), "order list") for i in range(30)] * 2, "file string, text string")
