@@ -16,6 +16,7 @@ are dropped, as by any watermark. ``stall_candidates`` gives the same rows for a
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -28,6 +29,8 @@ from ..functions.values import IN_FLIGHT
 #: Acts of the operator among the events.
 CONNECTED, RETRIED, FAILED, ALIVE = "connected", "retried", "retry_check_failed", "still_running"
 OUT = "repo_id long, kind string, at timestamp, stage string, attempts int"
+#: Microseconds of a day: a repository's waiting events are kept as one text a day, so that state is read and written once a day and batch, and not for each event.
+DAY = 86_400_000_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -37,6 +40,10 @@ def _status(stage: str, before: str) -> str:
     return {"active": "indexed", "error": "error"}.get(stage, before)
 
 
+def _events(text: str) -> dict[tuple[int, int], str]:
+    return {(at, event_id): stage for at, event_id, stage in json.loads(text)}
+
+
 class _Watch(StatefulProcessor):
     def __init__(self, gap: int, max_retries: int):
         self.gap, self.max_retries = gap, max_retries
@@ -45,15 +52,23 @@ class _Watch(StatefulProcessor):
         self.handle = handle
         #: What is known up to the watermark; times in microseconds. ``armed``: when a stall is due, 0 for never.
         self.now = handle.getValueState("now", "status string, stage string, progress long, probed long, attempts int, armed long")
-        self.pending = handle.getMapState("pending", "at long, event_id long", "stage string")
+        self.pending = handle.getMapState("pending", "day long", "events string")
+
+    def _keep(self, day: int, events: dict[tuple[int, int], str]) -> None:
+        if events:
+            self.pending.updateValue((day,), (json.dumps([[*k, stage] for k, stage in events.items()]),))
+        else:
+            self.pending.removeKey((day,))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        first = None
+        new: dict[int, dict[tuple[int, int], str]] = {}
         for r in rows:
-            self.pending.updateValue((r.at, r.event_id), (r.stage,))
-            first = r.at if first is None else min(first, r.at)
-        if first is not None:
-            self._timer(first)
+            new.setdefault(r.at // DAY, {})[r.at, r.event_id] = r.stage
+        held = {k[0]: v[0] for k, v in self.pending.iterator()} if new else {}
+        for day, events in new.items():
+            self._keep(day, _events(held.get(day, "[]")) | events)
+        if new:
+            self._timer(min(new[min(new)])[0])
         return iter([])
 
     def _timer(self, at: int) -> None:
@@ -61,16 +76,26 @@ class _Watch(StatefulProcessor):
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted((k[0], k[1], v[0]) for k, v in self.pending.iterator())
+        waiting, left, rest, later = [], None, {}, False
+        for day, events in [(k[0], _events(v[0])) for k, v in self.pending.iterator()]:
+            due = [k for k in events if k[0] <= passed]
+            waiting.extend((*k, events.pop(k)) for k in due)
+            if due:
+                rest[day] = events
+            later = later or not due
+            if events:
+                first = min(events)[0]
+                left = first if left is None else min(left, first)
+        if rest and not later:  # one call where all days are taken
+            self.pending.clear()
+        for day, events in rest.items():
+            if events or later:
+                self._keep(day, events)
         status, stage, progress, probed, attempts, armed = self.now.get() if self.now.exists() else ("unknown", None, 0, 0, 0, 0)
-        found, left = [], None
-        for at, event_id, what in waiting:
-            if at > passed:
-                left = at
-                break
+        found = []
+        for at, _, what in sorted(waiting):
             if armed and armed < at:
                 found.append(("stalled", armed, stage, attempts))
-            self.pending.removeKey((at, event_id))
             if what == ALIVE:
                 probed = at
             elif what == FAILED:

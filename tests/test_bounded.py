@@ -64,6 +64,41 @@ def test_consistency_is_dealt_and_takes_links_twice(spark, monkeypatch):
     assert rows_of(run(5)) == want and ", 14)" in plan_of(run(5))
 
 
+def test_state_is_called_by_day_and_not_by_event():
+    class Map(dict):
+        calls = 0
+
+        def updateValue(self, k, v):
+            self.calls, self[k] = self.calls + 1, v
+
+        def iterator(self):
+            self.calls += 1
+            return iter([*self.items()])
+
+        def removeKey(self, k):
+            self.calls += 1
+            del self[k]
+
+    class Handle:
+        def getMapState(self, *_):
+            self.map = Map()
+            return self.map
+
+        def getValueState(self, *_):
+            return None
+
+        def registerTimer(self, at):
+            self.at = at
+
+    from pyspark.sql import Row
+
+    watch, handle = stalls._Watch(1, 3), Handle()
+    watch.init(handle)
+    for part in (range(5, 600), range(0, 300)):
+        list(watch.handleInputRows((1,), iter([Row(at=i * 1_000_000, event_id=i, stage="started") for i in part]), None))
+    assert handle.map.calls <= 4 and handle.at == 0 and len(stalls._events(handle.map[(0,)][0])) == 600
+
+
 def test_streamed_files_grow_with_rows_and_batches_do_not(spark, monkeypatch):
     monkeypatch.setattr(queries, "RANGE_ROWS", 10)
     tables = type("T", (), {"spark": spark})()
