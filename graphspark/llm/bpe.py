@@ -1,10 +1,10 @@
 """BPE encoding and decoding (operator 2).
 
-Encoder: an Aho-Corasick automaton over the vocabulary finds the tokens that start at each byte of a pre-token. A walk takes the
-longest token that fits after the one before it; where none fits it drops the last token and tries that one's next shorter rival.
-Places that were given up are marked, so a place is tried once and the walk is linear. Two tokens fit when merging their joint
-bytes by rank gives these two back: that table is filled as pairs appear. A row of tokens that fit pairwise is the row that the
-merges give. Decoder: one byte string of all tokens with an offset table; ids become byte ranges of it.
+Encoder: an Aho-Corasick automaton over the vocabulary finds the tokens that start at each byte of a pre-token (those of one byte
+are read off). A walk takes the longest token that fits after the one before it; where none fits it drops the last token and tries
+that one's next shorter rival. Places that were given up are marked, so a place is tried once and the walk is linear. Two tokens fit
+when merging their joint bytes by rank gives these two back: the table is filled as pairs appear, and has for a token and the longest
+one beside it the rival that fits. A row of tokens that fit pairwise is the row that the merges give. Decoder: one byte string of all tokens with an offset table; ids become byte ranges of it.
 
 Ids are packed as little-endian unsigned 32-bit integers in a binary column (``unpack`` turns them into an array). The vocabulary
 file (1.5 MB, fixed) is read by the driver and broadcast.
@@ -32,7 +32,9 @@ from .common import keep, small_batches
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 80_000, 150_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 200_000, 250_000, 48
+#: Where a token's id stands for no token.
+NONE = -1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,16 +63,23 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pretokens = regex.compile(PRETOKEN).findall
+        # The walk goes by ids; these lists have a place for each id.
+        self.tokens = [""] * (max(self.ids.values(), default=-1) + 1)
+        for token, i in self.ids.items():
+            self.tokens[i] = token
+        self.sizes, self.reach, self.packed = [len(t) for t in self.tokens], [len(t) - 1 for t in self.tokens], [i.to_bytes(4, "little") for i in range(len(self.tokens))]
+        self.shorter = [next((self.ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.ids), NONE) for t in self.tokens]
         self.automaton = ahocorasick.Automaton()
-        for token in self.ids:
-            self.automaton.add_word(token, len(token))
+        for token, i in self.ids.items():
+            if len(token) > 1:
+                self.automaton.add_word(token, i)
         self.automaton.make_automaton()
+        self.single = [self.ids.get(chr(b), NONE) for b in range(256)]  # most matches would be single bytes: these are read off
         self.made: dict[str, tuple] = {}  # token -> rank and halves of the merge that makes it
         for (left, right), n in self.rank.items():
             self.made.setdefault(sys.intern(left + right), (n, left, right))
         self.edges: tuple[dict, dict] = ({}, {})
-        self.prefix: dict[str, str] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, int] = {}
         self.words = Words(self)
         pieces = {i: t.encode("latin-1") for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         sizes = np.array([len(pieces.get(i, b"")) for i in range(max(pieces, default=-1) + 1)], np.int64)
@@ -101,65 +110,60 @@ class Codec:
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the two stay apart: no merge over the border comes before the merges that take up what stands beside it."""
-        known = self.pairs.get((left, right))
+        if not left:
+            return self.merged(right) == [right]
+        before, after, i, j = self.edge(left, 1), self.edge(right, 0), 0, 0
+        while True:
+            (x, x_taken), (y, y_taken) = before[i], after[j]
+            over = self.rank.get((x, y), math.inf)
+            if over < x_taken and over <= y_taken:  # of equal merges the one further left comes first
+                return False
+            if x_taken == y_taken == math.inf:
+                return True
+            if x_taken <= y_taken:
+                i += 1
+            else:
+                j += 1
+
+    def follow(self, before: int, token: int) -> int:
+        """The longest token that ``token`` begins with, itself included, that fits after ``before`` (``NONE``: at the start); ``NONE`` if none does."""
+        place = before * len(self.tokens) + token
+        known = self.pairs.get(place)
         if known is None:
+            left, known = "" if before == NONE else self.tokens[before], token
+            while known != NONE and not self.fits(left, self.tokens[known]):
+                known = self.shorter[known]
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            if not left:
-                known = self.merged(right) == [right]
-            else:
-                before, after, i, j, known = self.edge(left, 1), self.edge(right, 0), 0, 0, True
-                while True:
-                    (x, x_taken), (y, y_taken) = before[i], after[j]
-                    over = self.rank.get((x, y), math.inf)
-                    if over < x_taken and over <= y_taken:  # of equal merges the one further left comes first
-                        known = False
-                        break
-                    if x_taken == y_taken == math.inf:
-                        break
-                    if x_taken <= y_taken:
-                        i += 1
-                    else:
-                        j += 1
-            self.pairs[sys.intern(left), sys.intern(right)] = known
+            self.pairs[place] = known
         return known
 
-    def encode_pretoken(self, text: str) -> list[int]:
-        """``text``: bytes as a Latin-1 string."""
-        longest, total = [0] * len(text), len(text)
-        for end, size in self.automaton.iter(text):
-            longest[end + 1 - size] = size  # of the tokens that start here, longer ones end later
-        taken, given_up, at, before = [], bytearray(total + 1), 0, ""
-        token, pairs = text[: longest[0]] if total else "", self.pairs
+    def encode_pretoken(self, raw: bytes) -> list[int]:
+        total, reach, sizes, pairs, n = len(raw), self.reach, self.sizes, self.pairs, len(self.tokens)
+        longest = [*map(self.single.__getitem__, raw), NONE]
+        for end, token in self.automaton.iter(raw.decode("latin-1")):
+            longest[end - reach[token]] = token  # of the tokens that start here, longer ones end later
+        taken, given_up, at, before, token = [], bytearray(total + 1), 0, NONE, longest[0]
         while at < total:
-            while token:
-                if not given_up[at + len(token)]:
-                    fits = pairs.get((before, token))
-                    if fits or fits is None and self.fits(before, token):
-                        break
-                token = self.shorter(token)
-            if token:
+            while token != NONE:
+                fitting = pairs.get(before * n + token)
+                token = self.follow(before, token) if fitting is None else fitting
+                if token == NONE or not given_up[at + sizes[token]]:
+                    break
+                token = self.shorter[token]
+            if token != NONE:
                 taken.append(token)
                 before = token
-                at += len(token)
-                if at < total:
-                    token = text[at : at + longest[at]]
+                at += sizes[token]
+                token = longest[at]
             elif taken:  # nothing fits after the last token: this place is given up, and a shorter last token is tried
                 given_up[at] = 1
                 last = taken.pop()
-                at -= len(last)
-                before, token = taken[-1] if taken else "", self.shorter(last)
+                at -= sizes[last]
+                before, token = taken[-1] if taken else NONE, self.shorter[last]
             else:
                 raise ValueError("the vocabulary lacks a byte")
-        return [self.ids[t] for t in taken]
-
-    def shorter(self, token: str) -> str:
-        """The longest token that the token begins with, besides itself; empty if none."""
-        known = self.prefix.get(token)
-        if known is None:
-            known = next((token[:n] for n in range(len(token) - 1, 0, -1) if token[:n] in self.ids), "")
-            self.prefix[sys.intern(token)] = sys.intern(known)
-        return known
+        return taken
 
     def encode(self, text: str | None) -> bytes:
         if not text:
@@ -191,8 +195,8 @@ class Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.older.get(word)
         if packed is None:
-            raw = word.encode().decode("latin-1")
-            packed = np.array(self.codec.encode_pretoken(raw), "<u4").tobytes()
+            codec = self.codec
+            packed = b"".join([codec.packed[i] for i in codec.encode_pretoken(word.encode())])
         if len(word) <= CACHE_BYTES:
             if len(self) >= CACHE_WORDS:
                 self.older = dict(self)
